@@ -8,12 +8,12 @@
    lists are kept for those values only, so a value that a third of all documents
    hold is listed for hardly any of them.
 3. In each list all members are compared with the member whose values are the most
-   common, which in a group of edited copies is the one nearest to the others. Then
-   components are formed, and members that share a list but not yet a component are
-   compared with each other. A pair left out is thus always a pair already in one
-   component: no link between components is lost, and no list emits all its pairs.
-4. A pair is dropped if the bottom-k sketch of the union (made of the two sketches)
-   estimates less than ``t - SLACK``; the rest are confirmed on the full sets.
+   common, which in a group of edited copies is the one nearest to the others. A pair is
+   dropped if the bottom-k sketch of the union (made of the two sketches) estimates less
+   than ``t - SLACK``; the rest are confirmed on the full sets, and form components.
+4. Members that share a list but not a component are paired by their full sets, with
+   exact prefix and position filters, and confirmed. A pair left out is thus in one
+   component anyway, or can't have the similarity; and no list emits all its pairs.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ SKETCH_SIZE = 64
 #: Four standard deviations of a 64-value estimate at similarity 0.8; sets of at most SKETCH_SIZE values need none.
 SLACK = 0.2
 #: Cells of the fixed-size count table that orders values by frequency; any order gives right results.
-CELLS = 1 << 16
+CELLS = 1 << 18
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -76,7 +76,7 @@ def _lists(values: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array
 
 
 def sketches(docs: DataFrame, words: int = 5, k: int = SKETCH_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, hi, lo, n, sketch`` per row: digest of the shingle set, its size, its ``k`` smallest hashes in order."""
+    """``doc_id, text_hash, hi, lo, n, sketch`` per row: digest of the shingle set, its size, its ``k`` smallest hashes in order."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +88,9 @@ def sketches(docs: DataFrame, words: int = 5, k: int = SKETCH_SIZE, id_col: str
                 ns.append(len(found))
                 kept.append(found[:k])
             if ns:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(ns, pa.int64()), _lists(kept)], ["doc_id", "hi", "lo", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(his, pa.int64()), pa.array(los, pa.int64()), pa.array(ns, pa.int64()), _lists(kept)], ["doc_id", "text_hash", "hi", "lo", "n", "sketch"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, hi long, lo long, n long, sketch array<long>")
+    return id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(task, "doc_id long, text_hash long, hi long, lo long, n long, sketch array<long>")
 
 
 def _full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -117,14 +117,17 @@ def _least_overlap(n: np.ndarray | int, k: int, percent: int) -> int:
     return int(min(n, k) * (percent / 100 - SLACK))
 
 
+def _cell_counts(values: DataFrame) -> np.ndarray:
+    """How often the values of each cell occur; at most CELLS rows come to the driver, whatever the corpus."""
+    cells = values.groupBy(F.pmod("v", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("c")).toArrow()
+    counts = np.zeros(CELLS, dtype=np.float32)
+    counts[cells.column("cell").to_numpy()] = cells.column("c").to_numpy()
+    return counts
+
+
 def _prefixes(classes: DataFrame, k: int, percent: int) -> DataFrame:
     """``value, cid, n, common``: each class under its rarest retained values; ``common``: how common its values are."""
-    cells = classes.select(F.explode("sketch").alias("v")).groupBy(F.pmod("v", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("c"))
-    # At most CELLS rows come to the driver, whatever the corpus.
-    counts = np.zeros(CELLS, dtype=np.float32)
-    for cell, c in cells.toLocalIterator():
-        counts[cell] = c
-    shared = classes.sparkSession.sparkContext.broadcast(counts)
+    shared = classes.sparkSession.sparkContext.broadcast(_cell_counts(classes.select(F.explode("sketch").alias("v"))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
@@ -160,20 +163,63 @@ def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> Da
     return both.filter(near).filter(shared >= least * F.size(union) - 1e-9).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The ``pairs`` whose full sets have the similarity; only texts of classes in ``pairs`` are read again."""
-    wanted = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    wanted = wanted.join(classes.select("cid", "hi", "lo", "root"), "cid")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("root")))
-    sets = cut(_full_sets(texts, words))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``pairs (a, b)`` whose full sets have the similarity."""
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     shared = F.size(F.array_intersect("s_a", "s_b"))
     return both.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
 
 
+def _across(labelled: DataFrame, percent: int) -> DataFrame:
+    """Pairs of ``labelled (cid, label, shingles)`` of different labels that can have the similarity, by their full sets.
+
+    Values are put in order of their frequency here, rarest first. Sets of sizes n and m
+    share ``t / (1 + t) * (n + m)`` values at least, so their first shared value stands where
+    ``n - place`` and ``m - place`` are no less; in a list that limits a set's partners to
+    sizes of at most ``reach``. Sizes are matched by classes, and members of a list's
+    commonest label are not paired with each other.
+    """
+    spark = labelled.sparkSession
+    t = percent / 100
+    shared = spark.sparkContext.broadcast(_cell_counts(labelled.select(F.explode("shingles").alias("v"))))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = shared.value
+        for batch in batches:
+            cids, labels, lists = (batch.column(i) for i in range(3))
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            values, rows, sizes, reaches = [], [], [], []
+            for i in range(len(cids)):
+                own = flat[ends[i] : ends[i + 1]]
+                n = len(own)
+                order = np.lexsort((own, weight[own % CELLS]))[: n - -(-n * percent // 100) + 1]
+                values.append(own[order])
+                rows.append(np.full(len(order), i))
+                sizes.append(np.full(len(order), n))
+                reaches.append(np.floor((n - np.arange(len(order))) * (1 + t) / t - n + 1e-9).astype(np.int64))
+            if values:
+                at = pa.array(np.concatenate(rows))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), cids.take(at), labels.take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(reaches))], ["value", "cid", "label", "n", "reach"])
+
+    entries = labelled.select("cid", "label", "shingles").mapInArrow(task, "value long, cid long, label long, n long, reach long")
+    held = entries.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
+    entries = cut(entries.join(held.filter("labels > 1").drop("labels"), "value"))
+    level = lambda n: F.when(n <= 50, n).otherwise(F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02))).cast("long"))
+    small = entries.select("value", level(F.col("n")).alias("level"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), (F.col("label") != F.col("main")).alias("other_b"))
+    most = F.least("n", "reach")
+    least = F.ceil(F.col("n") * t - 1e-9)
+    # The level of 50 and less is the size itself, above it starts over at 1.02 ** level; both rise, and 51 lies on level 198.
+    large = entries.filter(most >= least).withColumn("level", F.explode(F.sequence(level(least), level(most)))).filter("level <= 50 or level >= 198").withColumn("other", F.col("label") != F.col("main"))
+    keys = ["value", "level"]
+    met = large.filter("other").drop("other").join(small.drop("other_b"), keys).unionByName(large.filter("not other").drop("other").join(small.filter("other_b").drop("other_b"), keys))
+    found = met.filter("label != label_b and cid != b and n >= n_b and n <= reach_b and n_b <= reach").filter(100 * F.col("n_b") >= percent * F.col("n"))
+    return found.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int = SKETCH_SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+    """``doc_id, n_shingles, component_id, kept, text_hash`` for every row of ``docs``.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; two documents are
     linked if ``100 * |A & B| >= percent * |A | B|`` over their sets of ``words``-word
@@ -193,24 +239,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     members = cut(listed.join(heads, "value").select("value", "cid", "n", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")))
     near = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     first = members.filter("cid != head").filter(near).select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
-    links = cut(_confirmed(cut(_estimated(first, classes, k, percent)), classes, source, words, percent))
+    wanted = members.select("cid").distinct().join(classes.select("cid", "hi", "lo", "root"), "cid")
+    sets = cut(_full_sets(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("root"))), words))
+    links = cut(_confirmed(cut(_estimated(first, classes, k, percent)), sets, percent))
     labels = components(links)
 
     # Lists whose members are not yet one component: pairs across components.
     marked = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2").select("value")
-    open_ = cut(marked.join(split, "value").select("value", "cid", "n", "label", "head"))
-    other = open_.select("value", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("label").alias("label_b"))
-    across = open_.withColumnRenamed("cid", "a").join(other, "value").filter("a < b and label != label_b and head != a and head != b")
-    across = across.filter(100 * F.least("n", "n_b") >= percent * F.greatest("n", "n_b")).select("a", "b").distinct()
-    more = cut(_estimated(across, classes, k, percent))
-    if not more.isEmpty():
-        extra = _confirmed(more, classes, source, words, percent)
-        labels = components(cut(links.unionByName(extra)))
+    open_ = marked.join(split, "value").select("cid", "label").distinct()
+    extra = cut(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
+    if not extra.isEmpty():
+        labels = components(links.unionByName(extra))
 
     rooted = classes.select("hi", "lo", "cid", "root").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = rooted.groupBy("label").agg(F.min("root").alias("component_id"))
     named = rooted.join(least, "label").select("hi", "lo", "component_id")
-    full = rows.filter("n > 0").select("doc_id", "n", "hi", "lo").join(named, ["hi", "lo"]).select("doc_id", "n", "component_id")
-    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    full = rows.filter("n > 0").select("doc_id", "n", "hi", "lo", "text_hash").join(named, ["hi", "lo"]).select("doc_id", "n", "component_id", "text_hash")
+    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_hash")
+    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of which ``near_duplicates`` keeps the document.
+
+    Rows of one id and one text become one; otherwise see ``near_duplicates``.
+    """
+    kept = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    hashed = docs.withColumn("own_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = hashed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
+    return rows.dropDuplicates([id_col, "own_hash"]).select(*docs.columns)

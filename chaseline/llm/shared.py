@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def id_and_text(docs: DataFrame, id_col: str, text_col: str, keep_null: bool = False) -> DataFrame:
-    """Only the two columns an operator reads, as ``doc_id`` and ``text`` (null: empty unless ``keep_null``)."""
+def id_and_text(docs: DataFrame, id_col: str, text_col: str, keep_null: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns an operator reads, as ``doc_id`` and ``text`` (null: empty unless ``keep_null``), then ``kept_*`` ones."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))

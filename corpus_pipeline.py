@@ -1,12 +1,63 @@
-"""A corpus pipeline over ``documents``; its stages are added as their operators land."""
+"""A corpus pipeline over ``documents``: toxicity, near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it
+kept. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chaseline.llm import near_dups, packing, registry, secret_scans, toxicity
+from chaseline.llm.shared import cut, table
+from chaseline.session import ship_package
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that operator 10 doesn't reject; repeated rows and null ids and texts are judged as any other."""
+    ship_package(spark)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (operator 2; five words, similarity 0.8), that of the smallest id."""
+    ship_package(spark)
+    return near_dups.without_near_duplicates(docs)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, the secrets that operator 6 finds replaced by a mark and ``n_chars`` counted anew."""
+    ship_package(spark)
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    scanned = secret_scans.scan(docs, registry.vocabulary("byte_bpe_50k.tiktoken"), registry.pattern(), keep=keep)
+    return scanned.withColumn("text", F.col("redacted")).withColumn("n_chars", F.char_length("redacted").cast("long")).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' token pieces in sequences of at most 1024 tokens (operator 8)."""
+    ship_package(spark)
+    return packing.pack(docs, registry.vocabulary("byte_bpe_50k.tiktoken"), registry.pattern(), registry.SPECIAL)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("minhash_near_dups", drop_near_duplicates),
+    ("secret_scans", redact_secrets),
+    ("best_fit_packing", pack_sequences),
+]
 
-STAGES: list = []
+#: SQL can express neither the compression distance nor the token ids.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``, each cut off from the one before by a checkpoint."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = cut(docs)
+    return docs
