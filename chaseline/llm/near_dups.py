@@ -7,7 +7,8 @@
    their ``k - m + 1`` rarest (``m``: the least overlap accepted below). Inverted
    lists are kept for those values only, so a value that a third of all documents
    hold is listed for hardly any of them.
-3. In each list all members are compared with the member whose values are the most
+3. Only classes that share as many retained values with others as a similar set must are
+   listed. In each list all members are compared with the member whose values are the most
    common, which in a group of edited copies is the one nearest to the others. A pair is
    dropped if the bottom-k sketch of the union (made of the two sketches) estimates less
    than ``t - SLACK``; the rest are confirmed on the full sets, and form components.
@@ -34,6 +35,7 @@ SKETCH_SIZE = 64
 SLACK = 0.2
 #: Cells of the fixed-size count table that orders values by frequency; any order gives right results.
 CELLS = 1 << 18
+FILTER_CELLS = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -93,8 +95,25 @@ def sketches(docs: DataFrame, words: int = 5, k: int = SKETCH_SIZE, id_col: str
     return id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text")).mapInArrow(task, "doc_id long, text_hash long, hi long, lo long, n long, sketch array<long>")
 
 
+def _texts_of(classes: DataFrame, source: DataFrame) -> DataFrame:
+    """``cid, text, hi, lo``: texts of each class's document of smallest id, one if that has one text.
+
+    Texts whose hash falls into no marked cell stay out before the shuffle; at most
+    FILTER_CELLS marked cells are broadcast, whatever the corpus.
+    """
+    low = F.lit(-(1 << 63)).cast("long")
+    cell = lambda key: F.pmod(F.xxhash64(key), F.lit(FILTER_CELLS)).cast("int").alias("cell")
+    wanted = classes.select("cid", "hi", "lo", F.coalesce("root", low).alias("key"))
+    cells = F.broadcast(wanted.select(cell("key")).distinct())
+    texts = source.select(F.coalesce("doc_id", low).alias("key"), "text").withColumn("cell", cell("key")).join(cells, "cell", "left_semi").select("key", "text")
+    return texts.join(wanted, "key").withColumn("hash", F.xxhash64("text")).dropDuplicates(["key", "cid", "hash"]).select("cid", "text", "hi", "lo")
+
+
 def _full_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``cid, hi, lo, shingles`` of rows ``cid, text, hi, lo`` whose set has the digest that the row names."""
+    """``cid, shingles`` of those texts whose set has the digest that the row names.
+
+    A class may come twice, if one id has two texts of one set; pairs and links allow that.
+    """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,7 +126,7 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), _lists(sets)], ["cid", "shingles"])
 
-    return texts.select("cid", "text", "hi", "lo").mapInArrow(task, "cid long, shingles array<long>").dropDuplicates(["cid"])
+    return texts.mapInArrow(task, "cid long, shingles array<long>")
 
 
 def _least_overlap(n: np.ndarray | int, k: int, percent: int) -> int:
@@ -117,6 +136,16 @@ def _least_overlap(n: np.ndarray | int, k: int, percent: int) -> int:
     return int(min(n, k) * (percent / 100 - SLACK))
 
 
+def _dense(classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """The classes that hold as many retained values in common with others as any similar set must."""
+    values = classes.select("cid", F.explode("sketch").alias("v"))
+    shared = values.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v")
+    counts = values.join(shared, "v").groupBy("cid").agg(F.count("*").alias("shared"))
+    n = F.col("n")
+    least = F.when(n * 100 <= k * percent, F.ceil(n * percent / 100)).otherwise(F.floor(F.least(n, F.lit(k)) * (percent / 100 - SLACK)))
+    return classes.join(counts, "cid").filter(F.col("shared") >= least).drop("shared")
+
+
 def _cell_counts(values: DataFrame) -> np.ndarray:
     """How often the values of each cell occur; at most CELLS rows come to the driver, whatever the corpus."""
     cells = values.groupBy(F.pmod("v", F.lit(CELLS)).alias("cell")).agg(F.count("*").alias("c")).toArrow()
@@ -234,14 +263,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("doc_id").alias("root"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    listed = _prefixes(classes, k, percent)
+    dense = cut(_dense(classes, k, percent))
+    listed = _prefixes(dense, k, percent)
     heads = listed.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("common", "cid", "n")).alias("head")).filter("size > 1")
     members = cut(listed.join(heads, "value").select("value", "cid", "n", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")))
     near = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
     first = members.filter("cid != head").filter(near).select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
-    wanted = members.select("cid").distinct().join(classes.select("cid", "hi", "lo", "root"), "cid")
-    sets = cut(_full_sets(source.join(wanted, F.col("doc_id").eqNullSafe(F.col("root"))), words))
-    links = cut(_confirmed(cut(_estimated(first, classes, k, percent)), sets, percent))
+    sets = cut(_full_sets(_texts_of(members.select("cid").distinct().join(dense, "cid"), source), words))
+    links = cut(_confirmed(cut(_estimated(first, dense, k, percent)), sets, percent))
     labels = components(links)
 
     # Lists whose members are not yet one component: pairs across components.
