@@ -92,10 +92,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     if not firsts:
         return source.withColumn("next_text", F.lit(""))
     pairs = [(one["range"], two["top"]["key"], two["top"]["tie"]) for one, two in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
-    links = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("range"), F.lit(k).cast("long").alias("key"), F.lit(t).cast("long").alias("tie")) for a, k, t in pairs))))
-    wanted = [k for k in {k for _, k, _ in pairs}]
-    tops = keyed.filter(F.col("key").isin(wanted)).select("key", "tie", "text").join(links, ["key", "tie"])
-    tops = tops.groupBy("range").agg(F.first("text").alias("top_text")).withColumnRenamed("range", "top_range")
+    links = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("top_range"), F.lit(k).cast("long").alias("top_key"), F.lit(t).cast("long").alias("top_tie")) for a, k, t in pairs))))
+    tops = source.select(F.coalesce("doc_id", low).alias("top_key"), F.xxhash64("text").alias("top_tie"), F.col("text").alias("top_text"))
+    tops = tops.filter(F.col("top_key").isin([k for k in {k for _, k, _ in pairs}])).join(links, ["top_key", "top_tie"])
+    tops = tops.groupBy("top_range").agg(F.first("top_text").alias("top_text"))
     by = Window.partitionBy("range").orderBy(F.desc("key"), F.desc("tie"))
     ahead = keyed.withColumn("ahead", F.lead("text").over(by))
     both = ahead.join(tops, (F.col("range") == F.col("top_range")) & F.col("ahead").isNull(), "left")
