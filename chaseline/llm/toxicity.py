@@ -208,14 +208,17 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = dict(docs.dtypes)
+    more, texts = tuple(c for c in keep if c not in ("doc_id", text_col)), text_col in keep
+    names = ["doc_id", *(["own_text"] if texts else []), *(f"kept_{c}" for c in more), "score"]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         distance = _distance(known.toxic, known.ordinary)
         for batch in batches:
             found = known.scores(distance.features(batch.column(1))) if known.weights else np.full(len(batch), known.prior)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(found)], ["doc_id", *(f"kept_{c}" for c in keep), "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[1 if texts else 2 :], pa.array(found)], names)
 
-    kept = "".join(f", `kept_{c}` {types[c]}" for c in keep)
-    scored = id_and_text(docs, id_col, text_col, False, tuple(keep)).mapInArrow(task, f"doc_id long{kept}, score double")
-    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *(F.col(f"kept_{c}").alias(c) for c in keep if c != "doc_id"))
+    kinds = [("doc_id", "long"), *([("own_text", "string")] if texts else []), *((f"kept_{c}", types[c]) for c in more), ("score", "double")]
+    scored = id_and_text(docs, id_col, text_col, True, more).mapInArrow(task, ", ".join(f"`{n}` {t}" for n, t in kinds))
+    kept = [F.col("own_text").alias(c) if c == text_col else F.col(f"kept_{c}").alias(c) for c in keep if c != "doc_id"]
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *kept)
