@@ -33,7 +33,7 @@ def lag_profile(rows: DataFrame, value: str = "runs", more: tuple[str, ...] = ()
         for scope, keys2, lags in (("innings", ["match_id"], LAGS), ("partnership", ["match_id", "part"], PARTNERSHIP_LAGS)):
             order = Window.partitionBy(*more, *keys2).orderBy("ball_index")
             later = F.array(*(F.struct(F.lit(k).alias("lag"), F.lead(value, k).over(order).alias("later")) for k in lags))
-            pairs = series.select(*more, F.col(value).alias("x"), F.inline(later)).filter("later is not null")
+            pairs = series.withColumn("laters", later).select(*more, F.col(value).alias("x"), F.inline("laters")).filter("later is not null")
             sums = pairs.groupBy(*more, "lag").agg(F.count("*").alias("n"), F.corr("x", "later").alias("r"))
             out.append(sums.select(*more, F.lit(variant).alias("variant"), F.lit(scope).alias("scope"), "lag", F.when(F.col("n") >= 30, F.nanvl("r", F.lit(None))).alias("r"), "n"))
     return reduce(DataFrame.unionByName, out)

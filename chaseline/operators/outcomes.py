@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chase
+from ..session import cut
 
 ALPHA = 10.0
 ERA_HALF_LIFE = 0.75
@@ -68,7 +69,7 @@ def full_grid(train: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     axis = lambda n, start=0: F.explode(F.sequence(F.lit(start), F.lit(start + n - 1)))
     grid = spark.range(1).select(axis(chase.RRR_BINS).alias("rrr_bin")).withColumn("w", axis(chase.WICKETS, 1)).withColumn("phase", F.explode(F.array(*map(F.lit, chase.PHASES))))
     rows = base.crossJoin(grid).join(F.broadcast(parent), [*keys, "phase", "w"], "left").join(F.broadcast(cell), [*keys, "rrr_bin", "w", "phase"], "left")
-    return rows.select(*keys, chase.cell_id("rrr_bin", "w", chase.phase_index("phase")).alias("cell_id"), "rrr_bin", "w", "phase", F.coalesce("cell", "parent", "base").alias("p"))
+    return cut(rows.select(*keys, chase.cell_id("rrr_bin", "w", chase.phase_index("phase")).alias("cell_id"), "rrr_bin", "w", "phase", F.coalesce("cell", "parent", "base").alias("p")))
 
 
 def flat_grid(train: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chase
+from ..session import cut
 
 
 def greatest_r(*frames: DataFrame) -> int:
@@ -20,23 +21,24 @@ def greatest_r(*frames: DataFrame) -> int:
 
 def _layer(r_max: int) -> str:
     """SQL of the next layer from ``last(acc)``, ``cells`` and ``b``."""
-    prev = "element_at(acc, -1)"
     w, r = f"(i div {r_max} + 1)", f"(i % {r_max} + 1)"
     rate = f"(6.0D * {r} / b)"
     bins = " + ".join(f"if({rate} >= {e}D, 1, 0)" for e in chase.RRR_EDGES)
     stage = "if((120 - b) div 6 < 6, 0, if((120 - b) div 6 < 15, 1, 2))"
-    p = f"cells[cast((({bins}) * 11 + {w}) * 3 + {stage} as int)]"
+    cell = f"cells[cast((({bins}) * 11 + {w}) * 3 + {stage} as int)]"
     terms = ["0.0D"]
     for k in range(7):
-        terms.append(f"{p}[{k}] * if({r} <= {k}, 1.0D, {prev}[cast(i - {k} as int)])")
-    terms.append(f"{p}[7] * if({w} = 1, 0.0D, {prev}[cast(i - {r_max} as int)])")
-    return f"transform(sequence(0, {10 * r_max - 1}), i -> {' + '.join(terms)})"
+        terms.append(f"p[{k}] * if({r} <= {k}, 1.0D, v[cast(i - {k} as int)])")
+    terms.append(f"p[7] * if({w} = 1, 0.0D, v[cast(i - {r_max} as int)])")
+    state = f"transform(array({cell}), p -> {' + '.join(terms)})[0]"  # looks the state's distribution up once
+    return f"transform(array(element_at(acc, -1)), v -> transform(sequence(0, {10 * r_max - 1}), i -> {state}))[0]"
 
 
 def solve(grid: DataFrame, r_max: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """``keys, b, w, r, wp`` for all live states of each model in ``grid`` (see ``outcomes.full_grid``).
 
-    Models are independent rows, solved in parallel.
+    Models are independent rows, solved in parallel. The surface is kept, for its few rows
+    cost far more to find than to hold.
     """
     size = chase.RRR_BINS * 33
     entries = F.map_from_entries(F.collect_list(F.struct("cell_id", "p")))
@@ -47,7 +49,7 @@ def solve(grid: DataFrame, r_max: int, keys: tuple[str, ...] = ()) -> DataFrame:
     fold = f"aggregate(sequence(1, {chase.BALLS}), {first}, (acc, b) -> concat(acc, array({_layer(r_max)})))"
     layers = models.select(*keys, F.posexplode(F.expr(fold)).alias("b", "layer")).filter("b > 0")
     flat = layers.select(*keys, "b", F.posexplode("layer").alias("i", "wp"))
-    return flat.select(*keys, "b", F.expr(f"i div {r_max} + 1").cast("int").alias("w"), F.expr(f"i % {r_max} + 1").cast("int").alias("r"), "wp")
+    return cut(flat.select(*keys, "b", F.expr(f"i div {r_max} + 1").cast("int").alias("w"), F.expr(f"i % {r_max} + 1").cast("int").alias("r"), "wp"))
 
 
 def with_wp(balls: DataFrame, surface: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

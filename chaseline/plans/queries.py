@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chase
 from ..operators import dependence, era, ingest, leverage, metrics, models, outcomes, players, resample, simulate, winprob, wpa
+from ..session import cut
 from ..sources.deliveries import from_order_lines
 from .oracle import LEFT_SLICE, RIGHT_SLICE, RUNS_OF, bin_of, profile, sql
 
@@ -34,10 +35,26 @@ def r6(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def kept(build: Query) -> Query:
+    """Tables that many queries of a session share over one path, built and written once."""
+
+    def get(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, d, build.__name__)
+        if key not in _KEPT:
+            _KEPT[key] = cut(build(spark, d))
+        return _KEPT[key]
+
+    return get
+
+
 def raw(spark: SparkSession, d: str) -> DataFrame:
     return from_order_lines(spark.read.parquet(f"{d}/lineitem.parquet"))
 
 
+@kept
 def balls(spark: SparkSession, d: str) -> DataFrame:
     return ingest.ball_table(raw(spark, d))
 
@@ -46,13 +63,19 @@ def train(spark: SparkSession, d: str) -> DataFrame:
     return balls(spark, d).filter("split = 'train'")
 
 
+@kept
 def scored(spark: SparkSession, d: str) -> DataFrame:
     table = balls(spark, d)
     return leverage.scored(table, *leverage.era_model(table))
 
 
+@kept
+def predictions(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.markov_predictions(balls(spark, d))
+
+
 def held_out(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.markov_predictions(balls(spark, d)).filter("split = 'holdout'")
+    return predictions(spark, d).filter("split = 'holdout'")
 
 
 def _round(*names: str) -> str:
@@ -219,7 +242,7 @@ def bowler_wpa(spark, d):
     return r6(wpa.by_player(wpa.per_ball(scored(spark, d)), "bowler", "bowl", LEAST_BALLS))
 
 
-@query(sql(f"SELECT *, row_number() OVER (ORDER BY mean9 DESC, player) AS rank FROM (SELECT batter AS player, count(*) AS balls, {_round('avg(li) AS mean_li', 'median(li) AS median_li', 'median(bat_pos) AS median_pos')}, {_round('avg((phase = chr(100) || chr(101) || chr(97) || chr(116) || chr(104))::INT) AS death_share')}, round(avg(li), 9) AS mean9 FROM scored GROUP BY batter HAVING count(*) >= {LEAST_BALLS})").replace("SELECT *, row_number()", "SELECT * EXCLUDE (mean9), row_number()", 1))
+@query(sql(f"SELECT * EXCLUDE (mean9), row_number() OVER (ORDER BY mean9 DESC, player) AS rank FROM (SELECT batter AS player, count(*) AS balls, {_round('avg(li) AS mean_li', 'median(li) AS median_li', 'median(bat_pos) AS median_pos')}, round(avg((phase = 'death')::INT), 6) + 0.0 AS death_share, round(avg(li), 9) AS mean9 FROM scored GROUP BY batter HAVING count(*) >= {LEAST_BALLS})"))
 def player_leverage(spark, d):
     return r6(players.player_leverage(scored(spark, d), "batter", LEAST_BALLS))
 
@@ -277,7 +300,7 @@ def murphy_gap(spark, d):
 
 @query(sql(f"SELECT model, {_round('t AS gap_train', 'h AS gap_holdout', 'abs(h) - abs(t) AS widening')} FROM (SELECT model, avg(p - y) FILTER (split = 'train') AS t, avg(p - y) FILTER (split = 'holdout') AS h FROM predictions GROUP BY model)"))
 def split_gap(spark, d):
-    return r6(metrics.split_gap(metrics.markov_predictions(balls(spark, d))))
+    return r6(metrics.split_gap(predictions(spark, d)))
 
 
 @query(sql(f"SELECT model, ahead, sum(n)::BIGINT AS n, {_round('sum(n * abs(conf - acc)) / sum(n) AS ece', 'avg((acc > conf)::INT) AS above')} FROM (SELECT model, (target - r) * b > r * (120 - b) AS ahead, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM (SELECT *, max(r) OVER (PARTITION BY model, match_id) AS target FROM held) GROUP BY ALL) GROUP BY model, ahead"))
@@ -389,7 +412,7 @@ _PLAYER_BOOT = {
     "psums": "SELECT batter AS player, match_id, count(*) AS c, sum(li) AS s_li, sum(wpa_bat_dd) AS s_dd, sum(CASE WHEN li >= 2 THEN wpa_bat_dd ELSE 0 END) AS s_hi, count(*) FILTER (li >= 2) AS c_hi FROM credited GROUP BY ALL",
     "pnum": f"SELECT *, row_number() OVER (PARTITION BY player ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY player) AS m FROM (SELECT *, sum(c) OVER (PARTITION BY player) AS balls FROM psums) WHERE balls >= {LEAST_BALLS}",
     "pslots": f"SELECT player, balls, rep, {_draw('m', '0', 'player', 'rep', 'k')} AS k FROM pnum, range({REPLICATES}) z(rep)",
-    "pboot": "SELECT x.player, x.balls, rep, sum(s_li) / sum(c) AS li, x.balls * sum(s_dd) / sum(c) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pslots x JOIN pnum t ON x.player = t.player AND x.k = t.k GROUP BY ALL",
+    "pboot": "SELECT x.player, x.balls, rep, sum(s_li) / sum(c) AS li, x.balls * sum(s_dd) / sum(c) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pslots x JOIN pnum t ON x.player = t.player AND x.k = t.k GROUP BY x.player, x.balls, rep",
 }
 
 

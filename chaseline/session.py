@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent
 
@@ -22,3 +22,11 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive))
     context._chaseline_shipped = True
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder named in ``spark.checkpoint.dir``; only where that is unset, to a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chaseline-"))
+    return df.checkpoint()
