@@ -26,11 +26,11 @@ def markdown(table: DataFrame, digits: int = 4) -> str:
 
 def read_markdown_table(spark: SparkSession, path: str, heading: str, columns: int) -> DataFrame:
     """``row, c0, c1, ...``: the first pipe table behind a heading of a report, without its head."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("row", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("row", "line"))
     order = Window.orderBy("row")  # one small file
     lines = lines.withColumn("section", F.last(F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "^#+", ""))), ignorenulls=True).over(order))
     rows = lines.filter((F.col("section") == heading) & F.col("line").startswith("|"))
-    rows = rows.withColumn("table", F.col("row") - F.row_number().over(order)).withColumn("first", F.min("table").over(Window.partitionBy())).filter("table = first")
+    rows = rows.withColumn("run", F.col("row") - F.row_number().over(order)).withColumn("first_run", F.min("run").over(Window.partitionBy())).filter("run = first_run")
     body = rows.withColumn("k", F.row_number().over(order)).filter("k > 2")
     cells = F.split(F.regexp_replace("line", r"^\||\|\s*$", ""), r"\|")
     return body.select("row", *(F.trim(F.element_at(cells, i + 1)).alias(f"c{i}") for i in range(columns)))

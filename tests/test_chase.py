@@ -12,7 +12,7 @@ from chaseline.sources.deliveries import RAW_SCHEMA, require_columns
 
 #: Hand-made distributions over 0..6, W.
 HAND = [0.31, 0.39, 0.065, 0.005, 0.12, 0.001, 0.058, 0.051]
-COIN = [0, 0.5, 0, 0, 0, 0, 0, 0.5]
+COIN = [0.0, 0.5, 0.0, 0.0, 0.0, 0.0, 0.0, 0.5]
 
 
 def grid(spark, p):

@@ -1,5 +1,7 @@
 """Dependence, resampling, simulation and streaming on made sequences."""
 
+import datetime as dt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -56,19 +58,17 @@ def test_bootstrap_of_a_constant_has_no_width_and_finds_a_shift(spark):
     assert resample.loss_difference(shift, ["model"], 100).first().verdict == "yes"
 
 
-def test_simulation_of_a_certain_wicket_and_of_certain_sixes():
-    codes = np.array([7, 7, 6, 6])
-    sampler = simulate.Sampler(codes, np.array([2, 2, 4, 4]), np.array([0, 0, 1, 1]), np.array([100, 100, 160, 160]), np.full((198, 8), 1 / 8))
+def test_simulation_of_certain_wickets_and_of_certain_sixes():
     dice = np.random.default_rng(0)
-    state = (10, 1, 30)
-    cell = int(simulate.cell_ids(*(np.array([x]) for x in state))[0])
-    nearest = 100 if abs(cell - 100) <= abs(cell - 160) else 160
-    want = 0.0 if nearest == 100 else 1.0
-    assert simulate.continuations(sampler, state, "block", 1, 20, dice)[0] == want
+    for code, want in ((7, 0.0), (6, 1.0)):
+        sampler = simulate.Sampler(np.full(4, code), np.array([2, 2, 4, 4]), np.array([0, 0, 1, 1]), np.array([100, 100, 160, 160]), np.full((198, 8), 1 / 8))
+        for mode in ("block", "scattered"):
+            value, tally = simulate.continuations(sampler, (10, 2, 30), mode, 3, 20, dice)
+            assert value == want and tally.sum() == tally[code] == 20 * (2 if code == 7 else 5)
 
 
 def test_live_credit(spark, tmp_path):
-    rows = [(1, i, "x", wp, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=i)) for i, wp in enumerate((0.5, 0.6, 0.4))]
+    rows = [(1, i, "x", wp, dt.datetime(2024, 1, 1, 0, i)) for i, wp in enumerate((0.5, 0.6, 0.4))]
     spark.createDataFrame(rows, "match_id long, ball_index int, batter string, wp double, ts timestamp").write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("match_id long, ball_index int, batter string, wp double, ts timestamp").parquet(str(tmp_path / "in"))
     run = live.credited_stream(stream).writeStream.format("memory").queryName("credit").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
