@@ -63,14 +63,12 @@ def numbered(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return rows.withColumn(name, F.concat_ws("-", name, "number")).drop("bucket", "canon", "number")
 
 
-def _bucket(key: Column, bounds: list[int]) -> Column:
-    """How many of the rising ``bounds`` are at most ``key``, by binary search."""
+def _bucket(key: Column, bounds: list[int], first: int = 0) -> Column:
+    """``first`` and how many of the rising ``bounds`` are at most ``key``, as a balanced tree of conditions."""
     if not bounds:
-        return F.lit(0)
-    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-    array = F.array(*(F.lit(b).cast("long") for b in bounds))
-    step = lambda at, s: F.when((at + s <= len(bounds)) & (F.try_element_at(array, at + s) <= key), at + s).otherwise(at)
-    return F.aggregate(F.array(*(F.lit(s) for s in steps)), F.lit(0), step)
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(key < F.lit(bounds[half]).cast("long"), _bucket(key, bounds[:half], first)).otherwise(_bucket(key, bounds[half + 1 :], first + half + 1))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
