@@ -36,6 +36,8 @@ SLACK = 0.2
 #: Cells of the fixed-size count table that orders values by frequency; any order gives right results.
 CELLS = 1 << 18
 FILTER_CELLS = 1 << 20
+#: Words of 64 bits in the parity map of a full set; any number gives right results.
+PARITY_WORDS = 8
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -200,6 +202,12 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * shared >= percent * (F.size("s_a") + F.size("s_b") - shared)).select("a", "b")
 
 
+def _parity(found: np.ndarray) -> np.ndarray:
+    """A bit for each residue, set if an odd number of values has it; two maps differ in no more bits than the sets in values."""
+    bits = np.bincount(found % (64 * PARITY_WORDS), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _across(labelled: DataFrame, percent: int) -> DataFrame:
     """Pairs of ``labelled (cid, label, shingles)`` of different labels that can have the similarity, by their full sets.
 
@@ -207,7 +215,8 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
     share ``t / (1 + t) * (n + m)`` values at least, so their first shared value stands where
     ``n - place`` and ``m - place`` are no less; in a list that limits a set's partners to
     sizes of at most ``reach``. Sizes are matched by classes, and members of a list's
-    commonest label are not paired with each other.
+    commonest label are not paired with each other. Parity maps of the full sets rule out
+    sets that differ in more values than the similarity allows, before a pair is made.
     """
     spark = labelled.sparkSession
     t = percent / 100
@@ -219,24 +228,26 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
             cids, labels, lists = (batch.column(i) for i in range(3))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            values, rows, sizes, reaches = [], [], [], []
+            values, rows, sizes, reaches, maps = [], [], [], [], np.zeros((len(cids), PARITY_WORDS), dtype=np.int64)
             for i in range(len(cids)):
                 own = flat[ends[i] : ends[i + 1]]
                 n = len(own)
+                maps[i] = _parity(own)
                 order = np.lexsort((own, weight[own % CELLS]))[: n - -(-n * percent // 100) + 1]
                 values.append(own[order])
                 rows.append(np.full(len(order), i))
                 sizes.append(np.full(len(order), n))
                 reaches.append(np.floor((n - np.arange(len(order))) * (1 + t) / t - n + 1e-9).astype(np.int64))
             if values:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), cids.take(at), labels.take(at), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(reaches))], ["value", "cid", "label", "n", "reach"])
+                at = np.concatenate(rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), cids.take(pa.array(at)), labels.take(pa.array(at)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(reaches)), *(pa.array(maps[at, i]) for i in range(PARITY_WORDS))], ["value", "cid", "label", "n", "reach", *parity])
 
-    entries = labelled.select("cid", "label", "shingles").mapInArrow(task, "value long, cid long, label long, n long, reach long")
+    parity = [f"m{i}" for i in range(PARITY_WORDS)]
+    entries = labelled.select("cid", "label", "shingles").mapInArrow(task, "value long, cid long, label long, n long, reach long, " + ", ".join(f"{m} long" for m in parity))
     held = entries.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
     entries = cut(entries.join(held.filter("labels > 1").drop("labels"), "value"))
     level = lambda n: F.when(n <= 50, n).otherwise(F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02))).cast("long"))
-    small = entries.select("value", level(F.col("n")).alias("level"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), (F.col("label") != F.col("main")).alias("other_b"))
+    small = entries.select("value", level(F.col("n")).alias("level"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), *(F.col(m).alias(f"{m}_b") for m in parity), (F.col("label") != F.col("main")).alias("other_b"))
     most = F.least("n", "reach")
     least = F.ceil(F.col("n") * t - 1e-9)
     # The level of 50 and less is the size itself, above it starts over at 1.02 ** level; both rise, and 51 lies on level 198.
@@ -244,6 +255,8 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
     keys = ["value", "level"]
     met = large.filter("other").drop("other").join(small.drop("other_b"), keys).unionByName(large.filter("not other").drop("other").join(small.filter("other_b").drop("other_b"), keys))
     found = met.filter("label != label_b and cid != b and n >= n_b and n <= reach_b and n_b <= reach").filter(100 * F.col("n_b") >= percent * F.col("n"))
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_b"))) for m in parity), F.lit(0))
+    found = found.filter((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_b")))
     return found.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
 
 

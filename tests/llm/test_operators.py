@@ -216,3 +216,20 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.label for r in components.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def test_labelled_rows_are_bounded_by_a_hash_of_the_id(spark):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), (F.col("id") % 10 == 0).cast("int").alias("toxic"))
+    got = toxicity._first_of_each(rows, {1: 400, 0: 50}).collect()
+    order = [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want = {i for i in order if i % 10 == 0} | set([i for i in order if i % 10][:50])
+    assert len(got) == 350 and {r.doc_id for r in got} == want
+
+
+def test_parity_maps_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        pool = rng.integers(0, 1 << 62, 400)
+        a, b = (np.unique(rng.choice(pool, rng.integers(1, 300))) for _ in range(2))
+        apart = sum(int(x ^ y).bit_count() for x, y in zip(near_dups._parity(a).view(np.uint64), near_dups._parity(b).view(np.uint64), strict=True))
+        assert apart <= len(np.setxor1d(a, b))
