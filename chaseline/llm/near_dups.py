@@ -271,6 +271,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     ``component_id`` unless all ids reachable are null, and is kept only then. An empty
     table gives an empty table; other columns are not read.
     """
+    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a step's shuffle files go as soon as its cut is written
     source = id_and_text(docs, id_col, text_col)
     rows = cut(sketches(docs, words, k, id_col, text_col))
     classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("doc_id").alias("root"), F.first("sketch").alias("sketch"))
