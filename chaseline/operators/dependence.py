@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .leverage import LAGS, PARTNERSHIP_LAGS
 
+#: Replicates made at once; those before them are already reduced and written.
+AT_ONCE = 25
 VARIANTS = {"state": None, "state+innings": ["match_id"], "state+partnership": ["match_id", "part"]}
 
 
@@ -49,9 +53,14 @@ def icc(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return t.select((F.try_divide(msb - msw, msb + (n0 - 1) * msw)).alias("icc"), F.col("k").alias("groups"))
 
 
-def shuffled(rows: DataFrame, reps: int, value: str = "runs", seed: int = 0) -> DataFrame:
-    """``rep`` copies of the rows with the values moved at random within each innings."""
-    copies = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+def by_parts(reps: int, build: Callable[[int, int], DataFrame]) -> DataFrame:
+    """``build(first, last)`` of the replicates, ``AT_ONCE`` at a time, each part written before the next."""
+    return reduce(DataFrame.unionByName, [cut(build(k, min(k + AT_ONCE, reps) - 1)) for k in range(0, reps, AT_ONCE)])
+
+
+def shuffled(rows: DataFrame, reps: int, value: str = "runs", seed: int = 0, first: int = 0) -> DataFrame:
+    """Copies of the rows with the values moved at random within each innings, one for each ``rep`` from ``first`` to ``reps - 1``."""
+    copies = rows.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(reps - 1))))
     place = Window.partitionBy("rep", "match_id").orderBy("ball_index")
     draw = Window.partitionBy("rep", "match_id").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("match_id").cast("string"), F.col("ball_index").cast("string"))), "ball_index")
     numbered = copies.select("rep", "match_id", "ball_index", "part", value, F.row_number().over(place).alias("k"), F.row_number().over(draw).alias("d"))
@@ -61,7 +70,8 @@ def shuffled(rows: DataFrame, reps: int, value: str = "runs", seed: int = 0) ->
 
 def permutation_null(rows: DataFrame, reps: int, value: str = "runs", seed: int = 0) -> DataFrame:
     """Observed profile with the mean and the 2.5 and 97.5 percentiles of the profile of shuffled series."""
-    null = lag_profile(shuffled(rows, reps, value, seed), value, ("rep",))
+    rows = cut(rows)
+    null = by_parts(reps, lambda first, last: lag_profile(shuffled(rows, last + 1, value, seed, first), value, ("rep",)))
     bands = null.groupBy("variant", "scope", "lag").agg(F.avg("r").alias("null_mean"), F.percentile("r", F.lit(0.025)).alias("null_lo"), F.percentile("r", F.lit(0.975)).alias("null_hi"))
     seen = lag_profile(rows, value)
     flag = F.when(F.col("r") > F.col("null_hi"), "above").when(F.col("r") < F.col("null_lo"), "below").otherwise("inside")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -118,10 +119,14 @@ def modes_table(spark) -> DataFrame:
 
 
 def simulate(states: DataFrame, sampler: Sampler, seeds: int = 1, sims: int = SIMS) -> DataFrame:
-    """``seed, mode, block, slice, state_id, wp, o0..o7`` for each state, mode and seed. Draws depend on those keys alone."""
+    """``seed, mode, block, slice, state_id, wp, o0..o7`` for each state, mode and seed. Draws depend on those keys alone.
+
+    States with a ``seed`` of their own keep it; ``seeds`` is for those without.
+    """
     spark = states.sparkSession
     shared = spark.sparkContext.broadcast(sampler)
-    jobs = states.select("state_id", "slice", "b", "w", "r").crossJoin(F.broadcast(modes_table(spark))).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    seeded = states if "seed" in states.columns else states.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
+    jobs = seeded.select("state_id", "slice", "b", "w", "r", "seed").crossJoin(F.broadcast(modes_table(spark)))
     jobs = jobs.repartition(4 * spark.sparkContext.defaultParallelism, "seed", "mode", "block", "state_id")
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,6 +154,11 @@ def sampled_states(balls: DataFrame, most: int = STATES, seed: int = 0) -> DataF
     return picked.withColumn("state_id", F.row_number().over(Window.orderBy("match_id", "ball_index")).cast("long"))  # most * 9 rows
 
 
+def seeded_states(balls: DataFrame, seeds: int, most: int = STATES) -> DataFrame:
+    """``sampled_states`` of each seed, drawn anew, with its ``seed``."""
+    return reduce(DataFrame.unionByName, (sampled_states(balls, most, s).withColumn("seed", F.lit(s)) for s in range(seeds)))
+
+
 def gaps(simulated: DataFrame, exact: DataFrame) -> DataFrame:
     """Mean absolute gap over slices between simulated and observed win rates by seed and mode; ``exact (slice, win_rate)``."""
     by = simulated.groupBy("seed", "mode", "block", "slice").agg(F.avg("wp").alias("wp"))
@@ -162,10 +172,11 @@ def over_seeds(gap_rows: DataFrame) -> DataFrame:
 
 
 def fidelity(simulated: DataFrame) -> DataFrame:
-    """Total variation of each mode's outcome shares from those of single-ball blocks."""
+    """Total variation of each mode's outcome shares from those of single-ball blocks, the greatest over the seeds."""
     k = range(8)
-    sums = simulated.groupBy("mode", "block").agg(*(F.sum(f"o{i}").alias(f"o{i}") for i in k))
+    sums = simulated.groupBy("seed", "mode", "block").agg(*(F.sum(f"o{i}").alias(f"o{i}") for i in k))
     total = sum((F.col(f"o{i}") for i in k), F.lit(0))
-    shares = sums.select("mode", "block", *((F.col(f"o{i}") / total).alias(f"s{i}") for i in k))
-    one = shares.filter("mode = 'block' and block = 1").select(*(F.col(f"s{i}").alias(f"t{i}") for i in k))
-    return shares.crossJoin(F.broadcast(one)).select("mode", "block", (sum((F.abs(F.col(f"s{i}") - F.col(f"t{i}")) for i in k), F.lit(0.0)) * 0.5).alias("tv"))
+    shares = sums.select("seed", "mode", "block", *((F.col(f"o{i}") / total).alias(f"s{i}") for i in k))
+    one = shares.filter("mode = 'block' and block = 1").select("seed", *(F.col(f"s{i}").alias(f"t{i}") for i in k))
+    tv = sum((F.abs(F.col(f"s{i}") - F.col(f"t{i}")) for i in k), F.lit(0.0)) * 0.5
+    return shares.join(F.broadcast(one), "seed").groupBy("mode", "block").agg(F.max(tv).alias("tv"))

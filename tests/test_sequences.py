@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from chaseline.operators import dependence, resample, simulate
+from chaseline.operators import dependence, models, resample, simulate
+from chaseline.plans import queries
 from chaseline.sources import reports
 from chaseline.streaming import live
 
@@ -84,3 +85,29 @@ def test_markdown_round_trip(spark, tmp_path):
     path.write_text("# One\n\ntext\n\n## Two\n\n" + reports.markdown(table, 1) + "\n## Three\n\n| z |\n|---|\n| 9 |\n")
     got = reports.read_markdown_table(spark, str(path), "Two", 2).orderBy("row").collect()
     assert [(r.c0, r.c1) for r in got] == [("a", "1.5"), ("b", "2.0")]
+
+
+def test_queries_have_the_sizes_of_the_reference():
+    assert (queries.REPLICATES, queries.PLAYER_REPLICATES, queries.PERMUTATIONS, queries.LEAST_BALLS, queries.SEEDS) == (1000, 2000, 200, 500, 6)
+    assert (simulate.STATES, simulate.SIMS) == (220, 400)
+
+
+def test_parts_of_replicates_give_what_all_at_once_gives(spark, monkeypatch):
+    rows = spark.createDataFrame(sequences("iid", 6, 12))
+    show = lambda: sorted((r.variant, r.scope, r.lag, r.null_mean, r.null_lo) for r in dependence.permutation_null(rows, 5).collect() if r.null_mean is not None)
+    whole = show()
+    monkeypatch.setattr(dependence, "AT_ONCE", 2)
+    assert np.allclose([x[2:] for x in show()], [x[2:] for x in whole]) and len(whole) > 0
+
+
+def test_boosting_stops_after_rounds_without_gain():
+    losses = [5.0, 4.0, 4.5, 3.0, 3.5, 3.6, 1.0]
+    assert models.best_round(losses, 2) == (4, True) and models.best_round(losses, 4) == (7, False)
+
+
+def test_each_seed_samples_states_of_its_own(spark):
+    balls = spark.createDataFrame([(m, i, 120 - i, 10, 100, 6.0 + m % 3) for m in range(40) for i in range(20)], "match_id long, ball_index int, b int, w int, r int, rrr double")
+    got = {}
+    for r in simulate.seeded_states(balls, 2, 5).collect():
+        got.setdefault(r.seed, set()).add((r.match_id, r.ball_index))
+    assert set(got) == {0, 1} and got[0] != got[1]
