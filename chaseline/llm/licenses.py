@@ -96,6 +96,17 @@ class Template:
         return False
 
 
+def _places(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> np.ndarray:
+    """Numbers, in order, of the runs that are one of ``words``; runs end with their row, whatever byte follows."""
+    out = [np.zeros(0, dtype=np.int64)]
+    for word in words:
+        at = np.flatnonzero(ends - starts == len(word))
+        for k, byte in enumerate(word):
+            at = at[body[starts[at] + k] == byte]
+        out.append(at)
+    return np.sort(np.concatenate(out))
+
+
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, hits array<struct<start, label, base>>`` for every row of ``docs``.
 
@@ -110,8 +121,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [(Template(markup), label) for markup, label in templates]
         reach = max([len(words) for words, _ in wanted] + [len(m.moves) for m, _ in machines])
-        openers = {words[0] for words, _ in wanted}.union(*(m.first for m, _ in machines))
-        anchor = re.compile(b"|".join(sorted(rb"(?<![0-9a-z\x80-\xff])" + re.escape(w.encode()) + rb"(?![0-9a-z\x80-\xff])" for w in openers)))
+        openers = [w.encode() for w in sorted({words[0] for words, _ in wanted}.union(*(m.first for m, _ in machines)))]
         for batch in batches:
             counts, hits = [], []
             for first, last, buf, off in text_slices(batch.column(1)):
@@ -122,9 +132,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 counts += (bounds[1:] - bounds[:-1]).tolist()
                 raw = body.tobytes()
                 found: list[list] = [[] for _ in range(last - first)]
-                at = np.array([m.start() for m in anchor.finditer(raw)], dtype=np.int64)
-                places = np.searchsorted(starts, at)
-                rows = np.searchsorted(off, at, side="right") - 1
+                places = _places(body, starts, ends, openers)
+                rows = np.searchsorted(bounds, places, side="right") - 1
                 for place, row in zip(places.tolist(), rows.tolist(), strict=True):
                     stop = min(place + reach, int(bounds[row + 1]))
                     words = [raw[x:y].decode() for x, y in zip(starts[place:stop].tolist(), ends[place:stop].tolist(), strict=True)]

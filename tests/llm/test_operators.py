@@ -178,6 +178,14 @@ def test_licenses(spark):
     assert "gpl-notice" in got[4].labels and got[6].labels == "" and got[5].score == 0.0
 
 
+def test_licenses_at_the_start_of_a_row_after_a_word(spark):
+    rows = [(1, "see version 2"), (2, "under the MIT license"), (3, "c"), (4, "CC BY-NC"), (5, "é"), (6, "Licensed under the MIT License"), (7, ""), (8, "under"), (9, "the mit license")]
+    got = {r.doc_id: r for r in licenses.license_labels(licenses.scan_licenses(spark.createDataFrame(rows, DOCS).coalesce(1))).collect()}
+    for i, t in rows:
+        assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == brute.op7_base(t)
+    assert got[2].n_base == got[4].n_base == 1 and got[6].score == 1.0 and got[8].n_base == got[9].n_base == 0
+
+
 def test_template_regions():
     t = licenses.Template("a [[b c]] {{1 2}} d")
     yes = ["a x d", "a b c x d", "a x y d", "a b c x y d"]
