@@ -45,6 +45,25 @@ def held_out(doc_id) -> object:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("long").cast("string").cast("binary")), F.lit(4)) == HELD_OUT, F.lit(True))
 
 
+def _windows(body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs, those of over LONGEST_WORD bytes as windows of at most so many, cut between characters.
+
+    A window begins half a window after the one before; every byte of a run is in one.
+    """
+    size, step = ends - starts, LONGEST_WORD // 2
+    n = np.where(size > LONGEST_WORD, -((LONGEST_WORD - 3 - size) // step) + 1, 1)
+    if not (n > 1).any():
+        return starts, ends
+    run = np.repeat(np.arange(len(starts)), n)
+    a = starts[run] + step * (np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
+    for _ in range(3):  # a character has at most three bytes after its first
+        a -= (a > starts[run]) & (body[a] & 0xC0 == 0x80)
+    b = np.where(n[run] > 1, np.minimum(a + LONGEST_WORD, ends[run]), ends[run])
+    for _ in range(3):
+        b -= (b < ends[run]) & (body[np.minimum(b, len(body) - 1)] & 0xC0 == 0x80)
+    return a, b
+
+
 def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[bytes], np.ndarray]]:
     """(first row, next row, word codes, words by code, bounds of each row's words) of each slice of texts."""
     for first, last, buf, off in text_slices(column):
@@ -52,12 +71,12 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[bytes]
         body = buf[: off[-1]]
         upper = (body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)
         body[1:][upper] += 0x20
-        starts, ends = runs(_LETTERS[body], off)
+        starts, ends = _windows(body, *runs(_LETTERS[body], off))
         codes, _ = pd.factorize(span_hashes(buf, starts, ends))
         rep = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.int64)
         rep[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
         raw = body.tobytes()
-        yield first, last, codes, [raw[a : min(b, a + LONGEST_WORD)] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)], np.searchsorted(starts, off)
+        yield first, last, codes, [raw[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)], np.searchsorted(starts, off)
 
 
 @dataclass(frozen=True)

@@ -220,6 +220,40 @@ def test_toxicity_learns_and_is_held_out_of_some_rows(spark):
     assert 0 <= got[1000].score <= 1
 
 
+@pytest.mark.parametrize("text", ["日本語。" * 80, "x" * 65, "é" * 33 + "a" * 95, "🙂" * 50 + "b", "a" * 64, "short 한국어" * 30, "a" + "語" * 200])
+def test_long_runs_are_whole_in_windows(text):
+    body = np.frombuffer((text + " next").encode(), dtype=np.uint8)
+    whole = toxicity.runs(toxicity._LETTERS[body], np.array([0, len(body)]))
+    starts, ends = toxicity._windows(body, *whole)
+    seen = np.zeros(len(body), dtype=bool)
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+        body[a:b].tobytes().decode()  # cut between characters
+        assert 0 < b - a <= toxicity.LONGEST_WORD
+        seen[a:b] = True
+    assert (seen == toxicity._LETTERS[body]).all() and (np.diff(starts) > 0).all()
+    if max(whole[1] - whole[0]) <= toxicity.LONGEST_WORD:
+        assert starts.tolist() == whole[0].tolist() and ends.tolist() == whole[1].tolist()
+
+
+def test_toxic_words_late_in_a_run_are_measured(spark):
+    dice = random.Random(6)
+    plain = ["".join(dice.choice("abcdefghij") for _ in range(6)) for _ in range(80)]
+    rows, labels = [], []
+    for i in range(300):
+        words = [dice.choice(plain) for _ in range(60)]
+        if i % 5 == 0:
+            for _ in range(5):
+                words[dice.randrange(60)] = dice.choice(("grumbleworm", "snotbucket", "dunderhead"))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    model = toxicity.learn(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    calm = "".join(plain[:40])
+    import pyarrow as pa
+
+    found = toxicity._distance(model.toxic, model.ordinary).features(pa.array([calm, calm + "snotbucketdunderheadgrumbleworm" * 3]))
+    assert found[1, 0] > found[0, 0] and found[1, 0] >= 5  # the bytes that the most telling window saves
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.label for r in components.components(edges).collect()}
