@@ -27,6 +27,8 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _KEYLIKE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST_RANDOM},}}")
 _DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.ASCII | re.IGNORECASE)
 _UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", re.ASCII | re.IGNORECASE)
+#: A UUID, or what lies between separators.
+_PART = re.compile(rf"(?<![A-Za-z0-9]){_UUID.pattern.replace('a-f', 'a-fA-F')}(?![A-Za-z0-9])|[A-Za-z0-9]+")
 
 
 @lru_cache(maxsize=2)
@@ -50,14 +52,48 @@ def random_spans(text: str, encoding) -> list[tuple[int, str, int]]:
     found = []
     for m in _KEYLIKE.finditer(text):
         run = m[0].strip("=-_/+")
-        kinds = sum(any(f(c) for c in run) for f in (str.isdigit, str.islower, str.isupper))
-        if kinds < 2 or not any(map(str.isdigit, run)) and not (re.search("[a-z][A-Z]", run) and re.search("[A-Z]{2}|[A-Z][a-z][A-Z]", run)):
+        if not _mixed(run) or len(run) < SHORTEST_RANDOM or _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
             continue
-        if len(run) < SHORTEST_RANDOM or _DIGEST.fullmatch(run) or _UUID.fullmatch(run):
-            continue
-        if len(run) <= MOST_CHARS_PER_TOKEN * len(encoding.encode_ordinary(run)):
-            at = m.start() + m[0].index(run)
-            found.append((at, "random", at + len(run)))
+        at = m.start() + m[0].index(run)
+        spans = [(0, len(run))] if _dense(run, encoding) else _dense_parts(run, encoding)
+        found += [(at + a, "random", at + b) for a, b in spans]
+    return found
+
+
+def _mixed(run: str) -> bool:
+    kinds = sum(any(f(c) for c in run) for f in (str.isdigit, str.islower, str.isupper))
+    return kinds >= 2 and (any(map(str.isdigit, run)) or bool(re.search("[a-z][A-Z]", run) and re.search("[A-Z]{2}|[A-Z][a-z][A-Z]", run)))
+
+
+def _dense(run: str, encoding) -> bool:
+    return len(run) <= MOST_CHARS_PER_TOKEN * len(encoding.encode_ordinary(run))
+
+
+def _dense_parts(run: str, encoding) -> list[tuple[int, int]]:
+    """Bounds of the parts of a run that the vocabulary can't shorten, where wording beside them hides them in the run.
+
+    A part lies between separators. Long parts are judged alone, then neighbours that are
+    all dense, together: a key may hold separators. Digests and UUIDs part their neighbours.
+    """
+    found, group = [], []
+
+    def close() -> None:
+        if len(group) > 1 and group[-1][1] - group[0][0] >= SHORTEST_RANDOM:
+            joined = run[group[0][0] : group[-1][1]]
+            if _mixed(joined) and _dense(joined, encoding):
+                found.append((group[0][0], group[-1][1]))
+        group.clear()
+
+    for part in _PART.finditer(run):
+        word = part[0]
+        if _UUID.fullmatch(word) or _DIGEST.fullmatch(word) or not _dense(word, encoding):
+            close()
+        elif len(word) >= SHORTEST_RANDOM and _mixed(word):
+            close()
+            found.append(part.span())
+        else:
+            group.append(part.span())
+    close()
     return found
 
 

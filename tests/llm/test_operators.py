@@ -170,6 +170,20 @@ def test_secrets(spark):
     assert clean[4] == "see [SECRET] here" and clean[6] is None and key not in clean[1]
 
 
+def test_keys_behind_paths_and_names():
+    encoding = secret_scans._vocabulary(registry.vocabulary("byte_bpe_50k.tiktoken"), registry.pattern())
+    dice = random.Random(9)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for front in ("config/production/database-connection-string=", "repos/documentation/settings/webhooks/", "x-internal-service-account_credential_"):
+        for size in (20, 24, 32):
+            keys = ["".join(dice.choice(letters) for _ in range(size)) for _ in range(50)]
+            keys = [k for k in keys if secret_scans.random_spans(k, encoding)]
+            covered = [any(a <= len(front) and b >= len(front) + size for a, _, b in secret_scans.random_spans(front + k, encoding)) for k in keys]
+            assert len(keys) >= 45 and all(covered)
+    plain = ["repos/documentation/settings/webhooks/v2/Readme", "objects/d41d8cd98f00b204e9800998ecf8427e/Documentation", "repositories/documentation/settings/configuration/production/Resource/123e4567-e89b-12d3-a456-426614174000/administration/documentation", "src/main/java/org/example/application2/ConfigurationManager"]
+    assert not [t for t in plain if secret_scans.random_spans(t, encoding)]
+
+
 def test_licenses(spark):
     rows = [(1, "Released under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "Licensed under CC BY-NC 4.0."), (4, "licensed under the GNU General Public License, version 3"), (5, None), (6, "Licensed under the GNU Lesser General Public Licence, version 3"), (7, "underthe mit license étage under the mit licenses CC by nc"), (8, "")]
     got = {r.doc_id: r for r in licenses.license_labels(licenses.scan_licenses(frame(spark, rows))).collect()}
