@@ -8,10 +8,11 @@
    lists are kept for those values only, so a value that a third of all documents
    hold is listed for hardly any of them.
 3. Only classes that share as many retained values with others as a similar set must are
-   listed. In each list all members are compared with the member whose values are the most
+   listed. In each list all members are compared with the member whose full set is the most
    common, which in a group of edited copies is the one nearest to the others. A pair is
    dropped if the bottom-k sketch of the union (made of the two sketches) estimates less
    than ``t - SLACK``; the rest are confirmed on the full sets, and form components.
+   Lists that still hold several components are compared with further heads, a few times.
 4. Members that share a list but not a component are paired by their full sets, with
    exact prefix and position filters, and confirmed. A pair left out is thus in one
    component anyway, or can't have the similarity; and no list emits all its pairs.
@@ -27,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytespans import lower_ascii, mix, runs, span_hashes, text_slices
-from .components import components
-from .shared import cut, id_and_text
+from .components import components, join_sums
+from .shared import cut, free_names, id_and_text, setting
 
 SKETCH_SIZE = 64
 #: Four standard deviations of a 64-value estimate at similarity 0.8; sets of at most SKETCH_SIZE values need none.
@@ -36,6 +37,8 @@ SLACK = 0.2
 #: Cells of the fixed-size count table that orders values by frequency; any order gives right results.
 CELLS = 1 << 18
 FILTER_CELLS = 1 << 20
+#: How often lists of several components get further heads, as long as one in YIELD pairs is a link; any numbers give right results.
+TURNS, YIELD = 4, 50
 #: Words of 64 bits in the parity map of a full set; any number gives right results.
 PARITY_WORDS = 8
 
@@ -157,7 +160,7 @@ def _cell_counts(values: DataFrame) -> np.ndarray:
 
 
 def _prefixes(classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """``value, cid, n, common``: each class under its rarest retained values; ``common``: how common its values are."""
+    """``value, cid, n``: each class under its rarest retained values."""
     shared = classes.sparkSession.sparkContext.broadcast(_cell_counts(classes.select(F.explode("sketch").alias("v"))))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,19 +170,64 @@ def _prefixes(classes: DataFrame, k: int, percent: int) -> DataFrame:
             lists = batch.column(2)
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            values, owner, score = [], [], []
+            values, owner = [], []
             for i in range(len(cids)):
                 own = flat[ends[i] : ends[i + 1]]
-                w = weight[own % CELLS]
-                order = np.lexsort((own, w))[: len(own) - _least_overlap(int(ns[i]), k, percent) + 1]
+                order = np.lexsort((own, weight[own % CELLS]))[: len(own) - _least_overlap(int(ns[i]), k, percent) + 1]
                 values.append(own[order])
                 owner.append(np.full(len(order), i))
-                score.append(float(np.log1p(w).mean()))
             if values:
                 at = np.concatenate(owner)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(cids[at]), pa.array(ns[at]), pa.array(np.array(score)[at])], ["value", "cid", "n", "common"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), pa.array(cids[at]), pa.array(ns[at])], ["value", "cid", "n"])
 
-    return classes.select("cid", "n", "sketch").mapInArrow(task, "value long, cid long, n long, common double")
+    return classes.select("cid", "n", "sketch").mapInArrow(task, "value long, cid long, n long")
+
+
+def _common(sets: DataFrame) -> DataFrame:
+    """``cid, common``: how common the values of each full set are among ``sets (cid, shingles)``."""
+    shared = sets.sparkSession.sparkContext.broadcast(_cell_counts(sets.select(F.explode("shingles").alias("v"))))
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.log1p(shared.value)
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+            if len(sizes):
+                firsts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                sums = np.add.reduceat(weight[lists.flatten().to_numpy(zero_copy_only=False) % CELLS].astype(np.float64), firsts)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums / sizes)], ["cid", "common"])
+
+    return sets.select("cid", "shingles").mapInArrow(task, "cid long, common double").groupBy("cid").agg(F.max("common").alias("common"))
+
+
+def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: every member of a list with the list's most common one."""
+    heads = members.groupBy("value").agg(F.max(F.struct("common", "cid", "n")).alias("head"))
+    return _near(members.join(heads.select("value", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")), "value"), percent)
+
+
+def _further_pairs(marked: DataFrame, percent: int, turn: int) -> DataFrame:
+    """``a, b``: members of lists of several labels with two more heads, where labels differ.
+
+    The heads are a member of the list's commonest label, another one each turn, and the most
+    common member that has another label.
+    """
+    by = marked.groupBy("value", "label").agg(F.count("*").alias("c"), F.max(F.struct("common", "cid", "n")).alias("best"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n")).alias("any"))
+    mains = by.groupBy("value").agg(F.max(F.struct("c", "label", "any")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("value", F.col("main.label").alias("main"), F.col("main.any").alias("any"))
+    second = by.select("value", "label", "best").join(mains.select("value", "main"), "value").filter("label != main").groupBy("value").agg(F.max(F.struct("best", "label")).alias("top"))
+    heads = mains.select("value", F.col("any.cid").alias("head"), F.col("any.n").alias("head_n"), F.col("main").alias("head_label"))
+    heads = heads.unionByName(second.select("value", F.col("top.best.cid").alias("head"), F.col("top.best.n").alias("head_n"), F.col("top.label").alias("head_label")))
+    return _near(marked.join(heads, "value").filter("label != head_label"), percent)
+
+
+def _near(met: DataFrame, percent: int) -> DataFrame:
+    """The pairs of ``cid, n`` and ``head, head_n`` whose sizes allow the similarity, as ``a, b``."""
+    near = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
+    return met.filter("cid != head").filter(near).select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
+
+
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -216,7 +264,8 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
     ``n - place`` and ``m - place`` are no less; in a list that limits a set's partners to
     sizes of at most ``reach``. Sizes are matched by classes, and members of a list's
     commonest label are not paired with each other. Parity maps of the full sets rule out
-    sets that differ in more values than the similarity allows, before a pair is made.
+    sets that differ in more values than the similarity allows, before a pair is made. Two
+    sets whose last value before this one is the same have met in that value's list.
     """
     spark = labelled.sparkSession
     t = percent / 100
@@ -228,33 +277,34 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
             cids, labels, lists = (batch.column(i) for i in range(3))
             flat = lists.flatten().to_numpy(zero_copy_only=False)
             ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-            values, rows, sizes, reaches, maps = [], [], [], [], np.zeros((len(cids), PARITY_WORDS), dtype=np.int64)
+            values, befores, rows, sizes, reaches, maps = [], [], [], [], [], np.zeros((len(cids), PARITY_WORDS), dtype=np.int64)
             for i in range(len(cids)):
                 own = flat[ends[i] : ends[i + 1]]
                 n = len(own)
                 maps[i] = _parity(own)
                 order = np.lexsort((own, weight[own % CELLS]))[: n - -(-n * percent // 100) + 1]
                 values.append(own[order])
+                befores.append(np.concatenate([[-1], own[order][:-1]]))
                 rows.append(np.full(len(order), i))
                 sizes.append(np.full(len(order), n))
                 reaches.append(np.floor((n - np.arange(len(order))) * (1 + t) / t - n + 1e-9).astype(np.int64))
             if values:
                 at = np.concatenate(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), cids.take(pa.array(at)), labels.take(pa.array(at)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(reaches)), *(pa.array(maps[at, i]) for i in range(PARITY_WORDS))], ["value", "cid", "label", "n", "reach", *parity])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), cids.take(pa.array(at)), labels.take(pa.array(at)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(reaches)), pa.array(np.concatenate(befores)), *(pa.array(maps[at, i]) for i in range(PARITY_WORDS))], ["value", "cid", "label", "n", "reach", "before", *parity])
 
     parity = [f"m{i}" for i in range(PARITY_WORDS)]
-    entries = labelled.select("cid", "label", "shingles").mapInArrow(task, "value long, cid long, label long, n long, reach long, " + ", ".join(f"{m} long" for m in parity))
+    entries = labelled.select("cid", "label", "shingles").mapInArrow(task, "value long, cid long, label long, n long, reach long, before long, " + ", ".join(f"{m} long" for m in parity))
     held = entries.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
     entries = cut(entries.join(held.filter("labels > 1").drop("labels"), "value"))
     level = lambda n: F.when(n <= 50, n).otherwise(F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02))).cast("long"))
-    small = entries.select("value", level(F.col("n")).alias("level"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), *(F.col(m).alias(f"{m}_b") for m in parity), (F.col("label") != F.col("main")).alias("other_b"))
+    small = entries.select("value", level(F.col("n")).alias("level"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), F.col("before").alias("before_b"), *(F.col(m).alias(f"{m}_b") for m in parity), (F.col("label") != F.col("main")).alias("other_b"))
     most = F.least("n", "reach")
     least = F.ceil(F.col("n") * t - 1e-9)
     # The level of 50 and less is the size itself, above it starts over at 1.02 ** level; both rise, and 51 lies on level 198.
     large = entries.filter(most >= least).withColumn("level", F.explode(F.sequence(level(least), level(most)))).filter("level <= 50 or level >= 198").withColumn("other", F.col("label") != F.col("main"))
     keys = ["value", "level"]
     met = large.filter("other").drop("other").join(small.drop("other_b"), keys).unionByName(large.filter("not other").drop("other").join(small.filter("other_b").drop("other_b"), keys))
-    found = met.filter("label != label_b and cid != b and n >= n_b and n <= reach_b and n_b <= reach").filter(100 * F.col("n_b") >= percent * F.col("n"))
+    found = met.filter("label != label_b and cid != b and n >= n_b and n <= reach_b and n_b <= reach and (before != before_b or before < 0)").filter(100 * F.col("n_b") >= percent * F.col("n"))
     apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}_b"))) for m in parity), F.lit(0))
     found = found.filter((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("n_b")))
     return found.select(F.least("cid", "b").alias("a"), F.greatest("cid", "b").alias("b")).distinct()
@@ -271,7 +321,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
     ``component_id`` unless all ids reachable are null, and is kept only then. An empty
     table gives an empty table; other columns are not read.
     """
-    docs.sparkSession.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a step's shuffle files go as soon as its cut is written
+    with setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # a step's shuffle files go as soon as its cut is written
+        rows, named = _named_classes(docs, words, percent, k, id_col, text_col)
+    full = rows.filter("n > 0").select("doc_id", "n", "hi", "lo", "text_hash").join(named, ["hi", "lo"]).select("doc_id", "n", "component_id", "text_hash")
+    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_hash")
+    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+
+
+def _named_classes(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and ``hi, lo, component_id`` of each class of equal sets."""
     source = id_and_text(docs, id_col, text_col)
     rows = cut(sketches(docs, words, k, id_col, text_col))
     classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("doc_id").alias("root"), F.first("sketch").alias("sketch"))
@@ -279,28 +337,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 
     dense = cut(_dense(classes, k, percent))
     listed = _prefixes(dense, k, percent)
-    heads = listed.groupBy("value").agg(F.count("*").alias("size"), F.max(F.struct("common", "cid", "n")).alias("head")).filter("size > 1")
-    members = cut(listed.join(heads, "value").select("value", "cid", "n", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")))
-    near = 100 * F.least("n", "head_n") >= percent * F.greatest("n", "head_n")
-    first = members.filter("cid != head").filter(near).select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
-    sets = cut(_full_sets(_texts_of(members.select("cid").distinct().join(dense, "cid"), source), words))
-    links = cut(_confirmed(cut(_estimated(first, dense, k, percent)), sets, percent))
+    held = listed.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1").select("value")
+    found = cut(listed.join(held, "value"))
+    sets = cut(_full_sets(_texts_of(found.select("cid").distinct().join(dense, "cid"), source), words))
+    members = cut(found.join(_common(sets), "cid"))
+    links = cut(_confirmed(cut(_estimated(_first_pairs(members, percent), dense, k, percent)), sets, percent))
     labels = components(links)
 
-    # Lists whose members are not yet one component: pairs across components.
-    marked = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2").select("value")
+    # Lists whose members are not yet one component: more heads, then pairs across components.
+    for turn in range(TURNS):
+        pairs = cut(_estimated(_further_pairs(_labelled(members, labels), percent, turn), dense, k, percent))
+        more = cut(_confirmed(pairs, sets, percent))
+        found_now = more.count()
+        if found_now:
+            links = links.unionByName(more)
+            labels = components(links)
+        if found_now * YIELD < pairs.count() or not found_now:
+            break
+    marked = _labelled(members, labels)
+    split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("value")
     open_ = marked.join(split, "value").select("cid", "label").distinct()
     extra = cut(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
 
-    rooted = classes.select("hi", "lo", "cid", "root").join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    least = rooted.groupBy("label").agg(F.min("root").alias("component_id"))
-    named = rooted.join(least, "label").select("hi", "lo", "component_id")
-    full = rows.filter("n > 0").select("doc_id", "n", "hi", "lo", "text_hash").join(named, ["hi", "lo"]).select("doc_id", "n", "component_id", "text_hash")
-    empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), "text_hash")
-    return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_hash")
+    linked = labels.withColumnRenamed("node", "cid").join(classes.select("cid", "root"), "cid")
+    least = linked.groupBy("label").agg(F.min("root").alias("component_id"))
+    named = join_sums(linked.select("cid", "label"), least, "label").select("cid", "component_id", F.lit(True).alias("is_linked"))
+    named = classes.select("hi", "lo", "cid", "root").join(named, "cid", "left")
+    return rows, cut(named.select("hi", "lo", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("root")).alias("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,7 +373,9 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
 
     Rows of one id and one text become one; otherwise see ``near_duplicates``.
     """
-    kept = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
-    hashed = docs.withColumn("own_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = hashed.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_hash") == F.col("kept_hash")), "left_semi")
-    return rows.dropDuplicates([id_col, "own_hash"]).select(*docs.columns)
+    own_id, own_hash = free_names(docs, "kept_id", "kept_hash")
+    kept = near_duplicates(docs, words, percent, id_col=id_col, text_col=text_col).filter("kept").select(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    hashed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_hash: F.xxhash64(text)})
+    rows = hashed.join(kept, hashed[own_id].eqNullSafe(kept[own_id]) & (hashed[own_hash] == kept[own_hash]), "left_semi")
+    return rows.dropDuplicates([id_col, own_hash]).select(*docs.columns)

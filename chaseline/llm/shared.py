@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +13,35 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set.
+    Where that is unset, a temporary folder is set on a local master, as in tests; on any
+    other it raises, for executors don't see each other's disks.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chaseline-"))
     return df.checkpoint()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """``key`` has ``value`` inside the block and its former value, or none, after it."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores before it as tell it from all columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    return ["_" * next(k for k in range(len(taken) + 1) if ("_" * k + n).lower() not in taken) + n for n in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
