@@ -213,7 +213,7 @@ def _further_pairs(marked: DataFrame, percent: int, turn: int) -> DataFrame:
     common member that has another label.
     """
     by = marked.groupBy("value", "label").agg(F.count("*").alias("c"), F.max(F.struct("common", "cid", "n")).alias("best"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n")).alias("any"))
-    mains = by.groupBy("value").agg(F.max(F.struct("c", "label", "any")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("value", F.col("main.label").alias("main"), F.col("main.any").alias("any"))
+    mains = by.groupBy("value").agg(F.max(F.struct("c", "label", "any")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("size")).filter("labels > 1 and size > 2").select("value", F.col("main.label").alias("main"), F.col("main.any").alias("any"))
     second = by.select("value", "label", "best").join(mains.select("value", "main"), "value").filter("label != main").groupBy("value").agg(F.max(F.struct("best", "label")).alias("top"))
     heads = mains.select("value", F.col("any.cid").alias("head"), F.col("any.n").alias("head_n"), F.col("main").alias("head_label"))
     heads = heads.unionByName(second.select("value", F.col("top.best.cid").alias("head"), F.col("top.best.n").alias("head_n"), F.col("top.label").alias("head_label")))
@@ -355,7 +355,7 @@ def _named_classes(docs: DataFrame, words: int, percent: int, k: int, id_col: st
         if found_now * YIELD < pairs.count() or not found_now:
             break
     marked = _labelled(members, labels)
-    split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select("value")
+    split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2").select("value")  # two members have met
     open_ = marked.join(split, "value").select("cid", "label").distinct()
     extra = cut(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
     if not extra.isEmpty():
