@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BALLS, WICKETS, TIE = 120, 10, 0.5
@@ -45,10 +45,6 @@ def cell_id(bin_: Column | str, w: Column | str, phase_no: Column | str) -> Colu
     return (_c(bin_) * 11 + _c(w)) * 3 + _c(phase_no)
 
 
-def slice_label(i: int) -> str:
-    return f"{FINE_EDGES[i]}-{FINE_EDGES[i + 1]}"
-
-
 def slice_right_closed(rrr: Column | str) -> Column:
     """Number of the fine slice, right-closed; null beyond the last edge."""
     rrr = _c(rrr)
@@ -99,11 +95,6 @@ def terminal(b: Column | str, w: Column | str, r: Column | str) -> Column:
     return F.when(r <= 0, 1.0).when(w == 0, 0.0).when((b == 0) & (r == 1), TIE).when(b == 0, 0.0)
 
 
-def outcomes_table(spark: SparkSession) -> DataFrame:
-    rows = [F.struct(F.lit(o).alias("outcome"), F.lit(i).alias("ord")) for i, o in enumerate(OUTCOMES)]
-    return spark.range(1).select(F.inline(F.array(*rows)))
-
-
 def ahead_of_rate(target: Column | str) -> Column:
     """Whether the current run rate beats the required one, cross-multiplied."""
     return (_c(target) - F.col("r")) * F.col("b") > F.col("r") * (F.lit(BALLS) - F.col("b"))

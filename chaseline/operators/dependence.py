@@ -2,24 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import mixed
 from ..session import cut
 from .leverage import LAGS, PARTNERSHIP_LAGS
 
-#: Replicates made at once; those before them are already reduced and written.
-AT_ONCE = 25
 VARIANTS = {"state": None, "state+innings": ["match_id"], "state+partnership": ["match_id", "part"]}
-
-
-def hash_draw(n: Column, *parts: Column | str) -> Column:
-    """An integer in [0, n) that depends on the parts alone: a counter-based draw, the same in any plan or engine."""
-    digest = F.md5(F.concat_ws("|", *(F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts)))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
+SCOPES = {"innings": (["match_id"], LAGS), "partnership": (["match_id", "part"], PARTNERSHIP_LAGS)}
+SERIES = ("runs", "wkt")
 
 
 def demeaned(rows: DataFrame, value: str, keys: list[str], more: list[str]) -> Column:
@@ -34,7 +31,7 @@ def lag_profile(rows: DataFrame, value: str = "runs", more: tuple[str, ...] = ()
     out = []
     for variant, keys in VARIANTS.items():
         series = rows if keys is None else rows.withColumn(value, demeaned(rows, value, keys, list(more)))
-        for scope, keys2, lags in (("innings", ["match_id"], LAGS), ("partnership", ["match_id", "part"], PARTNERSHIP_LAGS)):
+        for scope, (keys2, lags) in SCOPES.items():
             order = Window.partitionBy(*more, *keys2).orderBy("ball_index")
             later = F.array(*(F.struct(F.lit(k).alias("lag"), F.lead(value, k).over(order).alias("later")) for k in lags))
             pairs = series.withColumn("laters", later).select(*more, F.col(value).alias("x"), F.inline("laters")).filter("later is not null")
@@ -53,33 +50,87 @@ def icc(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return t.select((F.try_divide(msb - msw, msb + (n0 - 1) * msw)).alias("icc"), F.col("k").alias("groups"))
 
 
-def by_parts(reps: int, build: Callable[[int, int], DataFrame]) -> DataFrame:
-    """``build(first, last)`` of the replicates, ``AT_ONCE`` at a time, each part written before the next."""
-    return reduce(DataFrame.unionByName, [cut(build(k, min(k + AT_ONCE, reps) - 1)) for k in range(0, reps, AT_ONCE)])
-
-
-def shuffled(rows: DataFrame, reps: int, value: str = "runs", seed: int = 0, first: int = 0) -> DataFrame:
-    """Copies of the rows with the values moved at random within each innings, one for each ``rep`` from ``first`` to ``reps - 1``."""
-    copies = rows.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(reps - 1))))
-    place = Window.partitionBy("rep", "match_id").orderBy("ball_index")
-    draw = Window.partitionBy("rep", "match_id").orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("rep").cast("string"), F.col("match_id").cast("string"), F.col("ball_index").cast("string"))), "ball_index")
-    numbered = copies.select("rep", "match_id", "ball_index", "part", value, F.row_number().over(place).alias("k"), F.row_number().over(draw).alias("d"))
-    values = numbered.select("rep", "match_id", F.col("d").alias("k"), F.col(value).alias("moved"))
-    return numbered.drop(value, "d").join(values, ["rep", "match_id", "k"]).select("rep", "match_id", "ball_index", "part", F.col("moved").alias(value))
-
-
-def permutation_null(rows: DataFrame, reps: int, value: str = "runs", seed: int = 0) -> DataFrame:
-    """Observed profile with the mean and the 2.5 and 97.5 percentiles of the profile of shuffled series."""
+def _pair_sums(x: np.ndarray, part: np.ndarray) -> list[np.ndarray]:
+    """``n, x, y, xx, yy, xy`` of the pairs of each variant, scope and lag, for each row of ``x`` (one shuffled innings)."""
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    size = np.diff(np.append(starts, len(part)))
+    series = {"state": x, "state+innings": x - x.mean(axis=1, keepdims=True), "state+partnership": x - np.repeat(np.add.reduceat(x, starts, axis=1) / size, size, axis=1)}
+    out = []
+    for one in series.values():
+        for scope, (_, lags) in SCOPES.items():
+            for lag in lags:
+                a, b = one[:, :-lag], one[:, lag:]
+                if scope == "partnership":
+                    same = part[:-lag] == part[lag:]
+                    a, b = a[:, same], b[:, same]
+                n = np.full(len(one), a.shape[1], dtype=float)
+                out.append(np.stack([n, a.sum(1), b.sum(1), (a * a).sum(1), (b * b).sum(1), (a * b).sum(1)]))
+    return out
+
+
+def null_profiles(rows: DataFrame, reps: int, values: tuple[str, ...] = SERIES, seed: int = 0) -> DataFrame:
+    """``series, rep, variant, scope, lag, r``: lag profiles of ``reps`` shuffles of the values within each innings.
+
+    ``rows (match_id, ball_index, part, values)``; ``part`` doesn't fall in an innings. Rows
+    are gathered to one an innings (at most 120 balls); each Arrow batch gives the sums of
+    its innings for each replicate, so what is shuffled doesn't grow with the replicates'
+    copies. The order of a shuffle is that of a hash of seed, match, replicate and ball.
+    """
+    entry = F.sort_array(F.collect_list(F.struct("ball_index", "part", *values)))
+    innings = rows.groupBy("match_id").agg(entry.alias("e")).select("match_id", *(F.col(f"e.{c}").alias(c) for c in ("ball_index", "part", *values)))
+    names = [(v, s, lag) for v in VARIANTS for s, (_, lags) in SCOPES.items() for lag in lags]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.zeros((len(values), len(names), 6, reps))
+            for row in batch.to_pylist():
+                part = np.array(row["part"])
+                balls = np.array(row["ball_index"], dtype=np.int64)
+                keys = mixed(mixed(mixed(np.int64(seed), row["match_id"]), np.arange(reps))[:, None], balls[None, :])
+                order = np.lexsort((np.broadcast_to(balls, keys.shape), keys), axis=1)
+                for i, value in enumerate(values):
+                    total[i] += np.stack(_pair_sums(np.array(row[value], dtype=float)[order], part))
+            if len(batch):
+                columns = [np.repeat(values, len(names) * reps), np.tile(np.arange(reps), len(values) * len(names)), *(np.tile(np.repeat([n[k] for n in names], reps), len(values)) for k in range(3))]
+                sums = total.transpose(2, 0, 1, 3).reshape(6, -1)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *map(pa.array, sums)], ["series", "rep", "variant", "scope", "lag", "n", "x", "y", "xx", "yy", "xy"])
+
+    parts = innings.mapInArrow(task, "series string, rep long, variant string, scope string, lag long, n double, x double, y double, xx double, yy double, xy double")
+    sums = parts.groupBy("series", "rep", "variant", "scope", "lag").agg(*(F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")))
+    n, spread = F.col("n"), lambda a, aa: F.col("n") * F.col(aa) - F.col(a) * F.col(a)
+    both = F.sqrt(F.greatest(spread("x", "xx"), F.lit(0.0))) * F.sqrt(F.greatest(spread("y", "yy"), F.lit(0.0)))
+    r = F.when((n >= 30) & (both > 1e-12), (n * F.col("xy") - F.col("x") * F.col("y")) / both)
+    return sums.select("series", "rep", "variant", "scope", "lag", r.alias("r"))
+
+
+def permutation_null(rows: DataFrame, reps: int, values: tuple[str, ...] = SERIES, seed: int = 0) -> DataFrame:
+    """Observed profile of each series with the mean and the 2.5 and 97.5 percentiles of the profile of shuffled ones."""
     rows = cut(rows)
-    null = by_parts(reps, lambda first, last: lag_profile(shuffled(rows, last + 1, value, seed, first), value, ("rep",)))
-    bands = null.groupBy("variant", "scope", "lag").agg(F.avg("r").alias("null_mean"), F.percentile("r", F.lit(0.025)).alias("null_lo"), F.percentile("r", F.lit(0.975)).alias("null_hi"))
-    seen = lag_profile(rows, value)
+    null = null_profiles(rows, reps, values, seed)
+    bands = null.groupBy("series", "variant", "scope", "lag").agg(F.avg("r").alias("null_mean"), F.percentile("r", F.lit(0.025)).alias("null_lo"), F.percentile("r", F.lit(0.975)).alias("null_hi"))
+    seen = reduce(DataFrame.unionByName, (lag_profile(rows, v).withColumn("series", F.lit(v)) for v in values))
     flag = F.when(F.col("r") > F.col("null_hi"), "above").when(F.col("r") < F.col("null_lo"), "below").otherwise("inside")
-    return seen.join(bands, ["variant", "scope", "lag"]).withColumn("flag", flag)
+    return seen.join(bands, ["series", "variant", "scope", "lag"]).withColumn("flag", flag)
 
 
-def dependence_verdict(profile: DataFrame) -> DataFrame:
-    """The excess lag-1 correlation within innings, the share of it that innings means explain, and a label."""
-    excess = profile.filter("scope = 'innings' and lag = 1").groupBy().pivot("variant", list(VARIANTS)).agg(F.first(F.col("r") - F.col("null_mean")))
-    share = F.try_divide(F.col("state") - F.col("`state+innings`"), F.col("state"))
-    return excess.select(F.col("state").alias("excess_lag1"), share.alias("heterogeneity_share"), F.when(F.col("state") <= 0, "none").when(share >= 0.5, "heterogeneity").otherwise("serial").alias("label"))
+def dependence_verdict(profile: DataFrame, groups: DataFrame, series: str = "runs") -> DataFrame:
+    """One row that reads the profile of a series beside its null, and the ``groups (scope, icc)`` beside it.
+
+    ``beyond_innings``: the raw lag-1 correlation within innings exceeds its band;
+    ``survives_innings``, ``survives_partnership``: so it does without innings or partnership
+    means; ``share``: part of the raw one that its null's mean explains; ``decays``: the
+    excess over the null at lags 20 and 30 is less than half of that at 1.
+    """
+    at = lambda variant, scope, lag: (F.col("variant") == variant) & (F.col("scope") == scope) & (F.col("lag") == lag)
+    pick = lambda where, value: F.max(F.when(where, value))
+    raw, above, excess = at("state", "innings", 1), F.col("flag") == "above", F.col("r") - F.col("null_mean")
+    row = profile.filter(F.col("series") == series).agg(
+        pick(raw, above).alias("beyond_innings"), pick(at("state+innings", "innings", 1), above).alias("survives_innings"), pick(at("state+partnership", "partnership", 1), above).alias("survives_partnership"),
+        pick(raw, F.col("r")).alias("lag1"), pick(raw, F.col("null_mean")).alias("null_centre"), pick(raw, excess).alias("excess_lag1"),
+        F.avg(F.when((F.col("variant") == "state") & (F.col("scope") == "innings") & F.col("lag").isin(20, 30), excess)).alias("excess_tail"),
+    )
+    share = F.when(F.col("lag1") > 0, F.least(F.greatest(F.col("null_centre") / F.col("lag1"), F.lit(0.0)), F.lit(1.0)))
+    label = F.when(~F.col("beyond_innings"), "heterogeneity-only").when(F.col("survives_partnership"), "sequential").otherwise("partnership-latent")
+    decays = (F.col("excess_lag1") > 0) & (F.col("excess_tail") < 0.5 * F.col("excess_lag1"))
+    wide = groups.agg(*(F.max(F.when(F.col("scope") == s, F.col("icc"))).alias(f"icc_{s}") for s in SCOPES))
+    return row.withColumns({"share": share, "decays": decays, "label": label}).crossJoin(wide)  # two single rows

@@ -10,7 +10,7 @@ from .ingest import season_table
 from .metrics import row_log_loss
 
 #: Half-lives in seasons, larger first; 0 stands for none. Folds, and the least effective share of rows.
-HALF_LIVES = [0, 8.0, 5.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35]
+HALF_LIVES = [0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5]
 FOLDS, ESS_FLOOR = 3, 0.15
 
 
@@ -51,7 +51,7 @@ def half_life_scores(train: DataFrame, half_lives: list[float] = HALF_LIVES) ->
     keys = ("fold", "half_life")
     r_max = winprob.greatest_r(train)
     grid = outcomes.full_grid(weighted, keys).repartition(len(half_lives) * FOLDS, *keys)
-    scored = winprob.with_wp(valid, winprob.solve(grid, r_max, keys), keys)
+    scored = winprob.with_wp(valid, winprob.solve(grid, r_max, keys), keys, few=False)
     y = F.col("y")
     by = scored.groupBy(*keys).agg(F.avg(row_log_loss(F.col("wp"), y)).alias("log_loss"), F.avg((F.col("wp") - y) * (F.col("wp") - y)).alias("brier"))
     w = F.col("weight")

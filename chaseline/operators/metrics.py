@@ -65,9 +65,50 @@ def markov_predictions(balls: DataFrame) -> DataFrame:
 
 
 def split_gap(predictions: DataFrame) -> DataFrame:
-    """Mean prediction less mean outcome of each model, in the train split and held out, and how far it widens."""
-    by = predictions.groupBy("model").agg(*(F.avg(F.when(F.col("split") == s, F.col("p") - F.col("y"))).alias(f"gap_{s}") for s in ("train", "holdout")))
-    return by.withColumn("widening", F.abs("gap_holdout") - F.abs("gap_train"))
+    """Mean prediction less mean outcome of each model, in the train split and held out, how far it widens, and both splits' scores.
+
+    ``memoryless_share`` and ``shift_share``: size of the train gap and of the widening beside the held-out gap.
+    """
+    p, y, split = F.col("p"), F.col("y"), F.col("split")
+    parts = {"gap": p - y, "brier": (p - y) * (p - y), "log_loss": row_log_loss(p, y)}
+    by = predictions.groupBy("model").agg(*(F.avg(F.when(split == s, v)).alias(f"{k}_{s}") for k, v in parts.items() for s in ("train", "holdout")))
+    by = by.withColumn("widening", F.col("gap_holdout") - F.col("gap_train"))
+    share = lambda c: F.try_divide(F.abs(c), F.abs("gap_holdout"))
+    return by.withColumns({"memoryless_share": share("gap_train"), "shift_share": share("widening")})
+
+
+def sliced(predictions: DataFrame, by: str) -> DataFrame:
+    """Scores and calibration error of each model in each value of ``by``."""
+    keys = ["model", by]
+    return scores(predictions, keys).join(calibration_error(predictions, keys).drop("n"), keys)
+
+
+def metric_table(predictions: DataFrame) -> DataFrame:
+    """Scores and calibration error of each model, ranked by log loss, ties by name."""
+    table = scores(predictions, ["model"]).join(calibration_error(predictions, ["model"]).drop("n"), "model")
+    return table.withColumn("rank", F.row_number().over(Window.orderBy(F.round("log_loss", 9), "model")))  # one row a model
+
+
+def gate(table: DataFrame, model: str, references: list[str]) -> DataFrame:
+    """``reference, metric, value, reference_value, better, all_better``: whether ``model`` beats each reference on Brier score and log loss."""
+    long = table.select("model", F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ("brier", "log_loss")))))
+    own = long.filter(F.col("model") == model).select("metric", "value")
+    other = long.filter(F.col("model").isin(references)).select(F.col("model").alias("reference"), "metric", F.col("value").alias("reference_value"))
+    rows = other.join(own, "metric").withColumn("better", F.col("value") < F.col("reference_value"))
+    return rows.withColumn("all_better", F.min("better").over(Window.partitionBy()))  # two rows a reference
+
+
+def closure(table: DataFrame, before: str, after: list[str], floor: str) -> DataFrame:
+    """One row: how much of the Brier gap of ``before`` over ``floor`` the best of ``after`` closes; null without a gap.
+
+    ``level_closed``: the like for the size of mean prediction less mean outcome.
+    """
+    pick = lambda m, v: F.max(F.when(F.col("model") == m, v))
+    level = F.abs(F.col("mean_pred") - F.col("actual"))
+    best = F.min(F.when(F.col("model").isin(after), F.col("brier")))
+    row = table.agg((pick(before, F.col("brier")) - pick(floor, F.col("brier"))).alias("gap_before"), (best - pick(floor, F.col("brier"))).alias("gap_after"), pick(before, level).alias("level_before"), F.min(F.when(F.col("model").isin(after), level)).alias("level_after"))
+    share = lambda a, b: F.try_divide(F.col(a) - F.col(b), F.col(a))
+    return row.withColumns({"closed": share("gap_before", "gap_after"), "level_closed": share("level_before", "level_after")})
 
 
 def ahead_behind(predictions: DataFrame) -> DataFrame:
@@ -108,3 +149,9 @@ def marginal_distance(balls_with_p: DataFrame) -> DataFrame:
     sliced = balls_with_p.withColumn("slice", chase.slice_left_closed("rrr")).withColumn("code", chase.outcome_index("outcome"))
     means = sliced.groupBy("slice").agg(F.count("*").alias("n"), *(F.avg(F.col("p")[i] - (F.col("code") == i).cast("double")).alias(f"d{i}") for i in k))
     return means.select("slice", "n", (sum((F.abs(f"d{i}") for i in k), F.lit(0.0)) * 0.5).alias("tv"), F.greatest(*(F.abs(f"d{i}") for i in k)).alias("max_abs_dev"))
+
+
+def tail_summary(tail: DataFrame) -> DataFrame:
+    """Greatest shortfalls of boundaries and wickets over the slices of ``marginal_tail``, either way, and those of the last slice."""
+    parts = [f"{m}_shortfall" for m in ("boundary", "wicket")]
+    return tail.agg(*(F.max(F.abs(c)).alias(f"max_{c}") for c in parts), *(F.max_by(c, "slice").alias(f"last_{c}") for c in parts))

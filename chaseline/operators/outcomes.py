@@ -83,7 +83,11 @@ def with_distribution(balls: DataFrame, grid: DataFrame, keys: tuple[str, ...] =
     return coded.join(F.broadcast(grid.select(*keys, "cell_id", "p")), [*keys, "cell_id"])
 
 
-def effective_share(weighted: DataFrame) -> DataFrame:
-    """Kish's effective sample size as a share of the rows."""
-    w = F.col("weight")
-    return weighted.agg((F.pow(F.sum(w), 2) / (F.sum(w * w) * F.count("*"))).alias("ess"))
+MODELS = ("base", "rrr")
+
+
+def grid_of(kind: str, train: DataFrame) -> DataFrame:
+    """The grid of a named model: ``base``, one distribution for all states, or ``rrr``, one a cell."""
+    if kind not in MODELS:
+        raise ValueError(f"unknown model {kind!r}; known: {', '.join(MODELS)}")
+    return flat_grid(train) if kind == "base" else full_grid(train)

@@ -52,9 +52,9 @@ def solve(grid: DataFrame, r_max: int, keys: tuple[str, ...] = ()) -> DataFrame:
     return cut(flat.select(*keys, "b", F.expr(f"i div {r_max} + 1").cast("int").alias("w"), F.expr(f"i % {r_max} + 1").cast("int").alias("r"), "wp"))
 
 
-def with_wp(balls: DataFrame, surface: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``balls`` with ``wp`` of their live state. The surface is of fixed size: 1200 * r_max rows a model."""
-    return balls.join(F.broadcast(surface), [*keys, "b", "w", "r"])
+def with_wp(balls: DataFrame, surface: DataFrame, keys: tuple[str, ...] = (), few: bool = True) -> DataFrame:
+    """``balls`` with ``wp`` of their live state. The surface has 1200 * r_max rows a model; it is broadcast if models are few, two at most."""
+    return balls.join(F.broadcast(surface) if few else surface, [*keys, "b", "w", "r"])
 
 
 def children(states: DataFrame, surface: DataFrame) -> DataFrame:

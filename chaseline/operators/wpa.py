@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chase
@@ -35,3 +35,21 @@ def totals(credited: DataFrame) -> DataFrame:
     firsts = credited.groupBy("match_id").agg(F.min_by("wp", "ball_index").alias("first_wp"), F.max("y").alias("y"))
     tele = firsts.agg(F.sum(F.col("y") - F.col("first_wp")).alias("telescoped"))
     return credited.agg(F.sum("wpa_bat").alias("total_bat"), F.sum("wpa_bowl").alias("total_bowl"), F.sum("wpa_bat_dd").alias("total_bat_dd")).crossJoin(tele)
+
+
+def top_lists(players: DataFrame, n: int = 20, least_high: int = 100) -> DataFrame:
+    """``list, rank, player, ...``: the first ``n`` by de-drifted total, and by high-leverage mean of those with ``least_high`` such balls; ties by name."""
+    out = []
+    for name, measure, rows in (("total", "total_wpa_dd", players), ("clutch", "wpa_high_dd", players.filter(F.col("n_high") >= least_high))):
+        order = Window.orderBy(F.desc(F.round(measure, 9)), "player")
+        first = rows.orderBy(F.desc(F.round(measure, 9)), "player").limit(n)  # ranked below: n rows
+        out.append(first.select(F.lit(name).alias("list"), F.row_number().over(order).alias("rank"), "player", "balls", "n_high", "total_wpa_dd", "wpa_high_dd", "wpa_low_dd"))
+    return out[0].unionByName(out[1])
+
+
+def inversions(batters: DataFrame, bowlers: DataFrame) -> DataFrame:
+    """The batter who loses most and the bowler who gains most by de-drifting, ties by name."""
+    loss = F.round(F.col("total_wpa") - F.col("total_wpa_dd"), 9)
+    worst = batters.orderBy(loss.desc(), "player").limit(1).select(F.lit("batter").alias("side"), "player", "total_wpa", "total_wpa_dd")
+    best = bowlers.orderBy(loss.asc(), "player").limit(1).select(F.lit("bowler").alias("side"), "player", "total_wpa", "total_wpa_dd")
+    return worst.unionByName(best)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from ..functions.draws import FIRST, MASK, SECOND, STEP
+
 _CASE_PHASE = "CASE WHEN over < 6 THEN 'powerplay' WHEN over < 15 THEN 'middle' ELSE 'death' END"
 _RUNS = "CASE WHEN outcome = 'W' THEN 0.0::DOUBLE ELSE outcome::DOUBLE END"
 _RB = "((x >= 6)::INT + (x >= 8)::INT + (x >= 10)::INT + (x >= 12)::INT + (x >= 15)::INT)"
@@ -33,24 +35,29 @@ def _layer() -> str:
     return re.sub(r"\bw\b", "(i // rm + 1)", body)
 
 
-def surface(name: str, cells: str) -> dict[str, str]:
-    """Common tables that solve the one-row table ``cells (cells list)`` into ``name (b, w, r, wp)``."""
+def surface(name: str, cells: str, keys: str = "") -> dict[str, str]:
+    """Common tables that solve ``cells (cells list)``, a row a model, into ``name (b, w, r, wp)``; ``keys`` name the models."""
+    more = f"{keys}, " if keys else ""
+    joined = f"{name}_layers, rmax, {cells}" if not keys else f"{name}_layers JOIN {cells} USING ({keys}), rmax"
+    first = f"SELECT {more}0 AS b, list_transform(range(10 * rm), lambda i: CASE WHEN i % rm = 0 THEN 0.5::DOUBLE ELSE 0.0 END) AS layer FROM rmax" + (f", {cells}" if keys else "")
     return {
-        f"{name}_layers": f"""SELECT 0 AS b, list_transform(range(10 * rm), lambda i: CASE WHEN i % rm = 0 THEN 0.5::DOUBLE ELSE 0.0 END) AS layer FROM rmax
-          UNION ALL SELECT b + 1, list_transform(range(10 * rm), lambda i: {_layer()}) FROM {name}_layers, rmax, {cells} WHERE b < 120""",
-        name: f"SELECT b, (i // rm + 1)::INT AS w, (i % rm + 1)::INT AS r, layer[i + 1] AS wp FROM (SELECT b, layer, rm, unnest(range(10 * rm)) AS i FROM {name}_layers, rmax WHERE b > 0)",
+        f"{name}_layers": f"{first} UNION ALL SELECT {more}b + 1, list_transform(range(10 * rm), lambda i: {_layer()}) FROM {joined} WHERE b < 120",
+        name: f"SELECT {more}b, (i // rm + 1)::INT AS w, (i % rm + 1)::INT AS r, layer[i + 1] AS wp FROM (SELECT {more}b, layer, rm, unnest(range(10 * rm)) AS i FROM {name}_layers, rmax WHERE b > 0)",
     }
 
 
-def model(name: str, weighted: str) -> dict[str, str]:
-    """Common tables of a cell model fitted on ``weighted``: base, parents, cells, the whole grid and its list."""
+def model(name: str, weighted: str, keys: str = "") -> dict[str, str]:
+    """Common tables of a cell model fitted on ``weighted``: base, parents, cells, the whole grid and its list; one for each value of ``keys``."""
     shrunk = "list_transform(list_zip(c, p), lambda z: (z[1] + 10 * z[2]) / (list_sum(c) + 10))"
+    more, by = (f"{keys}, ", f"GROUP BY {keys}") if keys else ("", "")
+    base = f"JOIN {name}_base USING ({keys})" if keys else f", {name}_base"
+    grid = "SELECT * FROM range(6) t(rb), range(1, 11) u(w), (VALUES (0, 'powerplay'), (1, 'middle'), (2, 'death')) v(ph, phase)" + (f", {name}_base" if keys else "")
     return {
-        f"{name}_base": f"SELECT list_transform(f, lambda z: z / list_sum(f)) AS base FROM (SELECT list_transform({counts()}, lambda z: z + 0.5) AS f FROM {weighted})",
-        f"{name}_parents": f"SELECT phase, w, {shrunk} AS parent FROM (SELECT phase, w, c, base AS p FROM (SELECT phase, w, {counts()} AS c FROM {weighted} GROUP BY ALL), {name}_base)",
-        f"{name}_cells": f"SELECT rb, w, phase, {shrunk} AS cell FROM (SELECT k.rb, k.w, k.phase, k.c, q.parent AS p FROM (SELECT {_RB.replace('x', 'rrr')} AS rb, w, phase, {counts()} AS c FROM {weighted} GROUP BY ALL) k JOIN {name}_parents q USING (phase, w))",
-        f"{name}_grid": f"SELECT (rb * 11 + w) * 3 + ph AS cell_id, rb AS rrr_bin, w, phase, coalesce(cell, parent, base) AS p FROM (SELECT * FROM range(6) t(rb), range(1, 11) u(w), (VALUES (0, 'powerplay'), (1, 'middle'), (2, 'death')) v(ph, phase)) g LEFT JOIN {name}_parents USING (phase, w) LEFT JOIN {name}_cells USING (rb, w, phase), {name}_base",
-        f"{name}_list": f"SELECT list(p ORDER BY id) AS cells FROM (SELECT id, p FROM range(198) t(id) LEFT JOIN {name}_grid ON cell_id = id)",
+        f"{name}_base": f"SELECT {more}list_transform(f, lambda z: z / list_sum(f)) AS base FROM (SELECT {more}list_transform({counts()}, lambda z: z + 0.5) AS f FROM {weighted} {by})",
+        f"{name}_parents": f"SELECT {more}phase, w, {shrunk} AS parent FROM (SELECT {more}phase, w, c, base AS p FROM (SELECT {more}phase, w, {counts()} AS c FROM {weighted} GROUP BY ALL) {base})",
+        f"{name}_cells": f"SELECT {more}rb, w, phase, {shrunk} AS cell FROM (SELECT {''.join(f'k.{x}, ' for x in keys.split(', ') if x)}k.rb, k.w, k.phase, k.c, q.parent AS p FROM (SELECT {more}{_RB.replace('x', 'rrr')} AS rb, w, phase, {counts()} AS c FROM {weighted} GROUP BY ALL) k JOIN {name}_parents q USING ({more}phase, w))",
+        f"{name}_grid": f"SELECT {more}(rb * 11 + w) * 3 + ph AS cell_id, rb AS rrr_bin, w, phase, coalesce(cell, parent, base) AS p FROM ({grid}) g LEFT JOIN {name}_parents USING ({more}phase, w) LEFT JOIN {name}_cells USING ({more}rb, w, phase)" + ("" if keys else f", {name}_base"),
+        f"{name}_list": f"SELECT list(p ORDER BY id) AS cells FROM (SELECT id, p FROM range(198) t(id) LEFT JOIN {name}_grid ON cell_id = id)" if not keys else f"SELECT {more}list(p ORDER BY id) AS cells FROM (SELECT {more}id, p FROM (SELECT * FROM range(198) t(id), (SELECT {keys} FROM {name}_base)) LEFT JOIN (SELECT {more}cell_id AS id, p FROM {name}_grid) USING ({more}id)) GROUP BY {keys}",
     }
 
 
@@ -121,16 +128,34 @@ def sql(final: str, **more: str) -> str:
     return f"WITH RECURSIVE {', '.join(tables)} {final}" if tables else final
 
 
-def profile(source: str, keys: str = "") -> str:
-    """A lag profile of ``source`` in long form."""
+def profile(source: str, keys: str = "", values: tuple[str, ...] = ("runs", "wkt")) -> str:
+    """A lag profile of each series of ``source`` in long form; all lags of a variant and scope in one pass."""
     more = f"{keys}, " if keys else ""
     parts = []
-    for variant, by in (("state", None), ("state+innings", "match_id"), ("state+partnership", "match_id, part")):
-        value = "runs" if by is None else f"runs - avg(runs) OVER (PARTITION BY {more}{by})"
-        for scope, group, lags in (("innings", "match_id", (1, 2, 3, 5, 10, 20, 30)), ("partnership", "match_id, part", (1, 2, 3, 5, 10))):
-            for k in lags:
-                parts.append(f"SELECT {more}'{variant}' AS variant, '{scope}' AS scope, {k} AS lag, CASE WHEN count(*) >= 30 THEN corr(x, later) END AS r, count(*) AS n FROM (SELECT {more}x, lead(x, {k}) OVER (PARTITION BY {more}{group} ORDER BY ball_index) AS later FROM (SELECT {more}match_id, part, ball_index, {value} AS x FROM {source})) WHERE later IS NOT NULL {f'GROUP BY {keys}' if keys else ''}")
+    for value in values:
+        for variant, by in (("state", None), ("state+innings", "match_id"), ("state+partnership", "match_id, part")):
+            x = value if by is None else f"{value} - avg({value}) OVER (PARTITION BY {more}{by})"
+            for scope, group, lags in (("innings", "match_id", (1, 2, 3, 5, 10, 20, 30)), ("partnership", "match_id, part", (1, 2, 3, 5, 10))):
+                leads = ", ".join(f"lead(x, {k}) OVER g AS l{k}" for k in lags)
+                rows = ", ".join(f"{{'lag': {k}, 'r': CASE WHEN count(l{k}) >= 30 THEN corr(x, l{k}) END, 'n': count(l{k})}}" for k in lags)
+                parts.append(f"SELECT {more}'{value}' AS series, '{variant}' AS variant, '{scope}' AS scope, unnest([{rows}], recursive := true) FROM (SELECT {more}x, {leads} FROM (SELECT {more}match_id, part, ball_index, {x} AS x FROM {source}) WINDOW g AS (PARTITION BY {more}{group} ORDER BY ball_index)) {f'GROUP BY {keys}' if keys else ''}")
     return " UNION ALL ".join(parts)
 
 
+def draw(name: str, *parts: str) -> str:
+    """Columns whose last, ``name``, is the state of ``functions.draws.mixed`` after all parts, from state 0."""
+    steps, h = [], "0::BIGINT"
+    for i, part in enumerate(parts):
+        a, b, c, d = (f"{name}_{i}{k}" for k in "abcd")
+        steps += [f"(({h} + ({part})::BIGINT * {STEP} + 1) & {MASK}) AS {a}", f"((xor({a}, {a} >> 16) * {FIRST}) & {MASK}) AS {b}", f"((xor({b}, {b} >> 15) * {SECOND}) & {MASK}) AS {c}", f"xor({c}, {c} >> 16) AS {d}"]
+        h = d
+    return ", ".join([*steps, f"{h} AS {name}"])
+
+
+def name_key(*names: str) -> str:
+    """The number of names, as ``functions.draws.name_key`` has it."""
+    text = " || '|' || ".join(names)
+    return f"('0x' || substr(md5({text}), 1, 7))::BIGINT"
+
+
 RIGHT_SLICE, LEFT_SLICE, RUNS_OF = _RIGHT, _LEFT, _RUNS

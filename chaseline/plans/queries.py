@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from ..functions import chase
 from ..operators import dependence, era, ingest, leverage, metrics, models, outcomes, players, resample, simulate, winprob, wpa
 from ..session import cut
 from ..sources.deliveries import from_order_lines
-from .oracle import LEFT_SLICE, RIGHT_SLICE, RUNS_OF, bin_of, profile, sql
+from .oracle import LEFT_SLICE, RIGHT_SLICE, RUNS_OF, bin_of, draw, model, name_key, profile, sql, surface
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -36,14 +37,20 @@ def r6(df: DataFrame) -> DataFrame:
     return df.select(*((F.round(c, 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+_KEPT: dict[tuple, DataFrame] = {}
+
+
+def _state(spark: SparkSession, d: str) -> tuple:
+    """What the source's files are just now: path, size and time of change of each, as Spark lists them."""
+    rows = spark.read.format("binaryFile").load(f"{d}/lineitem.parquet").select("path", "length", "modificationTime")
+    return tuple(tuple(r) for r in rows.orderBy("path").collect())
 
 
 def kept(build: Query) -> Query:
-    """Tables that many queries of a session share over one path, built and written once."""
+    """Tables that many queries of a session share over one path, built and written once for each state of its files."""
 
     def get(spark: SparkSession, d: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, d, build.__name__)
+        key = (spark.sparkContext.applicationId, d, build.__name__, _state(spark, d))
         if key not in _KEPT:
             _KEPT[key] = cut(build(spark, d))
         return _KEPT[key]
@@ -163,7 +170,7 @@ def runs_by_split(spark, d):
 
 _FOLDS = {
     "s2": "SELECT season, row_number() OVER (ORDER BY min(date), season) - 1 AS ord FROM train GROUP BY season",
-    "fits": "SELECT fold, hl, CASE WHEN hl = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (fold - 1 - ord) / hl) END AS x FROM train JOIN s2 USING (season) JOIN (SELECT ord AS fold FROM s2 WHERE ord > (SELECT max(ord) FROM s2) - 3) ON ord < fold, (SELECT unnest([0, 8.0, 5.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35])::DOUBLE AS hl)",
+    "fits": "SELECT fold, hl, CASE WHEN hl = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (fold - 1 - ord) / hl) END AS x FROM train JOIN s2 USING (season) JOIN (SELECT ord AS fold FROM s2 WHERE ord > (SELECT max(ord) FROM s2) - 3) ON ord < fold, (SELECT unnest([0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5])::DOUBLE AS hl)",
 }
 
 
@@ -281,6 +288,21 @@ def ece_by_phase(spark, d):
     return r6(metrics.calibration_error(held_out(spark, d), ["model", "phase"]))
 
 
+def _sliced_sql(by: str) -> str:
+    curve = f"SELECT model, {by}, sum(n * abs(conf - acc)) / sum(n) AS ece FROM (SELECT model, {by}, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM held GROUP BY ALL) GROUP BY model, {by}"
+    return f"SELECT model, {by}, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n, {_round('ece')} FROM (SELECT model, {by}, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, count(*) AS n FROM held GROUP BY model, {by}) JOIN ({curve}) USING (model, {by})"
+
+
+@query(sql(_sliced_sql("phase")))
+def scores_by_phase(spark, d):
+    return r6(metrics.sliced(held_out(spark, d), "phase"))
+
+
+@query(sql(f"SELECT * REPLACE (w::BIGINT AS w) FROM ({_sliced_sql('w')})"))
+def scores_by_wickets(spark, d):
+    return r6(metrics.sliced(held_out(spark, d), "w"))
+
+
 @query(sql(f"SELECT model, bin::BIGINT AS bin, {_round('conf', 'acc')}, n FROM curve"))
 def reliability(spark, d):
     return r6(metrics.reliability(held_out(spark, d), ["model"]))
@@ -299,7 +321,14 @@ def murphy_gap(spark, d):
     return r6(metrics.murphy_gap(metrics.murphy(held_out(spark, d), ["model"]), "base Markov", "RRR Markov"))
 
 
-@query(sql(f"SELECT model, {_round('t AS gap_train', 'h AS gap_holdout', 'abs(h) - abs(t) AS widening')} FROM (SELECT model, avg(p - y) FILTER (split = 'train') AS t, avg(p - y) FILTER (split = 'holdout') AS h FROM predictions GROUP BY model)"))
+def _gap_sql() -> str:
+    parts = {"gap": "p - y", "brier": "pow(p - y, 2)", "log_loss": _LL}
+    means = [f"{k}_{x}" for k in parts for x in ("train", "holdout")]
+    inner = ", ".join(f"avg({v}) FILTER (split = '{x}') AS {k}_{x}" for k, v in parts.items() for x in ("train", "holdout"))
+    return f"SELECT model, {_round(*means, 'gap_holdout - gap_train AS widening', 'abs(gap_train) / nullif(abs(gap_holdout), 0) AS memoryless_share', 'abs(gap_holdout - gap_train) / nullif(abs(gap_holdout), 0) AS shift_share')} FROM (SELECT model, {inner} FROM predictions GROUP BY model)"
+
+
+@query(sql(_gap_sql()))
 def split_gap(spark, d):
     return r6(metrics.split_gap(predictions(spark, d)))
 
@@ -341,6 +370,11 @@ def marginal_tail(spark, d):
     return r6(metrics.marginal_tail(_with_p(spark, d)))
 
 
+@query(sql(f"SELECT {_round('max(abs(bs)) AS max_boundary_shortfall', 'max(abs(ws)) AS max_wicket_shortfall', 'arg_max(bs, slice) AS last_boundary_shortfall', 'arg_max(ws, slice) AS last_wicket_shortfall')} FROM (SELECT {RIGHT_SLICE} AS slice, count(*) AS n, avg((outcome IN ('4', '6'))::INT) - avg(p[5] + p[7]) AS bs, avg((outcome = 'W')::INT) - avg(p[8]) AS ws FROM wp_rows GROUP BY ALL) WHERE slice IS NOT NULL AND n >= 150", wp_rows=_WITH_P))
+def tail_summary(spark, d):
+    return r6(metrics.tail_summary(metrics.marginal_tail(_with_p(spark, d))))
+
+
 _DEV = ", ".join(f"abs(avg(p[{k + 1}] - (outcome = '{o}')::INT)) AS d{k}" for k, o in enumerate(chase.OUTCOMES))
 
 
@@ -354,9 +388,10 @@ def partnership_lag1(spark, d):
     return r6(leverage.partnership_lag1(train(spark, d)))
 
 
-@query(sql(f"SELECT variant, scope, lag::BIGINT AS lag, {_round('r')}, n FROM (SELECT * FROM prof)", prof=profile("resid")))
+@query(sql(f"SELECT series, variant, scope, lag::BIGINT AS lag, {_round('r')}, n FROM (SELECT * FROM prof)", prof=profile("resid")))
 def lag_profile(spark, d):
-    return r6(dependence.lag_profile(leverage.residuals(train(spark, d))))
+    rows = cut(leverage.residuals(train(spark, d)))
+    return r6(reduce(DataFrame.unionByName, (dependence.lag_profile(rows, v).withColumn("series", F.lit(v)) for v in dependence.SERIES)))
 
 
 def _icc_sql(value: str, keys: str, name: str) -> str:
@@ -375,66 +410,147 @@ def icc(spark, d):
 
 
 _SHUFFLE = {
-    "copies": f"SELECT *, row_number() OVER (PARTITION BY rep, match_id ORDER BY ball_index) AS k, row_number() OVER (PARTITION BY rep, match_id ORDER BY md5('0|' || rep || '|' || match_id || '|' || ball_index), ball_index) AS d FROM resid, range({PERMUTATIONS}) t(rep)",
-    "mixed": "SELECT a.rep, a.match_id, a.ball_index, a.part, b.runs FROM copies a JOIN copies b ON a.rep = b.rep AND a.match_id = b.match_id AND a.k = b.d",
+    "copies": f"SELECT *, row_number() OVER (PARTITION BY rep, match_id ORDER BY ball_index) AS k, row_number() OVER (PARTITION BY rep, match_id ORDER BY h, ball_index) AS d FROM (SELECT *, {draw('h', 'match_id', 'rep', 'ball_index')} FROM resid, range({PERMUTATIONS}) t(rep))",
+    "mixed": "SELECT a.rep, a.match_id, a.ball_index, a.part, b.runs, b.wkt FROM copies a JOIN copies b ON a.rep = b.rep AND a.match_id = b.match_id AND a.k = b.d",
+    "nulls": profile("mixed", "rep"),
+    "seen": profile("resid"),
+    "banded": "SELECT series, variant, scope, s.lag, r, n, null_mean, null_lo, null_hi, CASE WHEN r > null_hi THEN 'above' WHEN r < null_lo THEN 'below' ELSE 'inside' END AS flag FROM seen s JOIN (SELECT series, variant, scope, lag, avg(r) AS null_mean, quantile_cont(r, 0.025) AS null_lo, quantile_cont(r, 0.975) AS null_hi FROM nulls GROUP BY ALL) USING (series, variant, scope, lag)",
 }
 
 
-@query(sql(f"SELECT variant, scope, s.lag::BIGINT AS lag, {_round('r')}, n, {_round('null_mean', 'null_lo', 'null_hi')}, CASE WHEN r > null_hi THEN 'above' WHEN r < null_lo THEN 'below' ELSE 'inside' END AS flag FROM seen s JOIN (SELECT variant, scope, lag, avg(r) AS null_mean, quantile_cont(r, 0.025) AS null_lo, quantile_cont(r, 0.975) AS null_hi FROM nulls GROUP BY ALL) USING (variant, scope, lag)", **_SHUFFLE, nulls=profile("mixed", "rep"), seen=profile("resid")))
+@kept
+def profile_with_null(spark: SparkSession, d: str) -> DataFrame:
+    return dependence.permutation_null(leverage.residuals(train(spark, d)), PERMUTATIONS)
+
+
+@query(sql(f"SELECT series, variant, scope, lag::BIGINT AS lag, {_round('r')}, n, {_round('null_mean', 'null_lo', 'null_hi')}, flag FROM banded", **_SHUFFLE))
 def perm_null(spark, d):
-    return r6(dependence.permutation_null(leverage.residuals(train(spark, d)), PERMUTATIONS))
+    return r6(profile_with_null(spark, d))
 
 
-@query()
-def dependence_verdict(spark, d):
-    return r6(dependence.dependence_verdict(dependence.permutation_null(leverage.residuals(train(spark, d)), PERMUTATIONS)))
+_AT = "FILTER (variant = '{}' AND scope = '{}' AND lag = {})".format
+_VERDICT = {
+    "groups": " UNION ALL ".join(_icc_sql(v, ", ".join(k), n) for v, k, n in _ICC),
+    "answers": f"SELECT bool_or(flag = 'above') {_AT('state', 'innings', 1)} AS beyond_innings, bool_or(flag = 'above') {_AT('state+innings', 'innings', 1)} AS survives_innings, bool_or(flag = 'above') {_AT('state+partnership', 'partnership', 1)} AS survives_partnership, max(r) {_AT('state', 'innings', 1)} AS lag1, max(null_mean) {_AT('state', 'innings', 1)} AS null_centre, max(r - null_mean) {_AT('state', 'innings', 1)} AS excess_lag1, avg(r - null_mean) FILTER (variant = 'state' AND scope = 'innings' AND lag IN (20, 30)) AS excess_tail FROM banded WHERE series = 'runs'",
+}
 
 
-def _draw(n: str, *parts: str) -> str:
-    text = " || '|' || ".join(f"({p})" for p in parts)
-    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {n})"
+@query(sql(f"SELECT beyond_innings, survives_innings, survives_partnership, {_round('lag1', 'null_centre', 'excess_lag1', 'excess_tail', 'CASE WHEN lag1 > 0 THEN least(greatest(null_centre / lag1, 0.0), 1.0) END AS share')}, excess_lag1 > 0 AND excess_tail < 0.5 * excess_lag1 AS decays, CASE WHEN NOT beyond_innings THEN 'heterogeneity-only' WHEN survives_partnership THEN 'sequential' ELSE 'partnership-latent' END AS label, (SELECT icc FROM groups WHERE series = 'runs by innings') AS icc_innings, (SELECT icc FROM groups WHERE series = 'runs by partnership') AS icc_partnership FROM answers", **_SHUFFLE, **_VERDICT))
+def dependence_verdict(spark, d):
+    rows = cut(leverage.residuals(train(spark, d)))
+    parts = [dependence.icc(rows, "runs", keys).select(F.lit(scope).alias("scope"), "icc") for scope, (keys, _) in dependence.SCOPES.items()]
+    return r6(dependence.dependence_verdict(profile_with_null(spark, d), parts[0].unionByName(parts[1])))
 
 
+#: Named pairs of models; the second is better if the difference of log loss is below 0.
+_MARKOV_PAIRS = [("base Markov", "RRR Markov"), ("RRR Markov", "RRR Markov (era)")]
+_ERA_HELD = "SELECT model, match_id, ball_index, p, y FROM held UNION ALL SELECT 'RRR Markov (era)', match_id, ball_index, wp, y FROM scored WHERE split = 'holdout'"
 _BOOT = {
-    "deltas": f"SELECT match_id, a.ll - b.ll AS delta FROM (SELECT match_id, ball_index, {_LL} AS ll FROM held WHERE model = 'RRR Markov') a JOIN (SELECT match_id, ball_index, {_LL} AS ll FROM held WHERE model = 'base Markov') b USING (match_id, ball_index)",
-    "sums": "SELECT match_id, sum(delta) AS s, count(*) AS c, row_number() OVER (ORDER BY match_id) - 1 AS k, count(*) OVER () AS m FROM deltas GROUP BY match_id",
-    "boot": f"SELECT rep, sum(t.s) / sum(t.c) AS mean FROM sums x, range({REPLICATES}) z(rep), sums t WHERE t.k = {_draw('x.m', '0', repr('RRR Markov'), 'rep', 'x.k')} GROUP BY rep",
+    "with_era": _ERA_HELD,
+    "deltas": " UNION ALL ".join(f"SELECT '{a} / {b}' AS pair, match_id, v.ll - u.ll AS delta FROM (SELECT match_id, ball_index, {_LL} AS ll FROM with_era WHERE model = '{a}') u JOIN (SELECT match_id, ball_index, {_LL} AS ll FROM with_era WHERE model = '{b}') v USING (match_id, ball_index)" for a, b in _MARKOV_PAIRS),
+    "sums": "SELECT pair, match_id, sum(delta) AS s, count(*) AS c, row_number() OVER (PARTITION BY pair ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY pair) AS m FROM deltas GROUP BY pair, match_id",
+    "slots": f"SELECT pair, m, rep, {draw('h', '0', name_key('pair'), 'rep', 'k')} FROM sums, range({REPLICATES}) z(rep)",
+    "boot": "SELECT x.pair, rep, sum(t.s) / sum(t.c) AS mean FROM slots x JOIN sums t ON x.pair = t.pair AND t.k = x.h % x.m GROUP BY ALL",
 }
 
 
-@query(sql(f"SELECT 'RRR Markov' AS model, {_round('lo AS ci_lo', 'hi AS ci_hi', '(SELECT sum(s) / sum(c) FROM sums) AS point')}, CASE WHEN hi < 0 THEN 'yes' WHEN lo <= 0 THEN 'no' ELSE 'worse' END AS verdict FROM (SELECT quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot)", **_BOOT))
+def _deltas(held: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """``pair, match_id, delta``: log loss of the second model less that of the first, ball by ball."""
+    rows = held.withColumn("ll", metrics.row_log_loss(F.col("p"), F.col("y")))
+    wide = rows.groupBy("match_id", "ball_index").agg(*(F.max(F.when(F.col("model") == m, F.col("ll"))).alias(m) for m in sorted({m for pair in pairs for m in pair})))
+    entries = F.array(*(F.struct(F.lit(f"{a} / {b}").alias("pair"), (F.col(f"`{b}`") - F.col(f"`{a}`")).alias("delta")) for a, b in pairs))
+    return wide.select("match_id", F.inline(entries))
+
+
+@kept
+def held_with_era(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out predictions of the Markov models, the constant and the recency-weighted model."""
+    era_rows = scored(spark, d).filter("split = 'holdout'").select(F.lit("RRR Markov (era)").alias("model"), "split", "match_id", "ball_index", "phase", "w", "b", "r", "rrr", F.col("wp").alias("p"), "y")
+    return held_out(spark, d).unionByName(era_rows)
+
+
+@query(sql(f"SELECT pair, {_round('lo AS ci_lo', 'hi AS ci_hi', 'point')}, CASE WHEN hi < 0 THEN 'yes' WHEN lo <= 0 THEN 'no' ELSE 'worse' END AS verdict FROM (SELECT pair, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot GROUP BY pair) JOIN (SELECT pair, sum(s) / sum(c) AS point FROM sums GROUP BY pair) USING (pair)", **_BOOT))
 def cluster_bootstrap(spark, d):
-    rows = held_out(spark, d).filter("model != 'base-rate const'").withColumn("ll", metrics.row_log_loss(F.col("p"), F.col("y")))
-    wide = rows.groupBy("match_id", "ball_index").agg(*(F.max(F.when(F.col("model") == m, F.col("ll"))).alias(a) for m, a in (("base Markov", "base"), ("RRR Markov", "rrr"))))
-    return r6(resample.loss_difference(wide.select(F.lit("RRR Markov").alias("model"), "match_id", (F.col("rrr") - F.col("base")).alias("delta")), ["model"], REPLICATES))
+    return r6(resample.loss_difference(_deltas(held_with_era(spark, d), _MARKOV_PAIRS), ["pair"], REPLICATES))
 
 
+_SIDES = {"batter": "bat", "bowler": "bowl"}
 _PLAYER_BOOT = {
-    "psums": "SELECT batter AS player, match_id, count(*) AS c, sum(li) AS s_li, sum(wpa_bat_dd) AS s_dd, sum(CASE WHEN li >= 2 THEN wpa_bat_dd ELSE 0 END) AS s_hi, count(*) FILTER (li >= 2) AS c_hi FROM credited GROUP BY ALL",
-    "pnum": f"SELECT *, row_number() OVER (PARTITION BY player ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY player) AS m FROM (SELECT *, sum(c) OVER (PARTITION BY player) AS balls FROM psums) WHERE balls >= {LEAST_BALLS}",
-    "pslots": f"SELECT player, balls, rep, {_draw('m', '0', 'player', 'rep', 'k')} AS k FROM pnum, range({PLAYER_REPLICATES}) z(rep)",
-    "pboot": "SELECT x.player, x.balls, rep, sum(s_li) / sum(c) AS li, x.balls * sum(s_dd) / sum(c) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pslots x JOIN pnum t ON x.player = t.player AND x.k = t.k GROUP BY x.player, x.balls, rep",
+    "psums": " UNION ALL ".join(f"SELECT '{who}' AS side, {who} AS player, match_id, count(*) AS c, sum(li) AS s_li, sum(wpa_{x}_dd) AS s_dd, sum(CASE WHEN li >= 2 THEN wpa_{x}_dd ELSE 0 END) AS s_hi, count(*) FILTER (li >= 2) AS c_hi FROM credited GROUP BY ALL" for who, x in _SIDES.items()),
+    "pnum": f"SELECT *, row_number() OVER (PARTITION BY side, player ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY side, player) AS m FROM (SELECT *, sum(c) OVER (PARTITION BY side, player) AS balls FROM psums) WHERE balls >= {LEAST_BALLS}",
+    "pslots": f"SELECT side, player, balls, m, rep, {draw('h', '0', name_key('side', 'player', 'balls::BIGINT'), 'rep', 'k')} FROM pnum, range({PLAYER_REPLICATES}) z(rep)",
+    "pboot": "SELECT x.side, x.player, x.balls, rep, sum(s_li) / sum(c) AS li, x.balls * sum(s_dd) / sum(c) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pslots x JOIN pnum t ON x.side = t.side AND x.player = t.player AND x.h % x.m = t.k GROUP BY x.side, x.player, x.balls, rep",
+    "pci": "SELECT side, player, max(balls)::BIGINT AS balls, " + ", ".join(f"quantile_cont({n}, {q}) AS {n}_{e}" for n in ("li", "total", "split") for q, e in ((0.025, "lo"), (0.975, "hi"))) + ", count(*) FILTER (split IS NULL) AS degenerate FROM pboot GROUP BY side, player",
+    "ppoints": "SELECT side, player, sum(s_li) / sum(c) AS li, sum(s_dd) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pnum GROUP BY side, player",
+    "pranks": " UNION ALL ".join(f"SELECT side, '{m}' AS measure, player, {m} AS point, row_number() OVER (PARTITION BY side ORDER BY round({m}, 9) DESC, player) AS rank, count(*) OVER (PARTITION BY side) AS n FROM ppoints WHERE {m} IS NOT NULL" for m in ("li", "total")),
+    "plong": "SELECT side, player, rep, unnest([{'measure': 'li', 'x': li}, {'measure': 'total', 'x': total}], recursive := true) FROM pboot",
 }
 
 
-def _ci(*names: str) -> str:
-    return _round(*(f"quantile_cont({n}, {q}) AS {n}_{e}" for n in names for q, e in ((0.025, "lo"), (0.975, "hi"))))
+def _differences(name: str, pairs: str, keys: str) -> dict[str, str]:
+    """Common tables ``name``: ``pairs (side, measure, player, other, point, other_point, keys)`` with intervals."""
+    both = f"SELECT q.*, a.x - b.x AS delta FROM {name}_pairs q JOIN plong a ON a.side = q.side AND a.measure = q.measure AND a.player = q.player JOIN plong b ON b.side = q.side AND b.measure = q.measure AND b.player = q.other AND b.rep = a.rep"
+    return {f"{name}_pairs": pairs, name: f"SELECT *, lo > 0 OR hi < 0 AS separated FROM (SELECT side, measure, {keys}, player, other, max(point - other_point) AS diff, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM ({both}) GROUP BY ALL)"}
 
 
-@query(sql(f"SELECT player, max(balls)::BIGINT AS balls, {_ci('li', 'total', 'split')}, count(*) FILTER (split IS NULL) AS degenerate FROM pboot GROUP BY player", **_PLAYER_BOOT))
-def player_ci(spark, d):
-    return r6(resample.player_intervals(wpa.per_ball(scored(spark, d)), "batter", "bat", PLAYER_REPLICATES, LEAST_BALLS))
+_ADJACENT = _differences("adj", "SELECT u.side, u.measure, u.rank, u.player, v.player AS other, u.point, v.point AS other_point FROM pranks u JOIN pranks v ON v.side = u.side AND v.measure = u.measure AND v.rank = u.rank + 1", "rank")
+_SPAN = _differences("spans", "SELECT u.side, u.measure, kind, u.player, v.player AS other, u.point, v.point AS other_point FROM pranks u JOIN (SELECT *, unnest([{'kind': 'span', 'at': least(n, 10)}, {'kind': 'anchor', 'at': n}], recursive := true) FROM pranks) v ON v.side = u.side AND v.measure = u.measure AND v.rank = v.at WHERE u.rank = 1", "kind")
 
 
-_ADJACENT = {
-    "means": f"SELECT player, point, row_number() OVER (ORDER BY round(point, 9) DESC, player) AS rank FROM (SELECT batter AS player, avg(li) AS point FROM credited GROUP BY batter HAVING count(*) >= {LEAST_BALLS})",
-    "pairs": "SELECT u.rank, u.player, v.player AS below, u.point - v.point AS diff, a.li - b.li AS delta FROM means u JOIN means v ON v.rank = u.rank + 1 JOIN pboot a ON a.player = u.player JOIN pboot b ON b.player = v.player AND b.rep = a.rep",
-}
+@kept
+def player_boot(spark: SparkSession, d: str) -> DataFrame:
+    credited = wpa.per_ball(scored(spark, d))
+    return reduce(DataFrame.unionByName, (resample.player_replicates(credited, who, side, PLAYER_REPLICATES, LEAST_BALLS) for who, side in _SIDES.items()))
+
+
+def player_points(spark: SparkSession, d: str) -> DataFrame:
+    credited = wpa.per_ball(scored(spark, d))
+    return cut(reduce(DataFrame.unionByName, (resample.player_points(credited, who, side, LEAST_BALLS) for who, side in _SIDES.items())))
+
 
+def _adjacent(spark: SparkSession, d: str) -> DataFrame:
+    boot, points = player_boot(spark, d), player_points(spark, d)
+    return resample.adjacent_differences(boot, points, "li").unionByName(resample.adjacent_differences(boot, points, "total"))
+
+
+@query(sql(f"SELECT side, player, balls, {_round(*(f'{m}_{e}' for m in ('li', 'total', 'split') for e in ('lo', 'hi')))}, degenerate FROM pci", **_PLAYER_BOOT))
+def player_ci(spark, d):
+    return r6(resample.player_intervals(player_boot(spark, d)))
 
-@query(sql(f"SELECT rank, player, below, {_round('diff', 'lo AS diff_lo', 'hi AS diff_hi')}, lo > 0 OR hi < 0 AS separated FROM (SELECT rank, player, below, max(diff) AS diff, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM pairs GROUP BY ALL)", **_PLAYER_BOOT, **_ADJACENT))
+
+@query(sql(f"SELECT side, measure, rank, player, other, {_round('diff', 'lo AS diff_lo', 'hi AS diff_hi')}, separated FROM adj", **_PLAYER_BOOT, **_ADJACENT))
 def adjacent_diff(spark, d):
-    return r6(resample.adjacent_differences(wpa.per_ball(scored(spark, d)), "batter", "bat", PLAYER_REPLICATES, LEAST_BALLS))
+    return r6(_adjacent(spark, d))
+
+
+@query(sql(f"SELECT side, measure, kind, player, other, {_round('diff', 'lo AS diff_lo', 'hi AS diff_hi')}, separated FROM spans", **_PLAYER_BOOT, **_SPAN))
+def span_diff(spark, d):
+    boot, points = player_boot(spark, d), player_points(spark, d)
+    return r6(resample.span_differences(boot, points, "li").unionByName(resample.span_differences(boot, points, "total")))
+
+
+@query(sql("SELECT s.side, splits, splits_significant, totals_significant, separated_li, separated_total FROM (SELECT side, count(*) AS splits, count(*) FILTER (split_lo > 0 OR split_hi < 0) AS splits_significant FROM pci JOIN ppoints p USING (side, player) WHERE p.split IS NOT NULL GROUP BY side) s JOIN (SELECT side, count(*) FILTER (total_lo > 0 OR total_hi < 0) AS totals_significant FROM pci JOIN pranks USING (side, player) WHERE measure = 'total' AND rank <= 10 GROUP BY side) t USING (side) JOIN (SELECT side, count(*) FILTER (separated AND measure = 'li') AS separated_li, count(*) FILTER (separated AND measure = 'total') AS separated_total FROM adj WHERE rank < 10 GROUP BY side) a USING (side)", **_PLAYER_BOOT, **_ADJACENT))
+def significance_counts(spark, d):
+    return resample.significance_counts(resample.player_intervals(player_boot(spark, d)), player_points(spark, d), _adjacent(spark, d))
+
+
+def _top_sql() -> str:
+    columns = _round("total_wpa_dd", "wpa_high_dd", "wpa_low_dd")
+    table = lambda who, x: f"(SELECT {who} AS player, count(*) AS balls, count(*) FILTER (li >= 2) AS n_high, sum(wpa_{x}) AS total_wpa, sum(wpa_{x}_dd) AS total_wpa_dd, avg(wpa_{x}_dd) FILTER (li >= 2) AS wpa_high_dd, avg(wpa_{x}_dd) FILTER (li < 2) AS wpa_low_dd FROM credited GROUP BY {who} HAVING count(*) >= {LEAST_BALLS})"
+    one = lambda who, x, name, by, where: f"(SELECT '{who}' AS side, '{name}' AS list, row_number() OVER (ORDER BY round({by}, 9) DESC, player) AS rank, player, balls, n_high, {columns} FROM {table(who, x)} WHERE {where} QUALIFY rank <= 20)"
+    return " UNION ALL ".join(one(who, x, *of) for who, x in _SIDES.items() for of in (("total", "total_wpa_dd", "true"), ("clutch", "wpa_high_dd", "n_high >= 100")))
+
+
+@query(sql(_top_sql()))
+def top_wpa(spark, d):
+    credited = wpa.per_ball(scored(spark, d))
+    return r6(reduce(DataFrame.unionByName, (wpa.top_lists(wpa.by_player(credited, who, side, LEAST_BALLS)).withColumn("side", F.lit(who)) for who, side in _SIDES.items())))
+
+
+@query(sql(" UNION ALL ".join(f"(SELECT '{who}' AS side, {who} AS player, {_round(f'sum(wpa_{x}) AS total_wpa', f'sum(wpa_{x}_dd) AS total_wpa_dd')} FROM credited GROUP BY {who} HAVING count(*) >= {LEAST_BALLS} ORDER BY round(sum(wpa_{x}) - sum(wpa_{x}_dd), 9) {way}, {who} LIMIT 1)" for who, x, way in (("batter", "bat", "DESC"), ("bowler", "bowl", "ASC")))))
+def wpa_inversions(spark, d):
+    credited = wpa.per_ball(scored(spark, d))
+    return r6(wpa.inversions(*(wpa.by_player(credited, who, side, LEAST_BALLS) for who, side in _SIDES.items())))
 
 
 @query(sql(f"SELECT match_id, ball_index::BIGINT AS ball_index, slice::BIGINT AS slice FROM (SELECT *, {LEFT_SLICE} AS slice FROM balls WHERE split = 'train') QUALIFY row_number() OVER (PARTITION BY slice ORDER BY md5('0|' || match_id || '|' || ball_index), match_id, ball_index) <= 220"))
@@ -443,70 +559,190 @@ def stratified_sample(spark, d):
     return r6(resample.stratified_sample(rows, "slice").select("match_id", "ball_index", "slice"))
 
 
-@query(sql(f"SELECT cell, count(*) AS positions, min(pos)::BIGINT AS first_pos, max(pos)::BIGINT AS last_pos FROM (SELECT cell_id::BIGINT AS cell, row_number() OVER (ORDER BY match_id, ball_index) - 1 AS pos FROM coded WHERE split = 'train') GROUP BY cell"))
-def cell_index(spark, d):
-    """Positions of each cell in the training balls' order, without one global sort of whole rows in a task."""
+_CELLS = "SELECT cell_id::BIGINT AS cell, row_number() OVER (ORDER BY match_id, ball_index) - 1 AS pos FROM coded WHERE split = 'train'"
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    """``cell, pos``: each training ball's cell and its place among all of them."""
     rows = train(spark, d).select("match_id", "ball_index", chase.cell_id(chase.rrr_bin("rrr"), "w", chase.phase_index("phase")).cast("long").alias("cell"))
-    from pyspark.sql import Window
+    return resample.before(rows, [], ["match_id", "ball_index"], F.lit(1)).select("cell", F.col("before").alias("pos"))
 
-    before = rows.groupBy("match_id").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("match_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row a match
-    placed = rows.withColumn("k", F.row_number().over(Window.partitionBy("match_id").orderBy("ball_index")) - 1).join(before, "match_id").withColumn("pos", F.col("start") + F.col("k"))
-    return placed.groupBy("cell").agg(F.count("*").alias("positions"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
+@query(sql("SELECT cell, count(*) AS positions, min(pos)::BIGINT AS first_pos, max(pos)::BIGINT AS last_pos FROM placed GROUP BY cell", placed=_CELLS))
+def cell_index(spark, d):
+    return _positions(spark, d).groupBy("cell").agg(F.count("*").alias("positions"), F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
 
-@query()
+
+@query(sql("SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY pos) - 1 AS k, pos FROM placed", placed=_CELLS))
+def cell_positions(spark, d):
+    """The inverted index as rows: the k-th position of each cell. A cell's list is never gathered."""
+    return resample.before(_positions(spark, d), ["cell"], ["pos"], F.lit(1)).select("cell", F.col("before").alias("k"), "pos")
+
+
+def _fold_tables() -> dict[str, str]:
+    """``hl_scores (half_life, log_loss, brier, ess)`` by one recursive solution of all folds' models."""
+    keyed = model("hl", "hl_fit", "fold, hl")
+    return {
+        **_FOLDS,
+        "hl_fit": "SELECT t.*, x * (count(*) OVER k / sum(x) OVER k) AS weight FROM (SELECT * EXCLUDE (weight) FROM fits) t WINDOW k AS (PARTITION BY fold, hl)",
+        **keyed,
+        **surface("hl_wp", "hl_list", "fold, hl"),
+        "hl_valid": "SELECT fold, hl, y, wp AS p FROM (SELECT train.*, ord AS fold FROM train JOIN s2 USING (season)) v JOIN hl_wp USING (fold, b, w, r)",
+        "hl_scores": f"SELECT hl AS half_life, avg(ll) AS log_loss, avg(br) AS brier, avg(e) AS ess FROM (SELECT fold, hl, avg({_LL}) AS ll, avg(pow(p - y, 2)) AS br FROM hl_valid GROUP BY ALL) JOIN (SELECT fold, hl, pow(sum(weight), 2) / (sum(weight * weight) * count(*)) AS e FROM hl_fit GROUP BY ALL) USING (fold, hl) GROUP BY hl",
+    }
+
+
+@kept
+def half_lives(spark: SparkSession, d: str) -> DataFrame:
+    return era.half_life_scores(train(spark, d))
+
+
+@query(sql(f"SELECT half_life, {_round('log_loss', 'brier', 'ess')} FROM hl_scores", **_fold_tables()))
 def half_life_cv(spark, d):
-    return r6(era.half_life_scores(train(spark, d)))
+    return r6(half_lives(spark, d))
 
 
-@query()
+_WALK = {
+    "hl_ranked": "SELECT *, row_number() OVER (ORDER BY CASE WHEN half_life = 0 THEN 1e9 ELSE half_life END DESC) AS k FROM hl_scores",
+    "walk": "SELECT k, NULL::DOUBLE AS best, log_loss AS loss FROM hl_ranked WHERE k = 1 UNION ALL SELECT r.k, CASE WHEN r.log_loss < w.loss - 1e-9 AND r.ess >= 0.15 THEN r.half_life ELSE w.best END, CASE WHEN r.log_loss < w.loss - 1e-9 AND r.ess >= 0.15 THEN r.log_loss ELSE w.loss END FROM walk w JOIN hl_ranked r ON r.k = w.k + 1",
+}
+
+
+@query(sql("SELECT coalesce((SELECT arg_max(best, k) FROM walk WHERE k = (SELECT max(k) FROM walk)), (SELECT arg_min(half_life, log_loss) FROM hl_scores)) AS half_life", **_fold_tables(), **_WALK))
 def half_life_choice(spark, d):
-    return era.chosen_half_life(era.half_life_scores(train(spark, d)))
+    return era.chosen_half_life(half_lives(spark, d))
 
 
-def _fit(spark, d):
-    table = models.features(balls(spark, d)).persist()
+def _fit_and_held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    table = cut(models.features(balls(spark, d)))
     return table.filter("split = 'train'"), table.filter("split = 'holdout'")
 
 
+def _named(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select(F.lit(name).alias("model"), "split", "match_id", "ball_index", "phase", "w", "b", "r", "rrr", "p", "y")
+
+
+@kept
+def logits(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out predictions of the logistic models."""
+    fit, held = _fit_and_held(spark, d)
+    return _named(models.logistic(fit, held, ["rrr"]), "logit rrr").unionByName(_named(models.logistic(fit, held, models.FULL, True), "logit full"))
+
+
+@kept
+def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out predictions of boosted trees on three nested sets of features."""
+    fit, held = _fit_and_held(spark, d)
+    return reduce(DataFrame.unionByName, (_named(models.boosted(fit, held, names), name) for name, names in models.NESTED.items()))
+
+
 @query()
 def logit_rrr(spark, d):
-    fit, held = _fit(spark, d)
-    return r6(metrics.scores(models.logistic(fit, held, ["rrr"]).withColumn("model", F.lit("logit rrr")), ["model"]))
+    return r6(metrics.scores(logits(spark, d).filter("model = 'logit rrr'"), ["model"]))
 
 
 @query()
 def logit_full(spark, d):
-    fit, held = _fit(spark, d)
-    return r6(metrics.scores(models.logistic(fit, held, models.FULL, True).withColumn("model", F.lit("logit full")), ["model"]))
+    return r6(metrics.scores(logits(spark, d).filter("model = 'logit full'"), ["model"]))
 
 
 @query()
 def gbt_nested(spark, d):
-    fit, held = _fit(spark, d)
-    parts = [metrics.scores(models.boosted(fit, held, names).withColumn("model", F.lit(name)), ["model"]) for name, names in models.NESTED.items()]
-    return r6(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return r6(metrics.scores(boosted_trees(spark, d), ["model"]))
+
+
+def _simple_models(spark: SparkSession, d: str) -> DataFrame:
+    return held_with_era(spark, d).unionByName(logits(spark, d))
+
+
+def _every_model(spark: SparkSession, d: str) -> DataFrame:
+    return _simple_models(spark, d).unionByName(boosted_trees(spark, d))
+
+
+#: As the reference pairs its models.
+_PAIRS = [("RRR Markov", "GBT (b,w,r)"), ("GBT (b,w,r)", "GBT (b,w,r)+striker"), ("GBT (b,w,r)+striker", "GBT (full)"), ("RRR Markov", "GBT (full)"), ("RRR Markov", "RRR Markov (era)")]
 
 
 @query()
-def isotonic_platt(spark, d):
-    """Recalibration on the last training season of the surface fitted on the earlier ones, scored on the held-out split."""
+def model_comparisons(spark, d):
+    return r6(resample.loss_difference(_deltas(_every_model(spark, d), _PAIRS), ["pair"], REPLICATES))
+
+
+@query()
+def model_table(spark, d):
+    return r6(metrics.metric_table(_every_model(spark, d)))
+
+
+@query(sql(f"SELECT model, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n, {_round('ece')}, row_number() OVER (ORDER BY round(log_loss, 9), model) AS rank FROM (SELECT model, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, count(*) AS n FROM with_era GROUP BY model) JOIN (SELECT model, sum(n * abs(conf - acc)) / sum(n) AS ece FROM (SELECT model, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM with_era GROUP BY ALL) GROUP BY model) USING (model)", with_era=_ERA_HELD))
+def markov_table(spark, d):
+    return r6(metrics.metric_table(held_with_era(spark, d)))
+
+
+@query()
+def gate_verdict(spark, d):
+    """Whether the cell model beats the constant rate and the one-feature logistic."""
+    return r6(metrics.gate(metrics.metric_table(_simple_models(spark, d)), "RRR Markov", ["base-rate const", "logit rrr"]))
+
+
+@query()
+def era_closure(spark, d):
+    """How much of the cell model's gap to the one-feature logistic recency weights close."""
+    return r6(metrics.closure(metrics.scores(_simple_models(spark, d), ["model"]), "RRR Markov", ["RRR Markov (era)"], "logit rrr"))
+
+
+def _split_score(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
+    """Brier scores of the cell model and the one-feature logistic on one split."""
+    table = cut(table)
+    markov = metrics.markov_predictions(table).filter("split = 'holdout' and model = 'RRR Markov'").select("model", "p", "y")
+    logit = models.logistic(table.filter("split = 'train'"), table.filter("split = 'holdout'"), ["rrr"]).select(F.lit("logit rrr").alias("model"), "p", "y")
+    both = metrics.scores(markov.unionByName(logit), ["model"])
+    pick = lambda m: F.max(F.when(F.col("model") == m, F.col("brier")))
+    return both.agg(pick("RRR Markov").alias("markov_brier"), pick("logit rrr").alias("logit_brier"), F.max("n").alias("n")).select(F.lit(name).alias("split"), "markov_brier", "logit_brier", (F.col("markov_brier") - F.col("logit_brier")).alias("gap"), "n")
+
+
+@query()
+def split_robustness(spark, d):
+    """The cell model's Brier gap to the logistic held out by last seasons, by whole matches and by a middle season."""
+    table = balls(spark, d)
+    middle = ingest.season_table(table).select("season", "ord").orderBy("ord").collect()  # a row a season
+    splits = {"last seasons": table, "matches": models.with_fold_out(table), "middle season": models.with_season_out(table, middle[len(middle) // 2]["season"])}
+    rows = reduce(DataFrame.unionByName, (_split_score(spark, t, n) for n, t in splits.items()))
+    first, others = F.max(F.when(F.col("split") == "last seasons", F.col("gap"))), F.avg(F.when(F.col("split") != "last seasons", F.col("gap")))
+    rows = cut(rows)
+    return r6(rows.crossJoin(rows.agg(F.try_divide(first - others, first).alias("shrink"))))  # one row
+
+
+@kept
+def recalibrated(spark: SparkSession, d: str) -> DataFrame:
+    """Held-out predictions of the surface fitted without the last training season, raw and recalibrated on that season, and of the logistic fitted likewise."""
     table = balls(spark, d)
     seasons = ingest.season_table(table.filter("split = 'train'")).agg(F.max_by("season", "ord").alias("last"))
-    marked = table.crossJoin(F.broadcast(seasons)).withColumn("held", F.col("season") == F.col("last")).persist()
-    fit = outcomes.with_recency(marked.filter("split = 'train' and not held"), outcomes.ERA_HALF_LIFE)
-    rows = winprob.with_wp(marked, winprob.solve(outcomes.full_grid(fit), winprob.greatest_r(marked)))
+    marked = cut(table.crossJoin(F.broadcast(seasons)).withColumn("held", F.col("season") == F.col("last")))
+    fit = marked.filter("split = 'train' and not held")
+    rows = winprob.with_wp(marked, winprob.solve(outcomes.full_grid(outcomes.with_recency(fit, outcomes.ERA_HALF_LIFE)), winprob.greatest_r(marked)))
     calibration, score = rows.filter("held"), rows.filter("split = 'holdout'")
     parts = [f(calibration, score).select(F.lit(n).alias("model"), "p", "y") for n, f in (("isotonic", models.isotonic), ("platt", models.platt))]
-    return r6(metrics.scores(parts[0].unionByName(parts[1]).unionByName(score.select(F.lit("raw").alias("model"), F.col("wp").alias("p"), "y")), ["model"]))
+    parts += [score.select(F.lit("raw").alias("model"), F.col("wp").alias("p"), "y"), models.logistic(fit, score, ["rrr"]).select(F.lit("logit rrr").alias("model"), "p", "y")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query()
+def isotonic_platt(spark, d):
+    return r6(metrics.scores(recalibrated(spark, d), ["model"]))
+
+
+@query()
+def recalibration_closure(spark, d):
+    """How much of the raw surface's gap to the logistic recalibration closes."""
+    return r6(metrics.closure(metrics.scores(recalibrated(spark, d), ["model"]), "raw", ["isotonic", "platt"], "logit rrr"))
 
 
 @kept
 def simulated(spark: SparkSession, d: str) -> DataFrame:
     """Every mode at every seed; a seed drives the states sampled and the draws, as in the reference."""
-    table = train(spark, d).persist()
-    sampler = simulate.build_sampler(table, outcomes.full_grid(outcomes.with_recency(table, None)))
-    return simulate.simulate(simulate.seeded_states(table, SEEDS), sampler)
+    table = train(spark, d)
+    grid = outcomes.full_grid(outcomes.with_recency(table, None))
+    return simulate.simulate(simulate.seeded_states(table, SEEDS), table, grid, SEEDS)
 
 
 @query()
