@@ -170,7 +170,7 @@ def runs_by_split(spark, d):
 
 _FOLDS = {
     "s2": "SELECT season, row_number() OVER (ORDER BY min(date), season) - 1 AS ord FROM train GROUP BY season",
-    "fits": "SELECT fold, hl, CASE WHEN hl = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (fold - 1 - ord) / hl) END AS x FROM train JOIN s2 USING (season) JOIN (SELECT ord AS fold FROM s2 WHERE ord > (SELECT max(ord) FROM s2) - 3) ON ord < fold, (SELECT unnest([0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5])::DOUBLE AS hl)",
+    "fits": "SELECT t.* EXCLUDE (weight), fold, hl, CASE WHEN hl = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (fold - 1 - ord) / hl) END AS x FROM train t JOIN s2 USING (season) JOIN (SELECT ord AS fold FROM s2 WHERE ord > (SELECT max(ord) FROM s2) - 3) ON ord < fold, (SELECT unnest([0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5])::DOUBLE AS hl)",
 }
 
 
@@ -584,7 +584,7 @@ def _fold_tables() -> dict[str, str]:
     keyed = model("hl", "hl_fit", "fold, hl")
     return {
         **_FOLDS,
-        "hl_fit": "SELECT t.*, x * (count(*) OVER k / sum(x) OVER k) AS weight FROM (SELECT * EXCLUDE (weight) FROM fits) t WINDOW k AS (PARTITION BY fold, hl)",
+        "hl_fit": "SELECT *, x * (count(*) OVER k / sum(x) OVER k) AS weight FROM fits WINDOW k AS (PARTITION BY fold, hl)",
         **keyed,
         **surface("hl_wp", "hl_list", "fold, hl"),
         "hl_valid": "SELECT fold, hl, y, wp AS p FROM (SELECT train.*, ord AS fold FROM train JOIN s2 USING (season)) v JOIN hl_wp USING (fold, b, w, r)",
