@@ -87,7 +87,9 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
     ``rendered`` texts of a conversation, joined by turn, are the formatted conversation;
     code points ``loss_start`` to ``loss_end`` (exclusive) of each are under the loss mask,
-    null unless the role is in ``learned``. A null role or text counts as empty.
+    null unless the role is in ``learned``. A null role or text counts as empty. Null ids and
+    turns, and repeated rows, stay; an empty table gives an empty table; other columns are
+    not read, whatever their names.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,6 +113,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
     ``conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars``. Rows are
     streamed in order of (turn, role, text), null turns first, through running digests, so a
     conversation of any length takes constant memory; null conversation ids are one group.
+    The digest runs over a conversation's turns in order, so one conversation is one task's.
+    Repeated rows count as often as they come; an empty table gives an empty table; columns
+    besides those of ``format_turns`` are not read.
     """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 

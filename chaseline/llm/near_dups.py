@@ -378,4 +378,4 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80,
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     hashed = docs.withColumns({own_id: F.col(id_col).cast("long"), own_hash: F.xxhash64(text)})
     rows = hashed.join(kept, hashed[own_id].eqNullSafe(kept[own_id]) & (hashed[own_hash] == kept[own_hash]), "left_semi")
-    return rows.dropDuplicates([id_col, own_hash]).select(*docs.columns)
+    return rows.dropDuplicates([id_col, own_hash]).select(*(f"`{c}`" for c in docs.columns))

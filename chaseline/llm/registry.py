@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, licenses, near_dups, packing, posting_lists, secret_scans, toxicity, url_rules, word_bpe
+from . import chat_format, fingerprints, licenses, near_dups, packing, posting_lists, secret_scans, toxicity, twins, url_rules, word_bpe
 from .shared import table
 
 #: Special tokens of the byte-level vocabulary.
@@ -37,7 +37,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of whole queries; the others return token ids, hashes or a method's own findings, which SQL can't give."""
+    return {"op1_chat_formatting": twins.chat(ODD_TEXT), "op2_minhash_near_dups": twins.near_copies(4), "op9_url_filters": twins.urls(url_rules.RULES)}

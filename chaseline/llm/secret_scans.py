@@ -98,7 +98,7 @@ def _dense_parts(run: str, encoding) -> list[tuple[int, int]]:
 
 
 def scan(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, spans array<struct<start, kind, end>>, redacted`` for every row of ``docs``, and its columns named in ``keep``.
+    """``doc_id, spans array<struct<start, kind, end>>, redacted`` for every row of ``docs``, and its columns named in ``keep``, as ``kept_<name>``.
 
     Spans are sorted by start, then kind in the order of ``KINDS``; ``redacted`` is the text
     with each covered stretch replaced by ``[SECRET]``, the key of an assignment kept. A null
@@ -121,7 +121,7 @@ def scan(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id",
     rows = id_and_text(docs, id_col, text_col, True, tuple(keep))
     kept = "".join(f", `kept_{c}` {types[c]}" for c in keep)
     found = rows.mapInArrow(task, f"doc_id long{kept}, spans array<struct<start: long, kind: string, end: long>>, redacted string")
-    return found.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep if c != "doc_id"), "spans", "redacted")
+    return found.select("doc_id", *(f"`kept_{c}`" for c in keep if c != "doc_id"), "spans", "redacted")
 
 
 def redact(text: str, spans: list[tuple[int, str, int]], mark: str = "[SECRET]") -> str:

@@ -50,4 +50,4 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, keep_null: bool = F
     """The columns an operator reads, as ``doc_id`` and ``text`` (null: empty unless ``keep_null``), then ``kept_*`` ones."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")  # texts may be long
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))

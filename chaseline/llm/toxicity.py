@@ -225,7 +225,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
     """A ridge logistic fit by Newton steps."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
+    mean, scale = x.mean(0), x.std(0)
+    scale[scale < 1e-6] = 1.0  # a feature that all learned rows share weighs nothing
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w = np.zeros(z.shape[1])
     for _ in range(40):
@@ -238,7 +239,7 @@ def _calibrated(model: Model, x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``, and its columns named in ``keep``.
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``, and its columns named in ``keep``, as ``kept_<name>``.
 
     A null text counts as empty; an empty one gets the score of a text without telling
     words. Repeated rows and null ids stay; an empty table gives an empty table.
@@ -257,5 +258,5 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kinds = [("doc_id", "long"), *([("own_text", "string")] if texts else []), *((f"kept_{c}", types[c]) for c in more), ("score", "double")]
     scored = id_and_text(docs, id_col, text_col, True, more).mapInArrow(task, ", ".join(f"`{n}` {t}" for n, t in kinds))
-    kept = [F.col("own_text").alias(c) if c == text_col else F.col(f"kept_{c}").alias(c) for c in keep if c != "doc_id"]
+    kept = [F.col("own_text").alias(f"kept_{c}") if c == text_col else F.col(f"`kept_{c}`") for c in keep if c != "doc_id"]
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *kept)
