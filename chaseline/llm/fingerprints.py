@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import id_and_text
+from .shared import cut, id_and_text, setting
+
+FILTER_CELLS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
@@ -24,29 +26,52 @@ def digest(canon: Column) -> Column:
 
 
 def with_fingerprints(texts: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``texts`` with a fingerprint column for each text column, ``{text column: fingerprint column}``.
+    """``texts`` with the digest of each text column and, as ``<digest column>_canon``, the text it is of; ``{text column: digest column}``.
 
-    Texts of one bucket, that is of one digest, are compared byte by byte. Should two
-    differ, each text of that bucket gets its number there behind the digest.
+    Two canonical texts may have one digest: see ``clashes`` and ``numbered``.
     """
     for source, name in columns.items():
         texts = texts.withColumn(f"{name}_canon", canonical(F.col(source))).withColumn(name, digest(F.col(f"{name}_canon")))
     return texts
 
 
-def clashes(rows: DataFrame, name: str) -> DataFrame:
-    """``name, canon, number`` of every text in a bucket of ``rows`` that holds different texts; usually none."""
-    repeated = rows.groupBy(name).agg(F.count("*").alias("n")).filter("n > 1").select(name)
-    inside = rows.select(name, F.col(f"{name}_canon").alias("canon")).join(repeated, name, "left_semi")
-    mixed = inside.groupBy(name).agg(F.min("canon").alias("x"), F.max("canon").alias("y")).filter("x != y").select(name)
-    return inside.join(mixed, name, "left_semi").distinct().withColumn("number", F.row_number().over(Window.partitionBy(name).orderBy("canon")))
+def clashes(rows: DataFrame, *names: str) -> DataFrame | None:
+    """``bucket, canon, number`` of every text in a bucket of ``rows`` that holds different texts; None if there is no such bucket.
+
+    A bucket is all rows and all digest columns ``names`` of one digest. Digests are counted
+    first; then the texts of repeated ones are compared byte by byte: a bucket is mixed if
+    its least and greatest text differ, which map-side aggregates find, however hot it is.
+    Texts whose digest falls into no marked cell stay out before that shuffle; at most
+    FILTER_CELLS cells are broadcast, whatever the corpus.
+    """
+    entries = F.array(*(F.struct(F.col(n).alias("bucket"), F.col(f"{n}_canon").alias("canon")) for n in names))
+    texts = rows.select(F.inline(entries))
+    cell = F.pmod(F.xxhash64("bucket"), F.lit(FILTER_CELLS)).cast("int").alias("cell")
+    with setting(rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # each pass frees its shuffle
+        repeated = texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        cells = F.broadcast(cut(repeated.select(cell).distinct()))
+        near = texts.withColumn("cell", cell).join(cells, "cell", "left_semi").drop("cell")
+        mixed = cut(near.groupBy("bucket").agg(F.min("canon").alias("x"), F.max("canon").alias("y")).filter("x != y").select("bucket"))
+        if mixed.isEmpty():
+            return None
+        found = near.join(mixed, "bucket", "left_semi").distinct()
+        return cut(found.withColumn("number", F.row_number().over(Window.partitionBy("bucket").orderBy("canon"))))
+
+
+def numbered(rows: DataFrame, found: DataFrame | None, *names: str) -> DataFrame:
+    """``rows`` with the numbers of ``found`` (see ``clashes``) behind those digests ``names`` that they are of."""
+    for name in names if found is not None else ():
+        rows = rows.join(found, (F.col(name) == F.col("bucket")) & (F.col(f"{name}_canon") == F.col("canon")), "left")
+        rows = rows.withColumn(name, F.concat_ws("-", name, "number")).drop("bucket", "canon", "number")
+    return rows
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, group_id, copies`` for every row of ``docs``; ``group_id``: the smallest id of the group.
 
-    A null text counts as empty; null ids and repeated rows stay; an empty table gives an
-    empty table; other columns are not read.
+    Texts of one digest are compared byte by byte; where they differ, each has its number
+    behind the digest. A null text counts as empty; null ids and repeated rows stay; an
+    empty table gives an empty table; other columns are not read.
     """
     rows = with_fingerprints(id_and_text(docs, id_col, text_col), {"text": "fingerprint"}).drop("text")
     rows = numbered(rows, clashes(rows, "fingerprint"), "fingerprint").select("doc_id", "fingerprint")
@@ -54,15 +79,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
 
 
-def numbered(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """``rows`` with the numbers of ``found`` (see ``clashes``) behind the digests ``name``."""
-    if found.isEmpty():
-        return rows
-    found = found.select(F.col(found.columns[0]).alias("bucket"), "canon", "number")
-    rows = rows.join(found, (F.col(name) == F.col("bucket")) & (F.col(f"{name}_canon") == F.col("canon")), "left")
-    return rows.withColumn(name, F.concat_ws("-", name, "number")).drop("bucket", "canon", "number")
-
-
 def _bucket(key: Column, bounds: list[int], first: int = 0) -> Column:
     """``first`` and how many of the rising ``bounds`` are at most ``key``, as a balanced tree of conditions."""
     if not bounds:
@@ -103,13 +119,19 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row with its fingerprint, that of its edited text, and whether it is like the edited and the next text.
 
-    ``doc_id, text, edited, fingerprint, edited_fingerprint, near_edited, near_next``. An
-    exact digest knows no degrees: the likeness is 1 for equal canonical texts, else 0.
-    See ``with_next`` for order, ties and nulls.
+    ``doc_id, text, edited, fingerprint, edited_fingerprint, near_edited, near_next``. Texts
+    and edited texts of one digest, of all rows, are compared byte by byte; where they
+    differ, each has its number behind the digest. So fingerprints are equal if, and only
+    if, the canonical texts are. An exact digest knows no degrees: the likeness is 1 for
+    equal canonical texts, else 0. A null text counts as empty; repeated rows and null ids
+    stay (see ``with_next`` for their order); an empty table gives an empty table; other
+    columns are not read, whatever their names.
     """
     rows = with_next(docs, id_col, text_col)
     third = F.floor(F.char_length("text") / F.lit(3)).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.char_length("text") - third), F.substr("next_text", F.lit(1), third)))
-    rows = with_fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint", "next_text": "next_fingerprint"})
-    like = lambda x: ((F.col("fingerprint") == F.col(x)) & (F.col("fingerprint_canon") == F.col(f"{x}_canon"))).cast("double")
-    return rows.withColumn("near_edited", like("edited_fingerprint")).withColumn("near_next", like("next_fingerprint"))
+    rows = with_fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint"})
+    found = clashes(rows, "fingerprint", "edited_fingerprint")
+    rows = numbered(rows, found, "fingerprint", "edited_fingerprint").withColumn("next_canon", canonical(F.col("next_text")))
+    like = lambda x: (F.col("fingerprint_canon") == F.col(x)).cast("double")
+    return rows.withColumn("near_edited", like("edited_fingerprint_canon")).withColumn("near_next", like("next_canon"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from functools import lru_cache
@@ -73,6 +74,12 @@ def op3(rows):
     return out
 
 
+def canonical(text):
+    """Compatibility composition, case folding, composition again, white space to single spaces."""
+    folded = unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+    return re.sub(r"[\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ", folded).strip(" ")
+
+
 def op4_edited(rows):
     """rows: (doc_id, text), ids distinct -> {doc_id: (n_chars, edited text, next text)}"""
     rows = sorted(((i, t or "") for i, t in rows), reverse=True)

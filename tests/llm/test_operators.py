@@ -168,9 +168,27 @@ def test_fingerprints(spark):
 
 def test_clashing_digests_are_told_apart(spark):
     rows = spark.createDataFrame([("f", "a"), ("f", "b"), ("f", "a"), ("g", "c"), ("g", "c")], "fingerprint string, fingerprint_canon string")
-    found = fingerprints.clashes(rows, "fingerprint")
-    out = fingerprints.numbered(rows, found, "fingerprint").groupBy("fingerprint").count().collect()
+    out = fingerprints.numbered(rows, fingerprints.clashes(rows, "fingerprint"), "fingerprint").groupBy("fingerprint").count().collect()
     assert {tuple(r) for r in out} == {("f-1", 2), ("f-2", 1), ("g", 2)}
+    assert fingerprints.clashes(rows.filter("fingerprint = 'g'"), "fingerprint") is None
+
+
+@pytest.mark.parametrize("narrow", [False, True])
+def test_edited_pairs_equal_brute_force(spark, monkeypatch, narrow):
+    """Also with digests of one bit, where nearly all texts clash: equal fingerprints mean equal canonical texts, and likeness equality."""
+    if narrow:
+        monkeypatch.setattr(fingerprints, "digest", lambda canon: F.pmod(F.xxhash64(canon), F.lit(2)).cast("string"))
+    texts = [(i, t) for i, (_, t) in enumerate(ODD) if t is not None] + [(100 + i, t) for i, t in enumerate(("same text", "Same  TEXT", "same text", "abc", "abcabc" * 2000, "ABC"))]
+    rows = fingerprints.edited_pairs(frame(spark, texts)).collect()
+    want = brute.op4_edited(texts)
+    assert {r.doc_id: (len(r.text), r.edited, r.next_text) for r in rows} == want
+    canon, of = brute.canonical, {}
+    for r in rows:
+        of.setdefault(r.fingerprint, set()).add(canon(r.text))
+        of.setdefault(r.edited_fingerprint, set()).add(canon(r.edited))
+        assert (r.near_edited, r.near_next) == (float(canon(r.text) == canon(r.edited)), float(canon(r.text) == canon(r.next_text)))
+    assert all(len(x) == 1 for x in of.values())
+    assert len(of) == len({c for x in of.values() for c in x})
 
 
 def test_nearest_vectors(spark):
