@@ -40,6 +40,16 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None] - 2 * x @ y.T, 0))
 
 
+def _nearest(x: np.ndarray, y: np.ndarray, n: int = 1) -> np.ndarray:
+    """The ``n`` nearest rows of ``y`` for each row of ``x``, nearest first, in blocks of bounded memory."""
+    out, block = [], max(1, (1 << 22) // len(y))
+    for at in range(0, len(x), block):
+        away = _distances(x[at : at + block], y)
+        part = np.argpartition(away, n - 1, axis=1)[:, :n] if n < len(y) else np.tile(np.arange(len(y)), (len(away), 1))
+        out.append(np.take_along_axis(part, np.argsort(np.take_along_axis(away, part, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out)
+
+
 def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndarray:
     """Means of about equally large parts of ``sample``: the largest part is halved along its main direction again and again."""
     dice = np.random.default_rng(seed)
@@ -58,45 +68,89 @@ def balanced_centroids(sample: np.ndarray, lists: int, seed: int = 7) -> np.ndar
             n += 1
     centroids = np.array([sample[rows].mean(0) for _, _, rows in queue])
     for _ in range(4):  # a few Lloyd steps, kept balanced by the block split
-        near = _distances(sample, centroids).argmin(1)
+        near = _nearest(sample, centroids)[:, 0]
         for j in range(len(centroids)):
             if (near == j).any():
                 centroids[j] = sample[near == j].mean(0)
     return centroids
 
 
+def neighbour_graph(centroids: np.ndarray, degree: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """(neighbours of each centroid, a first node of each part): the ``degree`` nearest, both ways, all parts joined.
+
+    Nearest-neighbour edges alone leave far groups apart; each part is joined to what lies
+    nearest outside, and a walk starts in all of them.
+    """
+    n = len(centroids)
+    near = _nearest(centroids, centroids, min(degree + 1, n))
+    edges = {(i, int(j)) for i, row in enumerate(near) for j in row if i != j}
+    edges |= {(j, i) for i, j in edges}
+    part, starts = np.full(n, -1), []
+    ahead: list[list[int]] = [[] for _ in range(n)]
+    for i, j in sorted(edges):
+        ahead[i].append(j)
+    for i in range(n):
+        if part[i] < 0:
+            starts.append(i)
+            part[i], todo = len(starts) - 1, [i]
+            while todo:
+                for j in ahead[todo.pop()]:
+                    if part[j] < 0:
+                        part[j] = part[i]
+                        todo.append(j)
+    for k in range(1, len(starts)):
+        own, other = np.flatnonzero(part == k), np.flatnonzero(part < k)  # the parts before are joined already
+        away = _distances(centroids[[starts[k]]], centroids[other])[0]
+        j = int(other[away.argmin()])
+        i = int(own[_distances(centroids[[j]], centroids[own])[0].argmin()])
+        ahead[i].append(j)
+        ahead[j].append(i)
+    return [np.array(x, dtype=np.int64) for x in ahead], np.array(starts)
+
+
 @dataclass
 class Index:
-    """Centroids, a neighbour graph over them, and the distance ratio that selects lists."""
+    """Centroids, a neighbour graph over them, where its walks start, and the distance ratio that selects lists."""
 
     centroids: np.ndarray
-    graph: np.ndarray
+    graph: list[np.ndarray]
+    starts: np.ndarray
     longest: float
     ratio: float = 1.0
 
     @classmethod
     def fit(cls, sample: np.ndarray, longest: float, lists: int, wanted: int) -> Index:
+        """Of the sample, every so many-th row, 300 in all, only asks; centroids come from the others."""
         stored = lift(sample, longest)
-        centroids = balanced_centroids(stored, min(lists, len(stored)))
-        between = _distances(centroids, centroids)
-        index = cls(centroids, np.argsort(between, axis=1, kind="stable")[:, 1 : DEGREE + 1], longest)
-        index.ratio = index._calibrated(sample, stored, wanted)
+        asking = np.zeros(len(sample), dtype=bool)
+        asking[:: max(2, len(sample) // 300)] = True
+        centroids = balanced_centroids(stored[~asking] if (~asking).any() else stored, min(lists, len(stored)))
+        graph, starts = neighbour_graph(centroids, DEGREE)
+        seeds = np.unique(np.append(starts, np.linspace(0, len(centroids) - 1, 4).astype(int)))
+        index = cls(centroids, graph, seeds, longest)
+        index._calibrate(sample, stored, np.flatnonzero(asking), wanted)
         return index
 
-    def _calibrated(self, sample: np.ndarray, stored: np.ndarray, wanted: int) -> float:
-        """The least ratio at which sampled queries find WANTED_RECALL of their nearest sampled rows."""
-        asked = np.arange(0, len(sample), max(1, len(sample) // 300))
+    def _calibrate(self, sample: np.ndarray, stored: np.ndarray, asked: np.ndarray, wanted: int) -> None:
+        """Sets the least ratio at which walks of the asking rows find the lists of WANTED_RECALL of their nearest sampled rows."""
         scores = sample[asked] @ sample.T
         scores[np.arange(len(asked)), asked] = -np.inf
         k = min(wanted, len(sample) - 1)
         if k < 1:
-            return 2.0
+            self.ratio = 2.0
+            return
         best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
         homes = [set(h) for h in self.homes(stored)]
-        away = _distances(lift(sample[asked], None), self.centroids)
+        queries = lift(sample[asked], None)
+        away = _distances(queries, self.centroids)
         away /= np.maximum(away.min(1, keepdims=True), 1e-12)
         need = np.sort([min(away[i, j] for j in homes[row]) for i, rows in enumerate(best) for row in rows])
-        return float(need[min(len(need) - 1, int(WANTED_RECALL * len(need)))]) + 1e-9
+        self.ratio = float(need[min(len(need) - 1, int(WANTED_RECALL * len(need)))]) + 1e-9
+        for _ in range(40):  # what the walk itself misses
+            hits = sum(bool(homes[row] & set(lists)) for lists, rows in zip(map(self.lists, queries), best, strict=True) for row in rows)
+            if hits >= WANTED_RECALL * best.size:
+                break
+            self.ratio *= 1.03
 
     def homes(self, stored: np.ndarray) -> list[list[int]]:
         """The lists of each vector: its nearest, and close others that no chosen one lies before."""
@@ -117,7 +171,7 @@ class Index:
     def lists(self, query: np.ndarray) -> list[int]:
         """The lists within the ratio of the nearest, nearest first, by best-first search over the graph."""
         away = lambda js: np.linalg.norm(self.centroids[js] - query, axis=1)
-        seeds = np.unique(np.linspace(0, len(self.centroids) - 1, 4).astype(int))
+        seeds = self.starts
         seen = np.zeros(len(self.centroids), dtype=bool)
         seen[seeds] = True
         queue = list(zip(away(seeds).tolist(), seeds.tolist(), strict=True))

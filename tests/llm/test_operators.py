@@ -191,6 +191,20 @@ def test_edited_pairs_equal_brute_force(spark, monkeypatch, narrow):
     assert len(of) == len({c for x in of.values() for c in x})
 
 
+@pytest.mark.parametrize("apart", [0.0, 3.0, 30.0])
+def test_walks_reach_lists_of_clusters_far_apart(apart):
+    dice = np.random.default_rng(3)
+    middles = dice.normal(size=(24, 16)) * apart
+    vectors = np.concatenate([m + dice.normal(size=(200, 16)) for m in middles])
+    index = posting_lists.Index.fit(vectors, float(np.linalg.norm(vectors, axis=1).max()), 240, 10)
+    homes = [set(h) for h in index.homes(posting_lists.lift(vectors, index.longest))]
+    asked = np.arange(7, len(vectors), 40)
+    scores = vectors[asked] @ vectors.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    hits = [bool(homes[row] & set(lists)) for lists, rows in zip(map(index.lists, posting_lists.lift(vectors[asked], None)), np.argsort(-scores, axis=1)[:, :10], strict=True) for row in rows]
+    assert np.mean(hits) >= 0.9
+
+
 def test_nearest_vectors(spark):
     dice = np.random.default_rng(8)
     vectors = {i: [float(np.float32(x)) for x in dice.normal(size=8)] for i in range(300)}
