@@ -13,7 +13,8 @@ within its bounds. Only places of a template's first word are tried.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +26,44 @@ from .shared import id_and_text
 
 #: Base phrases and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Wording of public license notices, with regions marked up, and their labels.
+#: Wording of public licenses and of their notices, with regions marked up, and their labels.
+_AS_IS = "the software is provided as is"
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    "[[1]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+    "[[2]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+)
+_BSD_END = (
+    "this software is provided by {{1 12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+    "in no event shall {{1 12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+    "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
 TEMPLATES = [
-    ("licensed under the apache license version 2 [[0]]", "apache-2.0-notice"),
-    ("licensed under [[the]] [[terms of the]] mit license", "mit-notice"),
-    ("licensed under [[a]] [[creative commons]] cc by nc [[{{0 1}}]] 4 0", "cc-by-nc-4.0-notice"),
-    ("licensed under [[a]] [[creative commons]] cc by [[sa]] 4 0", "cc-by-4.0-notice"),
-    ("licensed under [[the terms of]] the gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] [[either]] version {{1 1}}", "gpl-notice"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction", "mit-text"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-text"),
+    ("licensed under the apache license version 2 [[0]]", "Apache-2.0-notice"),
+    ("licensed under [[the]] [[terms of the]] mit license", "MIT-notice"),
+    ("licensed under [[a]] [[creative commons]] cc by nc [[{{0 1}}]] 4 0", "CC-BY-NC-4.0-notice"),
+    ("licensed under [[a]] [[creative commons]] cc by 4 0", "CC-BY-4.0-notice"),
+    ("licensed under [[a]] [[creative commons]] cc by sa 4 0", "CC-BY-SA-4.0-notice"),
+    ("licensed under [[the terms of]] the gnu general public license [[as published by the free software foundation]] [[either]] version {{1 1}}", "GPL-notice"),
+    ("licensed under [[the terms of]] the gnu lesser general public license [[as published by the free software foundation]] [[either]] version {{1 1}}", "LGPL-notice"),
+    ("licensed under [[the terms of]] the gnu affero general public license [[as published by the free software foundation]] [[either]] version {{1 1}}", "AGPL-notice"),
+    (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions "
+        "the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software "
+        f"{_AS_IS} without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall {{1 12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "MIT",
+    ),
+    (
+        "permission to use copy modify [[and or]] [[and]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        f"{_AS_IS} and {{{{1 12}}}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall {{1 12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+        "ISC",
+    ),
+    (_BSD + _BSD_END, "BSD-2-Clause"),
+    (_BSD + "[[3]] neither the name of {{1 12}} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission " + _BSD_END, "BSD-3-Clause"),
     ("copyright [[c]] {{0 12}} all rights reserved", "all-rights-reserved"),
 ]
 _WORD_BYTES = np.ones(256, dtype=bool)
@@ -84,16 +114,16 @@ class Template:
                     todo.append(s)
         return seen
 
-    def accepts(self, words: list[str]) -> bool:
-        """Whether the wording stands at the start of ``words``."""
+    def accepts(self, words: Iterable[str]) -> int:
+        """How many of ``words``, from the first on, the wording takes; 0 if it doesn't stand there."""
         states = self._reach({0})
-        for word in words:
+        for k, word in enumerate(words):
             states = self._reach({n for s in states for w, n in self.moves[s] if w is None or w == word})
             if self.last in states:
-                return True
+                return k + 1
             if not states:
-                return False
-        return False
+                return 0
+        return 0
 
 
 def _places(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[bytes]) -> np.ndarray:
@@ -108,14 +138,14 @@ def _places(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: list[
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, hits array<struct<start, label, base>>`` for every row of ``docs``.
+    """``doc_id, n_words, hits array<struct<start, label, base, words>>`` for every row of ``docs``.
 
     Words are runs of ASCII letters, digits and anything beyond ASCII, A-Z lower-cased;
     ``start`` counts words from 0. ``base`` hits are places of ``phrases``, others of
-    ``templates``. A null text counts as empty. Repeated rows and null ids stay; an empty
+    ``templates``; ``words``: how many words were taken. A null text counts as empty. Repeated rows and null ids stay; an empty
     table gives an empty table; other columns are not read.
     """
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string()), ("base", pa.bool_())]))
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("label", pa.string()), ("base", pa.bool_()), ("words", pa.int64())]))
     wanted = [(phrase.split(), label) for phrase, label in phrases.items()]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,25 +166,27 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 rows = np.searchsorted(bounds, places, side="right") - 1
                 for place, row in zip(places.tolist(), rows.tolist(), strict=True):
                     stop = min(place + reach, int(bounds[row + 1]))
-                    words = [raw[x:y].decode() for x, y in zip(starts[place:stop].tolist(), ends[place:stop].tolist(), strict=True)]
-                    labels = [(label, True) for phrase, label in wanted if words[: len(phrase)] == phrase]
-                    labels += [(label, False) for m, label in machines if words[0] in m.first and m.accepts(words)]
-                    found[row] += [{"start": place - int(bounds[row]), "label": label, "base": base} for label, base in labels]
+                    first_word = raw[starts[place] : ends[place]].decode()
+                    words = lambda k=place, end=stop: (raw[starts[i] : ends[i]].decode() for i in range(k, end))
+                    labels = [(label, True, len(phrase)) for phrase, label in wanted if first_word == phrase[0] and list(islice(words(), len(phrase))) == phrase]
+                    labels += [(label, False, n) for m, label in machines if first_word in m.first and (n := m.accepts(words()))]
+                    found[row] += [{"start": place - int(bounds[row]), "label": label, "base": base, "words": n} for label, base, n in labels]
                 hits += found
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(hits, kind)], ["doc_id", "n_words", "hits"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, n_words long, hits array<struct<start: long, label: string, base: boolean>>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(task, "doc_id long, n_words long, hits array<struct<start: long, label: string, base: boolean, words: long>>")
 
 
 def license_labels(scanned: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score`` of ``scan_licenses``'s rows.
 
-    ``score``: 1 where a template accepts, 0.7 where only a base phrase stands, else 0.
+    ``score``: n / (n + 2) for the longest wording of n words that a template accepts, at
+    least n / (n + 4) for a base phrase, 0 without either.
     """
     base, every = F.filter("hits", lambda h: h["base"]), F.col("hits")
     names = lambda hits: F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
     places = F.transform(base, lambda h: h["start"])
     return scanned.select(
         "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(places).alias("first_word"), F.array_max(places).alias("last_word"), names(base).alias("base_labels"), names(every).alias("labels"),
-        F.when(F.exists("hits", lambda h: ~h["base"]), 1.0).when(F.size(base) > 0, 0.7).otherwise(0.0).alias("score"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["words"] / (h["words"] + F.when(h["base"], 4).otherwise(2)))), F.lit(0.0)).alias("score"),
     )

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and its edge cases, on small frames."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -255,7 +256,7 @@ def test_licenses(spark):
     got = {r.doc_id: r for r in licenses.license_labels(licenses.scan_licenses(frame(spark, rows))).collect()}
     for i, t in rows:
         assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == brute.op7_base(t or "")
-    assert "gpl-notice" in got[4].labels and got[6].labels == "" and got[5].score == 0.0
+    assert "GPL-notice" in got[4].labels and got[6].labels == "" and got[5].score == 0.0 and 0.7 < got[4].score < 1
 
 
 def test_licenses_at_the_start_of_a_row_after_a_word(spark):
@@ -263,7 +264,30 @@ def test_licenses_at_the_start_of_a_row_after_a_word(spark):
     got = {r.doc_id: r for r in licenses.license_labels(licenses.scan_licenses(spark.createDataFrame(rows, DOCS).coalesce(1))).collect()}
     for i, t in rows:
         assert (got[i].n_words, got[i].n_base, got[i].first_word, got[i].last_word, got[i].base_labels) == brute.op7_base(t)
-    assert got[2].n_base == got[4].n_base == 1 and got[6].score == 1.0 and got[8].n_base == got[9].n_base == 0
+    assert got[2].n_base == got[4].n_base == 1 and got[6].score > 0.7 and got[8].n_base == got[9].n_base == 0
+
+
+MIT = """Copyright (c) 2020 A. Nother
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_license_texts(spark):
+    """Accepted with other holders and without optional words, not with one mandatory word changed or missing."""
+    rows = [(1, MIT), (2, "x " * 500 + MIT + " y"), (3, MIT.replace("(the \"Software\")", "")), (4, MIT.replace("AUTHORS OR COPYRIGHT HOLDERS", "X CONSORTIUM")), (5, MIT.replace("sublicense,", "")), (6, MIT.replace("FITNESS FOR A", "SUITABILITY FOR A")), (7, MIT.replace("DEALINGS IN THE SOFTWARE", "DEALINGS IN THE")), (8, "Licensed under Creative Commons CC BY-SA 4.0"), (9, "Licensed under CC BY 4.0"), (10, "licensed under the GNU Affero General Public License, version 3"), (11, "words " * 9000)]
+    got = {r.doc_id: r.labels for r in licenses.license_labels(licenses.scan_licenses(frame(spark, rows))).collect()}
+    assert got == {1: "MIT", 2: "MIT", 3: "MIT", 4: "MIT", 5: "", 6: "", 7: "", 8: "CC-BY-SA-4.0-notice", 9: "CC-BY-4.0-notice", 10: "AGPL-notice", 11: ""}
+
+
+@pytest.mark.parametrize("markup,label", [x for x in licenses.TEMPLATES if len(x[0]) > 200])
+def test_every_mandatory_word_counts(markup, label):
+    plain = re.sub(r"\{\{\s*(\d+)\s+\d+\s*\}\}", lambda m: " ".join(["anyone"] * int(m[1])), re.sub(r"\[\[[^\]]*\]\]", "", markup)).split()
+    machine = licenses.Template(markup)
+    assert machine.accepts(plain) == len(plain)
+    for k, word in enumerate(plain):
+        if word != "anyone":
+            assert not machine.accepts([*plain[:k], "wrong", *plain[k + 1 :]])
 
 
 def test_template_regions():
