@@ -14,10 +14,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-from .bytespans import span_hashes, text_slices
+from .bytespans import distinct_spans, text_slices
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
@@ -73,13 +72,7 @@ class ByteBpe:
     def _slice(self, buf: np.ndarray, body: np.ndarray, off: np.ndarray) -> tuple[list[int], list[bytes], np.ndarray]:
         starts = pre_token_starts(body, off)
         ends = np.append(starts[1:], len(body))
-        hashes = span_hashes(buf, starts, ends)
-        codes, _ = pd.factorize(hashes)
-        first = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        head = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))[starts] << (np.uint64(8) * (8 - np.minimum(ends - starts, 8)).astype(np.uint64))
-        if (head != head[first][codes]).any() or ((ends - starts) != (ends - starts)[first][codes]).any():
-            first, codes = np.arange(len(starts)), np.arange(len(starts))  # two pre-tokens with one hash
+        codes, first = distinct_spans(buf, starts, ends)
         raw = body.tobytes()
         pool = [self.piece(raw[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         return codes.tolist(), pool, np.searchsorted(starts, off)

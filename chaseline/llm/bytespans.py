@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
@@ -72,3 +73,21 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         more = left > 8
         live, at, left = live[more], at[more] + 8, left[more] - 8
     return out
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's content, a span of each number). Spans of one hash are compared byte by byte, eight bytes a step.
+
+    Should two contents have one hash, every span gets a number of its own.
+    """
+    codes, _ = pd.factorize(span_hashes(buf, starts, ends))
+    first = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.int64)
+    first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    words = np.ndarray((len(buf) - 7,), dtype="<u8", buffer=buf, strides=(1,))
+    left, at, other = ends - starts, starts, starts[first][codes]
+    same = bool((left == (ends - starts)[first][codes]).all())
+    while same and len(at):
+        same = not ((words[at] ^ words[other]) & _MASKS[np.minimum(left, 8)]).any()
+        more = left > 8
+        left, at, other = left[more] - 8, at[more] + 8, other[more] + 8
+    return (codes, first) if same else (np.arange(len(starts)), np.arange(len(starts)))

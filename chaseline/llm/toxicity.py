@@ -17,12 +17,11 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytespans import lower_ascii, runs, span_hashes, text_slices
+from .bytespans import distinct_spans, lower_ascii, runs, text_slices
 from .shared import id_and_text
 
 #: Labelled rows learned from, at most: of each label, the first by a hash of the id.
@@ -72,9 +71,7 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[bytes]
         upper = (body[:-1] == 0xC3) & (body[1:] >= 0x80) & (body[1:] <= 0x9E) & (body[1:] != 0x97)
         body[1:][upper] += 0x20
         starts, ends = _windows(body, *runs(_LETTERS[body], off))
-        codes, _ = pd.factorize(span_hashes(buf, starts, ends))
-        rep = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.int64)
-        rep[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        codes, rep = distinct_spans(buf, starts, ends)
         raw = body.tobytes()
         yield first, last, codes, [raw[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)], np.searchsorted(starts, off)
 

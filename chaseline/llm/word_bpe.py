@@ -15,12 +15,11 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .byte_bpe import _KIND, _NUMBER, _SPACE, _odd_bytes, _rows_with
-from .bytespans import lower_ascii, span_hashes, text_slices
+from .bytespans import distinct_spans, lower_ascii, text_slices
 from .shared import id_and_text
 
 CACHE_ENTRIES = 250_000
@@ -144,9 +143,7 @@ class WordBpe:
         ends = np.append(starts[1:], len(body)) if len(starts) else starts
         words = kind[starts] != _SPACE
         starts, ends = starts[words], ends[words]
-        codes, _ = pd.factorize(span_hashes(buf, starts, ends))
-        rep = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.int64)
-        rep[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        codes, rep = distinct_spans(buf, starts, ends)
         raw = body.tobytes()
         letters = raw.decode("latin-1").translate(self.letters)
         pool = [self.piece(letters[a:b]) for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)]

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chaseline.llm import bin_genes, chat_format, components, fingerprints, licenses, near_dups, packing, posting_lists, registry, secret_scans, toxicity, url_rules, word_bpe
+from chaseline.llm import bin_genes, bytespans, chat_format, components, fingerprints, licenses, near_dups, packing, posting_lists, registry, secret_scans, toxicity, url_rules, word_bpe
 from tests.llm import brute
 
 DOCS = "doc_id long, text string"
@@ -128,6 +128,17 @@ def test_conversations(spark):
     assert got == brute.op1(rows)
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_spans_of_one_hash_are_compared(monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(bytespans, "span_hashes", lambda buf, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    for words in (["ab", "ab", "ab"], ["abcdefghijklmnopqrs", "abcdefghijklmnopqrx", "abcdefghijklmnopqrs"], ["a", "b", "aa"], []):
+        raw = "".join(words).encode()
+        ends = np.cumsum([len(w) for w in words]).astype(np.int64)
+        codes, rep = bytespans.distinct_spans(np.frombuffer(raw + bytes(8), dtype=np.uint8).copy(), ends - [len(w) for w in words], ends)
+        assert [words[rep[c]] for c in codes] == words
+
+
 def test_word_bpe_equals_the_library(spark):
     rows = [(i, t) for i, (_, t) in enumerate(ODD)] + [(50, "ΑΣ É\u0301 İ ǅ ½ x²"), (51, "a<|startoftext|>B <|endoftext|>"), (52, "It's we'll 'tis \u00a0 \x85 z")]
     coded = word_bpe.encode_decode(frame(spark, rows), registry.vocabulary("word_bpe_49k.json"))
