@@ -1,11 +1,11 @@
 """Toxicity by compression distance (operator 10).
 
-Two zstandard dictionaries are made from labelled text: one of the words that toxic
-documents hold far more often, one of the commonest words of ordinary documents. A window
-is one word between two copies of a fixed carrier that both dictionaries hold; so every
-window is long enough to be compressed, and the two lengths differ by what the word alone
-costs. A document's score comes from the distribution of its windows' differences, by a
-logistic calibration on labelled documents.
+Two zstandard dictionaries are trained by the library on labelled text: one on samples of
+what toxic documents hold far more often than others, one on samples of ordinary wording.
+A window is one word between two copies of a fixed carrier that both dictionaries hold; so
+every window is long enough to be compressed, and the two lengths differ by what the word
+alone costs. A document's score comes from the distribution of its windows' differences,
+by a logistic calibration on labelled documents.
 
 Only words are inputs: no label, language, source or id.
 """
@@ -26,11 +26,13 @@ from .shared import id_and_text
 
 #: Labelled rows learned from, at most: of each label, the first by a hash of the id.
 MOST_TOXIC, MOST_ORDINARY = 5_000, 15_000
-#: Words of each dictionary; a toxic word's rate among toxic documents is RATIO times that among others.
-TOXIC_WORDS, ORDINARY_WORDS, RATIO = 600, 3_000, 30.0
-#: A toxic word stands in this share of toxic documents, and in three of them, at least.
-LEAST_SHARE = 0.005
-ORDINARY_BYTES, LONGEST_WORD = 16_384, 64
+#: A word is sampled for the toxic dictionary if its rate among toxic documents is RATIO times that among others,
+#: and if it stands in this share of toxic documents, and in three of them, at least.
+RATIO, LEAST_SHARE = 30.0, 0.005
+#: Bytes of each dictionary, samples that it is trained on, words of a sample, and the most words that are drawn from, the weightiest first.
+TOXIC_BYTES, ORDINARY_BYTES = 4_096, 112_640
+TOXIC_SAMPLES, ORDINARY_SAMPLES, SAMPLE_WORDS, DRAWN_FROM = 6_000, 60_000, 8, 20_000
+LONGEST_WORD = 64
 HELD_OUT = 2
 THRESHOLD = 0.3
 _CARRIER = b"0123456789=ABCDEFGHIJKLMNOPQRSTUVWXYZ=+-*/\"\n"
@@ -76,6 +78,23 @@ def _words(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list[bytes]
         yield first, last, codes, [raw[a:b] for a, b in zip(starts[rep].tolist(), ends[rep].tolist(), strict=True)], np.searchsorted(starts, off)
 
 
+def trained(words: list[tuple[bytes, float]], size: int, samples: int, seed: int = 5) -> bytes:
+    """A dictionary of at most ``size`` bytes that zstandard trains on samples of ``words``, drawn in proportion to their weights.
+
+    Few words have too little text to train on; then they are the dictionary themselves.
+    """
+    import zstandard as z
+
+    if not words:
+        return b""
+    share = np.array([n for _, n in words], dtype=float)
+    picks = np.random.default_rng(seed).choice(len(words), size=(samples, SAMPLE_WORDS), p=share / share.sum())
+    try:
+        return z.train_dictionary(size, [b" " + b" ".join(words[k][0] for k in row) + b" " for row in picks.tolist()]).as_bytes()
+    except z.ZstdError:
+        return (b" " + b" ".join(w for w, _ in reversed(words)) + b" ")[-size:]
+
+
 @dataclass(frozen=True)
 class Model:
     """Dictionaries and calibration; without any toxic word, all scores are ``prior``."""
@@ -201,12 +220,11 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return Model(prior=float(total is not None and total["toxic"] > 0))
     rate, usual = F.col("toxic") / total["toxic"], (F.col("ordinary") + 0.5) / total["ordinary"]
     telling = (F.col("toxic") >= max(3, LEAST_SHARE * total["toxic"])) & (rate >= RATIO * usual) & (F.length("word") > 0)
-    weight = (F.col("toxic") * F.log(rate / usual)).alias("weight")
-    toxic = [bytes(r["word"]) for r in counted.filter(telling).orderBy(weight.desc(), "word").limit(TOXIC_WORDS).collect()]
-    ordinary = [bytes(r["word"]) for r in counted.filter(~telling & (F.length("word") > 0)).orderBy(F.desc("ordinary"), "word").limit(ORDINARY_WORDS).collect()]
+    drawn = lambda rows, weight: [(bytes(r["word"]), r["n"]) for r in rows.select("word", weight.cast("double").alias("n")).orderBy(F.desc("n"), "word").limit(DRAWN_FROM).collect()]
+    toxic = drawn(counted.filter(telling), F.col("toxic") * F.log(rate / usual))
+    ordinary = drawn(counted.filter(~telling & (F.length("word") > 0)), F.col("toxic") + F.col("ordinary"))
     counted.unpersist()
-    written = [b" " + b" ".join(reversed(x)) + b" " for x in (toxic, ordinary)]  # the weightiest words stand nearest
-    model = Model(written[0], written[1][-ORDINARY_BYTES:])
+    model = Model(trained(toxic, TOXIC_BYTES, TOXIC_SAMPLES), trained(ordinary, ORDINARY_BYTES, ORDINARY_SAMPLES))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = _distance(model.toxic, model.ordinary)

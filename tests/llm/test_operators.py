@@ -314,6 +314,29 @@ def test_urls(spark):
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out} == {i: brute.op9(u) for i, u in rows}
 
 
+def test_a_window_is_measured_as_by_plain_compression():
+    """A word's difference is that of the lengths of its window under both trained dictionaries."""
+    import zstandard as z
+
+    dice = random.Random(1)
+    plain = [("".join(dice.choice("abcdefghij") for _ in range(7)).encode(), 1 + k) for k in range(200)]
+    foul = [(w, 5) for w in (b"nastyword", b"vileterm", b"foulname")]
+    model = toxicity.Model(toxicity.trained(foul, 2048, 4000), toxicity.trained(plain, 4096, 4000))
+    assert len(model.toxic) > 300 and b"nastyword" in model.toxic and b"nastyword" not in model.ordinary
+    assert toxicity.trained([], 100, 10) == b"" and toxicity.trained([(b"one", 1)], 100, 1) == b" one "
+    distance = toxicity._Distance(model.toxic, model.ordinary)
+
+    def length(content, window):
+        how = z.ZstdCompressionParameters(format=z.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_dict_id=0, strategy=z.STRATEGY_LAZY, window_log=17, hash_log=17, chain_log=17, search_log=6, min_match=5, target_length=16)
+        return len(z.ZstdCompressor(compression_params=how, dict_data=z.ZstdCompressionDict(content + toxicity._CARRIER, dict_type=z.DICT_TYPE_RAWCONTENT)).compress(window))
+
+    blank = length(model.ordinary, toxicity._CARRIER * 2) - length(model.toxic, toxicity._CARRIER * 2)
+    for word in (b"nastyword", plain[150][0], b"unseen", "w\u00f6rter".encode()):
+        window = toxicity._CARRIER + b" " + word + b" " + toxicity._CARRIER
+        assert distance.of(word) == length(model.ordinary, window) - length(model.toxic, window) - blank
+    assert distance.of(b"nastyword") >= 3 > 0 >= distance.of(plain[199][0])
+
+
 def test_toxicity_learns_and_is_held_out_of_some_rows(spark):
     dice = random.Random(3)
     plain = ["".join(dice.choice("abcdefghij") for _ in range(6)) for _ in range(80)]
