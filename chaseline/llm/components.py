@@ -28,7 +28,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         out = join_sums(down, least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter("u != v").distinct()
+    out = out.filter("u != v")
+    return out if large else out.distinct()
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

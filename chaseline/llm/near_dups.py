@@ -37,8 +37,9 @@ SLACK = 0.2
 #: Cells of the fixed-size count table that orders values by frequency; any order gives right results.
 CELLS = 1 << 18
 FILTER_CELLS = 1 << 20
-#: How often lists of several components get further heads, as long as one in YIELD pairs is a link; any numbers give right results.
-TURNS, YIELD = 4, 50
+#: How often lists of several components get further heads, as long as one in YIELD pairs is a link and the lists have
+#: PAIRS times as many pairs across components as members; any numbers give right results.
+TURNS, YIELD, PAIRS = 4, 50, 16
 #: Words of 64 bits in the parity map of a full set; any number gives right results.
 PARITY_WORDS = 8
 
@@ -345,17 +346,22 @@ def _named_classes(docs: DataFrame, words: int, percent: int, k: int, id_col: st
     labels = components(links)
 
     # Lists whose members are not yet one component: more heads, then pairs across components.
-    for turn in range(TURNS):
-        pairs = cut(_estimated(_further_pairs(_labelled(members, labels), percent, turn), dense, k, percent))
+    for turn in range(TURNS + 1):
+        marked = _labelled(members, labels)
+        lists = cut(marked.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("size"), F.max("c").alias("most")).filter("most < size and size > 2"))  # two members have met
+        held, across = lists.agg(F.sum("size"), F.sum(F.expr("(size - most) * size"))).first()
+        if turn == TURNS or not held or across <= PAIRS * held:
+            break
+        pairs = cut(_estimated(_further_pairs(marked, percent, turn), dense, k, percent))
         more = cut(_confirmed(pairs, sets, percent))
-        found_now = more.count()
-        if found_now:
+        gained = more.count()
+        if gained:
             links = links.unionByName(more)
             labels = components(links)
-        if found_now * YIELD < pairs.count() or not found_now:
+        if gained * YIELD < pairs.count() or not gained:
+            marked = _labelled(members, labels)
             break
-    marked = _labelled(members, labels)
-    split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2").select("value")  # two members have met
+    split = lists.select("value")
     open_ = marked.join(split, "value").select("cid", "label").distinct()
     extra = cut(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
     if not extra.isEmpty():
