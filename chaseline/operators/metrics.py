@@ -56,7 +56,7 @@ def murphy_gap(parts: DataFrame, worse: str, better: str) -> DataFrame:
 def markov_predictions(balls: DataFrame) -> DataFrame:
     """``model, split, match_id, ball_index, phase, w, rrr, p, y`` of the base and the cell model and the constant rate."""
     train = balls.filter("split = 'train'").withColumn("weight", F.lit(1.0))
-    grids = outcomes.flat_grid(train).select(F.lit("base Markov").alias("model"), "cell_id", "p").unionByName(outcomes.full_grid(train).select(F.lit("RRR Markov").alias("model"), "cell_id", "p"))
+    grids = outcomes.grid_of("base", train).select(F.lit("base Markov").alias("model"), "cell_id", "p").unionByName(outcomes.grid_of("rrr", train).select(F.lit("RRR Markov").alias("model"), "cell_id", "p"))
     surface = winprob.solve(grids, winprob.greatest_r(balls), ("model",))
     columns = ["model", "split", "match_id", "ball_index", "phase", "w", "b", "r", "rrr", "p", "y"]
     models = winprob.with_wp(balls.crossJoin(F.broadcast(grids.select("model").distinct())), surface, ("model",)).withColumnRenamed("wp", "p")

@@ -410,7 +410,7 @@ def icc(spark, d):
 
 
 _SHUFFLE = {
-    "copies": f"SELECT *, row_number() OVER (PARTITION BY rep, match_id ORDER BY ball_index) AS k, row_number() OVER (PARTITION BY rep, match_id ORDER BY h, ball_index) AS d FROM (SELECT *, {draw('h', 'match_id', 'rep', 'ball_index')} FROM resid, range({PERMUTATIONS}) t(rep))",
+    "copies": f"SELECT rep, match_id, ball_index, part, runs, wkt, row_number() OVER (PARTITION BY rep, match_id ORDER BY ball_index) AS k, row_number() OVER (PARTITION BY rep, match_id ORDER BY h, ball_index) AS d FROM (SELECT *, {draw('h', 'match_id', 'rep', 'ball_index')} FROM resid, range({PERMUTATIONS}) t(rep))",
     "mixed": "SELECT a.rep, a.match_id, a.ball_index, a.part, b.runs, b.wkt FROM copies a JOIN copies b ON a.rep = b.rep AND a.match_id = b.match_id AND a.k = b.d",
     "nulls": profile("mixed", "rep"),
     "seen": profile("resid"),
@@ -449,7 +449,7 @@ _BOOT = {
     "with_era": _ERA_HELD,
     "deltas": " UNION ALL ".join(f"SELECT '{a} / {b}' AS pair, match_id, v.ll - u.ll AS delta FROM (SELECT match_id, ball_index, {_LL} AS ll FROM with_era WHERE model = '{a}') u JOIN (SELECT match_id, ball_index, {_LL} AS ll FROM with_era WHERE model = '{b}') v USING (match_id, ball_index)" for a, b in _MARKOV_PAIRS),
     "sums": "SELECT pair, match_id, sum(delta) AS s, count(*) AS c, row_number() OVER (PARTITION BY pair ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY pair) AS m FROM deltas GROUP BY pair, match_id",
-    "slots": f"SELECT pair, m, rep, {draw('h', '0', name_key('pair'), 'rep', 'k')} FROM sums, range({REPLICATES}) z(rep)",
+    "slots": f"SELECT pair, m, rep, h FROM (SELECT pair, m, rep, {draw('h', '0', name_key('pair'), 'rep', 'k')} FROM sums, range({REPLICATES}) z(rep))",
     "boot": "SELECT x.pair, rep, sum(t.s) / sum(t.c) AS mean FROM slots x JOIN sums t ON x.pair = t.pair AND t.k = x.h % x.m GROUP BY ALL",
 }
 
@@ -478,7 +478,7 @@ _SIDES = {"batter": "bat", "bowler": "bowl"}
 _PLAYER_BOOT = {
     "psums": " UNION ALL ".join(f"SELECT '{who}' AS side, {who} AS player, match_id, count(*) AS c, sum(li) AS s_li, sum(wpa_{x}_dd) AS s_dd, sum(CASE WHEN li >= 2 THEN wpa_{x}_dd ELSE 0 END) AS s_hi, count(*) FILTER (li >= 2) AS c_hi FROM credited GROUP BY ALL" for who, x in _SIDES.items()),
     "pnum": f"SELECT *, row_number() OVER (PARTITION BY side, player ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY side, player) AS m FROM (SELECT *, sum(c) OVER (PARTITION BY side, player) AS balls FROM psums) WHERE balls >= {LEAST_BALLS}",
-    "pslots": f"SELECT side, player, balls, m, rep, {draw('h', '0', name_key('side', 'player', 'balls::BIGINT'), 'rep', 'k')} FROM pnum, range({PLAYER_REPLICATES}) z(rep)",
+    "pslots": f"SELECT side, player, balls, m, rep, h FROM (SELECT side, player, balls, m, rep, {draw('h', '0', name_key('side', 'player', 'balls::BIGINT'), 'rep', 'k')} FROM pnum, range({PLAYER_REPLICATES}) z(rep))",
     "pboot": "SELECT x.side, x.player, x.balls, rep, sum(s_li) / sum(c) AS li, x.balls * sum(s_dd) / sum(c) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pslots x JOIN pnum t ON x.side = t.side AND x.player = t.player AND x.h % x.m = t.k GROUP BY x.side, x.player, x.balls, rep",
     "pci": "SELECT side, player, max(balls)::BIGINT AS balls, " + ", ".join(f"quantile_cont({n}, {q}) AS {n}_{e}" for n in ("li", "total", "split") for q, e in ((0.025, "lo"), (0.975, "hi"))) + ", count(*) FILTER (split IS NULL) AS degenerate FROM pboot GROUP BY side, player",
     "ppoints": "SELECT side, player, sum(s_li) / sum(c) AS li, sum(s_dd) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pnum GROUP BY side, player",

@@ -25,8 +25,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder named in ``spark.checkpoint.dir``; only where that is unset, to a temporary one."""
+    """``df`` written once to the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder is set on a local master, as in tests; on any
+    other it raises, for executors don't see each other's disks.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="chaseline-"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chaseline-"))
     return df.checkpoint()
