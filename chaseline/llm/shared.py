@@ -1,28 +1,16 @@
-"""What the operators share: durable cuts of the lineage and small column helpers."""
+"""What the operators share: settings, names and small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder is set on a local master, as in tests; on any
-    other it raises, for executors don't see each other's disks.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        if not named and not context.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="chaseline-"))
-    return df.checkpoint()
+__all__ = ["cut", "free_names", "id_and_text", "setting", "table"]
 
 
 @contextmanager
