@@ -50,7 +50,7 @@ def wide(docs):
 def test_toxicity_keeps_columns_and_clean_rows(spark, corpus):
     folder, rows = corpus
     docs = wide(shared.table(spark, folder, "documents"))
-    out = STAGES["toxicity"](spark, docs, folder)
+    out = shared.cut(STAGES["toxicity"](spark, docs, folder))
     assert out.dtypes == docs.dtypes
     assert within(out, docs)
     kept = sorted((str(r.doc_id), str(r.text)) for r in out.collect() if r.doc_id is None or r.doc_id >= 120)
@@ -62,7 +62,7 @@ def test_toxicity_keeps_columns_and_clean_rows(spark, corpus):
 def test_near_duplicates_keep_columns_and_one_of_each_group(spark, corpus):
     folder, rows = corpus
     docs = wide(shared.table(spark, folder, "documents"))
-    out = STAGES["minhash_near_dups"](spark, docs, folder)
+    out = shared.cut(STAGES["minhash_near_dups"](spark, docs, folder))
     assert out.columns == docs.columns and within(out, docs)
     want = {(str(i), t) for (i, t), (_, _, c) in zip(rows, brute.near_dups(rows, 5), strict=True) if c == i}
     assert {(str(r.doc_id), r.text) for r in out.collect()} == want
@@ -72,7 +72,7 @@ def test_near_duplicates_keep_columns_and_one_of_each_group(spark, corpus):
 def test_secrets_are_replaced_and_columns_stay(spark, corpus):
     folder, rows = corpus
     docs = wide(shared.table(spark, folder, "documents"))
-    out = STAGES["secret_scans"](spark, docs, folder)
+    out = shared.cut(STAGES["secret_scans"](spark, docs, folder))
     assert out.columns == docs.columns and out.count() == len(rows)
     assert within(out.drop("text", "n_chars"), docs.drop("text", "n_chars"))
     row = out.filter("doc_id = 400").first()
