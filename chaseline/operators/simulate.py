@@ -229,6 +229,27 @@ def over_seeds(gap_rows: DataFrame) -> DataFrame:
     return by.withColumn("best", F.col("mean") == F.min("mean").over(Window.partitionBy()))
 
 
+def claims(gap_rows: DataFrame) -> DataFrame:
+    """One row that reads ``gaps`` over the seeds.
+
+    ``best_block``: the block length of least mean gap; ``closed``: the share of single-ball
+    blocks' gap that it closes; ``seeds_in_order``: seeds in which blocks of 20 beat blocks
+    of 40; ``separated``: whether the best mean is below every seed's single-ball gap;
+    ``resolved``: both, by a majority of seeds; ``scattered_share``: the part of the best
+    blocks' closure that scattered donors reproduce.
+    """
+    mode = lambda name, k: (F.col("mode") == name) & (F.col("block") == k)
+    pick = lambda where: F.max(F.when(where, F.col("mean_gap")))
+    seeds = gap_rows.groupBy("seed").agg(pick(mode("block", 1)).alias("one"), pick(mode("block", 20)).alias("k20"), pick(mode("block", 40)).alias("k40"), pick(mode("scattered", SCATTERED_K)).alias("scattered"))
+    sums = seeds.agg(F.count("*").alias("seeds"), F.count_if(F.col("k20") < F.col("k40")).alias("seeds_in_order"), F.min("one").alias("least_one"), F.avg("one").alias("mean_one"), F.avg("scattered").alias("mean_scattered"))
+    means = gap_rows.filter("mode = 'block'").groupBy("block").agg(F.avg("mean_gap").alias("mean"))  # a row a length
+    best = means.agg(F.min(F.struct("mean", "block")).alias("best")).select(F.col("best.block").alias("best_block"), F.col("best.mean").alias("best_gap"))
+    gained = F.col("mean_one") - F.col("best_gap")
+    rows = sums.crossJoin(best).withColumns({"closed": F.try_divide(gained, F.col("mean_one")), "separated": F.col("best_gap") < F.col("least_one"), "scattered_share": (F.col("mean_one") - F.col("mean_scattered")) / F.greatest(gained, F.lit(1e-12))})
+    resolved = (2 * F.col("seeds_in_order") > F.col("seeds")) & F.col("separated")
+    return rows.select("best_block", "closed", "seeds", "seeds_in_order", "separated", resolved.alias("resolved"), "scattered_share")
+
+
 def fidelity(simulated: DataFrame) -> DataFrame:
     """Total variation of each mode's outcome shares from those of single-ball blocks, the greatest over the seeds."""
     k = range(8)

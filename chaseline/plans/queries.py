@@ -745,11 +745,21 @@ def simulated(spark: SparkSession, d: str) -> DataFrame:
     return simulate.simulate(simulate.seeded_states(table, SEEDS), table, grid, SEEDS)
 
 
+def _gaps(spark: SparkSession, d: str) -> DataFrame:
+    exact = train(spark, d).groupBy(chase.slice_left_closed("rrr").alias("slice")).agg(F.avg(F.col("y").cast("double")).alias("win_rate"))
+    return simulate.gaps(simulated(spark, d), exact)
+
+
 @query()
 def block_sim(spark, d):
     """Gap of each mode's simulated win rates, over the seeds."""
-    exact = train(spark, d).groupBy(chase.slice_left_closed("rrr").alias("slice")).agg(F.avg(F.col("y").cast("double")).alias("win_rate"))
-    return r6(simulate.over_seeds(simulate.gaps(simulated(spark, d), exact)))
+    return r6(simulate.over_seeds(_gaps(spark, d)))
+
+
+@query()
+def block_claims(spark, d):
+    """What the gaps say about block lengths, over the seeds."""
+    return r6(simulate.claims(_gaps(spark, d)))
 
 
 @query()

@@ -257,6 +257,14 @@ def test_next_state(spark):
     assert [tuple(r) for r in rows.select(*(c.alias(n) for n, c in chase.transition("outcome").items())).collect()] == [(9, 4, 20), (9, 5, 16)]
 
 
+def test_claims_about_block_lengths(spark):
+    gaps = {("block", 1): [0.5, 0.6], ("block", 20): [0.2, 0.3], ("block", 40): [0.3, 0.2], ("scattered", 20): [0.4, 0.5]}
+    rows = [(seed, mode, block, gap) for (mode, block), own in gaps.items() for seed, gap in enumerate(own)]
+    row = simulate.claims(spark.createDataFrame(rows, "seed int, mode string, block int, mean_gap double")).first()
+    assert (row.best_block, row.seeds, row.seeds_in_order, row.separated, row.resolved) == (20, 2, 1, True, False)
+    assert abs(row.closed - 6 / 11) < 1e-9 and abs(row.scattered_share - 1 / 3) < 1e-9
+
+
 def test_each_seed_samples_states_of_its_own(spark):
     balls = spark.createDataFrame([(m, i, 120 - i, 10, 100, 6.0 + m % 3) for m in range(40) for i in range(20)], "match_id long, ball_index int, b int, w int, r int, rrr double")
     got = {}
