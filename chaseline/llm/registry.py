@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, fingerprints, licenses, near_dups, packing, posting_lists, secret_scans, toxicity, twins, url_rules, word_bpe
+from . import chat_format, filter_audit, fingerprints, licenses, near_dups, packing, posting_lists, secret_scans, substring_dedup, toxicity, twins, url_rules, whitening, word_bpe
 from .shared import table
 
 #: Special tokens of the byte-level vocabulary.
@@ -76,11 +76,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("left_text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_chat_formatting, op2_minhash_near_dups, op3_bpe_round_trip, op4_document_fingerprints, op5_posting_list_search, op6_secret_scans, op7_license_scans, op8_best_fit_packing, op9_url_filters, op10_toxicity)
+    every = (op1_chat_formatting, op2_minhash_near_dups, op3_bpe_round_trip, op4_document_fingerprints, op5_posting_list_search, op6_secret_scans, op7_license_scans, op8_best_fit_packing, op9_url_filters, op10_toxicity, op11_substring_dedup, op12_filter_audit, op13_embedding_whitening)
     return {query.__name__: query for query in every}
 
 
 def oracle_sql() -> dict[str, str]:
     """Twins of whole queries; the others return token ids, hashes or a method's own findings, which SQL can't give."""
-    return {"op1_chat_formatting": twins.chat(ODD_TEXT), "op2_minhash_near_dups": twins.near_copies(4), "op9_url_filters": twins.urls(url_rules.RULES)}
+    return {"op1_chat_formatting": twins.chat(ODD_TEXT), "op2_minhash_near_dups": twins.near_copies(4), "op9_url_filters": twins.urls(url_rules.RULES), "op12_filter_audit": twins.filter_orders()}

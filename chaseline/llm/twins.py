@@ -46,3 +46,44 @@ def urls(rules: list[tuple[str, str, str]], otherwise: str = "allow") -> str:
     rules(verdict, rule_host, rule_path) AS (VALUES {values})
     SELECT page_id, host, path, best.rule, coalesce(best.verdict, '{otherwise}') AS verdict FROM (
         SELECT page_id, host, path, (SELECT arg_max({{'rule': rule_host || rule_path, 'verdict': verdict}}, length(rule_host || rule_path)) FROM rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best FROM parts)"""
+
+
+def filter_orders() -> str:
+    """Twin of operator 12: failures a document, then every order of the filters, counted step by step."""
+    tests = {
+        "A": "len(ws) < 100",
+        "B": "100 * len(list_distinct(ws)) < 80 * len(ws)",
+        "C": "100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t)",
+        "D": "regexp_matches(t, '[#$%&*|]')",
+        "E": "least < doc_id",
+    }
+    flags = ", ".join(f"({test})::INT AS {name}" for name, test in tests.items())
+    fails = "CASE f " + " ".join(f"WHEN '{name}' THEN {name}" for name in tests) + " END"
+    return f"""
+        WITH RECURSIVE texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least,
+                regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws
+            FROM documents
+        ),
+        marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+        rows AS (SELECT part, {flags}, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic, count(*) AS n FROM texts LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+        orders AS (
+            SELECT '' AS o UNION ALL
+            SELECT o || f FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) WHERE NOT contains(o, f)
+        ),
+        steps AS (SELECT o, k AS step, o[k] AS f FROM orders, range(1, 6) u(k) WHERE length(o) = 5),
+        judged AS (
+            SELECT part, o, step, f, n, good, toxic, {fails} = 1 AS bad, A + B + C + D + E AS failed,
+                {" + ".join(f"(strpos(o, '{name}') < step)::INT * {name}" for name in tests)} > 0 AS gone
+            FROM rows, steps
+        ),
+        counted AS (
+            SELECT part, o AS filter_order, step, f, coalesce(sum(n) FILTER (NOT gone AND NOT bad), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND bad), 0) AS removed,
+                coalesce(sum(n) FILTER (gone AND bad), 0) AS redundant, coalesce(sum(n) FILTER (bad AND failed = 1), 0) AS unique_fails,
+                coalesce(sum(n) FILTER (NOT gone AND bad AND good = 1), 0) AS good_lost, coalesce(sum(n) FILTER (NOT gone AND bad AND toxic = 1), 0) AS toxic_lost
+            FROM judged GROUP BY ALL
+        )
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+            good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+        FROM counted
+    """
