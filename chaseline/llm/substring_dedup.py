@@ -29,7 +29,7 @@ from .shared import id_and_text
 WINDOW, ANCHOR = 13, 4
 #: Bytes of text a shard is meant for, and of texts a task gathers before it sends segments.
 SHARD_BYTES, SLICE_BYTES = 8 << 20, 16 << 20
-_HITS = "doc_id long, text_key long, first int, last int"
+_HITS = "doc_id long, text_key int, first int, last int"
 
 
 def _single_spaced(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,7 +50,10 @@ def _single_spaced(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _segments(buf: np.ndarray, off: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Of each segment: row, number of its first word in the row, number of words, first and last byte, hash of its anchor."""
+    """Of each segment: row, number of its first word in the row, number of words, first and last byte, hash of its anchor.
+
+    The last 32 bits of that hash are enough to tell most segments that are alone in their shard.
+    """
     text = buf[: off[-1]]
     starts, ends = runs(text != 32, off)
     anchor = min(ANCHOR, window)
@@ -92,14 +95,14 @@ _HEAD = struct.Struct("<4q")
 
 
 def _packed(packer, ids, keys, place, count, anchors, text: bytes, told: tuple[np.ndarray, ...]) -> bytes:
-    parts = [ids.astype("<i8"), keys.astype("<i8"), anchors.astype("<u8"), place.astype("<i4"), count.astype("<i4"), *(x.astype(t) for x, t in zip(told, ("<i8", "<i8", "<i4", "<i4"), strict=True))]
+    parts = [ids.astype("<i8"), keys.astype("<i4"), anchors.astype("<u4"), place.astype("<i4"), count.astype("<i4"), *(x.astype(t) for x, t in zip(told, ("<i8", "<i4", "<i4", "<i4"), strict=True))]
     return packer.compress(_HEAD.pack(len(ids), len(told[0]), len(text), 0) + b"".join(x.tobytes() for x in parts) + text)
 
 
 def _unpacked(blob: bytes) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     n, told, size, _ = _HEAD.unpack_from(blob)
     at, out = _HEAD.size, []
-    for k, kind in ((n, "<i8"), (n, "<i8"), (n, "<u8"), (n, "<i4"), (n, "<i4"), (told, "<i8"), (told, "<i8"), (told, "<i4"), (told, "<i4")):
+    for k, kind in ((n, "<i8"), (n, "<i4"), (n, "<u4"), (n, "<i4"), (n, "<i4"), (told, "<i8"), (told, "<i4"), (told, "<i4"), (told, "<i4")):
         out.append(np.frombuffer(blob, kind, k, at))
         at += out[-1].nbytes
     return out[:5], out[5:], np.frombuffer(blob, np.uint8, size, at)
@@ -239,18 +242,18 @@ def _finder(window: int):
 
 
 def _hits(ids, keys, first, last) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x), kind) for x, kind in zip((ids, keys, first, last), kinds, strict=True)], ["doc_id", "text_key", "first", "last"])
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, shards: int | None = None) -> DataFrame:
     """``doc_id, text_key, first, last``: word ranges [first, last) that windows of smaller ids cover; ranges may overlap.
 
-    ``text_key`` is the ``xxhash64`` of the text and tells rows of one id apart; such rows
+    ``text_key``, a 32-bit hash of the text, tells rows of one id apart; such rows
     take nothing from each other. Rows with a null id or text and texts of fewer words than
     a window give no rows.
     """
-    rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    rows = id_and_text(docs, id_col, text_col).filter("doc_id is not null").select("doc_id", F.hash("text").alias("text_key"), "text")
     if shards is None:
         shards = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES
     sent = rows.mapInArrow(_sender(shards, window), "shard int, payload binary")
@@ -291,7 +294,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others; rows of one id, equal or not, take nothing from each other; an empty table gives
     an empty table. Columns named in ``keep`` come back as ``kept_*``, whatever their names.
     """
-    rows = id_and_text(docs, id_col, text_col, keep=keep).withColumn("text_key", F.xxhash64("text"))
+    rows = id_and_text(docs, id_col, text_col, keep=keep).withColumn("text_key", F.hash("text"))
     spans = repeated_spans(docs, id_col, text_col, window, shards).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     joined = rows.join(spans, ["doc_id", "text_key"], "left").drop("text_key")
     joined = joined.withColumn("spans", F.coalesce("spans", F.expr("array()").cast("array<struct<first:int,last:int>>")))
