@@ -112,11 +112,34 @@ def closure(table: DataFrame, before: str, after: list[str], floor: str) -> Data
 
 
 def ahead_behind(predictions: DataFrame) -> DataFrame:
-    """Calibration of balls ahead of and behind the required rate; ``above``: share of bins whose outcome is over the prediction."""
+    """Calibration of balls ahead of and behind the required rate, with mean prediction and outcome; ``above``: share of bins whose outcome is over the prediction."""
     target = F.max("r").over(Window.partitionBy("model", "match_id"))
     marked = predictions.withColumn("target", target).withColumn("ahead", chase.ahead_of_rate("target"))
     curve = reliability(marked, ["model", "ahead"])
-    return curve.groupBy("model", "ahead").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")).alias("ece"), F.avg((F.col("acc") > F.col("conf")).cast("double")).alias("above"))
+    mean = lambda c: F.sum(F.col("n") * F.col(c)) / F.sum("n")
+    gap = F.sum(F.col("n") * F.abs(F.col("conf") - F.col("acc"))) / F.sum("n")
+    return curve.groupBy("model", "ahead").agg(F.sum("n").alias("n"), mean("conf").alias("mean_pred"), mean("acc").alias("actual"), gap.alias("ece"), F.avg((F.col("acc") > F.col("conf")).cast("double")).alias("above"))
+
+
+#: How far the gap must shrink off the last seasons, and how much of it recalibration must close, to decide.
+SHRINK_FLOOR, CLOSED_FLOOR = 0.25, 0.75
+
+
+def recommendation(slices: DataFrame, gaps: DataFrame, splits: DataFrame, closed: DataFrame, model: str) -> DataFrame:
+    """One row: the conditions on ``model``'s error and the first rule that holds, of an era adjustment, recalibration and a hidden state.
+
+    ``slices``: ``ahead_behind``; ``gaps``: ``split_gap``; ``splits``: a column ``shrink``;
+    ``closed``: ``closure``. A figure that is null, or a slice that is missing, meets no condition.
+    """
+    under = F.col("actual") > F.col("mean_pred")
+    one = slices.filter(F.col("model") == model).agg((F.coalesce(F.bool_and(under), F.lit(False)) & (F.count_distinct("ahead") == 2)).alias("both_under"))
+    shares = gaps.filter(F.col("model") == model).agg(F.max("memoryless_share").alias("memoryless_share"), F.max("shift_share").alias("shift_share"))
+    shrink, close = splits.agg(F.max("shrink").alias("shrink")), closed.agg(F.max("closed").alias("closed"))
+    row = one.crossJoin(shares).crossJoin(shrink).crossJoin(close)  # single rows
+    holds = lambda c: F.coalesce(c, F.lit(False))
+    row = row.withColumns({"shrinks": holds(F.col("shrink") > SHRINK_FLOOR), "shift_leads": holds(F.col("shift_share") >= F.col("memoryless_share")), "recalibrates": holds(F.col("closed") >= CLOSED_FLOOR)})
+    rules = F.when(F.col("both_under") & F.col("shrinks") & F.col("shift_leads"), "era adjustment").when(F.col("recalibrates"), "recalibration").otherwise("hidden state")
+    return row.withColumn("rule", rules)
 
 
 def gap_by_slice(rows: DataFrame, keys: list[str], least: int = 150) -> DataFrame:

@@ -54,27 +54,53 @@ def parents(train: DataFrame, base: DataFrame, keys: tuple[str, ...] = (), alpha
     return joined.select(*keys, "phase", "w", _shrunk("counts", "base", alpha).alias("parent"))
 
 
-def cells(train: DataFrame, parent: DataFrame, keys: tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
-    """``rrr_bin, w, phase, cell``: shares by rate bin, wickets and phase, drawn towards their parent."""
-    counts = _counts(train.withColumn("rrr_bin", chase.rrr_bin("rrr")), [*keys, "rrr_bin", "w", "phase"])
-    return counts.join(F.broadcast(parent), [*keys, "phase", "w"]).select(*keys, "rrr_bin", "w", "phase", _shrunk("counts", "parent", alpha).alias("cell"))
+def _summed(counts: str, group: Window) -> F.Column:
+    """Element-wise sums of ``counts`` over a window of cells."""
+    return F.array(*(F.sum(F.col(counts)[k]).over(group) for k in range(len(chase.OUTCOMES))))
 
 
-def full_grid(train: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``cell_id, rrr_bin, w, phase, p``: the distribution of each of the 180 cells, unseen ones by parent, then base."""
+def _shrunk_cells(counted: DataFrame, keys: tuple[str, ...], alpha: float) -> DataFrame:
+    """Base, parent and cell distributions of rows that hold a cell's ``counts``, 180 a model at most: sums of cells are those of balls."""
+    rows = counted.withColumn("parent_counts", _summed("counts", Window.partitionBy(*keys, "phase", "w")))
+    rows = rows.withColumn("base_counts", F.transform(_summed("counts", Window.partitionBy(*keys)), lambda x: x + 0.5))
+    rows = rows.withColumn("base", F.transform("base_counts", lambda x: x / _total("base_counts")))
+    rows = rows.withColumn("parent", _shrunk("parent_counts", "base", alpha))
+    return rows.withColumn("cell", _shrunk("counts", "parent", alpha)).drop("parent_counts", "base_counts")
+
+
+def _cell_counts(train: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return _counts(train.withColumn("rrr_bin", chase.rrr_bin("rrr")), [*keys, "rrr_bin", "w", "phase"])
+
+
+def cells(train: DataFrame, keys: tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
+    """``rrr_bin, w, phase, base, parent, cell`` of each seen cell: its shares drawn towards those of its phase and wickets, and these towards the base.
+
+    The balls are read and aggregated once, by cell.
+    """
+    return _shrunk_cells(_cell_counts(train, keys), keys, alpha).select(*keys, "rrr_bin", "w", "phase", "base", "parent", "cell")
+
+
+def full_grid(train: DataFrame, keys: tuple[str, ...] = (), alpha: float = ALPHA) -> DataFrame:
+    """``cell_id, rrr_bin, w, phase, p, base``: the distribution of each of the 180 cells; one without balls has its parent's, and without those the base.
+
+    The balls are read and aggregated once, by cell; without any, all distributions are even.
+    """
     spark = train.sparkSession
-    base = base_distribution(train, keys)
-    parent = parents(train, base, keys)
-    cell = cells(train, parent, keys)
+    counted = _cell_counts(train, keys)
     axis = lambda n, start=0: F.explode(F.sequence(F.lit(start), F.lit(start + n - 1)))
     grid = spark.range(1).select(axis(chase.RRR_BINS).alias("rrr_bin")).withColumn("w", axis(chase.WICKETS, 1)).withColumn("phase", F.explode(F.array(*map(F.lit, chase.PHASES))))
-    rows = base.crossJoin(grid).join(F.broadcast(parent), [*keys, "phase", "w"], "left").join(F.broadcast(cell), [*keys, "rrr_bin", "w", "phase"], "left")
-    return cut(rows.select(*keys, chase.cell_id("rrr_bin", "w", chase.phase_index("phase")).alias("cell_id"), "rrr_bin", "w", "phase", F.coalesce("cell", "parent", "base").alias("p")))
+    if keys:
+        counted = cut(counted)  # small, and read twice
+        grid = counted.select(*keys).distinct().crossJoin(F.broadcast(grid))  # 180 rows a model
+    none = F.array(*(F.lit(0.0) for _ in chase.OUTCOMES))
+    full = grid.join(counted, [*keys, "rrr_bin", "w", "phase"], "left").withColumn("counts", F.coalesce("counts", none))
+    rows = _shrunk_cells(full, keys, alpha)
+    return cut(rows.select(*keys, chase.cell_id("rrr_bin", "w", chase.phase_index("phase")).alias("cell_id"), "rrr_bin", "w", "phase", F.col("cell").alias("p"), "base"))
 
 
 def flat_grid(train: DataFrame) -> DataFrame:
     """The grid of a model whose distribution is the base everywhere."""
-    return full_grid(train).drop("p").crossJoin(F.broadcast(base_distribution(train))).withColumnRenamed("base", "p")
+    return full_grid(train).withColumn("p", F.col("base"))
 
 
 def with_distribution(balls: DataFrame, grid: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:

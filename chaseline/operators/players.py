@@ -28,6 +28,22 @@ def leverage_correlations(rows: DataFrame, least_balls: int = 500) -> DataFrame:
     return sides[0].unionByName(sides[1])
 
 
+def leverage_lists(table: DataFrame, top: int = 20, bottom: int = 10) -> DataFrame:
+    """``list, place`` and the columns of ``player_leverage``: its first ``top`` players, and its last ``bottom`` from the end."""
+    size = F.count("*").over(Window.partitionBy())  # a row a player
+    ranked = table.withColumn("from_end", size - F.col("rank") + 1)
+    lists = F.filter(F.array(*(F.struct(F.lit(name).alias("list"), F.col(at).cast("long").alias("place"), F.lit(n).alias("most")) for name, at, n in (("top", "rank", top), ("bottom", "from_end", bottom)))), lambda x: x["place"] <= x["most"])
+    return ranked.withColumn("entry", F.explode(lists)).select("entry.list", "entry.place", *table.columns)
+
+
+def position_correlations(profile: DataFrame, order: int = 7) -> DataFrame:
+    """Correlation of the batting position with its mean leverage, rounded half-even to three places first: the first ``order`` positions, and all."""
+    rows = profile.filter("bat_pos is not null").select(F.col("bat_pos").cast("double").alias("x"), F.bround("mean_li", 3).alias("y"))
+    scopes = ((f"1-{order}", rows.filter(F.col("x") <= order)), ("all", rows))
+    parts = [part.agg(F.corr("x", "y").alias("correlation"), F.count("*").alias("positions")).select(F.lit(name).alias("scope"), "correlation", "positions") for name, part in scopes]
+    return parts[0].unionByName(parts[1])
+
+
 def find_player(table: DataFrame, part: str) -> DataFrame:
     """The one player whose name holds ``part``, letters in either case; none if several do."""
     hits = table.filter(F.contains(F.lower("player"), F.lit(part.lower())))

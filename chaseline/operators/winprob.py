@@ -7,7 +7,7 @@ Layer b holds the values of all states with b balls left: ``10 * r_max`` numbers
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chase
@@ -52,9 +52,18 @@ def solve(grid: DataFrame, r_max: int, keys: tuple[str, ...] = ()) -> DataFrame:
     return cut(flat.select(*keys, "b", F.expr(f"i div {r_max} + 1").cast("int").alias("w"), F.expr(f"i % {r_max} + 1").cast("int").alias("r"), "wp"))
 
 
+def value(live: Column) -> Column:
+    """The value of state ``b, w, r``: a terminal one by rule, a live one from ``live``. Raises on a state that the surface doesn't hold; null if part of the state is."""
+    state = F.concat_ws(", ", *(F.concat(F.lit(f"{c} = "), F.col(c).cast("string")) for c in "bwr"))
+    known = F.col("b").isNotNull() & F.col("w").isNotNull() & F.col("r").isNotNull()
+    beyond = F.raise_error(F.concat(F.lit("no win probability for the state "), state)).cast("double")
+    return F.when(known, F.coalesce(chase.terminal("b", "w", "r"), live, beyond))
+
+
 def with_wp(balls: DataFrame, surface: DataFrame, keys: tuple[str, ...] = (), few: bool = True) -> DataFrame:
-    """``balls`` with ``wp`` of their live state. The surface has 1200 * r_max rows a model; it is broadcast if models are few, two at most."""
-    return balls.join(F.broadcast(surface) if few else surface, [*keys, "b", "w", "r"])
+    """``balls`` with ``wp`` of their state, see ``value``. The surface has 1200 * r_max rows a model; it is broadcast if models are few, two at most."""
+    found = surface.withColumnRenamed("wp", "live_wp")
+    return balls.join(F.broadcast(found) if few else found, [*keys, "b", "w", "r"], "left").withColumn("wp", value(F.col("live_wp"))).drop("live_wp")
 
 
 def children(states: DataFrame, surface: DataFrame) -> DataFrame:

@@ -106,7 +106,6 @@ COMMON: dict[str, str] = {
     "xs": f"SELECT match_id, ball_index, phase, w, {_RUNS} AS x, (outcome = 'W')::INT AS k, coalesce(sum((outcome = 'W')::INT) OVER (PARTITION BY match_id ORDER BY ball_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS part FROM balls WHERE split = 'train'",
     "resid": "SELECT match_id, ball_index, part, x - avg(x) OVER (PARTITION BY phase, w) AS runs, k - avg(k) OVER (PARTITION BY phase, w) AS wkt FROM xs",
 }
-_RECURSIVE = {"wp_recent_layers", "wp_plain_layers", "wp_flat_layers"}
 
 
 def needed(text: str) -> list[str]:
@@ -124,7 +123,8 @@ def needed(text: str) -> list[str]:
 def sql(final: str, **more: str) -> str:
     """``final`` with the common tables it needs; ``more`` defines tables of its own."""
     names = needed(" ".join([final, *more.values()]))
-    tables = [f"{name} AS MATERIALIZED ({COMMON[name]})" if name not in _RECURSIVE else f"{name} AS ({COMMON[name]})" for name in names] + [f"{name} AS ({text})" for name, text in more.items()]
+    kind = lambda name, text: "" if re.search(rf"(FROM|JOIN) {name}\b", text) else "MATERIALIZED "  # noqa: E731  recursive tables name themselves
+    tables = [f"{name} AS {kind(name, text)}({text})" for name, text in ({n: COMMON[n] for n in names} | more).items()]
     return f"WITH RECURSIVE {', '.join(tables)} {final}" if tables else final
 
 
@@ -159,3 +159,83 @@ def name_key(*names: str) -> str:
 
 
 RIGHT_SLICE, LEFT_SLICE, RUNS_OF = _RIGHT, _LEFT, _RUNS
+
+
+#: Newton steps of a logistic twin, from zero.
+NEWTON_STEPS = 14
+
+
+def _solved(source: str, k: int) -> str:
+    """A query of ``b, m``: the k x (k + 1) system ``m`` of ``source`` reduced to the unit matrix by Gauss and Jordan, a pivot a level."""
+    text = source
+    for i in range(1, k + 1):
+        lead = f"SELECT b, m, list_transform(m[{i}], lambda v: v / m[{i}][{i}]) AS lead_row FROM ({text})"
+        others = f"list_transform(range(1, {k + 2}), lambda j: m[i][j] - m[i][{i}] * lead_row[j])"
+        text = f"SELECT b, list_transform(range(1, {k + 1}), lambda i: CASE WHEN i = {i} THEN lead_row ELSE {others} END) AS m FROM ({lead})"
+    return text
+
+
+def logit(name: str, source: str, features: list[str], standardize: bool = False) -> dict[str, str]:
+    """Common tables that fit an L2 logistic of C = 1 on ``source (y, features)`` by Newton's method.
+
+    ``{name}_fit (coef, mu, sd)`` has the intercept and coefficients, which are those of
+    ``(feature - mu) / sd``; ``logit_p`` turns it into probabilities.
+    """
+    k = len(features) + 1
+    pick = (lambda f: f"[{', '.join(f(x) for x in features)}]::DOUBLE[]") if standardize else None
+    scale = f"SELECT {pick(lambda x: f'avg({x})')} AS mu, {pick(lambda x: f'coalesce(nullif(stddev_pop({x}), 0), 1)')} AS sd FROM {source}" if pick else f"SELECT {[0.0] * (k - 1)}::DOUBLE[] AS mu, {[1.0] * (k - 1)}::DOUBLE[] AS sd"
+    tables = {f"{name}_scale": scale, f"{name}_x": f"SELECT y, {_row(features)} AS x FROM {source}, {name}_scale", f"{name}_b0": f"SELECT {[0.0] * k}::DOUBLE[] AS b"}
+    for t in range(1, NEWTON_STEPS + 1):
+        gram = lambda i, j: f"sum(p * (1 - p) * x[{i}] * x[{j}])" + (" + 1" if i == j > 1 else "")
+        side = lambda i: f"sum((y - p) * x[{i}])" + (f" - any_value(b)[{i}]" if i > 1 else "")
+        system = ", ".join(f"[{', '.join([*(gram(min(i, j), max(i, j)) for j in range(1, k + 1)), side(i)])}]" for i in range(1, k + 1))
+        rows = f"SELECT y, x, b, 1 / (1 + exp(-list_dot_product(x, b))) AS p FROM {name}_x, {name}_b{t - 1}"
+        sums = f"SELECT any_value(b) AS b, [{system}]::DOUBLE[][] AS m FROM ({rows})"
+        tables[f"{name}_m{t}"] = sums
+        tables[f"{name}_b{t}"] = f"SELECT list_transform(range(1, {k + 1}), lambda i: b[i] + m[i][{k + 1}])::DOUBLE[] AS b FROM ({_solved(f'SELECT * FROM {name}_m{t}', k)})"
+    tables[f"{name}_fit"] = f"SELECT b AS coef, mu, sd FROM {name}_b{NEWTON_STEPS}, {name}_scale"
+    return tables
+
+
+def _row(features: list[str]) -> str:
+    return f"[1.0, {', '.join(f'({x} - mu[{i}]) / sd[{i}]' for i, x in enumerate(features, 1))}]::DOUBLE[]"
+
+
+def logit_p(features: list[str]) -> str:
+    """The probability of a row of the features beside ``coef, mu, sd``."""
+    return f"1 / (1 + exp(-list_dot_product({_row(features)}, coef)))"
+
+
+def isotonic(name: str, points: str) -> dict[str, str]:
+    """Common tables of the isotonic fit of ``points (p, y)``: ``{name}_blocks (x, v)``, both ends of each block with its mean, in order.
+
+    Blocks are found from the right: of all stretches that end where a block must end, the
+    block is the one of the greatest mean, the longest of equals.
+    """
+    return {
+        f"{name}_sorted": f"SELECT p, row_number() OVER (ORDER BY p) AS k, sum(s) OVER (ORDER BY p) AS c, sum(n) OVER (ORDER BY p) AS m, s, n FROM (SELECT p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM {points} GROUP BY p)",
+        f"{name}_walk": f"""SELECT max(k) + 1 AS first, NULL::BIGINT AS last, NULL::DOUBLE AS v FROM {name}_sorted UNION ALL
+            (SELECT arg_min(q.k, (-round((e.c - q.c + q.s) / (e.m - q.m + q.n), 12), q.k)), w.first - 1, max((e.c - q.c + q.s) / (e.m - q.m + q.n))
+            FROM {name}_walk w JOIN {name}_sorted e ON e.k = w.first - 1 JOIN {name}_sorted q ON q.k < w.first GROUP BY w.first)""",
+        f"{name}_blocks": f"SELECT p AS x, v FROM {name}_walk JOIN {name}_sorted ON k = first OR k = last WHERE last IS NOT NULL",
+    }
+
+
+def isotonic_p(name: str, rows: str) -> str:
+    """``rows`` with ``iso``: the fit at ``wp``, linear between blocks and constant beyond them."""
+    low = f"(SELECT r.*, lo.x AS x0, lo.v AS v0 FROM ({rows}) r ASOF LEFT JOIN {name}_blocks lo ON r.wp >= lo.x)"
+    both = f"(SELECT r.*, hi.x AS x1, hi.v AS v1 FROM {low} r ASOF LEFT JOIN {name}_blocks hi ON r.wp <= hi.x)"
+    between = "CASE WHEN x0 IS NULL THEN v1 WHEN x1 IS NULL OR x1 = x0 THEN v0 ELSE v0 + (v1 - v0) * (wp - x0) / (x1 - x0) END"
+    return f"SELECT *, {between} AS iso FROM {both}"
+
+
+def balanced_folds(name: str, source: str, folds: int = 5) -> dict[str, str]:
+    """Common tables that deal whole matches, largest first, to the fold of the fewest rows: ``{name} (match_id, fold)``."""
+    zeros = f"{[0] * folds}::BIGINT[]"
+    least = "list_position(loads, list_min(loads))"
+    return {
+        f"{name}_groups": f"SELECT match_id, size, row_number() OVER (ORDER BY size DESC, match_id) AS k FROM (SELECT match_id, count(*) AS size FROM {source} GROUP BY match_id)",
+        f"{name}_walk": f"""SELECT 0::BIGINT AS k, NULL::BIGINT AS match_id, NULL::INT AS fold, {zeros} AS loads UNION ALL
+            SELECT g.k, g.match_id, ({least} - 1)::INT, list_transform(loads, lambda x, i: CASE WHEN i = {least} THEN x + g.size ELSE x END) FROM {name}_walk w JOIN {name}_groups g ON g.k = w.k + 1""",
+        name: f"SELECT match_id, fold FROM {name}_walk WHERE k > 0",
+    }

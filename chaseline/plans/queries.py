@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import chase
 from ..operators import dependence, era, ingest, leverage, metrics, models, outcomes, players, resample, simulate, winprob, wpa
 from ..session import cut
+from ..sources import deliveries
 from ..sources.deliveries import from_order_lines
-from .oracle import LEFT_SLICE, RIGHT_SLICE, RUNS_OF, bin_of, draw, model, name_key, profile, sql, surface
+from .oracle import LEFT_SLICE, RIGHT_SLICE, RUNS_OF, balanced_folds, bin_of, draw, isotonic, isotonic_p, logit, logit_p, model, name_key, profile, sql, surface
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -142,8 +144,7 @@ def hier_parents(spark, d):
 @query(sql(f"SELECT rb::BIGINT AS rrr_bin, w::BIGINT AS w, phase, k::BIGINT AS ord, {_round('cell[k + 1] AS p')} FROM recent_cells, range(8) t(k)"))
 def hier_cells(spark, d):
     fit = outcomes.with_recency(train(spark, d), outcomes.ERA_HALF_LIFE)
-    parent = outcomes.parents(fit, outcomes.base_distribution(fit))
-    return r6(outcomes.cells(fit, parent).select("rrr_bin", "w", "phase", F.posexplode("cell").alias("ord", "p")))
+    return r6(outcomes.cells(fit).select("rrr_bin", "w", "phase", F.posexplode("cell").alias("ord", "p")))
 
 
 @query(sql(f"SELECT cell_id::BIGINT AS cell_id, rrr_bin::BIGINT AS rrr_bin, w::BIGINT AS w, phase, k::BIGINT AS ord, {_round('p[k + 1] AS p')} FROM plain_grid, range(8) t(k)"))
@@ -255,6 +256,42 @@ def player_leverage(spark, d):
     return r6(players.player_leverage(scored(spark, d), "batter", LEAST_BALLS))
 
 
+def _leverage_table(who: str) -> str:
+    """A common table in the form of ``players.player_leverage``."""
+    means = _round("avg(li) AS mean_li", "median(li) AS median_li", "median(bat_pos) AS median_pos", "avg((phase = 'death')::INT) AS death_share")
+    return f"""
+        SELECT * EXCLUDE (mean9), row_number() OVER (ORDER BY mean9 DESC, player) AS rank
+        FROM (SELECT {who} AS player, count(*) AS balls, {means}, round(avg(li), 9) AS mean9 FROM scored GROUP BY {who} HAVING count(*) >= {LEAST_BALLS})
+    """
+
+
+@query(sql(_leverage_table("bowler")))
+def bowler_leverage(spark, d):
+    return r6(players.player_leverage(scored(spark, d), "bowler", LEAST_BALLS))
+
+
+_LISTED = """
+    SELECT '{who}' AS side, list, place, player, balls, mean_li, median_li, median_pos, death_share, rank
+    FROM (SELECT *, unnest([{{'list': 'top', 'place': rank, 'most': 20}}, {{'list': 'bottom', 'place': count(*) OVER () - rank + 1, 'most': 10}}], recursive := true) FROM {who}_table)
+    WHERE place <= most
+"""
+
+
+@query(sql(" UNION ALL ".join(_LISTED.format(who=who) for who in ("batter", "bowler")), **{f"{who}_table": _leverage_table(who) for who in ("batter", "bowler")}))
+def leverage_lists(spark, d):
+    """The twenty players of most and the ten of least leverage, batters and bowlers."""
+    tables = ((who, players.player_leverage(scored(spark, d), who, LEAST_BALLS)) for who in ("batter", "bowler"))
+    return r6(reduce(DataFrame.unionByName, (players.leverage_lists(table).withColumn("side", F.lit(who)) for who, table in tables)))
+
+
+_POSITIONS = "SELECT bat_pos AS x, round_even(avg(li), 3) AS y FROM scored WHERE bat_pos IS NOT NULL GROUP BY bat_pos"
+
+
+@query(sql(" UNION ALL ".join(f"SELECT '{scope}' AS scope, {_round('corr(x, y) AS correlation')}, count(*) AS positions FROM positions WHERE {where}" for scope, where in (("1-7", "x <= 7"), ("all", "true"))), positions=_POSITIONS))
+def position_correlations(spark, d):
+    return r6(players.position_correlations(players.by_position(scored(spark, d))))
+
+
 @query(sql(f"SELECT bat_pos::BIGINT AS bat_pos, {_round('avg(li) AS mean_li')}, count(*) AS n, round(avg((phase = 'death')::INT), 6) + 0.0 AS death_share FROM scored GROUP BY bat_pos"))
 def position_profile(spark, d):
     return r6(players.by_position(scored(spark, d)))
@@ -333,7 +370,17 @@ def split_gap(spark, d):
     return r6(metrics.split_gap(predictions(spark, d)))
 
 
-@query(sql(f"SELECT model, ahead, sum(n)::BIGINT AS n, {_round('sum(n * abs(conf - acc)) / sum(n) AS ece', 'avg((acc > conf)::INT) AS above')} FROM (SELECT model, (target - r) * b > r * (120 - b) AS ahead, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM (SELECT *, max(r) OVER (PARTITION BY model, match_id) AS target FROM held) GROUP BY ALL) GROUP BY model, ahead"))
+_SLICES = f"""
+    SELECT model, ahead, sum(n)::BIGINT AS n, sum(n * conf) / sum(n) AS mean_pred, sum(n * acc) / sum(n) AS actual,
+        sum(n * abs(conf - acc)) / sum(n) AS ece, avg((acc > conf)::INT) AS above
+    FROM (
+        SELECT model, (target - r) * b > r * (120 - b) AS ahead, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n
+        FROM (SELECT *, max(r) OVER (PARTITION BY model, match_id) AS target FROM held) GROUP BY ALL
+    ) GROUP BY model, ahead
+"""
+
+
+@query(sql(f"SELECT model, ahead, n, {_round('mean_pred', 'actual', 'ece', 'above')} FROM slices", slices=_SLICES))
 def ahead_calibration(spark, d):
     return r6(metrics.ahead_behind(held_out(spark, d)))
 
@@ -618,8 +665,11 @@ def _fit_and_held(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table.filter("split = 'train'"), table.filter("split = 'holdout'")
 
 
+_COLUMNS = ["model", "split", "match_id", "ball_index", "phase", "w", "b", "r", "rrr", "p", "y"]
+
+
 def _named(rows: DataFrame, name: str) -> DataFrame:
-    return rows.select(F.lit(name).alias("model"), "split", "match_id", "ball_index", "phase", "w", "b", "r", "rrr", "p", "y")
+    return rows.withColumn("model", F.lit(name)).select(*_COLUMNS)
 
 
 @kept
@@ -631,24 +681,55 @@ def logits(spark: SparkSession, d: str) -> DataFrame:
 
 @kept
 def boosted_trees(spark: SparkSession, d: str) -> DataFrame:
-    """Held-out predictions of boosted trees on three nested sets of features."""
+    """Held-out predictions of boosted trees on three nested sets of features, each row with the report of its model's fit."""
     fit, held = _fit_and_held(spark, d)
-    return reduce(DataFrame.unionByName, (_named(models.boosted(fit, held, names), name) for name, names in models.NESTED.items()))
+    predicted, report = models.boosted(fit, held, models.NESTED)
+    return predicted.join(F.broadcast(report), "model")  # a row a model
+
+
+#: Features, both logistic fits and the held-out predictions of all models but the trees.
+_LOGITS = {
+    "feat": """
+        SELECT *, CASE WHEN b < 120 THEN 6.0::DOUBLE * (target - r) / (120 - b) ELSE 0.0 END AS crr, w / 10.0::DOUBLE AS w_frac,
+            (phase = 'powerplay')::INT AS phase_powerplay, (phase = 'middle')::INT AS phase_middle, (phase = 'death')::INT AS phase_death
+        FROM (SELECT *, max(r) OVER (PARTITION BY match_id) AS target FROM balls)
+    """,
+    "feat_train": "SELECT * FROM feat WHERE split = 'train'",
+    **logit("one", "feat_train", ["rrr"]),
+    **logit("full", "feat_train", models.FULL, True),
+    "simple": f"""
+        {_ERA_HELD}
+        UNION ALL SELECT 'logit rrr', match_id, ball_index, {logit_p(["rrr"])}, y FROM feat, one_fit WHERE split = 'holdout'
+        UNION ALL SELECT 'logit full', match_id, ball_index, {logit_p(models.FULL)}, y FROM feat, full_fit WHERE split = 'holdout'
+    """,
+}
 
 
-@query()
+def _scores_sql(table: str) -> str:
+    """Scores of each model of ``table (model, p, y)``, as a query."""
+    return f"SELECT model, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, count(*) AS n FROM {table} GROUP BY model"
+
+
+def _logit_sql(name: str) -> str:
+    return sql(f"SELECT model, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n FROM ({_scores_sql('simple')}) WHERE model = '{name}'", **_LOGITS)
+
+
+@query(_logit_sql("logit rrr"))
 def logit_rrr(spark, d):
     return r6(metrics.scores(logits(spark, d).filter("model = 'logit rrr'"), ["model"]))
 
 
-@query()
+@query(_logit_sql("logit full"))
 def logit_full(spark, d):
     return r6(metrics.scores(logits(spark, d).filter("model = 'logit full'"), ["model"]))
 
 
 @query()
 def gbt_nested(spark, d):
-    return r6(metrics.scores(boosted_trees(spark, d), ["model"]))
+    """Held-out scores of the boosted trees, with the best round, the rounds made, and the log loss on the training and on the stopping season."""
+    trees = boosted_trees(spark, d)
+    fits = trees.groupBy("model").agg(*(F.first(c).alias(c) for c in ("best_round", "rounds", "train_log_loss", "valid_log_loss")))
+    return r6(metrics.scores(trees, ["model"]).join(fits, "model"))
 
 
 def _simple_models(spark: SparkSession, d: str) -> DataFrame:
@@ -656,7 +737,7 @@ def _simple_models(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _every_model(spark: SparkSession, d: str) -> DataFrame:
-    return _simple_models(spark, d).unionByName(boosted_trees(spark, d))
+    return _simple_models(spark, d).unionByName(boosted_trees(spark, d).select(*_COLUMNS))
 
 
 #: As the reference pairs its models.
@@ -678,13 +759,37 @@ def markov_table(spark, d):
     return r6(metrics.metric_table(held_with_era(spark, d)))
 
 
-@query()
+_GATE = f"""
+    SELECT o.model AS reference, o.metric, o.x AS reference_value, own.x AS value, own.x < o.x AS better, bool_and(own.x < o.x) OVER () AS all_better
+    FROM (UNPIVOT (SELECT model, brier, log_loss FROM table_of) ON brier, log_loss INTO NAME metric VALUE x) o
+    JOIN (UNPIVOT (SELECT model, brier, log_loss FROM table_of) ON brier, log_loss INTO NAME metric VALUE x) own ON own.metric = o.metric AND own.model = 'RRR Markov'
+    WHERE o.model IN ('base-rate const', 'logit rrr')
+"""
+
+
+@query(sql(f"SELECT reference, metric, {_round('value', 'reference_value')}, better, all_better FROM ({_GATE})", **_LOGITS, table_of=_scores_sql("simple")))
 def gate_verdict(spark, d):
     """Whether the cell model beats the constant rate and the one-feature logistic."""
     return r6(metrics.gate(metrics.metric_table(_simple_models(spark, d)), "RRR Markov", ["base-rate const", "logit rrr"]))
 
 
-@query()
+def _closure_sql(table: str, before: str, after: list[str], floor: str) -> str:
+    """A query in the form of ``metrics.closure`` over scores by model."""
+    names = ", ".join(f"'{m}'" for m in after)
+    pick = lambda m, v: f"max({v}) FILTER (model = '{m}')"
+    level = "abs(mean_pred - actual)"
+    row = f"""
+        SELECT {pick(before, "brier")} - {pick(floor, "brier")} AS gap_before, min(brier) FILTER (model IN ({names})) - {pick(floor, "brier")} AS gap_after,
+            {pick(before, level)} AS level_before, min({level}) FILTER (model IN ({names})) AS level_after
+        FROM {table}
+    """
+    return f"SELECT *, (gap_before - gap_after) / nullif(gap_before, 0) AS closed, (level_before - level_after) / nullif(level_before, 0) AS level_closed FROM ({row})"
+
+
+_CLOSURE_COLUMNS = _round("gap_before", "gap_after", "level_before", "level_after", "closed", "level_closed")
+
+
+@query(sql(f"SELECT {_CLOSURE_COLUMNS} FROM ({_closure_sql('table_of', 'RRR Markov', ['RRR Markov (era)'], 'logit rrr')})", **_LOGITS, table_of=_scores_sql("simple")))
 def era_closure(spark, d):
     """How much of the cell model's gap to the one-feature logistic recency weights close."""
     return r6(metrics.closure(metrics.scores(_simple_models(spark, d), ["model"]), "RRR Markov", ["RRR Markov (era)"], "logit rrr"))
@@ -700,16 +805,44 @@ def _split_score(spark: SparkSession, table: DataFrame, name: str) -> DataFrame:
     return both.agg(pick("RRR Markov").alias("markov_brier"), pick("logit rrr").alias("logit_brier"), F.max("n").alias("n")).select(F.lit(name).alias("split"), "markov_brier", "logit_brier", (F.col("markov_brier") - F.col("logit_brier")).alias("gap"), "n")
 
 
-@query()
-def split_robustness(spark, d):
-    """The cell model's Brier gap to the logistic held out by last seasons, by whole matches and by a middle season."""
+def _split_tables() -> dict[str, str]:
+    """``split_rows``: both models' scores under each split, with the cell model and the logistic fitted anew."""
+    other = "SELECT * EXCLUDE (split), CASE WHEN {} THEN 'holdout' ELSE 'train' END AS split FROM {}".format
+    splits = {
+        "last seasons": ("sp_last", "SELECT * FROM balls"),
+        "matches": ("sp_fold", other("fold = 0", "balls JOIN match_folds USING (match_id)")),
+        "middle season": ("sp_mid", other("season = (SELECT season FROM seasons WHERE ord = (SELECT count(*) // 2 FROM seasons))", "balls")),
+    }
+    tables, rows = balanced_folds("match_folds", "balls"), []
+    for label, (name, text) in splits.items():
+        tables |= {name: text, f"{name}_train": f"SELECT *, 1.0::DOUBLE AS weight FROM {name} WHERE split = 'train'"}
+        tables |= model(f"{name}_cell", f"{name}_train") | surface(f"{name}_wp", f"{name}_cell_list") | logit(f"{name}_lr", f"{name}_train", ["rrr"])
+        held = f"SELECT y, wp, {logit_p(['rrr'])} AS p FROM {name} JOIN {name}_wp USING (b, w, r), {name}_lr_fit WHERE split = 'holdout'"
+        rows.append(f"SELECT '{label}' AS split, avg(pow(wp - y, 2)) AS markov_brier, avg(pow(p - y, 2)) AS logit_brier, avg(pow(wp - y, 2)) - avg(pow(p - y, 2)) AS gap, count(*) AS n FROM ({held})")
+    first, others = "max(gap) FILTER (split = 'last seasons') OVER ()", "avg(gap) FILTER (split <> 'last seasons') OVER ()"
+    return tables | {"split_rows": f"SELECT *, ({first} - {others}) / nullif({first}, 0) AS shrink FROM ({' UNION ALL '.join(rows)})"}
+
+
+@kept
+def split_rows(spark: SparkSession, d: str) -> DataFrame:
     table = balls(spark, d)
     middle = ingest.season_table(table).select("season", "ord").orderBy("ord").collect()  # a row a season
     splits = {"last seasons": table, "matches": models.with_fold_out(table), "middle season": models.with_season_out(table, middle[len(middle) // 2]["season"])}
-    rows = reduce(DataFrame.unionByName, (_split_score(spark, t, n) for n, t in splits.items()))
+    rows = cut(reduce(DataFrame.unionByName, (_split_score(spark, t, n) for n, t in splits.items())))
     first, others = F.max(F.when(F.col("split") == "last seasons", F.col("gap"))), F.avg(F.when(F.col("split") != "last seasons", F.col("gap")))
-    rows = cut(rows)
-    return r6(rows.crossJoin(rows.agg(F.try_divide(first - others, first).alias("shrink"))))  # one row
+    return rows.crossJoin(rows.agg(F.try_divide(first - others, first).alias("shrink")))  # one row
+
+
+@query(sql(f"SELECT split, {_round('markov_brier', 'logit_brier', 'gap', 'shrink')}, n FROM split_rows", **_split_tables()))
+def split_robustness(spark, d):
+    """The cell model's Brier gap to the logistic held out by last seasons, by whole matches and by the middle one of all seasons."""
+    return r6(split_rows(spark, d))
+
+
+@query(sql("SELECT match_id, fold::BIGINT AS fold FROM match_folds", **balanced_folds("match_folds", "balls")))
+def grouped_folds(spark, d):
+    """The fold of each match."""
+    return r6(models.grouped_fold(balls(spark, d)).groupBy("match_id").agg(F.max("fold").alias("fold")))
 
 
 @kept
@@ -719,22 +852,100 @@ def recalibrated(spark: SparkSession, d: str) -> DataFrame:
     seasons = ingest.season_table(table.filter("split = 'train'")).agg(F.max_by("season", "ord").alias("last"))
     marked = cut(table.crossJoin(F.broadcast(seasons)).withColumn("held", F.col("season") == F.col("last")))
     fit = marked.filter("split = 'train' and not held")
-    rows = winprob.with_wp(marked, winprob.solve(outcomes.full_grid(outcomes.with_recency(fit, outcomes.ERA_HALF_LIFE)), winprob.greatest_r(marked)))
+    rows = winprob.with_wp(marked, winprob.solve(outcomes.full_grid(outcomes.with_recency(fit, None)), winprob.greatest_r(marked)))
     calibration, score = rows.filter("held"), rows.filter("split = 'holdout'")
     parts = [f(calibration, score).select(F.lit(n).alias("model"), "p", "y") for n, f in (("isotonic", models.isotonic), ("platt", models.platt))]
     parts += [score.select(F.lit("raw").alias("model"), F.col("wp").alias("p"), "y"), models.logistic(fit, score, ["rrr"]).select(F.lit("logit rrr").alias("model"), "p", "y")]
     return reduce(DataFrame.unionByName, parts)
 
 
-@query()
+_LAST_TRAINED = "(SELECT arg_max(season, ord) FROM seasons WHERE split = 'train')"
+_RECAL = {
+    "rc_train": f"SELECT *, 1.0::DOUBLE AS weight FROM balls WHERE split = 'train' AND season <> {_LAST_TRAINED}",
+    **model("rc_cell", "rc_train"),
+    **surface("rc_wp", "rc_cell_list"),
+    "rc_rows": "SELECT * FROM balls JOIN rc_wp USING (b, w, r)",
+    "rc_cal": f"SELECT wp AS p, wp, y FROM rc_rows WHERE split = 'train' AND season = {_LAST_TRAINED}",
+    **isotonic("rc_iso", "rc_cal"),
+    **logit("rc_platt", "rc_cal", ["wp"]),
+    **logit("rc_lr", "rc_train", ["rrr"]),
+    "rc_held": "SELECT rrr, wp, y FROM rc_rows WHERE split = 'holdout'",
+    "recal": f"""
+        SELECT 'raw' AS model, wp AS p, y FROM rc_held
+        UNION ALL SELECT 'isotonic', iso, y FROM ({isotonic_p("rc_iso", "SELECT wp, y FROM rc_held")})
+        UNION ALL SELECT 'platt', {logit_p(["wp"])}, y FROM rc_held, rc_platt_fit
+        UNION ALL SELECT 'logit rrr', {logit_p(["rrr"])}, y FROM rc_held, rc_lr_fit
+    """,
+}
+
+
+@query(sql(f"SELECT model, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n FROM ({_scores_sql('recal')})", **_RECAL))
 def isotonic_platt(spark, d):
     return r6(metrics.scores(recalibrated(spark, d), ["model"]))
 
 
-@query()
+def _recal_closure(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.closure(metrics.scores(recalibrated(spark, d), ["model"]), "raw", ["isotonic", "platt"], "logit rrr")
+
+
+_RECAL_CLOSED = {"recal_scores": _scores_sql("recal"), "recal_closed": _closure_sql("recal_scores", "raw", ["isotonic", "platt"], "logit rrr")}
+
+
+@query(sql(f"SELECT {_CLOSURE_COLUMNS} FROM recal_closed", **_RECAL, **_RECAL_CLOSED))
 def recalibration_closure(spark, d):
     """How much of the raw surface's gap to the logistic recalibration closes."""
-    return r6(metrics.closure(metrics.scores(recalibrated(spark, d), ["model"]), "raw", ["isotonic", "platt"], "logit rrr"))
+    return r6(_recal_closure(spark, d))
+
+
+_RULES = {
+    "gap_shares": "SELECT abs(t) / nullif(abs(h), 0) AS memoryless_share, abs(h - t) / nullif(abs(h), 0) AS shift_share FROM (SELECT avg(p - y) FILTER (split = 'train') AS t, avg(p - y) FILTER (split = 'holdout') AS h FROM predictions WHERE model = 'RRR Markov')",
+    "conditions": f"""
+        SELECT coalesce((SELECT bool_and(actual > mean_pred) AND count(*) = 2 FROM slices WHERE model = 'RRR Markov'), false) AS both_under, memoryless_share, shift_share,
+            (SELECT max(shrink) FROM split_rows) AS shrink, (SELECT closed FROM recal_closed) AS closed
+        FROM gap_shares
+    """,
+    "judged": f"SELECT *, coalesce(shrink > {metrics.SHRINK_FLOOR}, false) AS shrinks, coalesce(shift_share >= memoryless_share, false) AS shift_leads, coalesce(closed >= {metrics.CLOSED_FLOOR}, false) AS recalibrates FROM conditions",
+}
+
+
+@query(
+    sql(
+        f"""SELECT both_under, {_round('memoryless_share', 'shift_share', 'shrink', 'closed')}, shrinks, shift_leads, recalibrates,
+            CASE WHEN both_under AND shrinks AND shift_leads THEN 'era adjustment' WHEN recalibrates THEN 'recalibration' ELSE 'hidden state' END AS rule FROM judged""",
+        **_split_tables(), **_RECAL, **_RECAL_CLOSED, slices=_SLICES, **_RULES,
+    )
+)
+def recommendation(spark, d):
+    """What the diagnostics of the cell model say to do next, by the first rule that holds."""
+    slices, gaps = metrics.ahead_behind(held_out(spark, d)), metrics.split_gap(predictions(spark, d))
+    return r6(metrics.recommendation(slices, gaps, split_rows(spark, d), _recal_closure(spark, d), "RRR Markov"))
+
+
+#: Cells of the raw deliveries spoilt for the audit below: in every match of the first kind a word for the runs, of the second no date.
+_SPOILT_RUNS, _SPOILT_DATE = 37, 31
+_NULLS = {"runs_total": f"match_id % {_SPOILT_RUNS} = 0", "date": f"match_id % {_SPOILT_DATE} = 0", "result_type": "result_type IS NULL", "method": "method IS NULL", "overs": "overs IS NULL"}
+
+
+@kept
+def spoilt_csv(spark: SparkSession, d: str) -> DataFrame:
+    """A scan of the raw deliveries written as CSV with some cells spoilt."""
+    rows = raw(spark, d)
+    text = rows.select(*(F.col(c).cast("string").alias(c) for c in reversed(rows.columns)))
+    text = text.withColumn("runs_total", F.when(F.col("match_id").cast("long") % _SPOILT_RUNS == 0, "many").otherwise(F.col("runs_total")))
+    text = text.withColumn("date", F.when(F.col("match_id").cast("long") % _SPOILT_DATE == 0, "someday").otherwise(F.col("date")))
+    cut(spark.range(1))  # sets the shared folder where it is unset
+    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    text.write.option("header", True).csv(path)
+    return deliveries.scan_csv(spark, path)
+
+
+_LACKING = ", ".join(f"count(*) FILTER (bad AND {_NULLS.get(c, 'false')}) AS null_{c}" for c in (f.name for f in deliveries.RAW_SCHEMA))
+
+
+@query(sql(f"SELECT count(*) AS n, count(*) FILTER (bad) AS rejected, {_LACKING} FROM (SELECT *, {_NULLS['runs_total']} OR {_NULLS['date']} AS bad FROM raw_rows)", raw_rows="SELECT * EXCLUDE (result_type), coalesce(result_type, CASE WHEN max(team_runs) OVER (PARTITION BY match_id) = runs_target - 1 THEN 'tie' END) AS result_type FROM raw"))
+def csv_audit(spark, d):
+    """How many lines of a CSV a typed scan rejects, and which cells they lack."""
+    return deliveries.rejected(spoilt_csv(spark, d))
 
 
 @kept

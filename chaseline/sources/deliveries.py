@@ -27,11 +27,34 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
     return df
 
 
+#: Column of the parsed rows that holds a line with a cell of the wrong type or a wrong number of cells; null for sound lines.
+REJECTED = "_rejected"
+
+
+def scan_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Raw deliveries with declared types, and ``_rejected``: the whole line where a cell doesn't fit its type or cells are missing or too many.
+
+    Columns are matched by the names in the files' first line, whatever their order; others
+    are read as text and dropped, but count as cells. A cell that doesn't fit is null.
+    """
+    head = spark.read.option("header", True).csv(path).columns
+    require_columns(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in head)), [f.name for f in RAW_SCHEMA])
+    declared = {f.name: f for f in RAW_SCHEMA}
+    schema = T.StructType([declared.get(c, T.StructField(c, _S)) for c in head] + [T.StructField(REJECTED, _S)])
+    rows = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED).option("columnPruning", False).csv(path)  # else only the cells asked for are looked at
+    return rows.select(*(f.name for f in RAW_SCHEMA), REJECTED)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw deliveries with declared types; columns are matched by name and others ignored."""
-    header = spark.read.option("header", True).csv(path)
-    require_columns(header, [f.name for f in RAW_SCHEMA])
-    return header.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in RAW_SCHEMA))
+    """The sound rows of ``scan_csv``; ``rejected`` counts the others."""
+    return scan_csv(spark, path).filter(F.col(REJECTED).isNull()).drop(REJECTED)
+
+
+def rejected(scanned: DataFrame) -> DataFrame:
+    """One row: all rows of a scan, rejected ones, and how many rejected rows lack a value in each column."""
+    bad = F.col(REJECTED).isNotNull()
+    lacking = (F.count_if(bad & F.col(f.name).isNull()).alias(f"null_{f.name}") for f in RAW_SCHEMA)
+    return scanned.agg(F.count("*").alias("n"), F.count_if(bad).alias("rejected"), *lacking)
 
 
 def from_order_lines(lineitem: DataFrame) -> DataFrame:

@@ -12,12 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import winprob
+
 CREDIT = "match_id long, ball_index int, batter string, wpa double"
 
 
 def scored_stream(states: DataFrame, surface: DataFrame) -> DataFrame:
-    """A stream of ``match_id, ball_index, batter, b, w, r, ts`` with the win probability of its live states."""
-    return states.join(F.broadcast(surface), ["b", "w", "r"])
+    """A stream of ``match_id, ball_index, batter, b, w, r, ts`` with the win probability of its states, ended ones too.
+
+    A state beyond the surface stops the stream with an error that names it.
+    """
+    return winprob.with_wp(states, surface)
 
 
 def _credit(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -238,9 +238,10 @@ def test_csv_is_read_with_declared_types(spark, tmp_path):
 
 def test_boosting_stops_before_its_limit(spark):
     dice = np.random.default_rng(1)
-    rows = [(float(x), int(dice.random() < 0.5), str(2000 + k % 3), dt.date(2000 + k % 3, 1, 1)) for k, x in enumerate(dice.random(300))]
-    table = spark.createDataFrame(rows, "x double, y int, season string, date date")
-    assert models.boosted(table, table, ["x"], trees=40).filter("p between 0 and 1").count() == 300
+    rows = [(k, 0, float(x), int(dice.random() < 0.5), str(2000 + k % 3)) for k, x in enumerate(dice.random(300))]
+    table = spark.createDataFrame(rows, "match_id long, ball_index int, x double, y int, season string")
+    scored, report = models.boosted(table, table, {"m": ["x"]}, patience=5)
+    assert scored.filter("p between 0 and 1").count() == 300 and report.first().rounds < 100
 
 
 def test_live_windows(spark, tmp_path):
