@@ -27,8 +27,8 @@ from .fm_index import FmIndex
 from .shared import id_and_text
 
 WINDOW, ANCHOR = 13, 4
-#: Bytes of text a shard is meant for, and of texts a task gathers before it sends segments.
-SHARD_BYTES, SLICE_BYTES = 8 << 20, 16 << 20
+#: Bytes of text a shard is meant for, of texts a task gathers before it sends segments, and of texts cut at once.
+SHARD_BYTES, SLICE_BYTES, PART_BYTES = 8 << 20, 16 << 20, 3 << 20
 _HITS = "doc_id long, text_key int, first int, last int"
 
 
@@ -127,29 +127,35 @@ def _sender(shards: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], It
 
         packer = zstandard.ZstdCompressor(level=3)
         for batch in _slices(batches):
-            all_ids, all_keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for i, _, raw, off in text_slices(batch.column(2), SLICE_BYTES):
+            parts, texts, base = [], [], 0
+            for i, _, raw, off in text_slices(batch.column(2), PART_BYTES):
                 buf, off = _single_spaced(raw, off)
                 row, place, count, a, b, anchors = _segments(buf, off, window)
-                ids, keys = all_ids[i:][row], all_keys[i:][row]
-                told = np.zeros(len(row), dtype=bool)  # of a larger id than an equal segment's
-                _, same, times = np.unique(anchors, return_inverse=True, return_counts=True)
-                often = np.flatnonzero(times[same] > 1)
-                if len(often):
-                    codes, _ = distinct_spans(buf, a[often], b[often])
-                    least = np.full(int(codes.max()) + 1, np.iinfo(np.int64).max)
-                    np.minimum.at(least, codes, ids[often])
-                    told[often] = ids[often] > least[codes]
-                shard = (mix(anchors) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                bounds = np.searchsorted(shard[order], np.arange(shards + 1))
-                names, blobs = [], []
-                for k in np.flatnonzero(np.diff(bounds)):
-                    mine = order[bounds[k] : bounds[k + 1]]
-                    sent, done = mine[~told[mine]], mine[told[mine]]
-                    names.append(k)
-                    blobs.append(_packed(packer, ids[sent], keys[sent], place[sent], count[sent], anchors[sent], _gathered(buf, a[sent], b[sent]).tobytes(), (ids[done], keys[done], place[done], place[done] + count[done])))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "payload"])
+                parts.append((row + i, place, count, a + base, b + base, anchors))
+                texts.append(buf[: off[-1]])
+                base += int(off[-1])
+            row, place, count, a, b, anchors = (np.concatenate(x) for x in zip(*parts, strict=True))
+            buf = np.concatenate([*texts, np.zeros(8, np.uint8)])
+            parts = texts = None
+            ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 1))
+            told = np.zeros(len(row), dtype=bool)  # of a larger id than an equal segment's
+            _, same, times = np.unique(anchors, return_inverse=True, return_counts=True)
+            often = np.flatnonzero(times[same] > 1)
+            if len(often):
+                codes, _ = distinct_spans(buf, a[often], b[often])
+                least = np.full(int(codes.max()) + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, codes, ids[often])
+                told[often] = ids[often] > least[codes]
+            shard = (mix(anchors) % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+            names, blobs = [], []
+            for k in np.flatnonzero(np.diff(bounds)):
+                mine = order[bounds[k] : bounds[k + 1]]
+                sent, done = mine[~told[mine]], mine[told[mine]]
+                names.append(k)
+                blobs.append(_packed(packer, ids[sent], keys[sent], place[sent], count[sent], anchors[sent], _gathered(buf, a[sent], b[sent]).tobytes(), (ids[done], keys[done], place[done], place[done] + count[done])))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "payload"])
 
     return send
 
