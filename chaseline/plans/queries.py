@@ -92,22 +92,40 @@ def _round(*names: str) -> str:
     return ", ".join(f"round({n.split(' AS ')[0]}, 6) + 0.0 AS {n.split(' AS ')[-1]}" for n in names)
 
 
-@query(sql("SELECT split, count(*) AS n, count(DISTINCT match_id) AS matches, sum(b)::BIGINT AS sum_b, sum(w)::BIGINT AS sum_w, sum(r)::BIGINT AS sum_r, sum(y)::BIGINT AS sum_y, sum(striker_balls)::BIGINT AS sum_striker, sum(bat_pos)::BIGINT AS sum_pos, round(sum(rrr), 4) AS sum_rrr, min(season) AS first_season, max(date)::VARCHAR AS last_date FROM balls GROUP BY split"))
+@query(sql(
+    "SELECT split, count(*) AS n, count(DISTINCT match_id) AS matches, sum(b)::BIGINT AS sum_b, sum(w)::BIGINT AS sum_w, "
+    "sum(r)::BIGINT AS sum_r, sum(y)::BIGINT AS sum_y, sum(striker_balls)::BIGINT AS sum_striker, "
+    "sum(bat_pos)::BIGINT AS sum_pos, round(sum(rrr), 4) AS sum_rrr, min(season) AS first_season, max(date)::VARCHAR AS last_date "
+    "FROM balls GROUP BY split"
+))
 def contract_summary(spark, d):
     return balls(spark, d).groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("match_id").alias("matches"), *(F.sum(c).alias(a) for c, a in (("b", "sum_b"), ("w", "sum_w"), ("r", "sum_r"), ("y", "sum_y"), ("striker_balls", "sum_striker"), ("bat_pos", "sum_pos"))), F.round(F.sum("rrr"), 4).alias("sum_rrr"), F.min("season").alias("first_season"), F.max("date").cast("string").alias("last_date"))
 
 
-@query(sql("SELECT match_id, ball_index::BIGINT AS ball_index, season, over::BIGINT AS over, b::BIGINT AS b, w::BIGINT AS w, r::BIGINT AS r, outcome, round(rrr, 6) AS rrr, phase, striker_balls::BIGINT AS striker_balls, batter, bowler, bat_pos::BIGINT AS bat_pos, y::BIGINT AS y, split FROM balls"))
+@query(sql(
+    "SELECT match_id, ball_index::BIGINT AS ball_index, season, over::BIGINT AS over, b::BIGINT AS b, w::BIGINT AS w, "
+    "r::BIGINT AS r, outcome, round(rrr, 6) AS rrr, phase, striker_balls::BIGINT AS striker_balls, batter, bowler, "
+    "bat_pos::BIGINT AS bat_pos, y::BIGINT AS y, split FROM balls"
+))
 def ball_rows(spark, d):
     return r6(balls(spark, d).drop("date"))
 
 
-@query(sql("SELECT (SELECT count(DISTINCT match_id) FROM raw) AS matches_total, count(*) FILTER (dls) AS dls, count(*) FILTER (no_result) AS no_result, count(*) FILTER (non_standard) AS non_standard, count(*) FILTER (dls OR no_result OR non_standard) AS dropped FROM (SELECT DISTINCT match_id, dls, no_result, non_standard FROM second)"))
+@query(sql(
+    "SELECT (SELECT count(DISTINCT match_id) FROM raw) AS matches_total, count(*) FILTER (dls) AS dls, "
+    "count(*) FILTER (no_result) AS no_result, count(*) FILTER (non_standard) AS non_standard, "
+    "count(*) FILTER (dls OR no_result OR non_standard) AS dropped FROM (SELECT DISTINCT match_id, dls, no_result, non_standard "
+    "FROM second)"
+))
 def drop_audit(spark, d):
     return ingest.drop_audit(raw(spark, d))
 
 
-@query(sql("SELECT (SELECT sum(absorbed)::BIGINT FROM legal) AS runs_folded_in, (SELECT sum(absorbed)::BIGINT FROM extras) - (SELECT sum(absorbed)::BIGINT FROM legal) AS runs_dropped_trailing, (SELECT count(*) FROM legal WHERE runs_total + absorbed > 6) AS balls_capped"))
+@query(sql(
+    "SELECT (SELECT sum(absorbed)::BIGINT FROM legal) AS runs_folded_in, (SELECT sum(absorbed)::BIGINT "
+    "FROM extras) - (SELECT sum(absorbed)::BIGINT FROM legal) AS runs_dropped_trailing, (SELECT count(*) FROM legal "
+    "WHERE runs_total + absorbed > 6) AS balls_capped"
+))
 def extras_audit(spark, d):
     return ingest.extras_audit(raw(spark, d))
 
@@ -147,7 +165,10 @@ def hier_cells(spark, d):
     return r6(outcomes.cells(fit).select("rrr_bin", "w", "phase", F.posexplode("cell").alias("ord", "p")))
 
 
-@query(sql(f"SELECT cell_id::BIGINT AS cell_id, rrr_bin::BIGINT AS rrr_bin, w::BIGINT AS w, phase, k::BIGINT AS ord, {_round('p[k + 1] AS p')} FROM plain_grid, range(8) t(k)"))
+@query(sql(
+    f"SELECT cell_id::BIGINT AS cell_id, rrr_bin::BIGINT AS rrr_bin, w::BIGINT AS w, phase, k::BIGINT AS ord, "
+    f"{_round('p[k + 1] AS p')} FROM plain_grid, range(8) t(k)"
+))
 def cell_lookup(spark, d):
     return r6(outcomes.full_grid(outcomes.with_recency(train(spark, d), None)).select("cell_id", "rrr_bin", "w", "phase", F.posexplode("p").alias("ord", "p")))
 
@@ -157,7 +178,10 @@ def recency_weights(spark, d):
     return r6(outcomes.with_recency(train(spark, d), outcomes.ERA_HALF_LIFE).groupBy("season").agg(F.count("*").alias("n"), F.avg("weight").alias("weight")))
 
 
-@query(sql(f"SELECT {_round('pow(sum(weight), 2) / (sum(weight * weight) * count(*)) AS ess')}, {_round(f'sum({RUNS_OF} * weight) / sum(weight) AS weighted_runs')}, {_round(f'avg({RUNS_OF}) AS mean_runs')} FROM era"))
+@query(sql(
+    f"SELECT {_round('pow(sum(weight), 2) / (sum(weight * weight) * count(*)) AS ess')}, "
+    f"{_round(f'sum({RUNS_OF} * weight) / sum(weight) AS weighted_runs')}, {_round(f'avg({RUNS_OF}) AS mean_runs')} FROM era"
+))
 def weighted_runs(spark, d):
     rows = outcomes.with_recency(train(spark, d), outcomes.ERA_HALF_LIFE).withColumn("x", chase.runs_of("outcome"))
     w = F.col("weight")
@@ -171,21 +195,36 @@ def runs_by_split(spark, d):
 
 _FOLDS = {
     "s2": "SELECT season, row_number() OVER (ORDER BY min(date), season) - 1 AS ord FROM train GROUP BY season",
-    "fits": "SELECT t.* EXCLUDE (weight), fold, hl, CASE WHEN hl = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (fold - 1 - ord) / hl) END AS x FROM train t JOIN s2 USING (season) JOIN (SELECT ord AS fold FROM s2 WHERE ord > (SELECT max(ord) FROM s2) - 3) ON ord < fold, (SELECT unnest([0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5])::DOUBLE AS hl)",
+    "fits": (
+        "SELECT t.* EXCLUDE (weight), fold, hl, CASE WHEN hl = 0 THEN 1.0 ELSE pow(0.5::DOUBLE, (fold - 1 - ord) / hl) END AS x "
+        "FROM train t JOIN s2 USING (season) JOIN (SELECT ord AS fold FROM s2 WHERE ord > (SELECT max(ord) "
+        "FROM s2) - 3) ON ord < fold, (SELECT unnest([0, 8.0, 6.0, 4.0, 3.0, 2.0, 1.5, 1.0, 0.75, 0.5])::DOUBLE AS hl)"
+    ),
 }
 
 
-@query(sql(f"SELECT hl AS half_life, {_round('avg(e) AS ess')} FROM (SELECT hl, fold, pow(sum(x), 2) / (sum(x * x) * count(*)) AS e FROM fits GROUP BY ALL) GROUP BY hl", **_FOLDS))
+@query(sql((
+    f"SELECT hl AS half_life, {_round('avg(e) AS ess')} FROM (SELECT hl, fold, pow(sum(x), 2) / (sum(x * x) * count(*)) AS e "
+    f"FROM fits GROUP BY ALL) GROUP BY hl"
+), **_FOLDS))
 def ess_by_half_life(spark, d):
     return r6(era.ess_by_half_life(train(spark, d)))
 
 
-@query(sql(f"SELECT match_id, ball_index::BIGINT AS ball_index, target::BIGINT AS target, {_round('CASE WHEN b < 120 THEN 6.0::DOUBLE * (target - r) / (120 - b) ELSE 0.0 END AS crr', 'w / 10.0::DOUBLE AS w_frac')}, (phase = 'powerplay')::BIGINT AS phase_powerplay, (phase = 'middle')::BIGINT AS phase_middle, (phase = 'death')::BIGINT AS phase_death FROM (SELECT *, max(r) OVER (PARTITION BY match_id) AS target FROM balls)"))
+@query(sql(
+    f"SELECT match_id, ball_index::BIGINT AS ball_index, target::BIGINT AS target, "
+    f"{_round('CASE WHEN b < 120 THEN 6.0::DOUBLE * (target - r) / (120 - b) ELSE 0.0 END AS crr', 'w / 10.0::DOUBLE AS w_frac')}, "
+    f"(phase = 'powerplay')::BIGINT AS phase_powerplay, (phase = 'middle')::BIGINT AS phase_middle, "
+    f"(phase = 'death')::BIGINT AS phase_death FROM (SELECT *, max(r) OVER (PARTITION BY match_id) AS target FROM balls)"
+))
 def features(spark, d):
     return r6(models.features(balls(spark, d)).select("match_id", "ball_index", "target", "crr", "w_frac", *(f"phase_{p}" for p in chase.PHASES)))
 
 
-@query(sql("SELECT (target - r) * b > r * (120 - b) AS ahead, count(*) AS n, sum(y)::BIGINT AS wins FROM (SELECT *, max(r) OVER (PARTITION BY match_id) AS target FROM balls) GROUP BY ahead"))
+@query(sql(
+    "SELECT (target - r) * b > r * (120 - b) AS ahead, count(*) AS n, sum(y)::BIGINT AS wins "
+    "FROM (SELECT *, max(r) OVER (PARTITION BY match_id) AS target FROM balls) GROUP BY ahead"
+))
 def ahead_behind(spark, d):
     return models.features(balls(spark, d)).groupBy(chase.ahead_of_rate("target").alias("ahead")).agg(F.count("*").alias("n"), F.sum("y").alias("wins"))
 
@@ -195,7 +234,10 @@ def wp_surface(spark, d):
     return r6(leverage.era_model(balls(spark, d))[1])
 
 
-@query(sql("SELECT count(*) AS states, count(*) FILTER (abs(implied - wp) > 1e-9) AS failures FROM (SELECT b, w, r, any_value(wp) AS wp, sum(prob * next_wp) AS implied FROM next GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY b, w, r")))
+@query(sql((
+    "SELECT count(*) AS states, count(*) FILTER (abs(implied - wp) > 1e-9) AS failures "
+    "FROM (SELECT b, w, r, any_value(wp) AS wp, sum(prob * next_wp) AS implied FROM next GROUP BY ALL)"
+).replace("GROUP BY ALL", "GROUP BY b, w, r")))
 def wp_consistency(spark, d):
     table = balls(spark, d)
     grid, surface = leverage.era_model(table)
@@ -219,26 +261,40 @@ def leverage_by_over(spark, d):
     return r6(leverage.leverage_by(scored(spark, d), "over"))
 
 
-@query(sql(f"(SELECT 'top' AS kind, match_id, ball_index::BIGINT AS ball_index, {_round('li')} FROM scored ORDER BY round(li, 9) DESC, match_id, ball_index LIMIT 15) UNION ALL (SELECT 'bottom', match_id, ball_index::BIGINT, {_round('li')} FROM scored WHERE b >= 6 ORDER BY round(li, 9), match_id, ball_index LIMIT 10)"))
+@query(sql(
+    f"(SELECT 'top' AS kind, match_id, ball_index::BIGINT AS ball_index, {_round('li')} FROM scored "
+    f"ORDER BY round(li, 9) DESC, match_id, ball_index LIMIT 15) UNION ALL (SELECT 'bottom', match_id, ball_index::BIGINT, "
+    f"{_round('li')} FROM scored WHERE b >= 6 ORDER BY round(li, 9), match_id, ball_index LIMIT 10)"
+))
 def top_leverage(spark, d):
     rows = scored(spark, d).withColumn("li", F.round("li", 9))
     top = leverage.top_states(rows).withColumn("kind", F.lit("top"))
     return r6(top.unionByName(leverage.top_states(rows, 10, 6, True).withColumn("kind", F.lit("bottom"))).select("kind", "match_id", "ball_index", "li"))
 
 
-@query(sql(f"SELECT coalesce(bucket, -1)::BIGINT AS bucket, count(*) AS n, {_round('avg(wp) AS mean_from', 'avg(wp_after - wp) AS mean_signed_change')} FROM (SELECT *, {bin_of('wp', 10)} AS bucket FROM steps) GROUP BY GROUPING SETS ((bucket), ())"))
+@query(sql(
+    f"SELECT coalesce(bucket, -1)::BIGINT AS bucket, count(*) AS n, "
+    f"{_round('avg(wp) AS mean_from', 'avg(wp_after - wp) AS mean_signed_change')} FROM (SELECT *, {bin_of('wp', 10)} AS bucket "
+    f"FROM steps) GROUP BY GROUPING SETS ((bucket), ())"
+))
 def martingale_drift(spark, d):
     return r6(leverage.martingale_drift(scored(spark, d)))
 
 
-@query(sql(f"SELECT {_round('sum(wpa_bat) AS total_bat', 'sum(wpa_bowl) AS total_bowl', 'sum(wpa_bat_dd) AS total_bat_dd', '(SELECT sum(y - wp) FROM credited WHERE ball_index = 0) AS telescoped')} FROM credited"))
+@query(sql(
+    f"SELECT {_round('sum(wpa_bat) AS total_bat', 'sum(wpa_bowl) AS total_bowl', 'sum(wpa_bat_dd) AS total_bat_dd', '(SELECT sum(y - wp) FROM credited WHERE ball_index = 0) AS telescoped')} "
+    f"FROM credited"
+))
 def wpa_totals(spark, d):
     return r6(wpa.totals(wpa.per_ball(scored(spark, d))))
 
 
 def _player_sql(who: str, side: str) -> str:
     names = [f"sum(wpa_{side}) AS total_wpa", f"sum(wpa_{side}_dd) AS total_wpa_dd", f"100 * avg(wpa_{side}_dd) AS wpa_dd_per100", "avg(li) AS mean_li", f"avg(wpa_{side}_dd) FILTER (li >= 2) AS wpa_high_dd", f"avg(wpa_{side}_dd) FILTER (li < 2) AS wpa_low_dd"]
-    return sql(f"SELECT {who} AS player, count(*) AS balls, {_round(*names)}, count(*) FILTER (li >= 2) AS n_high FROM credited GROUP BY {who} HAVING count(*) >= {LEAST_BALLS}")
+    return sql((
+        f"SELECT {who} AS player, count(*) AS balls, {_round(*names)}, count(*) FILTER (li >= 2) AS n_high FROM credited "
+        f"GROUP BY {who} HAVING count(*) >= {LEAST_BALLS}"
+    ))
 
 
 @query(_player_sql("batter", "bat"))
@@ -251,7 +307,13 @@ def bowler_wpa(spark, d):
     return r6(wpa.by_player(wpa.per_ball(scored(spark, d)), "bowler", "bowl", LEAST_BALLS))
 
 
-@query(sql(f"SELECT * EXCLUDE (mean9), row_number() OVER (ORDER BY mean9 DESC, player) AS rank FROM (SELECT batter AS player, count(*) AS balls, {_round('avg(li) AS mean_li', 'median(li) AS median_li', 'median(bat_pos) AS median_pos')}, round(avg((phase = 'death')::INT), 6) + 0.0 AS death_share, round(avg(li), 9) AS mean9 FROM scored GROUP BY batter HAVING count(*) >= {LEAST_BALLS})"))
+@query(sql(
+    f"SELECT * EXCLUDE (mean9), row_number() OVER (ORDER BY mean9 DESC, player) AS rank "
+    f"FROM (SELECT batter AS player, count(*) AS balls, "
+    f"{_round('avg(li) AS mean_li', 'median(li) AS median_li', 'median(bat_pos) AS median_pos')}, "
+    f"round(avg((phase = 'death')::INT), 6) + 0.0 AS death_share, round(avg(li), 9) AS mean9 FROM scored GROUP BY batter "
+    f"HAVING count(*) >= {LEAST_BALLS})"
+))
 def player_leverage(spark, d):
     return r6(players.player_leverage(scored(spark, d), "batter", LEAST_BALLS))
 
@@ -292,13 +354,20 @@ def position_correlations(spark, d):
     return r6(players.position_correlations(players.by_position(scored(spark, d))))
 
 
-@query(sql(f"SELECT bat_pos::BIGINT AS bat_pos, {_round('avg(li) AS mean_li')}, count(*) AS n, round(avg((phase = 'death')::INT), 6) + 0.0 AS death_share FROM scored GROUP BY bat_pos"))
+@query(sql(
+    f"SELECT bat_pos::BIGINT AS bat_pos, {_round('avg(li) AS mean_li')}, count(*) AS n, round(avg((phase = 'death')::INT), "
+    f"6) + 0.0 AS death_share FROM scored GROUP BY bat_pos"
+))
 def position_profile(spark, d):
     return r6(players.by_position(scored(spark, d)))
 
 
 def _corr_sql() -> str:
-    side = lambda who: f"SELECT '{who}' AS side, {_round('corr(x, y) AS correlation')}, count(*) AS players FROM (SELECT round_even(avg(li), 3) AS x, round_even(avg((phase = 'death')::INT), 3) AS y FROM scored GROUP BY {who} HAVING count(*) >= {LEAST_BALLS})"
+    side = lambda who: (
+        f"SELECT '{who}' AS side, {_round('corr(x, y) AS correlation')}, count(*) AS players "
+        f"FROM (SELECT round_even(avg(li), 3) AS x, round_even(avg((phase = 'death')::INT), 3) AS y FROM scored GROUP BY {who} "
+        f"HAVING count(*) >= {LEAST_BALLS})"
+    )
     return sql(f"{side('batter')} UNION ALL {side('bowler')}")
 
 
@@ -310,7 +379,10 @@ def leverage_correlations(spark, d):
 _LL = "-(y * ln(least(greatest(p, 1e-12), 1 - 1e-12)) + (1 - y) * ln(1 - least(greatest(p, 1e-12), 1 - 1e-12)))"
 
 
-@query(sql(f"SELECT model, {_round('avg(pow(p - y, 2)) AS brier', f'avg({_LL}) AS log_loss', 'avg(p) AS mean_pred', 'avg(y) AS actual')}, count(*) AS n FROM held GROUP BY model"))
+@query(sql(
+    f"SELECT model, {_round('avg(pow(p - y, 2)) AS brier', f'avg({_LL}) AS log_loss', 'avg(p) AS mean_pred', 'avg(y) AS actual')}, "
+    f"count(*) AS n FROM held GROUP BY model"
+))
 def brier_logloss(spark, d):
     return r6(metrics.scores(held_out(spark, d), ["model"]))
 
@@ -320,14 +392,26 @@ def ece(spark, d):
     return r6(metrics.calibration_error(held_out(spark, d), ["model"]))
 
 
-@query(sql(f"SELECT model, phase, {_round('sum(n * abs(conf - acc)) / sum(n) AS ece')}, sum(n)::BIGINT AS n FROM (SELECT model, phase, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM held GROUP BY ALL) GROUP BY model, phase"))
+@query(sql(
+    f"SELECT model, phase, {_round('sum(n * abs(conf - acc)) / sum(n) AS ece')}, sum(n)::BIGINT AS n "
+    f"FROM (SELECT model, phase, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM held GROUP BY ALL) "
+    f"GROUP BY model, phase"
+))
 def ece_by_phase(spark, d):
     return r6(metrics.calibration_error(held_out(spark, d), ["model", "phase"]))
 
 
 def _sliced_sql(by: str) -> str:
-    curve = f"SELECT model, {by}, sum(n * abs(conf - acc)) / sum(n) AS ece FROM (SELECT model, {by}, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM held GROUP BY ALL) GROUP BY model, {by}"
-    return f"SELECT model, {by}, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n, {_round('ece')} FROM (SELECT model, {by}, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, count(*) AS n FROM held GROUP BY model, {by}) JOIN ({curve}) USING (model, {by})"
+    curve = (
+        f"SELECT model, {by}, sum(n * abs(conf - acc)) / sum(n) AS ece "
+        f"FROM (SELECT model, {by}, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM held GROUP BY ALL) "
+        f"GROUP BY model, {by}"
+    )
+    return (
+        f"SELECT model, {by}, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n, {_round('ece')} "
+        f"FROM (SELECT model, {by}, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, "
+        f"count(*) AS n FROM held GROUP BY model, {by}) JOIN ({curve}) USING (model, {by})"
+    )
 
 
 @query(sql(_sliced_sql("phase")))
@@ -345,15 +429,24 @@ def reliability(spark, d):
     return r6(metrics.reliability(held_out(spark, d), ["model"]))
 
 
-_MURPHY = {"m": "SELECT *, sum(n) OVER q AS total, sum(n * acc) OVER q / sum(n) OVER q AS mean FROM curve WINDOW q AS (PARTITION BY model)", "parts": "SELECT model, sum(n / total * pow(conf - acc, 2)) AS reliability, sum(n / total * pow(acc - mean, 2)) AS resolution, max(mean * (1 - mean)) AS uncertainty FROM m GROUP BY model"}
+_MURPHY = {"m": "SELECT *, sum(n) OVER q AS total, sum(n * acc) OVER q / sum(n) OVER q AS mean FROM curve WINDOW q AS (PARTITION BY model)", "parts": (
+    "SELECT model, sum(n / total * pow(conf - acc, 2)) AS reliability, sum(n / total * pow(acc - mean, 2)) AS resolution, "
+    "max(mean * (1 - mean)) AS uncertainty FROM m GROUP BY model"
+)}
 
 
-@query(sql(f"SELECT model, {_round('reliability', 'resolution', 'uncertainty', 'reliability - resolution + uncertainty AS brier_recon')} FROM parts", **_MURPHY))
+@query(sql((
+    f"SELECT model, {_round('reliability', 'resolution', 'uncertainty', 'reliability - resolution + uncertainty AS brier_recon')} "
+    f"FROM parts"
+), **_MURPHY))
 def murphy(spark, d):
     return r6(metrics.murphy(held_out(spark, d), ["model"]))
 
 
-@query(sql(f"SELECT {_round('a.reliability - a.resolution - b.reliability + b.resolution AS brier_gap', 'a.reliability - b.reliability AS reliability_gap', 'b.resolution - a.resolution AS resolution_gap', '(a.reliability - b.reliability) / (a.reliability - a.resolution - b.reliability + b.resolution) AS reliability_share')} FROM parts a, parts b WHERE a.model = 'base Markov' AND b.model = 'RRR Markov'", **_MURPHY))
+@query(sql((
+    f"SELECT {_round('a.reliability - a.resolution - b.reliability + b.resolution AS brier_gap', 'a.reliability - b.reliability AS reliability_gap', 'b.resolution - a.resolution AS resolution_gap', '(a.reliability - b.reliability) / (a.reliability - a.resolution - b.reliability + b.resolution) AS reliability_share')} "
+    f"FROM parts a, parts b WHERE a.model = 'base Markov' AND b.model = 'RRR Markov'"
+), **_MURPHY))
 def murphy_gap(spark, d):
     return r6(metrics.murphy_gap(metrics.murphy(held_out(spark, d), ["model"]), "base Markov", "RRR Markov"))
 
@@ -362,7 +455,10 @@ def _gap_sql() -> str:
     parts = {"gap": "p - y", "brier": "pow(p - y, 2)", "log_loss": _LL}
     means = [f"{k}_{x}" for k in parts for x in ("train", "holdout")]
     inner = ", ".join(f"avg({v}) FILTER (split = '{x}') AS {k}_{x}" for k, v in parts.items() for x in ("train", "holdout"))
-    return f"SELECT model, {_round(*means, 'gap_holdout - gap_train AS widening', 'abs(gap_train) / nullif(abs(gap_holdout), 0) AS memoryless_share', 'abs(gap_holdout - gap_train) / nullif(abs(gap_holdout), 0) AS shift_share')} FROM (SELECT model, {inner} FROM predictions GROUP BY model)"
+    return (
+        f"SELECT model, {_round(*means, 'gap_holdout - gap_train AS widening', 'abs(gap_train) / nullif(abs(gap_holdout), 0) AS memoryless_share', 'abs(gap_holdout - gap_train) / nullif(abs(gap_holdout), 0) AS shift_share')} "
+        f"FROM (SELECT model, {inner} FROM predictions GROUP BY model)"
+    )
 
 
 @query(sql(_gap_sql()))
@@ -385,7 +481,11 @@ def ahead_calibration(spark, d):
     return r6(metrics.ahead_behind(held_out(spark, d)))
 
 
-_GAP = f"SELECT slice, count(*) AS n, avg(wp) AS mean_wp, avg(y) AS win_rate, avg(wp) - avg(y) AS gap FROM (SELECT *, {RIGHT_SLICE} AS slice FROM scored WHERE split = 'train') WHERE slice IS NOT NULL GROUP BY slice HAVING count(*) >= 150"
+_GAP = (
+    f"SELECT slice, count(*) AS n, avg(wp) AS mean_wp, avg(y) AS win_rate, avg(wp) - avg(y) AS gap "
+    f"FROM (SELECT *, {RIGHT_SLICE} AS slice FROM scored WHERE split = 'train') WHERE slice IS NOT NULL GROUP BY slice "
+    f"HAVING count(*) >= 150"
+)
 
 
 @query(sql(f"SELECT slice::BIGINT AS slice, n, {_round('mean_wp', 'win_rate', 'gap')} FROM gaps", gaps=_GAP))
@@ -393,12 +493,21 @@ def gap_by_rrr(spark, d):
     return r6(metrics.gap_by_slice(scored(spark, d).filter("split = 'train'"), []))
 
 
-@query(sql(f"SELECT {_round('CASE WHEN count(*) > 2 THEN corr(k, gap) END AS corr_gap', 'sum(mean_wp * n) / sum(n) AS agg_model', 'sum(win_rate * n) / sum(n) AS agg_emp')}, arg_min(slice, gap)::BIGINT AS worst_slice, {_round('arg_min(gap, slice) AS first_gap', 'arg_max(gap, slice) AS last_gap')}, bool_or(gap > 0) AND bool_or(gap < 0) AS sign_flips FROM (SELECT *, row_number() OVER (ORDER BY slice) - 1 AS k FROM gaps)", gaps=_GAP))
+@query(sql((
+    f"SELECT {_round('CASE WHEN count(*) > 2 THEN corr(k, gap) END AS corr_gap', 'sum(mean_wp * n) / sum(n) AS agg_model', 'sum(win_rate * n) / sum(n) AS agg_emp')}, "
+    f"arg_min(slice, gap)::BIGINT AS worst_slice, {_round('arg_min(gap, slice) AS first_gap', 'arg_max(gap, slice) AS last_gap')}, "
+    f"bool_or(gap > 0) AND bool_or(gap < 0) AS sign_flips FROM (SELECT *, row_number() OVER (ORDER BY slice) - 1 AS k FROM gaps)"
+), gaps=_GAP))
 def gap_shape(spark, d):
     return r6(metrics.gap_shape(metrics.gap_by_slice(scored(spark, d).filter("split = 'train'"), [])))
 
 
-@query(sql(f"SELECT slice::BIGINT AS slice, w_group, count(*) AS n, {_round('avg(wp) AS mean_wp', 'avg(y) AS win_rate', 'avg(wp) - avg(y) AS gap')} FROM (SELECT *, {RIGHT_SLICE} AS slice, CASE WHEN w >= 7 THEN '7-10 in hand' WHEN w >= 4 THEN '4-6 in hand' ELSE '1-3 in hand' END AS w_group FROM scored WHERE split = 'train') WHERE slice IS NOT NULL GROUP BY slice, w_group HAVING count(*) >= 150"))
+@query(sql(
+    f"SELECT slice::BIGINT AS slice, w_group, count(*) AS n, "
+    f"{_round('avg(wp) AS mean_wp', 'avg(y) AS win_rate', 'avg(wp) - avg(y) AS gap')} "
+    f"FROM (SELECT *, {RIGHT_SLICE} AS slice, CASE WHEN w >= 7 THEN '7-10 in hand' WHEN w >= 4 THEN '4-6 in hand' ELSE '1-3 in hand' END AS w_group "
+    f"FROM scored WHERE split = 'train') WHERE slice IS NOT NULL GROUP BY slice, w_group HAVING count(*) >= 150"
+))
 def gap_by_rrr_wickets(spark, d):
     rows = scored(spark, d).filter("split = 'train'").withColumn("w_group", chase.wicket_group("w"))
     return r6(metrics.gap_by_slice(rows, ["w_group"]))
@@ -412,12 +521,20 @@ def _with_p(spark, d):
     return outcomes.with_distribution(fit, outcomes.full_grid(fit))
 
 
-@query(sql(f"SELECT slice::BIGINT AS slice, n, {_round('mb AS model_boundary', 'eb AS emp_boundary', 'mw AS model_wicket', 'ew AS emp_wicket', 'eb - mb AS boundary_shortfall', 'ew - mw AS wicket_shortfall')} FROM (SELECT {RIGHT_SLICE} AS slice, count(*) AS n, avg(p[5] + p[7]) AS mb, avg((outcome IN ('4', '6'))::INT) AS eb, avg(p[8]) AS mw, avg((outcome = 'W')::INT) AS ew FROM wp_rows GROUP BY ALL) WHERE slice IS NOT NULL AND n >= 150", wp_rows=_WITH_P))
+@query(sql((
+    f"SELECT slice::BIGINT AS slice, n, {_round('mb AS model_boundary', 'eb AS emp_boundary', 'mw AS model_wicket', 'ew AS emp_wicket', 'eb - mb AS boundary_shortfall', 'ew - mw AS wicket_shortfall')} "
+    f"FROM (SELECT {RIGHT_SLICE} AS slice, count(*) AS n, avg(p[5] + p[7]) AS mb, avg((outcome IN ('4', '6'))::INT) AS eb, "
+    f"avg(p[8]) AS mw, avg((outcome = 'W')::INT) AS ew FROM wp_rows GROUP BY ALL) WHERE slice IS NOT NULL AND n >= 150"
+), wp_rows=_WITH_P))
 def marginal_tail(spark, d):
     return r6(metrics.marginal_tail(_with_p(spark, d)))
 
 
-@query(sql(f"SELECT {_round('max(abs(bs)) AS max_boundary_shortfall', 'max(abs(ws)) AS max_wicket_shortfall', 'arg_max(bs, slice) AS last_boundary_shortfall', 'arg_max(ws, slice) AS last_wicket_shortfall')} FROM (SELECT {RIGHT_SLICE} AS slice, count(*) AS n, avg((outcome IN ('4', '6'))::INT) - avg(p[5] + p[7]) AS bs, avg((outcome = 'W')::INT) - avg(p[8]) AS ws FROM wp_rows GROUP BY ALL) WHERE slice IS NOT NULL AND n >= 150", wp_rows=_WITH_P))
+@query(sql((
+    f"SELECT {_round('max(abs(bs)) AS max_boundary_shortfall', 'max(abs(ws)) AS max_wicket_shortfall', 'arg_max(bs, slice) AS last_boundary_shortfall', 'arg_max(ws, slice) AS last_wicket_shortfall')} "
+    f"FROM (SELECT {RIGHT_SLICE} AS slice, count(*) AS n, avg((outcome IN ('4', '6'))::INT) - avg(p[5] + p[7]) AS bs, "
+    f"avg((outcome = 'W')::INT) - avg(p[8]) AS ws FROM wp_rows GROUP BY ALL) WHERE slice IS NOT NULL AND n >= 150"
+), wp_rows=_WITH_P))
 def tail_summary(spark, d):
     return r6(metrics.tail_summary(metrics.marginal_tail(_with_p(spark, d))))
 
@@ -425,12 +542,19 @@ def tail_summary(spark, d):
 _DEV = ", ".join(f"abs(avg(p[{k + 1}] - (outcome = '{o}')::INT)) AS d{k}" for k, o in enumerate(chase.OUTCOMES))
 
 
-@query(sql(f"SELECT slice::BIGINT AS slice, n, {_round('0.5 * (d0 + d1 + d2 + d3 + d4 + d5 + d6 + d7) AS tv', 'greatest(d0, d1, d2, d3, d4, d5, d6, d7) AS max_abs_dev')} FROM (SELECT {LEFT_SLICE} AS slice, count(*) AS n, {_DEV} FROM wp_rows GROUP BY ALL)".replace("GROUP BY ALL", "GROUP BY slice"), wp_rows=_WITH_P))
+@query(sql((
+    f"SELECT slice::BIGINT AS slice, n, {_round('0.5 * (d0 + d1 + d2 + d3 + d4 + d5 + d6 + d7) AS tv', 'greatest(d0, d1, d2, d3, d4, d5, d6, d7) AS max_abs_dev')} "
+    f"FROM (SELECT {LEFT_SLICE} AS slice, count(*) AS n, {_DEV} FROM wp_rows GROUP BY ALL)"
+).replace("GROUP BY ALL", "GROUP BY slice"), wp_rows=_WITH_P))
 def marginal_tv(spark, d):
     return r6(metrics.marginal_distance(_with_p(spark, d)))
 
 
-@query(sql(f"SELECT {_round('corr(runs, later) AS lag1')}, count(*) AS n_pairs FROM (SELECT runs, lead(runs) OVER (PARTITION BY match_id, part ORDER BY ball_index) AS later FROM resid) WHERE later IS NOT NULL"))
+@query(sql(
+    f"SELECT {_round('corr(runs, later) AS lag1')}, count(*) AS n_pairs "
+    f"FROM (SELECT runs, lead(runs) OVER (PARTITION BY match_id, part ORDER BY ball_index) AS later FROM resid) "
+    f"WHERE later IS NOT NULL"
+))
 def partnership_lag1(spark, d):
     return r6(leverage.partnership_lag1(train(spark, d)))
 
@@ -443,7 +567,12 @@ def lag_profile(spark, d):
 
 def _icc_sql(value: str, keys: str, name: str) -> str:
     g = f"(SELECT count(*)::DOUBLE AS n, avg({value}) AS m, var_pop({value}) * count(*) AS ss FROM resid GROUP BY {keys})"
-    return f"SELECT '{name}' AS series, {_round('(msb - msw) / (msb + (n0 - 1) * msw) AS icc')}, k AS groups FROM (SELECT k, (q - total * grand * grand) / (k - 1) AS msb, ssw / (total - k) AS msw, (total - n2 / total) / (k - 1) AS n0 FROM (SELECT count(*) AS k, sum(n) AS total, sum(n * m) / sum(n) AS grand, sum(n * m * m) AS q, sum(ss) AS ssw, sum(n * n) AS n2 FROM {g}))"
+    return (
+        f"SELECT '{name}' AS series, {_round('(msb - msw) / (msb + (n0 - 1) * msw) AS icc')}, k AS groups "
+        f"FROM (SELECT k, (q - total * grand * grand) / (k - 1) AS msb, ssw / (total - k) AS msw, (total - n2 / total) / (k - 1) AS n0 "
+        f"FROM (SELECT count(*) AS k, sum(n) AS total, sum(n * m) / sum(n) AS grand, sum(n * m * m) AS q, sum(ss) AS ssw, "
+        f"sum(n * n) AS n2 FROM {g}))"
+    )
 
 
 _ICC = [("runs", ["match_id"], "runs by innings"), ("runs", ["match_id", "part"], "runs by partnership"), ("wkt", ["match_id"], "wickets by innings")]
@@ -457,11 +586,23 @@ def icc(spark, d):
 
 
 _SHUFFLE = {
-    "copies": f"SELECT rep, match_id, ball_index, part, runs, wkt, row_number() OVER (PARTITION BY rep, match_id ORDER BY ball_index) AS k, row_number() OVER (PARTITION BY rep, match_id ORDER BY h, ball_index) AS d FROM (SELECT *, {draw('h', 'match_id', 'rep', 'ball_index')} FROM resid, range({PERMUTATIONS}) t(rep))",
-    "mixed": "SELECT a.rep, a.match_id, a.ball_index, a.part, b.runs, b.wkt FROM copies a JOIN copies b ON a.rep = b.rep AND a.match_id = b.match_id AND a.k = b.d",
+    "copies": (
+        f"SELECT rep, match_id, ball_index, part, runs, wkt, row_number() OVER (PARTITION BY rep, match_id "
+        f"ORDER BY ball_index) AS k, row_number() OVER (PARTITION BY rep, match_id ORDER BY h, ball_index) AS d "
+        f"FROM (SELECT *, {draw('h', 'match_id', 'rep', 'ball_index')} FROM resid, range({PERMUTATIONS}) t(rep))"
+    ),
+    "mixed": (
+        "SELECT a.rep, a.match_id, a.ball_index, a.part, b.runs, b.wkt FROM copies a "
+        "JOIN copies b ON a.rep = b.rep AND a.match_id = b.match_id AND a.k = b.d"
+    ),
     "nulls": profile("mixed", "rep"),
     "seen": profile("resid"),
-    "banded": "SELECT series, variant, scope, s.lag, r, n, null_mean, null_lo, null_hi, CASE WHEN r > null_hi THEN 'above' WHEN r < null_lo THEN 'below' ELSE 'inside' END AS flag FROM seen s JOIN (SELECT series, variant, scope, lag, avg(r) AS null_mean, quantile_cont(r, 0.025) AS null_lo, quantile_cont(r, 0.975) AS null_hi FROM nulls GROUP BY ALL) USING (series, variant, scope, lag)",
+    "banded": (
+        "SELECT series, variant, scope, s.lag, r, n, null_mean, null_lo, null_hi, "
+        "CASE WHEN r > null_hi THEN 'above' WHEN r < null_lo THEN 'below' ELSE 'inside' END AS flag FROM seen s "
+        "JOIN (SELECT series, variant, scope, lag, avg(r) AS null_mean, quantile_cont(r, 0.025) AS null_lo, quantile_cont(r, "
+        "0.975) AS null_hi FROM nulls GROUP BY ALL) USING (series, variant, scope, lag)"
+    ),
 }
 
 
@@ -470,7 +611,10 @@ def profile_with_null(spark: SparkSession, d: str) -> DataFrame:
     return dependence.permutation_null(leverage.residuals(train(spark, d)), PERMUTATIONS)
 
 
-@query(sql(f"SELECT series, variant, scope, lag::BIGINT AS lag, {_round('r')}, n, {_round('null_mean', 'null_lo', 'null_hi')}, flag FROM banded", **_SHUFFLE))
+@query(sql((
+    f"SELECT series, variant, scope, lag::BIGINT AS lag, {_round('r')}, n, {_round('null_mean', 'null_lo', 'null_hi')}, flag "
+    f"FROM banded"
+), **_SHUFFLE))
 def perm_null(spark, d):
     return r6(profile_with_null(spark, d))
 
@@ -478,11 +622,26 @@ def perm_null(spark, d):
 _AT = "FILTER (variant = '{}' AND scope = '{}' AND lag = {})".format
 _VERDICT = {
     "groups": " UNION ALL ".join(_icc_sql(v, ", ".join(k), n) for v, k, n in _ICC),
-    "answers": f"SELECT bool_or(flag = 'above') {_AT('state', 'innings', 1)} AS beyond_innings, bool_or(flag = 'above') {_AT('state+innings', 'innings', 1)} AS survives_innings, bool_or(flag = 'above') {_AT('state+partnership', 'partnership', 1)} AS survives_partnership, max(r) {_AT('state', 'innings', 1)} AS lag1, max(null_mean) {_AT('state', 'innings', 1)} AS null_centre, max(r - null_mean) {_AT('state', 'innings', 1)} AS excess_lag1, avg(r - null_mean) FILTER (variant = 'state' AND scope = 'innings' AND lag IN (20, 30)) AS excess_tail FROM banded WHERE series = 'runs'",
+    "answers": (
+        f"SELECT bool_or(flag = 'above') {_AT('state', 'innings', 1)} AS beyond_innings, "
+        f"bool_or(flag = 'above') {_AT('state+innings', 'innings', 1)} AS survives_innings, "
+        f"bool_or(flag = 'above') {_AT('state+partnership', 'partnership', 1)} AS survives_partnership, "
+        f"max(r) {_AT('state', 'innings', 1)} AS lag1, max(null_mean) {_AT('state', 'innings', 1)} AS null_centre, "
+        f"max(r - null_mean) {_AT('state', 'innings', 1)} AS excess_lag1, "
+        f"avg(r - null_mean) FILTER (variant = 'state' AND scope = 'innings' AND lag IN (20, 30)) AS excess_tail FROM banded "
+        f"WHERE series = 'runs'"
+    ),
 }
 
 
-@query(sql(f"SELECT beyond_innings, survives_innings, survives_partnership, {_round('lag1', 'null_centre', 'excess_lag1', 'excess_tail', 'CASE WHEN lag1 > 0 THEN least(greatest(null_centre / lag1, 0.0), 1.0) END AS share')}, excess_lag1 > 0 AND excess_tail < 0.5 * excess_lag1 AS decays, CASE WHEN NOT beyond_innings THEN 'heterogeneity-only' WHEN survives_partnership THEN 'sequential' ELSE 'partnership-latent' END AS label, (SELECT icc FROM groups WHERE series = 'runs by innings') AS icc_innings, (SELECT icc FROM groups WHERE series = 'runs by partnership') AS icc_partnership FROM answers", **_SHUFFLE, **_VERDICT))
+@query(sql((
+    f"SELECT beyond_innings, survives_innings, survives_partnership, "
+    f"{_round('lag1', 'null_centre', 'excess_lag1', 'excess_tail', 'CASE WHEN lag1 > 0 THEN least(greatest(null_centre / lag1, 0.0), 1.0) END AS share')}, "
+    f"excess_lag1 > 0 AND excess_tail < 0.5 * excess_lag1 AS decays, "
+    f"CASE WHEN NOT beyond_innings THEN 'heterogeneity-only' WHEN survives_partnership THEN 'sequential' ELSE 'partnership-latent' END AS label, "
+    f"(SELECT icc FROM groups WHERE series = 'runs by innings') AS icc_innings, (SELECT icc FROM groups "
+    f"WHERE series = 'runs by partnership') AS icc_partnership FROM answers"
+), **_SHUFFLE, **_VERDICT))
 def dependence_verdict(spark, d):
     rows = cut(leverage.residuals(train(spark, d)))
     parts = [dependence.icc(rows, "runs", keys).select(F.lit(scope).alias("scope"), "icc") for scope, (keys, _) in dependence.SCOPES.items()]
@@ -491,12 +650,25 @@ def dependence_verdict(spark, d):
 
 #: Named pairs of models; the second is better if the difference of log loss is below 0.
 _MARKOV_PAIRS = [("base Markov", "RRR Markov"), ("RRR Markov", "RRR Markov (era)")]
-_ERA_HELD = "SELECT model, match_id, ball_index, p, y FROM held UNION ALL SELECT 'RRR Markov (era)', match_id, ball_index, wp, y FROM scored WHERE split = 'holdout'"
+_ERA_HELD = (
+    "SELECT model, match_id, ball_index, p, y FROM held UNION ALL SELECT 'RRR Markov (era)', match_id, ball_index, wp, y "
+    "FROM scored WHERE split = 'holdout'"
+)
 _BOOT = {
     "with_era": _ERA_HELD,
-    "deltas": " UNION ALL ".join(f"SELECT '{a} / {b}' AS pair, match_id, v.ll - u.ll AS delta FROM (SELECT match_id, ball_index, {_LL} AS ll FROM with_era WHERE model = '{a}') u JOIN (SELECT match_id, ball_index, {_LL} AS ll FROM with_era WHERE model = '{b}') v USING (match_id, ball_index)" for a, b in _MARKOV_PAIRS),
-    "sums": "SELECT pair, match_id, sum(delta) AS s, count(*) AS c, row_number() OVER (PARTITION BY pair ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY pair) AS m FROM deltas GROUP BY pair, match_id",
-    "slots": f"SELECT pair, m, rep, h FROM (SELECT pair, m, rep, {draw('h', '0', name_key('pair'), 'rep', 'k')} FROM sums, range({REPLICATES}) z(rep))",
+    "deltas": " UNION ALL ".join((
+        f"SELECT '{a} / {b}' AS pair, match_id, v.ll - u.ll AS delta FROM (SELECT match_id, ball_index, {_LL} AS ll FROM with_era "
+        f"WHERE model = '{a}') u JOIN (SELECT match_id, ball_index, {_LL} AS ll FROM with_era "
+        f"WHERE model = '{b}') v USING (match_id, ball_index)"
+    ) for a, b in _MARKOV_PAIRS),
+    "sums": (
+        "SELECT pair, match_id, sum(delta) AS s, count(*) AS c, row_number() OVER (PARTITION BY pair "
+        "ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY pair) AS m FROM deltas GROUP BY pair, match_id"
+    ),
+    "slots": (
+        f"SELECT pair, m, rep, h FROM (SELECT pair, m, rep, {draw('h', '0', name_key('pair'), 'rep', 'k')} "
+        f"FROM sums, range({REPLICATES}) z(rep))"
+    ),
     "boot": "SELECT x.pair, rep, sum(t.s) / sum(t.c) AS mean FROM slots x JOIN sums t ON x.pair = t.pair AND t.k = x.h % x.m GROUP BY ALL",
 }
 
@@ -516,32 +688,70 @@ def held_with_era(spark: SparkSession, d: str) -> DataFrame:
     return held_out(spark, d).unionByName(era_rows)
 
 
-@query(sql(f"SELECT pair, {_round('lo AS ci_lo', 'hi AS ci_hi', 'point')}, CASE WHEN hi < 0 THEN 'yes' WHEN lo <= 0 THEN 'no' ELSE 'worse' END AS verdict FROM (SELECT pair, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot GROUP BY pair) JOIN (SELECT pair, sum(s) / sum(c) AS point FROM sums GROUP BY pair) USING (pair)", **_BOOT))
+@query(sql((
+    f"SELECT pair, {_round('lo AS ci_lo', 'hi AS ci_hi', 'point')}, "
+    f"CASE WHEN hi < 0 THEN 'yes' WHEN lo <= 0 THEN 'no' ELSE 'worse' END AS verdict "
+    f"FROM (SELECT pair, quantile_cont(mean, 0.025) AS lo, quantile_cont(mean, 0.975) AS hi FROM boot GROUP BY pair) "
+    f"JOIN (SELECT pair, sum(s) / sum(c) AS point FROM sums GROUP BY pair) USING (pair)"
+), **_BOOT))
 def cluster_bootstrap(spark, d):
     return r6(resample.loss_difference(_deltas(held_with_era(spark, d), _MARKOV_PAIRS), ["pair"], REPLICATES))
 
 
 _SIDES = {"batter": "bat", "bowler": "bowl"}
 _PLAYER_BOOT = {
-    "psums": " UNION ALL ".join(f"SELECT '{who}' AS side, {who} AS player, match_id, count(*) AS c, sum(li) AS s_li, sum(wpa_{x}_dd) AS s_dd, sum(CASE WHEN li >= 2 THEN wpa_{x}_dd ELSE 0 END) AS s_hi, count(*) FILTER (li >= 2) AS c_hi FROM credited GROUP BY ALL" for who, x in _SIDES.items()),
-    "pnum": f"SELECT *, row_number() OVER (PARTITION BY side, player ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY side, player) AS m FROM (SELECT *, sum(c) OVER (PARTITION BY side, player) AS balls FROM psums) WHERE balls >= {LEAST_BALLS}",
-    "pslots": f"SELECT side, player, balls, m, rep, h FROM (SELECT side, player, balls, m, rep, {draw('h', '0', name_key('side', 'player', 'balls::BIGINT'), 'rep', 'k')} FROM pnum, range({PLAYER_REPLICATES}) z(rep))",
-    "pboot": "SELECT x.side, x.player, x.balls, rep, sum(s_li) / sum(c) AS li, x.balls * sum(s_dd) / sum(c) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pslots x JOIN pnum t ON x.side = t.side AND x.player = t.player AND x.h % x.m = t.k GROUP BY x.side, x.player, x.balls, rep",
+    "psums": " UNION ALL ".join((
+        f"SELECT '{who}' AS side, {who} AS player, match_id, count(*) AS c, sum(li) AS s_li, sum(wpa_{x}_dd) AS s_dd, "
+        f"sum(CASE WHEN li >= 2 THEN wpa_{x}_dd ELSE 0 END) AS s_hi, count(*) FILTER (li >= 2) AS c_hi FROM credited GROUP BY ALL"
+    ) for who, x in _SIDES.items()),
+    "pnum": (
+        f"SELECT *, row_number() OVER (PARTITION BY side, player ORDER BY match_id) - 1 AS k, count(*) OVER (PARTITION BY side, "
+        f"player) AS m FROM (SELECT *, sum(c) OVER (PARTITION BY side, player) AS balls FROM psums) WHERE balls >= {LEAST_BALLS}"
+    ),
+    "pslots": (
+        f"SELECT side, player, balls, m, rep, h FROM (SELECT side, player, balls, m, rep, "
+        f"{draw('h', '0', name_key('side', 'player', 'balls::BIGINT'), 'rep', 'k')} FROM pnum, range({PLAYER_REPLICATES}) z(rep))"
+    ),
+    "pboot": (
+        "SELECT x.side, x.player, x.balls, rep, sum(s_li) / sum(c) AS li, x.balls * sum(s_dd) / sum(c) AS total, "
+        "sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pslots x "
+        "JOIN pnum t ON x.side = t.side AND x.player = t.player AND x.h % x.m = t.k GROUP BY x.side, x.player, x.balls, rep"
+    ),
     "pci": "SELECT side, player, max(balls)::BIGINT AS balls, " + ", ".join(f"quantile_cont({n}, {q}) AS {n}_{e}" for n in ("li", "total", "split") for q, e in ((0.025, "lo"), (0.975, "hi"))) + ", count(*) FILTER (split IS NULL) AS degenerate FROM pboot GROUP BY side, player",
-    "ppoints": "SELECT side, player, sum(s_li) / sum(c) AS li, sum(s_dd) AS total, sum(s_hi) / nullif(sum(c_hi), 0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pnum GROUP BY side, player",
-    "pranks": " UNION ALL ".join(f"SELECT side, '{m}' AS measure, player, {m} AS point, row_number() OVER (PARTITION BY side ORDER BY round({m}, 9) DESC, player) AS rank, count(*) OVER (PARTITION BY side) AS n FROM ppoints WHERE {m} IS NOT NULL" for m in ("li", "total")),
+    "ppoints": (
+        "SELECT side, player, sum(s_li) / sum(c) AS li, sum(s_dd) AS total, sum(s_hi) / nullif(sum(c_hi), "
+        "0) - (sum(s_dd) - sum(s_hi)) / nullif(sum(c) - sum(c_hi), 0) AS split FROM pnum GROUP BY side, player"
+    ),
+    "pranks": " UNION ALL ".join((
+        f"SELECT side, '{m}' AS measure, player, {m} AS point, row_number() OVER (PARTITION BY side "
+        f"ORDER BY round({m}, 9) DESC, player) AS rank, count(*) OVER (PARTITION BY side) AS n FROM ppoints WHERE {m} IS NOT NULL"
+    ) for m in ("li", "total")),
     "plong": "SELECT side, player, rep, unnest([{'measure': 'li', 'x': li}, {'measure': 'total', 'x': total}], recursive := true) FROM pboot",
 }
 
 
 def _differences(name: str, pairs: str, keys: str) -> dict[str, str]:
     """Common tables ``name``: ``pairs (side, measure, player, other, point, other_point, keys)`` with intervals."""
-    both = f"SELECT q.*, a.x - b.x AS delta FROM {name}_pairs q JOIN plong a ON a.side = q.side AND a.measure = q.measure AND a.player = q.player JOIN plong b ON b.side = q.side AND b.measure = q.measure AND b.player = q.other AND b.rep = a.rep"
-    return {f"{name}_pairs": pairs, name: f"SELECT *, lo > 0 OR hi < 0 AS separated FROM (SELECT side, measure, {keys}, player, other, max(point - other_point) AS diff, quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM ({both}) GROUP BY ALL)"}
-
-
-_ADJACENT = _differences("adj", "SELECT u.side, u.measure, u.rank, u.player, v.player AS other, u.point, v.point AS other_point FROM pranks u JOIN pranks v ON v.side = u.side AND v.measure = u.measure AND v.rank = u.rank + 1", "rank")
-_SPAN = _differences("spans", "SELECT u.side, u.measure, kind, u.player, v.player AS other, u.point, v.point AS other_point FROM pranks u JOIN (SELECT *, unnest([{'kind': 'span', 'at': least(n, 10)}, {'kind': 'anchor', 'at': n}], recursive := true) FROM pranks) v ON v.side = u.side AND v.measure = u.measure AND v.rank = v.at WHERE u.rank = 1", "kind")
+    both = (
+        f"SELECT q.*, a.x - b.x AS delta FROM {name}_pairs q "
+        f"JOIN plong a ON a.side = q.side AND a.measure = q.measure AND a.player = q.player "
+        f"JOIN plong b ON b.side = q.side AND b.measure = q.measure AND b.player = q.other AND b.rep = a.rep"
+    )
+    return {f"{name}_pairs": pairs, name: (
+        f"SELECT *, lo > 0 OR hi < 0 AS separated FROM (SELECT side, measure, {keys}, player, other, max(point - other_point) AS diff, "
+        f"quantile_cont(delta, 0.025) AS lo, quantile_cont(delta, 0.975) AS hi FROM ({both}) GROUP BY ALL)"
+    )}
+
+
+_ADJACENT = _differences("adj", (
+    "SELECT u.side, u.measure, u.rank, u.player, v.player AS other, u.point, v.point AS other_point FROM pranks u "
+    "JOIN pranks v ON v.side = u.side AND v.measure = u.measure AND v.rank = u.rank + 1"
+), "rank")
+_SPAN = _differences("spans", (
+    "SELECT u.side, u.measure, kind, u.player, v.player AS other, u.point, v.point AS other_point FROM pranks u "
+    "JOIN (SELECT *, unnest([{'kind': 'span', 'at': least(n, 10)}, {'kind': 'anchor', 'at': n}], recursive := true) "
+    "FROM pranks) v ON v.side = u.side AND v.measure = u.measure AND v.rank = v.at WHERE u.rank = 1"
+), "kind")
 
 
 @kept
@@ -560,7 +770,10 @@ def _adjacent(spark: SparkSession, d: str) -> DataFrame:
     return resample.adjacent_differences(boot, points, "li").unionByName(resample.adjacent_differences(boot, points, "total"))
 
 
-@query(sql(f"SELECT side, player, balls, {_round(*(f'{m}_{e}' for m in ('li', 'total', 'split') for e in ('lo', 'hi')))}, degenerate FROM pci", **_PLAYER_BOOT))
+@query(sql((
+    f"SELECT side, player, balls, {_round(*(f'{m}_{e}' for m in ('li', 'total', 'split') for e in ('lo', 'hi')))}, degenerate "
+    f"FROM pci"
+), **_PLAYER_BOOT))
 def player_ci(spark, d):
     return r6(resample.player_intervals(player_boot(spark, d)))
 
@@ -576,15 +789,30 @@ def span_diff(spark, d):
     return r6(resample.span_differences(boot, points, "li").unionByName(resample.span_differences(boot, points, "total")))
 
 
-@query(sql("SELECT s.side, splits, splits_significant, totals_significant, separated_li, separated_total FROM (SELECT side, count(*) AS splits, count(*) FILTER (split_lo > 0 OR split_hi < 0) AS splits_significant FROM pci JOIN ppoints p USING (side, player) WHERE p.split IS NOT NULL GROUP BY side) s JOIN (SELECT side, count(*) FILTER (total_lo > 0 OR total_hi < 0) AS totals_significant FROM pci JOIN pranks USING (side, player) WHERE measure = 'total' AND rank <= 10 GROUP BY side) t USING (side) JOIN (SELECT side, count(*) FILTER (separated AND measure = 'li') AS separated_li, count(*) FILTER (separated AND measure = 'total') AS separated_total FROM adj WHERE rank < 10 GROUP BY side) a USING (side)", **_PLAYER_BOOT, **_ADJACENT))
+@query(sql((
+    "SELECT s.side, splits, splits_significant, totals_significant, separated_li, separated_total "
+    "FROM (SELECT side, count(*) AS splits, count(*) FILTER (split_lo > 0 OR split_hi < 0) AS splits_significant FROM pci "
+    "JOIN ppoints p USING (side, player) WHERE p.split IS NOT NULL GROUP BY side) s "
+    "JOIN (SELECT side, count(*) FILTER (total_lo > 0 OR total_hi < 0) AS totals_significant FROM pci "
+    "JOIN pranks USING (side, player) WHERE measure = 'total' AND rank <= 10 GROUP BY side) t USING (side) "
+    "JOIN (SELECT side, count(*) FILTER (separated AND measure = 'li') AS separated_li, "
+    "count(*) FILTER (separated AND measure = 'total') AS separated_total FROM adj WHERE rank < 10 GROUP BY side) a USING (side)"
+), **_PLAYER_BOOT, **_ADJACENT))
 def significance_counts(spark, d):
     return resample.significance_counts(resample.player_intervals(player_boot(spark, d)), player_points(spark, d), _adjacent(spark, d))
 
 
 def _top_sql() -> str:
     columns = _round("total_wpa_dd", "wpa_high_dd", "wpa_low_dd")
-    table = lambda who, x: f"(SELECT {who} AS player, count(*) AS balls, count(*) FILTER (li >= 2) AS n_high, sum(wpa_{x}) AS total_wpa, sum(wpa_{x}_dd) AS total_wpa_dd, avg(wpa_{x}_dd) FILTER (li >= 2) AS wpa_high_dd, avg(wpa_{x}_dd) FILTER (li < 2) AS wpa_low_dd FROM credited GROUP BY {who} HAVING count(*) >= {LEAST_BALLS})"
-    one = lambda who, x, name, by, where: f"(SELECT '{who}' AS side, '{name}' AS list, row_number() OVER (ORDER BY round({by}, 9) DESC, player) AS rank, player, balls, n_high, {columns} FROM {table(who, x)} WHERE {where} QUALIFY rank <= 20)"
+    table = lambda who, x: (
+        f"(SELECT {who} AS player, count(*) AS balls, count(*) FILTER (li >= 2) AS n_high, sum(wpa_{x}) AS total_wpa, "
+        f"sum(wpa_{x}_dd) AS total_wpa_dd, avg(wpa_{x}_dd) FILTER (li >= 2) AS wpa_high_dd, "
+        f"avg(wpa_{x}_dd) FILTER (li < 2) AS wpa_low_dd FROM credited GROUP BY {who} HAVING count(*) >= {LEAST_BALLS})"
+    )
+    one = lambda who, x, name, by, where: (
+        f"(SELECT '{who}' AS side, '{name}' AS list, row_number() OVER (ORDER BY round({by}, 9) DESC, player) AS rank, player, balls, "
+        f"n_high, {columns} FROM {table(who, x)} WHERE {where} QUALIFY rank <= 20)"
+    )
     return " UNION ALL ".join(one(who, x, *of) for who, x in _SIDES.items() for of in (("total", "total_wpa_dd", "true"), ("clutch", "wpa_high_dd", "n_high >= 100")))
 
 
@@ -594,13 +822,21 @@ def top_wpa(spark, d):
     return r6(reduce(DataFrame.unionByName, (wpa.top_lists(wpa.by_player(credited, who, side, LEAST_BALLS)).withColumn("side", F.lit(who)) for who, side in _SIDES.items())))
 
 
-@query(sql(" UNION ALL ".join(f"(SELECT '{who}' AS side, {who} AS player, {_round(f'sum(wpa_{x}) AS total_wpa', f'sum(wpa_{x}_dd) AS total_wpa_dd')} FROM credited GROUP BY {who} HAVING count(*) >= {LEAST_BALLS} ORDER BY round(sum(wpa_{x}) - sum(wpa_{x}_dd), 9) {way}, {who} LIMIT 1)" for who, x, way in (("batter", "bat", "DESC"), ("bowler", "bowl", "ASC")))))
+@query(sql(" UNION ALL ".join((
+    f"(SELECT '{who}' AS side, {who} AS player, {_round(f'sum(wpa_{x}) AS total_wpa', f'sum(wpa_{x}_dd) AS total_wpa_dd')} "
+    f"FROM credited GROUP BY {who} HAVING count(*) >= {LEAST_BALLS} "
+    f"ORDER BY round(sum(wpa_{x}) - sum(wpa_{x}_dd), 9) {way}, {who} LIMIT 1)"
+) for who, x, way in (("batter", "bat", "DESC"), ("bowler", "bowl", "ASC")))))
 def wpa_inversions(spark, d):
     credited = wpa.per_ball(scored(spark, d))
     return r6(wpa.inversions(*(wpa.by_player(credited, who, side, LEAST_BALLS) for who, side in _SIDES.items())))
 
 
-@query(sql(f"SELECT match_id, ball_index::BIGINT AS ball_index, slice::BIGINT AS slice FROM (SELECT *, {LEFT_SLICE} AS slice FROM balls WHERE split = 'train') QUALIFY row_number() OVER (PARTITION BY slice ORDER BY md5('0|' || match_id || '|' || ball_index), match_id, ball_index) <= 220"))
+@query(sql(
+    f"SELECT match_id, ball_index::BIGINT AS ball_index, slice::BIGINT AS slice FROM (SELECT *, {LEFT_SLICE} AS slice FROM balls "
+    f"WHERE split = 'train') QUALIFY row_number() OVER (PARTITION BY slice "
+    f"ORDER BY md5('0|' || match_id || '|' || ball_index), match_id, ball_index) <= 220"
+))
 def stratified_sample(spark, d):
     rows = train(spark, d).withColumn("slice", chase.slice_left_closed("rrr"))
     return r6(resample.stratified_sample(rows, "slice").select("match_id", "ball_index", "slice"))
@@ -634,8 +870,16 @@ def _fold_tables() -> dict[str, str]:
         "hl_fit": "SELECT *, x * (count(*) OVER k / sum(x) OVER k) AS weight FROM fits WINDOW k AS (PARTITION BY fold, hl)",
         **keyed,
         **surface("hl_wp", "hl_list", "fold, hl"),
-        "hl_valid": "SELECT fold, hl, y, wp AS p FROM (SELECT train.*, ord AS fold FROM train JOIN s2 USING (season)) v JOIN hl_wp USING (fold, b, w, r)",
-        "hl_scores": f"SELECT hl AS half_life, avg(ll) AS log_loss, avg(br) AS brier, avg(e) AS ess FROM (SELECT fold, hl, avg({_LL}) AS ll, avg(pow(p - y, 2)) AS br FROM hl_valid GROUP BY ALL) JOIN (SELECT fold, hl, pow(sum(weight), 2) / (sum(weight * weight) * count(*)) AS e FROM hl_fit GROUP BY ALL) USING (fold, hl) GROUP BY hl",
+        "hl_valid": (
+            "SELECT fold, hl, y, wp AS p FROM (SELECT train.*, ord AS fold FROM train JOIN s2 USING (season)) v "
+            "JOIN hl_wp USING (fold, b, w, r)"
+        ),
+        "hl_scores": (
+            f"SELECT hl AS half_life, avg(ll) AS log_loss, avg(br) AS brier, avg(e) AS ess "
+            f"FROM (SELECT fold, hl, avg({_LL}) AS ll, avg(pow(p - y, 2)) AS br FROM hl_valid GROUP BY ALL) "
+            f"JOIN (SELECT fold, hl, pow(sum(weight), 2) / (sum(weight * weight) * count(*)) AS e FROM hl_fit "
+            f"GROUP BY ALL) USING (fold, hl) GROUP BY hl"
+        ),
     }
 
 
@@ -651,11 +895,19 @@ def half_life_cv(spark, d):
 
 _WALK = {
     "hl_ranked": "SELECT *, row_number() OVER (ORDER BY CASE WHEN half_life = 0 THEN 1e9 ELSE half_life END DESC) AS k FROM hl_scores",
-    "walk": "SELECT k, NULL::DOUBLE AS best, log_loss AS loss FROM hl_ranked WHERE k = 1 UNION ALL SELECT r.k, CASE WHEN r.log_loss < w.loss - 1e-9 AND r.ess >= 0.15 THEN r.half_life ELSE w.best END, CASE WHEN r.log_loss < w.loss - 1e-9 AND r.ess >= 0.15 THEN r.log_loss ELSE w.loss END FROM walk w JOIN hl_ranked r ON r.k = w.k + 1",
+    "walk": (
+        "SELECT k, NULL::DOUBLE AS best, log_loss AS loss FROM hl_ranked WHERE k = 1 "
+        "UNION ALL SELECT r.k, CASE WHEN r.log_loss < w.loss - 1e-9 AND r.ess >= 0.15 THEN r.half_life ELSE w.best END, "
+        "CASE WHEN r.log_loss < w.loss - 1e-9 AND r.ess >= 0.15 THEN r.log_loss ELSE w.loss END FROM walk w "
+        "JOIN hl_ranked r ON r.k = w.k + 1"
+    ),
 }
 
 
-@query(sql("SELECT coalesce((SELECT arg_max(best, k) FROM walk WHERE k = (SELECT max(k) FROM walk)), (SELECT arg_min(half_life, log_loss) FROM hl_scores)) AS half_life", **_fold_tables(), **_WALK))
+@query(sql((
+    "SELECT coalesce((SELECT arg_max(best, k) FROM walk WHERE k = (SELECT max(k) "
+    "FROM walk)), (SELECT arg_min(half_life, log_loss) FROM hl_scores)) AS half_life"
+), **_fold_tables(), **_WALK))
 def half_life_choice(spark, d):
     return era.chosen_half_life(half_lives(spark, d))
 
@@ -707,7 +959,10 @@ _LOGITS = {
 
 def _scores_sql(table: str) -> str:
     """Scores of each model of ``table (model, p, y)``, as a query."""
-    return f"SELECT model, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, count(*) AS n FROM {table} GROUP BY model"
+    return (
+        f"SELECT model, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, count(*) AS n "
+        f"FROM {table} GROUP BY model"
+    )
 
 
 def _logit_sql(name: str) -> str:
@@ -754,7 +1009,14 @@ def model_table(spark, d):
     return r6(metrics.metric_table(_every_model(spark, d)))
 
 
-@query(sql(f"SELECT model, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n, {_round('ece')}, row_number() OVER (ORDER BY round(log_loss, 9), model) AS rank FROM (SELECT model, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, count(*) AS n FROM with_era GROUP BY model) JOIN (SELECT model, sum(n * abs(conf - acc)) / sum(n) AS ece FROM (SELECT model, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM with_era GROUP BY ALL) GROUP BY model) USING (model)", with_era=_ERA_HELD))
+@query(sql((
+    f"SELECT model, {_round('brier', 'log_loss', 'mean_pred', 'actual')}, n, {_round('ece')}, "
+    f"row_number() OVER (ORDER BY round(log_loss, 9), model) AS rank "
+    f"FROM (SELECT model, avg(pow(p - y, 2)) AS brier, avg({_LL}) AS log_loss, avg(p) AS mean_pred, avg(y) AS actual, "
+    f"count(*) AS n FROM with_era GROUP BY model) JOIN (SELECT model, sum(n * abs(conf - acc)) / sum(n) AS ece "
+    f"FROM (SELECT model, {bin_of('p', 15)} AS bin, avg(p) AS conf, avg(y) AS acc, count(*) AS n FROM with_era GROUP BY ALL) "
+    f"GROUP BY model) USING (model)"
+), with_era=_ERA_HELD))
 def markov_table(spark, d):
     return r6(metrics.metric_table(held_with_era(spark, d)))
 
@@ -783,7 +1045,10 @@ def _closure_sql(table: str, before: str, after: list[str], floor: str) -> str:
             {pick(before, level)} AS level_before, min({level}) FILTER (model IN ({names})) AS level_after
         FROM {table}
     """
-    return f"SELECT *, (gap_before - gap_after) / nullif(gap_before, 0) AS closed, (level_before - level_after) / nullif(level_before, 0) AS level_closed FROM ({row})"
+    return (
+        f"SELECT *, (gap_before - gap_after) / nullif(gap_before, 0) AS closed, (level_before - level_after) / nullif(level_before, "
+        f"0) AS level_closed FROM ({row})"
+    )
 
 
 _CLOSURE_COLUMNS = _round("gap_before", "gap_after", "level_before", "level_after", "closed", "level_closed")
@@ -818,7 +1083,10 @@ def _split_tables() -> dict[str, str]:
         tables |= {name: text, f"{name}_train": f"SELECT *, 1.0::DOUBLE AS weight FROM {name} WHERE split = 'train'"}
         tables |= model(f"{name}_cell", f"{name}_train") | surface(f"{name}_wp", f"{name}_cell_list") | logit(f"{name}_lr", f"{name}_train", ["rrr"])
         held = f"SELECT y, wp, {logit_p(['rrr'])} AS p FROM {name} JOIN {name}_wp USING (b, w, r), {name}_lr_fit WHERE split = 'holdout'"
-        rows.append(f"SELECT '{label}' AS split, avg(pow(wp - y, 2)) AS markov_brier, avg(pow(p - y, 2)) AS logit_brier, avg(pow(wp - y, 2)) - avg(pow(p - y, 2)) AS gap, count(*) AS n FROM ({held})")
+        rows.append((
+            f"SELECT '{label}' AS split, avg(pow(wp - y, 2)) AS markov_brier, avg(pow(p - y, 2)) AS logit_brier, avg(pow(wp - y, "
+            f"2)) - avg(pow(p - y, 2)) AS gap, count(*) AS n FROM ({held})"
+        ))
     first, others = "max(gap) FILTER (split = 'last seasons') OVER ()", "avg(gap) FILTER (split <> 'last seasons') OVER ()"
     return tables | {"split_rows": f"SELECT *, ({first} - {others}) / nullif({first}, 0) AS shrink FROM ({' UNION ALL '.join(rows)})"}
 
@@ -898,13 +1166,20 @@ def recalibration_closure(spark, d):
 
 
 _RULES = {
-    "gap_shares": "SELECT abs(t) / nullif(abs(h), 0) AS memoryless_share, abs(h - t) / nullif(abs(h), 0) AS shift_share FROM (SELECT avg(p - y) FILTER (split = 'train') AS t, avg(p - y) FILTER (split = 'holdout') AS h FROM predictions WHERE model = 'RRR Markov')",
+    "gap_shares": (
+        "SELECT abs(t) / nullif(abs(h), 0) AS memoryless_share, abs(h - t) / nullif(abs(h), 0) AS shift_share "
+        "FROM (SELECT avg(p - y) FILTER (split = 'train') AS t, avg(p - y) FILTER (split = 'holdout') AS h FROM predictions "
+        "WHERE model = 'RRR Markov')"
+    ),
     "conditions": f"""
         SELECT coalesce((SELECT bool_and(actual > mean_pred) AND count(*) = 2 FROM slices WHERE model = 'RRR Markov'), false) AS both_under, memoryless_share, shift_share,
             (SELECT max(shrink) FROM split_rows) AS shrink, (SELECT closed FROM recal_closed) AS closed
         FROM gap_shares
     """,
-    "judged": f"SELECT *, coalesce(shrink > {metrics.SHRINK_FLOOR}, false) AS shrinks, coalesce(shift_share >= memoryless_share, false) AS shift_leads, coalesce(closed >= {metrics.CLOSED_FLOOR}, false) AS recalibrates FROM conditions",
+    "judged": (
+        f"SELECT *, coalesce(shrink > {metrics.SHRINK_FLOOR}, false) AS shrinks, coalesce(shift_share >= memoryless_share, "
+        f"false) AS shift_leads, coalesce(closed >= {metrics.CLOSED_FLOOR}, false) AS recalibrates FROM conditions"
+    ),
 }
 
 
@@ -942,7 +1217,13 @@ def spoilt_csv(spark: SparkSession, d: str) -> DataFrame:
 _LACKING = ", ".join(f"count(*) FILTER (bad AND {_NULLS.get(c, 'false')}) AS null_{c}" for c in (f.name for f in deliveries.RAW_SCHEMA))
 
 
-@query(sql(f"SELECT count(*) AS n, count(*) FILTER (bad) AS rejected, {_LACKING} FROM (SELECT *, {_NULLS['runs_total']} OR {_NULLS['date']} AS bad FROM raw_rows)", raw_rows="SELECT * EXCLUDE (result_type), coalesce(result_type, CASE WHEN max(team_runs) OVER (PARTITION BY match_id) = runs_target - 1 THEN 'tie' END) AS result_type FROM raw"))
+@query(sql((
+    f"SELECT count(*) AS n, count(*) FILTER (bad) AS rejected, {_LACKING} "
+    f"FROM (SELECT *, {_NULLS['runs_total']} OR {_NULLS['date']} AS bad FROM raw_rows)"
+), raw_rows=(
+    "SELECT * EXCLUDE (result_type), coalesce(result_type, "
+    "CASE WHEN max(team_runs) OVER (PARTITION BY match_id) = runs_target - 1 THEN 'tie' END) AS result_type FROM raw"
+)))
 def csv_audit(spark, d):
     """How many lines of a CSV a typed scan rejects, and which cells they lack."""
     return deliveries.rejected(spoilt_csv(spark, d))
