@@ -4,7 +4,9 @@ Equal vectors are one class, so a vector that a third of all rows hold is search
 Centroids come from balanced splits of a bounded sample. A vector goes to the list of its
 nearest centroid and, near a boundary, to others as well; long lists are dealt out in
 blocks. A query walks an in-memory graph over the centroids and keeps those within a
-distance ratio of the nearest, a ratio fitted so that the sample's own recall is reached.
+distance ratio of the nearest, a ratio fitted so that the sample's own recall is reached,
+both by rows that the centroids were made of and by rows that they were not. Replicas are
+made only where they save a query more than they add to its lists.
 The nearest list is searched first; the others return only what beats its worst keeper.
 
 Largest inner product becomes least distance by one more component that makes all
@@ -117,30 +119,43 @@ class Index:
     starts: np.ndarray
     longest: float
     ratio: float = 1.0
+    boundary: float = BOUNDARY
+    scanned: float = 1.0
 
     @classmethod
     def fit(cls, sample: np.ndarray, longest: float, lists: int, wanted: int) -> Index:
-        """Of the sample, every so many-th row, 300 in all, only asks; centroids come from the others."""
+        """Of the sample, every so many-th row, 300 in all, only asks; centroids come from the others, of which as many ask too.
+
+        A query may be either kind. With and without replicas, the ratio must reach the wanted
+        recall for both; the cheaper of the two indexes is kept, so a query reads no more rows
+        than there are. ``scanned``: share of the rows, replicas counted, that one reads.
+        """
         stored = lift(sample, longest)
+        step = max(2, len(sample) // 300)
         asking = np.zeros(len(sample), dtype=bool)
-        asking[:: max(2, len(sample) // 300)] = True
+        asking[::step] = True
         centroids = balanced_centroids(stored[~asking] if (~asking).any() else stored, min(lists, len(stored)))
         graph, starts = neighbour_graph(centroids, DEGREE)
         seeds = np.unique(np.append(starts, np.linspace(0, len(centroids) - 1, 4).astype(int)))
-        index = cls(centroids, graph, seeds, longest)
-        index._calibrate(sample, stored, np.flatnonzero(asking), wanted)
-        return index
-
-    def _calibrate(self, sample: np.ndarray, stored: np.ndarray, asked: np.ndarray, wanted: int) -> None:
-        """Sets the least ratio at which walks of the asking rows find the lists of WANTED_RECALL of their nearest sampled rows."""
+        asked = [rows for rows in (np.flatnonzero(asking), np.arange(1, len(sample), step)) if len(rows)]
+        tried = []
+        for boundary in (BOUNDARY, 1.0):
+            index = cls(centroids, graph, seeds, longest, boundary=boundary)
+            homes = [set(h) for h in index.homes(stored)]
+            index.ratio = max(index._calibrated(sample, homes, rows, wanted) for rows in asked)
+            sizes = np.bincount([j for h in homes for j in h], minlength=len(centroids))
+            index.scanned = float(np.mean([sizes[index.lists(q)].sum() for rows in asked for q in lift(sample[rows], None)])) / len(sample)
+            tried.append(index)
+        return min(tried, key=lambda index: index.scanned)
+
+    def _calibrated(self, sample: np.ndarray, homes: list[set[int]], asked: np.ndarray, wanted: int) -> float:
+        """The least ratio at which walks of the asking rows find the lists of WANTED_RECALL of their nearest sampled rows."""
         scores = sample[asked] @ sample.T
         scores[np.arange(len(asked)), asked] = -np.inf
         k = min(wanted, len(sample) - 1)
         if k < 1:
-            self.ratio = 2.0
-            return
+            return 2.0
         best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        homes = [set(h) for h in self.homes(stored)]
         queries = lift(sample[asked], None)
         away = _distances(queries, self.centroids)
         away /= np.maximum(away.min(1, keepdims=True), 1e-12)
@@ -151,6 +166,7 @@ class Index:
             if hits >= WANTED_RECALL * best.size:
                 break
             self.ratio *= 1.03
+        return self.ratio
 
     def homes(self, stored: np.ndarray) -> list[list[int]]:
         """The lists of each vector: its nearest, and close others that no chosen one lies before."""
@@ -161,7 +177,7 @@ class Index:
             for i, row in enumerate(order):
                 chosen = [int(row[0])]
                 for j in row[1:]:
-                    if away[i, j] > BOUNDARY * away[i, row[0]] or len(chosen) == MOST_REPLICAS:
+                    if away[i, j] > self.boundary * away[i, row[0]] or len(chosen) == MOST_REPLICAS or self.boundary <= 1:
                         break
                     if all(np.linalg.norm(self.centroids[j] - self.centroids[c]) >= away[i, j] * 0.5 for c in chosen):
                         chosen.append(int(j))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chaseline.llm import filter_audit, fm_index, substring_dedup, whitening
+from chaseline.llm import filter_audit, fm_index, posting_lists, substring_dedup, whitening
 
 DOCS = "doc_id long, text string"
 
@@ -201,3 +201,22 @@ def test_whitening_without_spread_and_without_rows(spark):
 def test_deviation_beyond_a_long_is_null(spark):
     got = whitening.whiten(frame(spark, [(i, [1e9 * i, 0.0]) for i in range(5)], VECTORS)).collect()
     assert {r.deviation for r in got if r.vec_id == 0} == {None} and all(r.identity_error < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("clusters,most", [(0, 1.0), (60, 0.35)])
+def test_a_query_reads_no_more_rows_than_there_are(clusters, most):
+    """Vectors without groups need no replicas; fitted rows and others both reach the wanted recall."""
+    dice = np.random.default_rng(1)
+    x = dice.normal(size=(6000, 16))
+    if clusters:
+        x += 6 * dice.normal(size=(clusters, 16))[dice.integers(0, clusters, len(x))]
+    index = posting_lists.Index.fit(x, float(np.linalg.norm(x, axis=1).max()), 60, 20)
+    assert index.scanned <= most
+    homes = [set(h) for h in index.homes(posting_lists.lift(x, index.longest))]
+    for start in (0, 1):
+        asked = np.arange(start, len(x), 40)
+        scores = x[asked] @ x.T
+        scores[np.arange(len(asked)), asked] = -np.inf
+        best = np.argpartition(-scores, 19, axis=1)[:, :20]
+        found = [bool(homes[row] & set(lists)) for lists, rows in zip(map(index.lists, posting_lists.lift(x[asked], None)), best, strict=True) for row in rows]
+        assert np.mean(found) >= 0.95
