@@ -8,7 +8,7 @@ import pytest
 
 from chaseline.plans.queries import ORACLES, QUERIES
 
-FAST = ["contract_summary", "drop_audit", "extras_audit", "outcome_freq", "season_split", "quality_gate", "base_dist", "hier_cells", "cell_lookup", "weighted_runs", "ess_by_half_life", "features", "leverage_by_phase", "wpa_totals", "martingale_drift", "brier_logloss", "ece", "murphy_gap", "ahead_calibration", "gap_by_rrr", "marginal_tv", "lag_profile", "icc", "cluster_bootstrap", "stratified_sample", "cell_index", "cell_positions", "perm_null", "dependence_verdict", "split_gap", "tail_summary", "scores_by_phase", "scores_by_wickets", "markov_table"]
+FAST = ["contract_summary", "drop_audit", "extras_audit", "outcome_freq", "season_split", "quality_gate", "base_dist", "hier_cells", "cell_lookup", "weighted_runs", "ess_by_half_life", "features", "leverage_by_phase", "wpa_totals", "martingale_drift", "brier_logloss", "ece", "murphy_gap", "ahead_calibration", "gap_by_rrr", "marginal_tv", "lag_profile", "icc", "cluster_bootstrap", "stratified_sample", "cell_index", "cell_positions", "perm_null", "dependence_verdict", "split_gap", "tail_summary", "scores_by_phase", "scores_by_wickets", "markov_table", "leverage_lists", "position_correlations", "logit_full", "gate_verdict", "grouped_folds", "isotonic_platt", "recommendation", "csv_audit", "half_life_cv"]
 
 
 def plain(rows, names):
