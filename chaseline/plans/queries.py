@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import chase
 from ..operators import dependence, era, ingest, leverage, metrics, models, outcomes, players, resample, simulate, winprob, wpa
-from ..session import cut
-from ..sources import deliveries
+from ..session import cut, shared_path
+from ..sources import deliveries, reports, versions
 from ..sources.deliveries import from_order_lines
 from .oracle import LEFT_SLICE, RIGHT_SLICE, RUNS_OF, balanced_folds, bin_of, draw, isotonic, isotonic_p, logit, logit_p, model, name_key, profile, sql, surface
 
@@ -1208,8 +1207,7 @@ def spoilt_csv(spark: SparkSession, d: str) -> DataFrame:
     text = rows.select(*(F.col(c).cast("string").alias(c) for c in reversed(rows.columns)))
     text = text.withColumn("runs_total", F.when(F.col("match_id").cast("long") % _SPOILT_RUNS == 0, "many").otherwise(F.col("runs_total")))
     text = text.withColumn("date", F.when(F.col("match_id").cast("long") % _SPOILT_DATE == 0, "someday").otherwise(F.col("date")))
-    cut(spark.range(1))  # sets the shared folder where it is unset
-    path = f"{spark.sparkContext.getCheckpointDir()}/csv-{uuid.uuid4().hex}"
+    path = shared_path(spark, "csv")
     text.write.option("header", True).csv(path)
     return deliveries.scan_csv(spark, path)
 
@@ -1229,6 +1227,52 @@ def csv_audit(spark, d):
     return deliveries.rejected(spoilt_csv(spark, d))
 
 
+@query(sql(f"SELECT split, count(*) AS n, {_round('avg(li) AS mean_li', 'avg(wp) AS mean_wp')}, count(DISTINCT match_id) AS matches FROM scored GROUP BY split"))
+def scored_version(spark, d):
+    """The ball table written as a version, and leverage and win probability appended as the next, which is read back."""
+    root = shared_path(spark, "balls")
+    versions.write_version(balls(spark, d), root, ("split",))
+    added = scored(spark, d).select("match_id", "ball_index", "li", "wp")
+    versions.append_columns(spark, root, lambda now: now.join(added, ["match_id", "ball_index"]), ("split",))
+    now = versions.read_version(spark, root)
+    return r6(now.groupBy("split").agg(F.count("*").alias("n"), F.avg("li").alias("mean_li"), F.avg("wp").alias("mean_wp"), F.count_distinct("match_id").alias("matches")))
+
+
+@query(sql(
+    "SELECT player, balls::INT AS balls, mean_li, rank::INT AS rank FROM top_table WHERE rank <= 20",
+    top_table=_leverage_table("batter"),
+))
+def leaderboard_file(spark, d):
+    """The first twenty batters, from the CSV file that the board was written to."""
+    path = shared_path(spark, "board")
+    reports.write_leaderboard(r6(players.player_leverage(scored(spark, d), "batter", LEAST_BALLS)), path)
+    return spark.read.schema("player string, balls int, mean_li double, median_li double, median_pos double, death_share double, rank int").option("header", True).csv(path).select("player", "balls", "mean_li", "rank")
+
+
+@query(sql("SELECT phase, round(avg(li), 4) AS mean_li, count(*) AS n FROM scored GROUP BY phase"))
+def report_table(spark, d):
+    """A table read back from the report in which it was written, behind its heading."""
+    path = shared_path(spark, "report")
+    table = leverage.leverage_by(scored(spark, d), "phase").select("phase", "mean_li", "n")
+    text = f"# Report\n\n## Other\n\n| a |\n|---|\n| 1 |\n\n## Leverage by phase\n\n{reports.markdown(table)}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    rows = reports.read_markdown_table(spark, path, "Leverage by phase", 3)
+    return rows.select(F.col("c0").alias("phase"), F.col("c1").cast("double").alias("mean_li"), F.col("c2").cast("long").alias("n"))
+
+
+#: Parts of names: of one player, of several, of none.
+_NAME_PARTS = ("P12", "p1", "x")
+
+
+@query(sql(" UNION ALL ".join(
+    f"SELECT '{part}' AS part, player, rank FROM lookup_table WHERE contains(lower(player), '{part.lower()}') QUALIFY count(*) OVER () = 1" for part in _NAME_PARTS
+), lookup_table=_leverage_table("batter")))
+def player_lookup(spark, d):
+    """The one batter whose name holds a part, if there is one."""
+    table = r6(players.player_leverage(scored(spark, d), "batter", LEAST_BALLS))
+    return reduce(DataFrame.unionByName, (players.find_player(table, part).select(F.lit(part).alias("part"), "player", "rank") for part in _NAME_PARTS))
+
+
 @kept
 def simulated(spark: SparkSession, d: str) -> DataFrame:
     """Every mode at every seed; a seed drives the states sampled and the draws, as in the reference."""
