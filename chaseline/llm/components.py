@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, tidied
 
 
 def join_sums(rows: DataFrame, sums: DataFrame, key: str) -> DataFrame:
@@ -42,7 +42,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     mark = None
     for _ in range(most_rounds):
-        now = cut(_star(_star(now, True), False))
+        now = tidied(_star(_star(now, True), False))
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.groupBy("u").agg(F.min("v").alias("label")).withColumnRenamed("u", "node").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())

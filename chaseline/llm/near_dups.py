@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytespans import lower_ascii, mix, runs, span_hashes, text_slices
 from .components import components, join_sums
-from .shared import cut, free_names, id_and_text, setting
+from .shared import cut, free_names, id_and_text, setting, tidied
 
 SKETCH_SIZE = 64
 #: Four standard deviations of a 64-value estimate at similarity 0.8; sets of at most SKETCH_SIZE values need none.
@@ -280,7 +280,7 @@ def _across(labelled: DataFrame, percent: int) -> DataFrame:
     parity = [f"m{i}" for i in range(PARITY_WORDS)]
     entries = labelled.select("cid", "label", "shingles").mapInArrow(task, "value long, cid long, label long, n long, reach long, before long, " + ", ".join(f"{m} long" for m in parity))
     held = entries.groupBy("value", "label").agg(F.count("*").alias("c")).groupBy("value").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("labels"))
-    entries = cut(entries.join(held.filter("labels > 1").drop("labels"), "value"))
+    entries = tidied(entries.join(held.filter("labels > 1").drop("labels"), "value"))
     level = lambda n: F.when(n <= 50, n).otherwise(F.floor(F.log(n.cast("double")) / F.log(F.lit(1.02))).cast("long"))
     small = entries.select("value", level(F.col("n")).alias("level"), F.col("cid").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("reach").alias("reach_b"), F.col("before").alias("before_b"), *(F.col(m).alias(f"{m}_b") for m in parity), (F.col("label") != F.col("main")).alias("other_b"))
     most = F.least("n", "reach")
@@ -320,20 +320,20 @@ def _named_classes(docs: DataFrame, words: int, percent: int, k: int, id_col: st
     classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("doc_id").alias("root"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
 
-    dense = cut(_dense(classes, k, percent))
+    dense = tidied(_dense(classes, k, percent))
     listed = _prefixes(dense, k, percent)
     held = listed.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1").select("value")
     found = cut(listed.join(held, "value"))
-    sets = cut(_full_sets(_texts_of(found.select("cid").distinct().join(dense, "cid"), source), words))
+    sets = tidied(_full_sets(_texts_of(found.select("cid").distinct().join(dense, "cid"), source), words))
     members = cut(found.join(_common(sets), "cid"))
-    links = cut(_confirmed(cut(_estimated(_first_pairs(members, percent), dense, k, percent)), sets, percent))
+    links = tidied(_confirmed(cut(_estimated(_first_pairs(members, percent), dense, k, percent)), sets, percent))
     labels = components(links)
 
     # Lists whose members are not yet one component: pairs across components. Two members have met.
     marked = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2").select("value")
     open_ = marked.join(split, "value").select("cid", "label").distinct()
-    extra = cut(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
+    extra = tidied(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
 

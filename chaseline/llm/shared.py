@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-__all__ = ["cut", "free_names", "id_and_text", "setting", "table"]
+__all__ = ["cut", "free_names", "id_and_text", "setting", "table", "tidied"]
 
 
 @contextmanager
@@ -39,3 +39,15 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, keep_null: bool = F
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")  # texts may be long
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (text if keep_null else F.coalesce(text, F.lit(""))).alias("text"), *(F.col(f"`{c}`").alias(f"kept_{c}") for c in keep))
+
+
+def tidied(df: DataFrame) -> DataFrame:
+    """``df``, written by ``cut``, with the driver's garbage collected.
+
+    Spark frees shuffle files, broadcasts and what it knows of finished steps only once the
+    driver's heap happens to be collected; over many short steps on many partitions the heap
+    grows instead.
+    """
+    df = cut(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
