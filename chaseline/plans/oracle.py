@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions.draws import FIRST, MASK, SECOND, STEP
+from ..operators.models import ONE_LABEL
 
 _CASE_PHASE = "CASE WHEN over < 6 THEN 'powerplay' WHEN over < 15 THEN 'middle' ELSE 'death' END"
 _RUNS = "CASE WHEN outcome = 'W' THEN 0.0::DOUBLE ELSE outcome::DOUBLE END"
@@ -270,7 +271,9 @@ def logit(name: str, source: str, features: list[str], standardize: bool = False
             f"SELECT list_transform(range(1, {k + 1}), lambda i: b[i] + m[i][{k + 1}])::DOUBLE[] AS b "
             f"FROM ({_solved(f'SELECT * FROM {name}_m{t}', k)})"
         )
-    tables[f"{name}_fit"] = f"SELECT b AS coef, mu, sd FROM {name}_b{NEWTON_STEPS}, {name}_scale"
+    certain = f"list_transform(range({k}), lambda i: CASE WHEN i > 0 THEN 0.0 WHEN y1 = 1 THEN {ONE_LABEL} ELSE -{ONE_LABEL} END)::DOUBLE[]"
+    labels = f"(SELECT min(y) AS y0, max(y) AS y1 FROM {source})"
+    tables[f"{name}_fit"] = f"SELECT CASE WHEN y0 = y1 THEN {certain} ELSE b END AS coef, mu, sd FROM {name}_b{NEWTON_STEPS}, {name}_scale, {labels}"
     return tables
 
 

@@ -136,6 +136,9 @@ def test_logistic_of_separable_constant_and_no_rows(spark):
     flat = spark.createDataFrame([(2.0, k % 2) for k in range(10)], schema)
     assert [round(r.p, 6) for r in models.logistic(flat, flat, ["a"], standardize=True).limit(1).collect()] == [0.5]
     assert models.logistic_weights(apart.limit(0), [F.col("a")]).tolist() == [0.0, 0.0]
+    for label, p in ((1, 1.0), (0, 0.0)):
+        one = apart.withColumn("y", F.lit(label))
+        assert [round(r.p, 9) for r in models.logistic(one, one, ["a"]).select("p").distinct().collect()] == [p]
 
 
 def pooled(points):
