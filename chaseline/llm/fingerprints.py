@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, id_and_text, setting
+from .shared import cut, id_and_text, setting, written
 
 FILTER_CELLS = 1 << 20
 
 
 def canonical(text: Column) -> Column:
-    """Compatibility-composed, case-folded, with runs of white space made one space and cut off at both ends."""
+    """Compatibility-composed, case-folded, with runs of white space made one space and cut off at both ends.
+
+    A text of ASCII only, as long in bytes as in characters, is composed as it stands, and
+    folding lower-cases it; so ICU sees the other texts only.
+    """
     icu = "com.ibm.icu.text.Normalizer", "com.ibm.icu.lang.UCharacter"
     composed = F.reflect(F.lit(icu[0]), F.lit("compose"), text, F.lit(True))
     folded = F.reflect(F.lit(icu[1]), F.lit("foldCase"), composed, F.lit(True))
     again = F.reflect(F.lit(icu[0]), F.lit("compose"), folded, F.lit(True))
-    return F.trim(F.regexp_replace(again, r"[\s\p{Z}\x{85}]+", " "))
+    even = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(again)
+    return F.trim(F.regexp_replace(even, r"[\s\p{Z}\x{85}]+", " "))
 
 
 def digest(canon: Column) -> Column:
@@ -25,32 +32,28 @@ def digest(canon: Column) -> Column:
     return F.concat(half(F.xxhash64(canon)), half(F.xxhash64(F.lit("wide"), canon)))
 
 
-def with_fingerprints(texts: DataFrame, columns: dict[str, str]) -> DataFrame:
-    """``texts`` with the digest of each text column and, as ``<digest column>_canon``, the text it is of; ``{text column: digest column}``.
-
-    Two canonical texts may have one digest: see ``clashes`` and ``numbered``.
-    """
-    for source, name in columns.items():
-        texts = texts.withColumn(f"{name}_canon", canonical(F.col(source))).withColumn(name, digest(F.col(f"{name}_canon")))
-    return texts
+def fingerprint(text: Column) -> Column:
+    """The digest of the canonical text, which is computed once."""
+    return F.element_at(F.transform(F.array(canonical(text)), digest), 1)
 
 
 def clashes(rows: DataFrame, *names: str) -> DataFrame | None:
     """``bucket, canon, number`` of every text in a bucket of ``rows`` that holds different texts; None if there is no such bucket.
 
-    A bucket is all rows and all digest columns ``names`` of one digest. Digests are counted
-    first; then the texts of repeated ones are compared byte by byte: a bucket is mixed if
-    its least and greatest text differ, which map-side aggregates find, however hot it is.
-    Texts whose digest falls into no marked cell stay out before that shuffle; at most
-    FILTER_CELLS cells are broadcast, whatever the corpus.
+    A bucket is all rows and all digest columns ``names`` of one digest; ``<name>_canon`` is
+    the text it is of. Digests are counted first, without their texts; then the texts of
+    repeated ones are compared byte by byte: a bucket is mixed if its least and greatest
+    text differ, which map-side aggregates find, however hot it is. Texts whose digest falls
+    into no marked cell stay out before their canonical text is made; at most FILTER_CELLS
+    cells are broadcast, whatever the corpus. ``rows`` are read several times, so digests
+    should lie in a written table.
     """
-    entries = F.array(*(F.struct(F.col(n).alias("bucket"), F.col(f"{n}_canon").alias("canon")) for n in names))
-    texts = rows.select(F.inline(entries))
     cell = F.pmod(F.xxhash64("bucket"), F.lit(FILTER_CELLS)).cast("int").alias("cell")
     with setting(rows.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # each pass frees its shuffle
-        repeated = texts.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        repeated = rows.select(F.explode(F.array(*names)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
         cells = F.broadcast(cut(repeated.select(cell).distinct()))
-        near = texts.withColumn("cell", cell).join(cells, "cell", "left_semi").drop("cell")
+        each = (rows.select(F.col(n).alias("bucket"), F.col(f"{n}_canon").alias("canon")).withColumn("cell", cell) for n in names)
+        near = reduce(DataFrame.unionByName, (one.join(cells, "cell", "left_semi").drop("cell") for one in each))
         mixed = cut(near.groupBy("bucket").agg(F.min("canon").alias("x"), F.max("canon").alias("y")).filter("x != y").select("bucket"))
         if mixed.isEmpty():
             return None
@@ -73,7 +76,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     behind the digest. A null text counts as empty; null ids and repeated rows stay; an
     empty table gives an empty table; other columns are not read.
     """
-    rows = with_fingerprints(id_and_text(docs, id_col, text_col), {"text": "fingerprint"}).drop("text")
+    rows = written(id_and_text(docs, id_col, text_col).withColumn("fingerprint", fingerprint(F.col("text"))))
+    rows = rows.withColumn("fingerprint_canon", canonical(F.col("text"))).drop("text")
     rows = numbered(rows, clashes(rows, "fingerprint"), "fingerprint").select("doc_id", "fingerprint")
     groups = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies"))
     return rows.join(groups, "fingerprint").select("doc_id", "fingerprint", "group_id", "copies")
@@ -88,7 +92,7 @@ def _bucket(key: Column, bounds: list[int], first: int = 0) -> Column:
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, next_text``: each row with the text of the next one by falling id, the last with that of the first.
+    """``doc_id, text, fingerprint, next_text, next_fingerprint``: each row with the next one by falling id, the last with the first.
 
     Ties go by a hash of the text; null ids come last. Ids are dealt out by ranges that an
     approximate percentile gives, four a shuffle partition, so that no task sees more than
@@ -104,16 +108,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     keyed = keyed.withColumn("range", _bucket(F.col("key"), sorted(set(ids or []))))
     firsts = keyed.groupBy("range").agg(F.max(F.struct("key", "tie")).alias("top")).orderBy(F.desc("range")).collect()  # a row a range
     if not firsts:
-        return source.withColumn("next_text", F.lit(""))
+        empty = F.lit("")
+        return source.select("doc_id", "text", empty.alias("fingerprint"), empty.alias("next_text"), empty.alias("next_fingerprint"))
     pairs = [(one["range"], two["top"]["key"], two["top"]["tie"]) for one, two in zip(firsts, firsts[1:] + firsts[:1], strict=True)]
     links = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(a).alias("top_range"), F.lit(k).cast("long").alias("top_key"), F.lit(t).cast("long").alias("top_tie")) for a, k, t in pairs))))
     tops = source.select(F.coalesce("doc_id", low).alias("top_key"), F.xxhash64("text").alias("top_tie"), F.col("text").alias("top_text"))
     tops = tops.filter(F.col("top_key").isin([k for k in {k for _, k, _ in pairs}])).join(links, ["top_key", "top_tie"])
-    tops = tops.groupBy("top_range").agg(F.first("top_text").alias("top_text"))
+    tops = tops.groupBy("top_range").agg(F.first("top_text").alias("top_text")).withColumn("top_fingerprint", fingerprint(F.col("top_text")))
     by = Window.partitionBy("range").orderBy(F.desc("key"), F.desc("tie"))
-    ahead = keyed.withColumn("ahead", F.lead("text").over(by))
+    dealt = keyed.repartition("range").withColumn("fingerprint", fingerprint(F.col("text")))  # the window's own shuffle, before the dear step
+    ahead = dealt.withColumn("ahead", F.lead("text").over(by)).withColumn("ahead_fingerprint", F.lead("fingerprint").over(by))
     both = ahead.join(tops, (F.col("range") == F.col("top_range")) & F.col("ahead").isNull(), "left")
-    return both.select("doc_id", "text", F.coalesce("ahead", "top_text").alias("next_text"))
+    return both.select("doc_id", "text", "fingerprint", F.coalesce("ahead", "top_text").alias("next_text"), F.coalesce("ahead_fingerprint", "top_fingerprint").alias("next_fingerprint"))
 
 
 def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,11 +133,15 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     stay (see ``with_next`` for their order); an empty table gives an empty table; other
     columns are not read, whatever their names.
     """
-    rows = with_next(docs, id_col, text_col)
     third = F.floor(F.char_length("text") / F.lit(3)).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.char_length("text") - third), F.substr("next_text", F.lit(1), third)))
-    rows = with_fingerprints(rows, {"text": "fingerprint", "edited": "edited_fingerprint"})
-    found = clashes(rows, "fingerprint", "edited_fingerprint")
-    rows = numbered(rows, found, "fingerprint", "edited_fingerprint").withColumn("next_canon", canonical(F.col("next_text")))
-    like = lambda x: (F.col("fingerprint_canon") == F.col(x)).cast("double")
-    return rows.withColumn("near_edited", like("edited_fingerprint_canon")).withColumn("near_next", like("next_canon"))
+    edited = F.concat(F.substr("text", F.lit(1), F.char_length("text") - third), "head")
+    rows = with_next(docs, id_col, text_col).withColumn("head", F.substr("next_text", F.lit(1), third)).withColumn("edited", edited)
+    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    same = lambda x: canonical(F.col("text")) == canonical(F.col(x))
+    like = lambda x, y: F.when(F.col("fingerprint") == F.col(y), same(x)).otherwise(F.lit(False)).cast("double")
+    rows = rows.withColumns({"near_edited": like("edited", "edited_fingerprint"), "near_next": like("next_text", "next_fingerprint")})
+    with setting(docs.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        rows = written(rows.drop("edited", "next_text", "next_fingerprint"))
+    rows = rows.withColumn("edited", edited).withColumn("fingerprint_canon", canonical(F.col("text"))).withColumn("edited_fingerprint_canon", canonical(F.col("edited")))
+    names = "fingerprint", "edited_fingerprint"
+    return numbered(rows, clashes(rows, *names), *names).select("doc_id", "text", "edited", *names, "near_edited", "near_next")

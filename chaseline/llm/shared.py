@@ -8,9 +8,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, shared_path
 
-__all__ = ["cut", "free_names", "id_and_text", "setting", "table", "tidied"]
+__all__ = ["cut", "free_names", "id_and_text", "setting", "table", "tidied", "written"]
 
 
 @contextmanager
@@ -51,3 +51,10 @@ def tidied(df: DataFrame) -> DataFrame:
     df = cut(df)
     df.sparkSession.sparkContext._jvm.System.gc()
     return df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder, for rows with texts of which later passes read some columns."""
+    path = shared_path(df.sparkSession, "written")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)

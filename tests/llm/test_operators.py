@@ -160,13 +160,17 @@ def test_crossover_keeps_every_item():
     assert bin_genes.fitness(bin_genes.evolve([one, two], counts, 1024, 5, 1)[0], 1024)[0] <= bin_genes.fitness(one, 1024)[0]
 
 
+def edited_and_next(docs):
+    return fingerprints.edited_pairs(docs).collect(), {r.doc_id: r.next_text for r in fingerprints.with_next(docs).collect()}
+
+
 def test_fingerprints(spark):
     rows = [(1, "Ａb  C"), (2, "ab c"), (3, None), (4, ""), (5, "cafe\u0301 STRASSE"), (6, "café straße"), (None, "ab c "), (2, "ab c")]
     groups = {(r.doc_id, r.group_id, r.copies) for r in fingerprints.exact_groups(frame(spark, rows)).collect()}
     assert groups == {(1, 1, 4 + 0), (2, 1, 4), (None, 1, 4), (3, 3, 2), (4, 3, 2), (5, 5, 2), (6, 5, 2)}
     texts = [(i, t) for i, (_, t) in enumerate(ODD) if t is not None]
-    got = {r.doc_id: (len(r.text), r.edited, r.next_text) for r in fingerprints.edited_pairs(frame(spark, texts)).collect()}
-    assert got == brute.op4_edited(texts)
+    rows, after = edited_and_next(frame(spark, texts))
+    assert {r.doc_id: (len(r.text), r.edited, after[r.doc_id]) for r in rows} == brute.op4_edited(texts)
 
 
 def test_clashing_digests_are_told_apart(spark):
@@ -182,18 +186,38 @@ def test_edited_pairs_equal_brute_force(spark, monkeypatch, narrow):
     if narrow:
         monkeypatch.setattr(fingerprints, "digest", lambda canon: F.pmod(F.xxhash64(canon), F.lit(2)).cast("string"))
     texts = [(i, t) for i, (_, t) in enumerate(ODD) if t is not None] + [(100 + i, t) for i, t in enumerate(("same text", "Same  TEXT", "same text", "abc", "abcabc" * 2000, "ABC"))]
-    rows = fingerprints.edited_pairs(frame(spark, texts)).collect()
-    want = brute.op4_edited(texts)
-    assert {r.doc_id: (len(r.text), r.edited, r.next_text) for r in rows} == want
+    rows, after = edited_and_next(frame(spark, texts))
+    assert {r.doc_id: (len(r.text), r.edited, after[r.doc_id]) for r in rows} == brute.op4_edited(texts)
     canon, of = brute.canonical, {}
     for r in rows:
         of.setdefault(r.fingerprint, set()).add(canon(r.text))
         of.setdefault(r.edited_fingerprint, set()).add(canon(r.edited))
-        assert (r.near_edited, r.near_next) == (float(canon(r.text) == canon(r.edited)), float(canon(r.text) == canon(r.next_text)))
+        assert (r.near_edited, r.near_next) == (float(canon(r.text) == canon(r.edited)), float(canon(r.text) == canon(after[r.doc_id])))
     assert all(len(x) == 1 for x in of.values())
     assert len(of) == len({c for x in of.values() for c in x})
 
 
+def test_edited_pairs_of_null_texts_and_null_or_repeated_ids(spark):
+    """One row a row; the next row of each is one that follows it by falling id, null ids last, and each row is next once."""
+    texts = [(5, "five"), (5, "five"), (5, "FIVE"), (4, None), (3, "abc"), (None, "none"), (None, None)]
+    rows = fingerprints.edited_pairs(frame(spark, texts)).collect()
+    nexts = fingerprints.with_next(frame(spark, texts)).collect()
+    want = sorted(((i, t or "") for i, t in texts), key=str)
+    assert sorted(((r.doc_id, r.text) for r in rows), key=str) == sorted(((r.doc_id, r.text) for r in nexts), key=str) == want
+    assert sorted(r.next_text for r in nexts) == sorted(t for _, t in want)
+    by_id = {i: {(r.text, r.next_text) for r in nexts if r.doc_id == i} for i in (4, 3)}
+    assert by_id[4] == {("", "abc")} and by_id[3] <= {("abc", "none"), ("abc", "")}
+    assert len({r.fingerprint for r in rows if r.doc_id == 5}) == 1
+    assert all(r.near_next in (0.0, 1.0) and r.near_edited in (0.0, 1.0) for r in rows)
+
+
+def test_canonical_of_ascii_and_other_texts_alike(spark):
+    """ASCII texts, which skip the Unicode rules, equal their brute-force form as others do."""
+    texts = ["", " A  b\tC\n", "\t\n\x0b\x0c\r" + "".join(map(chr, range(32, 128))), "ABCÀÉ", "ſtraße ＡＢ", "I İ ı"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprints.canonical(F.col("t")).alias("c")).collect()
+    assert [r.c for r in rows] == [brute.canonical(t) for t in texts]
+
+
 @pytest.mark.parametrize("apart", [0.0, 3.0, 30.0])
 def test_walks_reach_lists_of_clusters_far_apart(apart):
     dice = np.random.default_rng(3)
