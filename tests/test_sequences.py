@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chaseline.functions import chase
-from chaseline.functions.draws import mixed, with_draw
+from chaseline.functions.draws import mixed, name_key, with_draw
 from chaseline.operators import dependence, era, metrics, models, outcomes, players, resample, simulate
 from chaseline.plans import queries
 from chaseline.sources import deliveries, reports
@@ -164,6 +164,21 @@ def test_large_groups_are_drawn_from_by_a_join_alike(spark, monkeypatch):
     assert show() == whole and len(whole) == 14
 
 
+def test_slots_of_a_bootstrap_are_counted_in_tasks(spark, monkeypatch):
+    """As rows, the slots of large groups were taken for a small table and sent to the driver."""
+    values = [None if m == 3 else float(m % 11) for m in range(300)]
+    rows = spark.createDataFrame([("a", m, v, m) for m, v in enumerate(values)] + [("b", 0, None, 1)], "g string, match_id long, s double, c long")
+    key = rows.select("g", name_key("g").alias("key")).filter("g = 'a'").first().key
+    for most in (1000, 70):
+        monkeypatch.setattr(resample, "MOST_IN_ARRAY", most)
+        boot = resample.replicates(rows, ["g"], ["s", "c"], 9)
+        assert "slot" not in boot._jdf.queryExecution().optimizedPlan().toString()
+        got = {(r.g, r.rep): (r.s, r.c) for r in boot.collect()}
+        for rep in range(9):
+            drawn = mixed(mixed(mixed(mixed(0, 0), key), rep), np.arange(300)) % 300
+            assert got["a", rep] == (sum(values[k] or 0.0 for k in drawn), drawn.sum()) and got["b", rep] == (None, 1)
+
+
 def test_running_sums_across_ranges(spark):
     rows = spark.createDataFrame([(k % 3, k, k % 5) for k in range(500)], "g int, k int, v int")
     got = {(r.g, r.k): r.before for r in resample.before(rows, ["g"], ["k"], F.col("v")).collect()}
