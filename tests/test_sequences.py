@@ -179,6 +179,16 @@ def test_slots_of_a_bootstrap_are_counted_in_tasks(spark, monkeypatch):
             assert got["a", rep] == (sum(values[k] or 0.0 for k in drawn), drawn.sum()) and got["b", rep] == (None, 1)
 
 
+def test_more_order_lines_are_dealt_to_more_tasks(spark, sf, monkeypatch):
+    """A task that sorts the lines has at most so many of them, whatever the session's number of shuffle partitions."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    whole = deliveries.from_order_lines(lines)
+    monkeypatch.setattr(deliveries, "ROWS_A_TASK", 100)
+    dealt = deliveries.from_order_lines(lines)
+    assert dealt.rdd.getNumPartitions() == -(-lines.count() // 100)
+    assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
+
+
 def test_running_sums_across_ranges(spark):
     rows = spark.createDataFrame([(k % 3, k, k % 5) for k in range(500)], "g int, k int, v int")
     got = {(r.g, r.k): r.before for r in resample.before(rows, ["g"], ["k"], F.col("v")).collect()}
