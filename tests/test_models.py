@@ -99,6 +99,23 @@ def test_a_wait_of_fifty_rounds_beats_the_first_pause(spark):
     assert best[50].rounds in (75, best[50].best_round + 51)
 
 
+def test_levels_read_what_a_round_found_once():
+    """Margins, gradients and drawn rows are found at a round's start; a level's sums come from those alone."""
+    dice = np.random.default_rng(5)
+    x, y, held, key = dice.integers(0, 5, (1000, 2)).astype(np.uint8), dice.integers(0, 2, 1000).astype(float), dice.random(1000) < 0.2, dice.integers(0, 1 << 40, 1000)
+    old, tree = boosting._stump(), boosting._stump()
+    old.feature[0], old.bin[0], old.value[1], old.value[2] = 0, 2, -0.3, 0.4
+    tree.feature[0], tree.bin[0] = 1, 1
+    block = boosting.Block(key, y, held, x, np.full((1000, 1), 0.1), np.zeros((1000, 1)))
+    started = list(boosting._started({0: old}, False, [0], 3)([block]))
+    (sums,) = boosting._level({0: (tree, [0, 1])}, 1, [5, 5])(boosting._slim(started))
+    margin = 0.1 + np.where(x[:, 0] > 2, 0.4, -0.3)
+    p, use = 1 / (1 + np.exp(-margin)), ~held & boosting._drawn(key, 0, 3)
+    for got, v in zip(sums[0, 1], (p - y, p * (1 - p)), strict=True):
+        want = [np.rint(v[use & ((x[:, 1] > 1) == node) & (x[:, f] == b)] * boosting.UNIT).sum() for node in (0, 1) for f in (0, 1) for b in range(5)]
+        assert got.tolist() == want
+
+
 def test_boosting_of_odd_tables(spark):
     schema = "match_id long, ball_index long, season string, a double, y int"
     same = spark.createDataFrame([(k, k, "s", 1.0, k % 2) for k in range(20)], schema)
