@@ -189,6 +189,13 @@ def test_more_order_lines_are_dealt_to_more_tasks(spark, sf, monkeypatch):
     assert sorted(map(tuple, dealt.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
 
 
+def test_donor_innings_come_to_the_driver_as_bytes(spark):
+    rows = spark.createDataFrame([(m, k, (m + k) % 8, 197 - k) for m in (1, 2) for k in reversed(range(120))], "match_id long, ball_index int, code int, cell int")
+    got = {r.match_id: r for r in simulate.packed_innings(rows).collect()}
+    for m in (1, 2):
+        assert list(got[m].ball_index) == list(range(120)) and list(got[m].code) == [(m + k) % 8 for k in range(120)] and list(got[m].cell) == [197 - k for k in range(120)]
+
+
 def test_running_sums_across_ranges(spark):
     rows = spark.createDataFrame([(k % 3, k, k % 5) for k in range(500)], "g int, k int, v int")
     got = {(r.g, r.k): r.before for r in resample.before(rows, ["g"], ["k"], F.col("v")).collect()}
