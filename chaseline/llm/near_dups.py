@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .bytespans import lower_ascii, mix, runs, span_hashes, text_slices
 from .components import components, join_sums
-from .shared import cut, free_names, id_and_text, setting, tidied
+from .shared import free_names, id_and_text, setting, tidied
 
 SKETCH_SIZE = 64
 #: Four standard deviations of a 64-value estimate at similarity 0.8; sets of at most SKETCH_SIZE values need none.
@@ -316,24 +316,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, k: int =
 def _named_classes(docs: DataFrame, words: int, percent: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """The sketches of all rows, and ``hi, lo, component_id`` of each class of equal sets."""
     source = id_and_text(docs, id_col, text_col)
-    rows = cut(sketches(docs, words, k, id_col, text_col))
+    rows = tidied(sketches(docs, words, k, id_col, text_col))
     classes = rows.filter("n > 0").groupBy("hi", "lo").agg(F.first("n").alias("n"), F.min("doc_id").alias("root"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))
+    classes = tidied(classes.withColumn("cid", F.monotonically_increasing_id()))
 
     dense = tidied(_dense(classes, k, percent))
     listed = _prefixes(dense, k, percent)
     held = listed.groupBy("value").agg(F.count("*").alias("size")).filter("size > 1").select("value")
-    found = cut(listed.join(held, "value"))
+    found = tidied(listed.join(held, "value"))
     sets = tidied(_full_sets(_texts_of(found.select("cid").distinct().join(dense, "cid"), source), words))
-    members = cut(found.join(_common(sets), "cid"))
-    links = tidied(_confirmed(cut(_estimated(_first_pairs(members, percent), dense, k, percent)), sets, percent))
+    members = tidied(found.join(_common(sets), "cid"))
+    links = tidied(_confirmed(tidied(_estimated(_first_pairs(members, percent), dense, k, percent)), sets, percent))
     labels = components(links)
 
     # Lists whose members are not yet one component: pairs across components. Two members have met.
     marked = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     split = marked.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x != y and size > 2").select("value")
     open_ = marked.join(split, "value").select("cid", "label").distinct()
-    extra = tidied(_confirmed(_across(sets.join(open_, "cid"), percent), sets, percent))
+    labelled = tidied(sets.join(open_, "cid"))  # read twice: for counts, then for pairs
+    extra = tidied(_confirmed(_across(labelled, percent), sets, percent))
     if not extra.isEmpty():
         labels = components(links.unionByName(extra))
 
@@ -341,7 +342,7 @@ def _named_classes(docs: DataFrame, words: int, percent: int, k: int, id_col: st
     least = linked.groupBy("label").agg(F.min("root").alias("component_id"))
     named = join_sums(linked.select("cid", "label"), least, "label").select("cid", "component_id", F.lit(True).alias("is_linked"))
     named = classes.select("hi", "lo", "cid", "root").join(named, "cid", "left")
-    return rows, cut(named.select("hi", "lo", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("root")).alias("component_id")))
+    return rows, tidied(named.select("hi", "lo", F.when(F.col("is_linked"), F.col("component_id")).otherwise(F.col("root")).alias("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

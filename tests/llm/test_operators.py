@@ -77,6 +77,15 @@ def test_a_dense_group_without_its_base(spark, monkeypatch):
     assert joined[0].count() < 3000
 
 
+def test_near_dups_prepares_open_sets_once(spark, monkeypatch):
+    """What the last step reads twice is written before, so that no driver plans and runs it twice."""
+    plans = []
+    across = near_dups._across
+    monkeypatch.setattr(near_dups, "_across", lambda labelled, percent: plans.append(labelled._jdf.queryExecution().executedPlan().toString()) or across(labelled, percent))
+    near_dups.near_duplicates(frame(spark, [(k, f"a b c d e f g {k}") for k in range(6)]), 4).collect()
+    assert plans and "Join" not in plans[0] and "Exchange" not in plans[0]
+
+
 def test_kept_rows_keep_columns_of_any_name(spark):
     names = ["own_hash", "KEPT_HASH", "kept_id", "doc_id_", "n", "label"]
     texts = [(3, "a b c d e f"), (1, "a b c d e f"), (2, "other words stand here now"), (4, None), (1, "quite another text of this id")]
