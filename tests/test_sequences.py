@@ -304,3 +304,14 @@ def test_each_seed_samples_states_of_its_own(spark):
     for r in simulate.seeded_states(balls, 2, 5).collect():
         got.setdefault(r.seed, set()).add((r.match_id, r.ball_index))
     assert set(got) == {0, 1} and got[0] != got[1]
+
+
+def test_permutation_null_reads_the_innings_once(spark, monkeypatch):
+    """The observed profile comes from the pass that shuffles, not from scans of its own, and is that of ``lag_profile``."""
+    rows = spark.createDataFrame(pd.DataFrame([{"match_id": m, "ball_index": i, "part": i // 9, "runs": float((m * 7 + i * i) % 5), "wkt": float((m + i) % 3 == 0)} for m in range(6) for i in range(40 + m)]))
+    want = {(v, r.variant, r.scope, r.lag): (r.r, r.n) for v in dependence.SERIES for r in dependence.lag_profile(rows, v).collect()}
+    monkeypatch.setattr(dependence, "lag_profile", None)
+    got = {(r.series, r.variant, r.scope, r.lag): (r.r, r.n) for r in dependence.permutation_null(rows, 2).collect()}
+    assert got.keys() == want.keys()
+    for key, (r, n) in want.items():
+        assert got[key][1] == n and (r == got[key][0] or abs(r - got[key][0]) < 1e-9), key
