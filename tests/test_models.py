@@ -355,3 +355,14 @@ def test_lists_of_few_players_and_positions(spark):
 
 def test_fitted_models_have_twins():
     assert {"logit_rrr", "logit_full", "gate_verdict", "era_closure", "isotonic_platt", "recalibration_closure", "split_robustness", "recommendation", "grouped_folds", "csv_audit"} <= set(ORACLES)
+
+
+def test_counted_rows_give_the_fit_and_scores_of_the_rows_themselves(spark):
+    rows = [(float(x % 5), int((x * x) % 7 < 3)) for x in range(60)]
+    whole = spark.createDataFrame(rows, "rrr double, y int")
+    counted = whole.groupBy("rrr", "y").count().withColumnRenamed("count", "n")
+    beta = [models.logistic_weights(whole, [F.col("rrr")]), models.logistic_weights(counted, [F.col("rrr")], "n")]
+    assert abs(beta[0] - beta[1]).max() < 1e-9
+    p = (F.col("rrr") / 5 + 0.1).alias("p")
+    one, two = metrics.scores(whole.select(p, "y"), []).first(), metrics.scores(counted.select(p, "y", "n"), [], "n").first()
+    assert one["n"] == two["n"] == 60 and all(abs(one[c] - two[c]) < 1e-12 for c in ("brier", "log_loss", "mean_pred", "actual"))
