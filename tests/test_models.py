@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,40 @@ def test_levels_read_what_a_round_found_once():
         assert got.tolist() == want
 
 
+def test_a_round_of_few_combinations_is_one_job(spark):
+    """Sums by combination of bins hold what all levels need; a job a level took five a round."""
+    x, y = labelled(7, 600)
+    table = spark.createDataFrame([(k, *map(float, np.floor(v * 2)), int(t), k % 4 == 0) for k, (v, t) in enumerate(zip(x, y))], "k long, a double, b double, c double, y int, held boolean")
+    bounds = boosting.edges(table.filter("not held"), ["a", "b", "c"])
+    spark.sparkContext.setJobGroup("one job a round", "")
+    fitted = boosting.fit(table, ["a", "b", "c"], [["a", "b", "c"]], bounds, ["k"], rounds=19, patience=50)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("one job a round"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(fitted[0].trees) == 19 and any(t.feature[3] >= 0 or t.feature[4] >= 0 for t in fitted[0].trees)
+    assert jobs < 2 * 19
+
+
+def test_trees_of_combinations_and_of_levels_are_equal(spark, monkeypatch):
+    """Both ways, over one and several tasks and blocks, and with more rows of one cell than a block holds."""
+    rows = [(k, float(k * k % 7), float(k % 5 if k % 2 else 0), int((k * k % 7 > 2) ^ (k % 11 == 0)), k % 6 == 0) for k in range(3000)]
+    table = spark.createDataFrame(rows, "k long, a double, b double, y int, held boolean")
+    bounds = boosting.edges(table.filter("not held"), ["a", "b"])
+    fit = lambda: [(t.feature.tolist(), t.bin.tolist(), t.value.tolist()) for m in boosting.fit(table, ["a", "b"], [["a", "b"], ["b"]], bounds, ["k"], rounds=12) for t in m.trees]
+    want = fit()
+    monkeypatch.setattr(boosting, "MOST_JOINT", 0)
+    assert fit() == want
+    monkeypatch.setattr(boosting, "ROWS_A_TASK", 500)
+    assert fit() == want
+
+
+def test_equal_rows_are_one_cell():
+    batch = pa.RecordBatch.from_pydict({"key": [5, 6, 7, 8], "y": [1, 0, 1, 1], "held": [False, False, False, True], "x": [b"ab", b"ab", b"ab", b"ab"]})
+    (row,) = next(boosting._blocks(2)(iter([batch.slice(0, 3), batch.slice(3)]))).to_pylist()
+    (block,) = boosting._first_blocks(2, 0.5, 1)([row])
+    assert block.y.tolist() == [0, 1, 1] and block.held.tolist() == [False, False, True] and block.begins.tolist() == [0, 1, 3, 4]
+    assert block.key.tolist() == [6, 5, 7, 8] and block.x.tolist() == [[97, 98]] * 3 and (block.margins == 0.5).all()
+
+
 def test_boosting_of_odd_tables(spark):
     schema = "match_id long, ball_index long, season string, a double, y int"
     same = spark.createDataFrame([(k, k, "s", 1.0, k % 2) for k in range(20)], schema)
