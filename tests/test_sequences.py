@@ -179,6 +179,35 @@ def test_slots_of_a_bootstrap_are_counted_in_tasks(spark, monkeypatch):
             assert got["a", rep] == (sum(values[k] or 0.0 for k in drawn), drawn.sum()) and got["b", rep] == (None, 1)
 
 
+def test_player_sums_are_found_once_for_both_sides(spark, sf, monkeypatch):
+    """Replicates and points of both sides come from one plan of the credited balls; there were three, each run for both sides."""
+    passes, per_ball = [], queries.wpa.per_ball
+    monkeypatch.setattr(queries.wpa, "per_ball", lambda rows: passes.append(1) or per_ball(rows))
+    monkeypatch.setattr(queries, "_KEPT", {})
+    monkeypatch.setattr(queries, "LEAST_BALLS", 60)
+    monkeypatch.setattr(queries, "PLAYER_REPLICATES", 20)
+    got = {r.side: r for r in queries.QUERIES["significance_counts"](spark, sf).collect()}
+    assert len(passes) == 1 and set(got) == {"batter", "bowler"}
+    credited = per_ball(queries.scored(spark, sf))
+    both = queries.player_sums(spark, sf)
+    for who, side in queries._SIDES.items():
+        want = {r.player: r for r in credited.groupBy(F.col(who).alias("player")).agg(F.count("*").alias("n"), F.sum(f"wpa_{side}_dd").alias("dd"), F.avg("li").alias("li")).filter("n >= 60").collect()}
+        points = {r.player: r for r in resample.points_of(both).filter(F.col("side") == who).collect()}
+        assert points.keys() == want.keys() and got[who].splits <= len(points)
+        assert all(r.balls == want[p].n and abs(r.total - want[p].dd) < 1e-9 and abs(r.li - want[p].li) < 1e-9 for p, r in points.items())
+
+
+def test_a_match_drawn_more_often_than_a_byte_holds(monkeypatch):
+    def same(state, part, out, spare):
+        out[:] = 7
+        return out
+
+    monkeypatch.setattr(resample, "mixed32", same)
+    for low, held in ((0, 1000), (5, 10)):
+        counts = resample._counts(np.array([1, 2], dtype=np.uint32), 1000, low, held)
+        assert counts.sum(axis=1).tolist() == [1000, 1000] and counts[:, 7 - low].tolist() == [1000, 1000]
+
+
 def test_more_order_lines_are_dealt_to_more_tasks(spark, sf, monkeypatch):
     """A task that sorts the lines has at most so many of them, whatever the session's number of shuffle partitions."""
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
